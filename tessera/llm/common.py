@@ -8,7 +8,8 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -50,6 +51,11 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value worked out once: an expression inside a lambda is otherwise worked out for each element."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """A text column as UTF-8 bytes; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

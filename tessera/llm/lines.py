@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, let
 
 WINDOW = 3
 
@@ -56,12 +56,12 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", remove
     held = held.withColumn(fp, F.xxhash64(F.col(whole)))
     covers = _covers(held.select(doc, fp, whole), doc, fp, whole).select(F.col(doc).alias("r_doc"), F.col(fp).alias("r_fp"), F.col("cut").alias(cut))
     joined = held.join(covers, held[doc].eqNullSafe(covers["r_doc"]) & (held[fp] == covers["r_fp"]), "left").drop("r_doc", "r_fp")
-    lines = F.split(F.col(whole), "\n", -1)
     spans = F.array_sort(F.col(cut))
     drop = F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["from"], s["to"]))))
     joined = joined.withColumn(gone, F.when(F.col(cut).isNotNull(), drop))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))  # by hash: in proportion to the lines
-    kept = F.transform(stay, lambda i: F.get(lines, i))
+    # array_except hashes, so that this takes time in proportion to the lines
+    stay = lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone)), lambda i: F.get(lines, i))
+    kept = let(F.split(F.col(whole), "\n", -1), stay)
     new = F.when(F.col(gone).isNull(), F.col(f"`{text}`").cast("string")).otherwise(F.array_join(kept, "\n"))
     out = joined.withColumn(n, F.coalesce(F.size(F.col(gone)), F.lit(0)).cast("long")).withColumn(text, new)
     out = out.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(n))

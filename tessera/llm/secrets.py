@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, stored
+from .common import fresh, let, stored
 
 # The patterns of the contract. A run of 32 or more of [0-9a-f] is the same match as a run of any length
 # that is dropped below 32, and likewise for access; only assign needs its failing matches, as they use up text.
@@ -59,11 +59,6 @@ def _tail(z: Column) -> Column:
     return F.when(z >= 0, upper).otherwise(1 - upper)
 
 
-def _let(value: Column, then) -> Column:
-    """then(value), with value worked out once."""
-    return F.element_at(F.transform(F.array(value), then), 1)
-
-
 def battery(token: Column) -> Column:
     """Struct (encoding, p) of a token: p is the chance that uniform noise of its encoding looks as structured.
 
@@ -97,7 +92,7 @@ def battery(token: Column) -> Column:
         least = F.array_min(F.transform(F.array(F.struct(F.lit(1.0), z_chi), F.struct(F.lit(2.0), z_runs), F.struct(F.lit(2.0), F.abs(e["serial"]))), lambda z: z["col1"] * _tail(z["col2"])))
         return F.struct(e["code"].alias("encoding"), F.least(F.lit(1.0), 3 * least).alias("p"))
 
-    done = _let(_let(_let(F.struct(code.alias("code"), bare.alias("bare")), places), tests), scores)
+    done = let(let(let(F.struct(code.alias("code"), bare.alias("bare")), places), tests), scores)
     return F.when(mixed, done).otherwise(F.struct(code.alias("encoding"), F.lit(0.0).alias("p")))
 
 
@@ -142,7 +137,7 @@ def scan(docs: DataFrame, text: str = "text", out: str = "found") -> DataFrame:
     free = lambda s: ~F.exists(F.col(base), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     tested = F.transform(
         F.filter(_positions(F.col(t), TOKEN), free),
-        lambda s: _let(battery(s["value"]), lambda r: F.struct(s["start"], s["end"], F.lit(3).alias("kind"), s["value"], r["encoding"].alias("encoding"), r["p"].alias("p"))),
+        lambda s: let(battery(s["value"]), lambda r: F.struct(s["start"], s["end"], F.lit(3).alias("kind"), s["value"], r["encoding"].alias("encoding"), r["p"].alias("p"))),
     )
     df = df.withColumn(more, F.when(F.col(t).rlike(TOKEN), tested).otherwise(F.array().cast(span)))
     df = df.withColumn(out, F.array_sort(F.concat(F.col(base), F.col(more)), lambda a, b: F.when(a["start"] != b["start"], F.signum((a["start"] - b["start"]).cast("double")).cast("int")).otherwise(a["kind"] - b["kind"])))
@@ -208,4 +203,4 @@ def masked(text: Column, found: Column) -> Column:
         F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.element_at(names, s["kind"] + 1)).alias("out")),
     ).otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out")))
     done = F.aggregate(found, start, step)
-    return _let(done, lambda d: F.concat(d["out"], F.substring(text, (d["at"] + 1).cast("int"), F.length(text))))
+    return let(done, lambda d: F.concat(d["out"], F.substring(text, (d["at"] + 1).cast("int"), F.length(text))))

@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, lines, quality, secrets
-from .common import table
+import public_tokenizers
+
+from . import chat, lines, packing, quality, records, secrets
+from .common import scratch_dir, table
+
+VOCABULARY = "word_bpe_49k.json"
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +22,16 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
+def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(spark)
+    records.write_records(table(spark, sf_dir, "documents"), path, public_tokenizers.path(VOCABULARY))
+    return records.read_digests(spark, path)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), removed="n_removed")
     return kept.selectExpr("doc_id", "n_removed", "cast(length(text) as long) n_chars", "sha2(text, 256) text_sha256")
@@ -28,4 +42,4 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.format_chats(chat.events_of(rows)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_quality_rules, op4_secret_scan, op9_line_dedup, op10_chat_format)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_quality_rules, op4_secret_scan, op5_packing, op6_token_records, op9_line_dedup, op10_chat_format)}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import chat, lines, packing, quality, records, secrets
+from . import chat, lines, packing, quality, records, secrets, vectors
 from .common import scratch_dir, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -32,6 +32,10 @@ def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_digests(spark, path)
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), removed="n_removed")
     return kept.selectExpr("doc_id", "n_removed", "cast(length(text) as long) n_chars", "sha2(text, 256) text_sha256")
@@ -42,4 +46,4 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.format_chats(chat.events_of(rows)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_quality_rules, op4_secret_scan, op5_packing, op6_token_records, op9_line_dedup, op10_chat_format)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_quality_rules, op4_secret_scan, op5_packing, op6_token_records, op8_embedding_near_dedup, op9_line_dedup, op10_chat_format)}

@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import chat, lines, packing, quality, records, secrets, vectors
+from . import chat, lines, neardup, packing, quality, records, secrets, vectors
 from .common import scratch_dir, table
 
 VOCABULARY = "word_bpe_49k.json"
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
@@ -46,4 +50,4 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.format_chats(chat.events_of(rows)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_quality_rules, op4_secret_scan, op5_packing, op6_token_records, op8_embedding_near_dedup, op9_line_dedup, op10_chat_format)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_quality_rules, op4_secret_scan, op5_packing, op6_token_records, op8_embedding_near_dedup, op9_line_dedup, op10_chat_format)}

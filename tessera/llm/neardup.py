@@ -168,7 +168,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(match)), batch.column(1).filter(pa.array(match)), pa.array([h.tobytes() for h, ok in zip(found, match, strict=True) if ok], pa.binary())], names=["item", "d1", "hashes"])
 
     wanted = survivors.select("item", "d1").distinct()
-    texts = wanted.join(row.select(F.col("key").alias("item"), "text"), "item").select("item", "d1", "text")
+    # the wanted sets grow with the corpus, so this join is never a broadcast
+    texts = wanted.hint("merge").join(row.select(F.col("key").alias("item"), "text"), "item").select("item", "d1", "text")
     hashes = texts.mapInArrow(exact_sets, "item long, d1 long, hashes binary").dropDuplicates(["item", "d1"])
 
     def verify(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import chat, lines, neardup, packing, quality, records, secrets, vectors
+from . import chat, lines, neardup, packing, quality, records, secrets, suffixes, vectors
 from .common import scratch_dir, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -36,6 +36,10 @@ def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_digests(spark, path)
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -50,4 +54,4 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.format_chats(chat.events_of(rows)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_quality_rules, op4_secret_scan, op5_packing, op6_token_records, op8_embedding_near_dedup, op9_line_dedup, op10_chat_format)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_quality_rules, op4_secret_scan, op5_packing, op6_token_records, op7_suffix_array_dedup, op8_embedding_near_dedup, op9_line_dedup, op10_chat_format)}

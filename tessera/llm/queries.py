@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import chat, lines, neardup, packing, quality, records, secrets, suffixes, vectors
+from . import chat, lines, neardup, packing, pieces, quality, records, secrets, suffixes, vectors
 from .common import scratch_dir, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -18,6 +18,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")).drop("ids")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
@@ -54,4 +58,4 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.format_chats(chat.events_of(rows)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_quality_rules, op4_secret_scan, op5_packing, op6_token_records, op7_suffix_array_dedup, op8_embedding_near_dedup, op9_line_dedup, op10_chat_format)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sentencepiece, op3_quality_rules, op4_secret_scan, op5_packing, op6_token_records, op7_suffix_array_dedup, op8_embedding_near_dedup, op9_line_dedup, op10_chat_format)}

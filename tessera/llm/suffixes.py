@@ -7,10 +7,10 @@ at LENGTH; two places hold the same string just where these agree. So suffixes a
 in steps, each of which leaves less:
 
 1. A phrase that occurs once rules out every string that contains it.
-2. The strings left that share their first trigger are a class. A class whose bytes, from its first string to the end of
-   its last, occur twice, repeats as a whole.
-3. Where a leading phrase begins several classes, and where a string holds no whole phrase, single strings are compared,
-   one class of each content only.
+2. The strings left that share their first trigger are a class, led by what all of them hold from that trigger on. A class
+   whose bytes, from its first string to the end of its last, occur twice, repeats as a whole.
+3. Where one lead begins several classes, and where strings have no lead, single strings are compared, one class of each
+   content only.
 
 Suffixes are only needed in order to depth LENGTH, and only to find equal neighbours, so they are ordered by 128-bit
 fingerprints that Spark's partitions hold in hash order, not by their bytes.
@@ -33,6 +33,9 @@ from .hashing import BASE, BYTE, mix, powers, prefix, spans_hash
 LENGTH = 400
 #: Bytes of a trigger, and the mean distance of triggers.
 TRIGGER, SPACING = 16, 48
+#: Bytes before the first trigger up to which strings are told apart by what follows the trigger, not by its phrase alone.
+REACH = 80
+NEAR, FAR, BARE = 0, 1, 2
 _U = np.uint64
 _OTHER = mix(BYTE ^ BASE)
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -60,14 +63,16 @@ def second_prefix(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def candidates(n: int, t: np.ndarray, once: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs (first, last, phrase) of starts of strings that hold no phrase marked in once.
+def candidates(n: int, t: np.ndarray, once: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs (first, last, trigger, kind) of starts of strings that hold no phrase marked in once.
 
-    A run's strings share their first trigger and, where phrase isn't -1, all hold the whole phrase that begins there.
+    A run's strings share their first trigger. Of kind NEAR, all hold length - REACH bytes from there on, of kind FAR the
+    whole phrase that begins there, of kind BARE neither.
     """
     size = n - length + 1
+    none = np.zeros(0, np.int64)
     if size <= 0:
-        return (np.zeros(0, np.int64),) * 3
+        return none, none, none, none
     step = np.zeros(size + 1, np.int64)
     if len(once) and once.any():
         a = np.maximum(t[1:][once] + TRIGGER - length, 0)
@@ -76,12 +81,21 @@ def candidates(n: int, t: np.ndarray, once: np.ndarray, length: int) -> tuple[np
         np.add.at(step, z[a < z], -1)
     s = np.flatnonzero(np.cumsum(step[:size]) == 0)
     if not len(s):
-        return (np.zeros(0, np.int64),) * 3
+        return none, none, none, none
     first = np.searchsorted(t, s)
-    end = np.append(t[1:], [n + length] * 2)[np.minimum(first, len(t))] + TRIGGER if len(t) else np.full(len(s), n + length)
-    phrase = np.where(end <= s + length, first, -1)
-    cut = np.flatnonzero(np.concatenate(([True], (np.diff(s) > 1) | (np.diff(first) > 0) | (np.diff(phrase) != 0))))
-    return s[cut], s[np.append(cut[1:], len(s)) - 1], phrase[cut]
+    begin = np.append(t, n + length)[first]
+    end = np.append(t, [n + length] * 2)[first + 1] + TRIGGER
+    kind = np.where(begin - s <= min(REACH, length - TRIGGER), NEAR, np.where(end <= s + length, FAR, BARE))
+    cut = np.flatnonzero(np.concatenate(([True], (np.diff(s) > 1) | (np.diff(first) > 0) | (np.diff(kind) != 0))))
+    return s[cut], s[np.append(cut[1:], len(s)) - 1], first[cut], kind[cut]
+
+
+def leads(p: np.ndarray, t: np.ndarray, trigger: np.ndarray, kind: np.ndarray, length: int) -> np.ndarray:
+    """What the strings of a NEAR or FAR run have in common from their first trigger on, as a hash."""
+    at = t[trigger]
+    near = kind == NEAR
+    end = np.where(near, at + length - min(REACH, length - TRIGGER), np.append(t, 0)[trigger + 1] + TRIGGER)
+    return spans_hash(p, at, end) ^ near.astype(_U)
 
 
 def _view(x: bytes) -> np.ndarray:
@@ -154,16 +168,16 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                 once = np.ones(max(0, len(t) - 1), bool)
                 if repeated.is_valid:
                     once[repeated.values.to_numpy()] = False
-                first, last, phrase = candidates(n, t, once, length)
+                first, last, trigger, kind = candidates(n, t, once, length)
                 if not len(first):
                     continue
                 q = second_prefix(data)
-                whole = phrase >= 0
+                whole = kind != BARE
                 a, z, k = first[whole], last[whole], int(whole.sum())
-                lead = phrases(p, t)[phrase[whole]].view(np.int64) if k else np.zeros(0, np.int64)
+                lead = leads(p, t, trigger[whole], kind[whole], length).view(np.int64) if k else np.zeros(0, np.int64)
                 out.append((np.zeros(k, np.int32), np.full(k, rid), lead, spans_hash(p, a, z + length).view(np.int64), spans_hash(q, a, z + length).view(np.int64), a, z, np.ones(k, np.int32)))
                 a, z = first[~whole], last[~whole]
-                if len(a):  # strings without a whole phrase: once per content of this text
+                if len(a):  # strings without a lead: once per content of this text
                     many = z - a + 1
                     s = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(a, many)
                     w1, w2 = spans_hash(p, s, s + length).view(np.int64), spans_hash(q, s, s + length).view(np.int64)
@@ -181,7 +195,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     runs = found.filter("kind = 0")
     kinds = stored(runs.groupBy("lead", "k1", "k2").agg(F.count("*").alias("n"), F.min(F.struct("rid", "first", "last")).alias("one")))
     mixed = kinds.groupBy("lead").agg(F.count("*").alias("m")).filter("m > 1").select("lead")
-    # one class of each content under a phrase that leads several, to be compared string by string
+    # one class of each content under a lead of several, to be compared string by string
     ask = kinds.join(mixed.hint("merge"), "lead").select("one.rid", F.struct(F.col("one.first").alias("first"), F.col("one.last").alias("last"), F.least("n", F.lit(2)).cast("int").alias("n")).alias("run"))
     ask = ask.groupBy("rid").agg(F.collect_list("run").alias("runs"))
 

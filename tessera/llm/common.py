@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,14 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
+from ..env import on_workers
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the test data; executors get the repository on their Python path."""
-    path = spark.sparkContext.environment.get("PYTHONPATH", "")
-    if REPO not in path.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (REPO, path) if x)
+    """A table of the test data."""
+    on_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

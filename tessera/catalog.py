@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from .plans import block_queries, flow_queries, plane_queries, run_queries
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for module in (plane_queries, block_queries, run_queries, flow_queries):
+    QUERIES |= module.QUERIES
+    ORACLES |= module.ORACLES

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..env import on_workers
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the test data."""
     on_workers(spark)

@@ -6,31 +6,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Centres, sizes, levels and periods of the clips.
-f, y, x = F.col("frame"), F.col("y"), F.col("x")
+# Fixed values in rule(): centres, sizes, levels and periods of the clips.
 
 
-def _disc(cx: Column, cy: Column, r: int) -> Column:
+def _disc(cx, cy, r: int) -> Column:
+    x, y = F.col("x"), F.col("y")
     return (x - cx) * (x - cx) + (y - cy) * (y - cy) <= r * r
 
 
 def _box(x0, y0, x1, y1) -> Column:
-    return x.between(x0, x1) & y.between(y0, y1)
+    return F.col("x").between(x0, x1) & F.col("y").between(y0, y1)
 
 
 def _shift(axis: int) -> Column:
-    return (F.pmod(F.xxhash64(F.lit(axis), f), F.lit(7)) - 3).cast("int")
+    return (F.pmod(F.xxhash64(F.lit(axis), "frame"), F.lit(7)) - 3).cast("int")
 
 
 def rule(name: str, h: int, w: int) -> Column:
     """The level of a clip's pixels."""
-    when = F.when
+    when, f, x = F.when, F.col("frame"), F.col("x")
     rules = {
         "motion": when(_disc(50 + 5 * f, F.lit(h // 2), 40), 255).otherwise(0),
         "cache": when((F.floor(f / 15) % 2 == 0) & _box(200, 200, 440, 280), 76).otherwise(0),
         "palette": when(_box(250, 200, 450, 400), 150).when(_box(100, 100, 300, 300), 29).otherwise(50),
         "baseline": F.floor(127 * (1 + F.sin(f / 10.0))).cast("int"),
-        "entropy": F.pmod(F.xxhash64(f, y, x), F.lit(256)).cast("int"),
+        "entropy": F.pmod(F.xxhash64("frame", "y", "x"), F.lit(256)).cast("int"),
         "jitter": when(_box(200 + _shift(1), 200 + _shift(2), 400 + _shift(1), 400 + _shift(2)), 255).otherwise(0),
         "fade": when(_disc(50 + 4 * f, F.lit(h // 3), 50), F.greatest(F.lit(10), 255 - 2 * f)).otherwise(0),
         "moire": when(x % F.greatest(F.lit(1), 4 - F.floor(f / 30)) == 0, 255).otherwise(0),

@@ -234,3 +234,58 @@ def events(found: DataFrame, within: float, patience: int) -> DataFrame:
     row = F.array_sort(F.collect_list(F.struct("blob", "cx", "cy", "x", "y")))
     rows = found.groupBy("video", "frame").agg(row.alias("regions"))
     return rows.repartition("video").sortWithinPartitions("video", "frame").mapInPandas(run, EVENTS)
+
+
+def first_match(blocks: DataFrame, most: int) -> DataFrame:
+    """(video, frame, by, bx, entry): the first block of its video's frame 0 within a mean squared error of most."""
+    first = blocks.filter("frame = 0").groupBy("video").agg(F.array_sort(F.collect_list(F.struct("by", "bx", "px"))).alias("book"))
+    hit = lambda e, i: F.when(fn.ssd(F.col("px"), e["px"]) < most * F.size("px"), i)
+    df = blocks.filter("frame > 0").join(first, "video").withColumn("entry", F.array_min(F.transform("book", hit)))
+    return df.filter("entry is not null").select("video", "frame", "by", "bx", "entry")
+
+
+def scaled_mse(frames: DataFrame, side: int, num: int, den: int) -> DataFrame:
+    """(video, frame, mse) of each frame with the one before, enlarged by den / num about its corner by nearest pixels."""
+    down = lambda i: F.floor(i * num / den).cast("int")
+    source = F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda i: F.get("prev", down(F.floor(i / side)) * side + down(i % side)))
+    df = with_previous(frames).withColumn("scaled", source)
+    return df.select("video", "frame", F.round(fn.ssd(F.col("px"), F.col("scaled")).cast("double") / (side * side), 6).alias("mse"))
+
+
+def levels16(blocks: DataFrame) -> DataFrame:
+    """(video, frame, by, bx, packed, sad): the nearest of 16 even levels per pixel, two to a byte, lower level of equals."""
+    near = F.transform("px", lambda v: F.floor(v / 17).cast("int") + F.when((v % 17) * 2 > 17, 1).otherwise(0))
+    df = blocks.withColumn("codes", near)
+    packed = F.transform(F.sequence(F.lit(0), (F.size("codes") / 2).cast("int") - 1), lambda i: F.get("codes", 2 * i) * 16 + F.get("codes", 2 * i + 1))
+    return df.select("video", "frame", "by", "bx", F.array_join(packed, ",").alias("packed"), fn.sad(F.col("px"), F.transform("codes", lambda c: c * 17)).alias("sad"))
+
+
+def grid_edges(df: DataFrame, least: int = 3) -> DataFrame:
+    """(video, frame, n_edges, n_joined): pairs of blocks side by side or one above the other, and those of one activity above least.
+
+    Two equi-joins on the neighbour's place.
+    """
+    now = df.select("video", "frame", "by", "bx", F.col("n_active").alias("act"))
+    other = lambda dy, dx: df.select("video", "frame", (F.col("by") - dy).alias("by"), (F.col("bx") - dx).alias("bx"), F.col("n_active").alias("beside"))
+    near = other(0, 1).unionByName(other(1, 0))
+    same = ((F.col("act") == F.col("beside")) & (F.col("act") > least)).cast("long")
+    return now.join(near, ["video", "frame", "by", "bx"]).groupBy("video", "frame").agg(F.count("*").alias("n_edges"), F.sum(same).alias("n_joined"))
+
+
+def four_means(blocks: DataFrame, rounds: int = 8) -> DataFrame:
+    """(video, frame, by, bx, centres, sse): four levels per block by Lloyd's rounds from even quantiles, the same each time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for v, f, y, x, px in batch.itertuples(index=False):
+                px = np.asarray(px, float)
+                c = np.quantile(px, [0.125, 0.375, 0.625, 0.875])
+                for _ in range(rounds):
+                    own = np.abs(px[:, None] - c).argmin(1)
+                    c = np.array([px[own == k].mean() if (own == k).any() else c[k] for k in range(4)])
+                c = np.sort(np.trunc(c))
+                out.append((v, f, y, x, ",".join(str(int(k)) for k in c), int((np.abs(px[:, None] - c).min(1) ** 2).sum())))
+            yield pd.DataFrame(out, columns=["video", "frame", "by", "bx", "centres", "sse"])
+
+    return blocks.select("video", "frame", "by", "bx", "px").mapInPandas(run, "video int, frame int, by int, bx int, centres string, sse long")

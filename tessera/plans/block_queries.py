@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
 from ..operators import blocks as bl
-from ..operators import motion, tracking
+from ..operators import folds, motion, tracking, windows
 from ..sources.relations import BLOCK, BLOCKS, FRAMES, PIXELS, SIDE, blocks, frames, pixels
 
 QUERIES, ORACLES = {}, {}
@@ -244,3 +244,47 @@ def event_counts(spark, d) -> DataFrame:
     log = tracking.events(tracking.blobs(pixels(spark, d).filter("v > 150"), SIDE), within=5.0, patience=2)
     size = F.when(F.col("type") == "SPAWN", 15).when(F.col("type") == "DESPAWN", 1).otherwise(3)
     return log.groupBy("video", "type").agg(F.count("*").alias("n"), F.sum(size).cast("long").alias("payload"))
+
+
+@query(None)
+def closed_loop_coding(spark, d) -> DataFrame:
+    return folds.closed_loop(frames(spark, d), SIDE, BLOCK)
+
+
+@query(f"{BLOCKS}, book as (select video, px book, row_number() over (partition by video order by \"by\", bx) - 1 i from blocks where frame = 0), s as (select b.video, frame, \"by\", bx, min(i) entry from blocks b join book k on b.video = k.video and frame > 0 and list_sum({_zip('px', 'book', '(A - B) * (A - B)')}) < 400 * len(px) group by all) select {K}, entry::int entry from s")
+def first_match_in_cache(spark, d) -> DataFrame:
+    return tracking.first_match(blocks(spark, d), 400)
+
+
+@query(f"{FRAMES}, p as (select video, frame, px, lag(px) over (partition by video order by frame) prev from frames), z as (select video, frame, list_transform(range(64), lambda i: prev[((i // 8) * 4 // 5) * 8 + (i % 8) * 4 // 5 + 1]) scaled, px from p where prev is not null) select video, frame, round(list_sum({_zip('px', 'scaled', '(A - B) * (A - B)')})::double / 64, 6) mse from z")
+def affine_scale(spark, d) -> DataFrame:
+    return tracking.scaled_mse(frames(spark, d), SIDE, 4, 5)
+
+
+@query(f"{BLOCKS}, c as (select {K}, list_transform(px, lambda v: greatest(0, least(15, (v - 8 + 8) // 17 + case when (v % 17) * 2 > 17 then 1 else 0 end))) codes, px from blocks) select {K}, array_to_string(list_transform(range(8), lambda i: codes[2 * i + 1] * 16 + codes[2 * i + 2]), ',') packed, list_sum({_zip('px', 'codes', 'abs(A - 17 * B)')})::int sad from c")
+def palette16_blocks(spark, d) -> DataFrame:
+    return tracking.levels16(blocks(spark, d))
+
+
+@query(f"""{PIXELS}, frag as (select video, frame, y // {BLOCK} "by", x // {BLOCK} bx, (min(x) + max(x)) / 2.0::double cx, (min(y) + max(y)) / 2.0::double cy from pixels where v > 150 group by all),
+  grp as (select video, frame, min(x) x0, max(x) x1, min(y) y0, max(y) y1 from pixels where v > 170 group by video, frame)
+  select f.video, f.frame, count(*)::bigint n_fragments, sum((cx between x0 and x1 and cy between y0 and y1)::int)::bigint n_inside from frag f join grp g on f.video = g.video and f.frame = g.frame group by f.video, f.frame""")
+def containment_join(spark, d) -> DataFrame:
+    px = pixels(spark, d)
+    block = [F.floor(F.col(c) / BLOCK).alias(f"b{c}") for c in "yx"]
+    frag = px.filter("v > 150").groupBy("video", "frame", *block).agg(((F.min("x") + F.max("x")) / 2).alias("px"), ((F.min("y") + F.max("y")) / 2).alias("py"))
+    group = tracking.boxes(px.filter("v > 170"), ["video", "frame"])
+    inside = F.col("px").between(F.col("x0"), F.col("x1")) & F.col("py").between(F.col("y0"), F.col("y1"))
+    return frag.join(group, ["video", "frame"]).groupBy("video", "frame").agg(F.count("*").alias("n_fragments"), F.sum(inside.cast("long")).alias("n_inside"))
+
+
+@query(f"""{STATS}, a as (select video, frame, "by", bx, sum((largest > 40)::int) over (partition by video, "by", bx order by frame rows between 9 preceding and current row) act from stats where prev is not null)
+  select l.video, l.frame, count(*)::bigint n_edges, sum((l.act = r.act and l.act > 3)::int)::bigint n_joined from a l join a r on l.video = r.video and l.frame = r.frame and (l."by" = r."by" and r.bx = l.bx + 1 or l.bx = r.bx and r."by" = l."by" + 1) group by l.video, l.frame""")
+def adjacent_activity(spark, d) -> DataFrame:
+    df = bl.stats(blocks(spark, d)).filter("prev is not null")
+    return tracking.grid_edges(windows.active_in_ring(df, ["video", "by", "bx"], "frame", F.col("largest") > 40))
+
+
+@query(None)
+def four_means_blocks(spark, d) -> DataFrame:
+    return tracking.four_means(blocks(spark, d))

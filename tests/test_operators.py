@@ -128,3 +128,32 @@ def test_stream_goes_on_where_it_stopped(spark, tmp_path):
     got = spark.read.parquet(out).agg(F.max_by("background", "frame").alias("b"), F.count("*").alias("n")).first()
     assert got["n"] == 9
     assert abs(got["b"] - windows.ema(rows(0, 9), ["cell"], "frame", "v").first()["background"]) < 1e-9
+
+
+def test_closed_loop_follows_the_decoder():
+    from tessera.operators import folds
+
+    rng = np.random.default_rng(1)
+    loop = folds.Loop(8, 4)
+    frame = rng.integers(60, 200, 64)
+    for k in range(12):
+        frame = np.clip(frame + rng.integers(-6, 7, 64) * (k % 3), 0, 255)
+        out, log = loop.step_frame(frame)
+        assert (loop.prev == out).all() and sum(1 for _ in log) in (1, 4)
+        if log == [("key", 64)]:
+            assert (out.reshape(-1) == frame).all()
+        elif all(m == "residual" for m, _ in log):
+            assert np.abs(out.reshape(-1) - frame).max() <= 14
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2), min_size=6, max_size=6), min_size=1, max_size=6))
+def test_boxes_cover_each_cell_once(grid):
+    from tessera.operators import folds
+
+    grid = np.array(grid)
+    seen = np.zeros(grid.shape, int)
+    for y, x, h, w in folds.boxes_of_equal_modes(grid):
+        assert (grid[y : y + h, x : x + w] == grid[y, x]).all()
+        seen[y : y + h, x : x + w] += 1
+    assert (seen == 1).all()

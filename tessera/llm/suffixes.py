@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_dir, stored
+from .common import release, scratch_dir, stored
 from .hashing import BASE, BYTE, mix, powers, prefix, spans_hash
 
 LENGTH = 400
@@ -35,20 +35,22 @@ LENGTH = 400
 TRIGGER, SPACING = 16, 48
 #: Bytes before the first trigger up to which strings are told apart by what follows the trigger, not by its phrase alone.
 REACH = 80
-NEAR, FAR, BARE = 0, 1, 2
+#: Mean distance of dense triggers, which lead strings that hold no whole phrase.
+DENSE = 6
 _U = np.uint64
 _OTHER = mix(BYTE ^ BASE)
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
-def triggers(p: np.ndarray) -> np.ndarray:
-    """Places of the triggers, from a text's prefix sums."""
+def triggers(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the triggers, and of the dense ones, a set that holds them, from a text's prefix sums."""
     n = len(p) - 1
     if n < TRIGGER:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     at = np.arange(n - TRIGGER + 1)
-    h = spans_hash(p, at, at + TRIGGER)
-    return np.flatnonzero((h >> _U(32)) * _U(SPACING) >> _U(32) == 0)
+    h = spans_hash(p, at, at + TRIGGER) >> _U(32)
+    dense = np.flatnonzero(h * _U(DENSE) >> _U(32) == 0)
+    return dense[h[dense] * _U(SPACING) >> _U(32) == 0], dense
 
 
 def phrases(p: np.ndarray, t: np.ndarray) -> np.ndarray:
@@ -63,11 +65,13 @@ def second_prefix(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def candidates(n: int, t: np.ndarray, once: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs (first, last, trigger, kind) of starts of strings that hold no phrase marked in once.
+def candidates(n: int, t: np.ndarray, dense: np.ndarray, once: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs (first, last, begin, end) of starts of strings that hold no phrase marked in once.
 
-    A run's strings share their first trigger. Of kind NEAR, all hold length - REACH bytes from there on, of kind FAR the
-    whole phrase that begins there, of kind BARE neither.
+    All strings of a run hold the bytes [begin, end), their lead, at the same place of the text, and equal strings
+    have equal leads: length - REACH bytes from the first trigger where that is within REACH of the start, else the
+    phrase that begins there where the string holds the whole of it, else length - REACH bytes from the first dense
+    trigger within REACH, else none, where begin and end are 0.
     """
     size = n - length + 1
     none = np.zeros(0, np.int64)
@@ -82,20 +86,18 @@ def candidates(n: int, t: np.ndarray, once: np.ndarray, length: int) -> tuple[np
     s = np.flatnonzero(np.cumsum(step[:size]) == 0)
     if not len(s):
         return none, none, none, none
+    reach = min(REACH, length - TRIGGER)
+    far = n + 2 * length
     first = np.searchsorted(t, s)
-    begin = np.append(t, n + length)[first]
-    end = np.append(t, [n + length] * 2)[first + 1] + TRIGGER
-    kind = np.where(begin - s <= min(REACH, length - TRIGGER), NEAR, np.where(end <= s + length, FAR, BARE))
-    cut = np.flatnonzero(np.concatenate(([True], (np.diff(s) > 1) | (np.diff(first) > 0) | (np.diff(kind) != 0))))
-    return s[cut], s[np.append(cut[1:], len(s)) - 1], first[cut], kind[cut]
-
-
-def leads(p: np.ndarray, t: np.ndarray, trigger: np.ndarray, kind: np.ndarray, length: int) -> np.ndarray:
-    """What the strings of a NEAR or FAR run have in common from their first trigger on, as a hash."""
-    at = t[trigger]
-    near = kind == NEAR
-    end = np.where(near, at + length - min(REACH, length - TRIGGER), np.append(t, 0)[trigger + 1] + TRIGGER)
-    return spans_hash(p, at, end) ^ near.astype(_U)
+    begin = np.append(t, far)[first]
+    end = np.append(t, [far] * 2)[first + 1] + TRIGGER
+    near, whole = begin - s <= reach, end <= s + length
+    other = np.append(dense, far)[np.searchsorted(dense, s)]
+    dense_near = other - s <= reach
+    end = np.where(near, begin + length - reach, np.where(whole, end, np.where(dense_near, other + length - reach, 0)))
+    begin = np.where(near | whole, begin, np.where(dense_near, other, 0))
+    cut = np.flatnonzero(np.concatenate(([True], (np.diff(s) > 1) | (np.diff(begin) != 0) | (np.diff(end) != 0))))
+    return s[cut], s[np.append(cut[1:], len(s)) - 1], begin[cut], end[cut]
 
 
 def _view(x: bytes) -> np.ndarray:
@@ -122,15 +124,30 @@ def _text_table(docs: DataFrame, key: str, text: str) -> DataFrame:
     return spark.table(name)
 
 
-_WINDOWS = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("weight", pa.int32()), ("rid", pa.int64()), ("at", pa.int64()), ("open", pa.bool_())])
-_FOUND = pa.schema([("kind", pa.int32()), ("rid", pa.int64()), ("lead", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("weight", pa.int32())])
+_WINDOWS = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("weight", pa.int32()), ("rid", pa.int64()), ("at", pa.int64())])
+_FOUND = pa.schema([("kind", pa.int32()), ("rid", pa.int64()), ("lead", pa.int64()), ("body_hash", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("weight", pa.int32())])
+#: Kinds of what a text is found to hold: runs of strings with a lead, runs that repeat within the text, single strings.
+RUN, OWN, SINGLE = 0, 1, 2
 
 
 def _ddl(schema: pa.Schema) -> str:
-    names = {pa.int64(): "long", pa.int32(): "int", pa.bool_(): "boolean"}
+    names = {pa.int64(): "long", pa.int32(): "int"}
     return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
 
 
+def _spread(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """All places from first to last of each run."""
+    many = last - first + 1
+    return np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
+
+
+def _roles(table: DataFrame, length: int) -> DataFrame:
+    """(rid, weight) of texts that have copies: 2 for the first of them, which stands for all, 0 for the others."""
+    own = stored(table.filter(F.length("body") >= length).select("rid", F.md5("body").alias("digest")))
+    copies = own.groupBy("digest").agg(F.min("rid").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    return stored(own.join(copies.hint("merge"), "digest").select("rid", F.when(F.col("rid") == F.col("first"), 2).otherwise(0).alias("weight")))
+
+
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """Per row of docs RESULT: the text's bytes without those in a string of length bytes that starts anywhere else too.
 
@@ -138,96 +155,106 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     shorter than length stay whole. Repeated rows are texts of their own, so each repeats the other. kept are the bytes left,
     which need not be whole characters. Other columns are ignored; an empty table gives none.
 
-    Keys are fingerprints, so common phrases are counted with partial aggregation and joined by joins that Spark splits;
-    what is gathered per text is bounded by its length.
+    Copies of a text repeat as a whole; one of them, of weight 2, stands for all in what follows. Keys are fingerprints, so
+    common phrases are counted with partial aggregation and joined by joins that Spark splits; what is gathered per text is
+    bounded by its length. Steps are written to the shared folder, and the shuffles before a written step are released.
     """
+    spark = docs.sparkSession
     table = _text_table(docs, key, text)
+    roles = _roles(table, length)
+    texts = table.join(roles, "rid", "left").withColumn("weight", F.coalesce("weight", F.lit(1))).filter("weight > 0")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for data in _bytes(batch.column(1)):
+            for data in _bytes(batch.column(2)):
                 p = prefix(data) if len(data) >= length else np.zeros(1, _U)
-                out.append(phrases(p, triggers(p)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["rid", "h"])
+                out.append(phrases(p, triggers(p)[0]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], names=["rid", "weight", "h"])
 
-    parsed = stored(table.select("rid", "body").mapInArrow(cut, "rid long, h array<long>"))
-    places = parsed.select("rid", F.posexplode("h").alias("i", "h"))
-    dictionary = places.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    again = places.join(dictionary.hint("merge"), "h").groupBy("rid").agg(F.collect_list("i").alias("again"))
+    parsed = stored(texts.select("rid", "weight", "body").mapInArrow(cut, "rid long, weight int, h array<long>"))
+    release(spark)
+    places = parsed.select("rid", "weight", F.posexplode("h").alias("i", "h"))
+    dictionary = places.groupBy("h").agg(F.sum("weight").alias("n")).filter("n > 1").select("h")
+    again = stored(places.join(dictionary.hint("merge"), "h").groupBy("rid").agg(F.collect_list("i").alias("again")))
+    release(spark)
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for rid, data, repeated in zip(batch.column(0).to_pylist(), _bytes(batch.column(1)), batch.column(2), strict=True):
+            for rid, weight, data, repeated in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _bytes(batch.column(2)), batch.column(3), strict=True):
                 n = len(data)
                 if n < length:
                     continue
                 p = prefix(data)
-                t = triggers(p)
+                t, dense = triggers(p)
                 once = np.ones(max(0, len(t) - 1), bool)
                 if repeated.is_valid:
                     once[repeated.values.to_numpy()] = False
-                first, last, trigger, kind = candidates(n, t, once, length)
+                first, last, begin, end = candidates(n, t, dense, once, length)
                 if not len(first):
                     continue
-                q = second_prefix(data)
-                whole = kind != BARE
-                a, z, k = first[whole], last[whole], int(whole.sum())
-                lead = leads(p, t, trigger[whole], kind[whole], length).view(np.int64) if k else np.zeros(0, np.int64)
-                out.append((np.zeros(k, np.int32), np.full(k, rid), lead, spans_hash(p, a, z + length).view(np.int64), spans_hash(q, a, z + length).view(np.int64), a, z, np.ones(k, np.int32)))
-                a, z = first[~whole], last[~whole]
-                if len(a):  # strings without a lead: once per content of this text
-                    many = z - a + 1
-                    s = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(a, many)
+                row = lambda kind, lead, other, a, z, w: (np.full(len(a), kind, np.int32), np.full(len(a), rid), lead, other, a, z, w)  # noqa: B023, E731
+                led = end > 0
+                a, z = first[led], last[led]
+                out.append(row(RUN, spans_hash(p, begin[led], end[led]).view(np.int64), spans_hash(p, a, z + length).view(np.int64), a, z, np.full(len(a), weight, np.int32)))
+                if not led.all():  # strings without a lead: once per content of this text
+                    q, s = second_prefix(data), _spread(first[~led], last[~led])
                     w1, w2 = spans_hash(p, s, s + length).view(np.int64), spans_hash(q, s, s + length).view(np.int64)
                     _, at, back, count = np.unique(w1 ^ (w2 << 1), return_index=True, return_inverse=True, return_counts=True)
                     own = s[count[back] > 1]
                     if len(own):
                         edge = np.flatnonzero(np.concatenate(([True], np.diff(own) > 1)))
                         lo, hi = own[edge], own[np.append(edge[1:], len(own)) - 1]
-                        out.append((np.full(len(lo), 1, np.int32), np.full(len(lo), rid), lo, lo, lo, lo, hi, np.ones(len(lo), np.int32)))
-                    m = len(at)
-                    out.append((np.full(m, 2, np.int32), np.full(m, rid), w1[at], w1[at], w2[at], s[at], s[at], np.minimum(count, 2).astype(np.int32)))
+                        out.append(row(OWN, lo, lo, lo, hi, np.ones(len(lo), np.int32)))
+                    out.append(row(SINGLE, w1[at], w2[at], s[at], s[at], np.minimum(count * weight, 2).astype(np.int32)))
             yield _batch(out, _FOUND)
 
-    found = stored(table.join(again, "rid", "left").select("rid", "body", "again").mapInArrow(classes, _ddl(_FOUND)))
-    runs = found.filter("kind = 0")
-    kinds = stored(runs.groupBy("lead", "k1", "k2").agg(F.count("*").alias("n"), F.min(F.struct("rid", "first", "last")).alias("one")))
-    mixed = kinds.groupBy("lead").agg(F.count("*").alias("m")).filter("m > 1").select("lead")
-    # one class of each content under a lead of several, to be compared string by string
-    ask = kinds.join(mixed.hint("merge"), "lead").select("one.rid", F.struct(F.col("one.first").alias("first"), F.col("one.last").alias("last"), F.least("n", F.lit(2)).cast("int").alias("n")).alias("run"))
+    held = texts.join(again, "rid", "left").select("rid", "weight", "body", "again")
+    found = stored(held.mapInArrow(classes, _ddl(_FOUND)))
+    release(spark)
+    runs = found.filter(F.col("kind") == RUN).drop("kind")
+    kinds = stored(runs.groupBy("lead", "body_hash").agg(F.sum("weight").alias("n")))
+    several = kinds.groupBy("lead").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    known = kinds.join(several.hint("merge"), "lead", "left").filter("n > 1 or kinds is not null")
+    # runs that repeat as a whole, and those under a lead of several kinds; the others hold no repeated string
+    open_runs = stored(runs.join(known.hint("merge"), ["lead", "body_hash"]))
+    release(spark)
+    # one run of each kind, to be compared string by string
+    one = open_runs.filter("kinds is not null").groupBy("lead", "body_hash").agg(F.min(F.struct("rid", "first", "last")).alias("one"), F.min("n").alias("n"))
+    ask = one.select("one.rid", F.struct(F.col("one.first").alias("first"), F.col("one.last").alias("last"), F.least("n", F.lit(2)).alias("n"), "lead").alias("run"))
     ask = ask.groupBy("rid").agg(F.collect_list("run").alias("runs"))
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for rid, data, own in zip(batch.column(0).to_pylist(), _bytes(batch.column(1)), batch.column(2), strict=True):
-                a, z, n = (x.to_numpy() for x in own.values.flatten())
-                many = z - a + 1
-                s = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(a, many)
-                n = np.repeat(n, many)
-                w1, w2 = (spans_hash(x, s, s + length).view(np.int64) for x in (prefix(data), second_prefix(data)))
-                out.append((w1, w2, n.astype(np.int32), np.full(len(s), rid), s, n < 2))
+                a, z, n, lead = (x.to_numpy() for x in own.values.flatten())
+                s, many = _spread(a, z), z - a + 1
+                out.append((np.repeat(lead, many), spans_hash(prefix(data), s, s + length).view(np.int64), np.repeat(n, many).astype(np.int32), np.full(len(s), rid), s))
             yield _batch(out, _WINDOWS)
 
     shown = table.join(ask, "rid").select("rid", "body", "runs").mapInArrow(strings, _ddl(_WINDOWS))
-    alone = found.filter("kind = 2").select(F.col("k1").alias("w1"), F.col("k2").alias("w2"), "weight", "rid", F.col("first").alias("at"), (F.col("weight") < 2).alias("open"))
+    alone = found.filter(F.col("kind") == SINGLE).select(F.col("lead").alias("w1"), F.col("body_hash").alias("w2"), "weight", "rid", F.col("first").alias("at"))
     single = stored(shown.unionByName(alone))
+    release(spark)
     twice = single.groupBy("w1", "w2").agg(F.sum("weight").alias("n")).filter("n > 1").select("w1", "w2")
 
     span = lambda a, z: F.struct(F.col(a).alias("first"), F.col(z).alias("last")).alias("span")
-    hit = runs.join(kinds.filter("n > 1").select("lead", "k1", "k2").hint("merge"), ["lead", "k1", "k2"]).select("rid", span("first", "last"))
-    hit = hit.unionByName(found.filter("kind = 1").select("rid", span("first", "last")))
-    hit = hit.unionByName(single.filter("open").join(twice.hint("merge"), ["w1", "w2"]).select("rid", span("at", "at")))
-    spans = hit.groupBy("rid").agg(F.collect_list("span").alias("spans"))
+    hit = open_runs.filter("n > 1 and weight = 1").select("rid", span("first", "last"))
+    hit = hit.unionByName(found.filter(F.col("kind") == OWN).select("rid", span("first", "last")))
+    hit = hit.unionByName(single.filter("weight = 1").join(twice.hint("merge"), ["w1", "w2"]).select("rid", span("at", "at")))
+    spans = stored(hit.groupBy("rid").agg(F.collect_list("span").alias("spans")))
+    release(spark)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, data, own in zip(batch.column(0).to_pylist(), _bytes(batch.column(1)), batch.column(2), strict=True):
+            for doc, data, own, copied in zip(batch.column(0).to_pylist(), _bytes(batch.column(1)), batch.column(2), batch.column(3).to_pylist(), strict=True):
                 n, removed, pieces, kept = len(data), 0, 0, data
-                if own.is_valid:
+                if copied:
+                    removed, pieces, kept = n, 1, data[:0]
+                elif own.is_valid:
                     a, z = (x.to_numpy() for x in own.values.flatten())
                     step = np.zeros(n + 1, np.int64)
                     np.add.at(step, a, 1)
@@ -240,4 +267,5 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
             columns = list(zip(*rows, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return table.join(spans, "rid", "left").select("doc_id", "body", "spans").mapInArrow(finish, RESULT)
+    done = table.join(spans, "rid", "left").join(roles.select("rid", F.lit(True).alias("copied")), "rid", "left")
+    return done.select("doc_id", "body", "spans", "copied").mapInArrow(finish, RESULT)

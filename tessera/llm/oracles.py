@@ -71,8 +71,8 @@ from c group by conv_id
 
 # classes of a table links(a, b) over a table nodes(id): the smallest id that links lead to
 _CLASSES = """
-both as (select a, b from links union select b, a from links),
-classes as (with recursive r(id, root) as (select id, id from nodes union select both.b, r.root from r join both on both.a = r.id where both.b > r.root)
+ends as (select a, b from links union select b, a from links),
+classes as (with recursive r(id, root) as (select id, id from nodes union select ends.b, r.root from r join ends on ends.a = r.id where ends.b > r.root)
   select id, min(root) root from r group by id)"""
 
 OP1 = f"""
@@ -82,7 +82,7 @@ shingles as materialized (select distinct doc_id, hash(list_slice(w, i, i + {SHI
 sizes as (select doc_id, count(*) n from shingles group by doc_id),
 shared as (select a.doc_id a, b.doc_id b, count(*) m from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by all),
 links as materialized (select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b where m >= {THRESHOLD}::double * (x.n + y.n - m) - 1e-9), {_CLASSES},
-counts as (select a id, count(*)::bigint n from both group by a)
+counts as (select a id, count(*)::bigint n from ends group by a)
 select c.id doc_id, coalesce(n, 0)::bigint n_links, root class_id, c.id = root kept from classes c left join counts using (id)
 """
 
@@ -91,7 +91,7 @@ with v as materialized (select vec_id id, embedding::double[] e from embeddings
   and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
 u as materialized (select id, e, sqrt(list_dot_product(e, e)) n from v), nodes as (select vec_id id from embeddings),
 links as materialized (select x.id a, y.id b from u x join u y on x.id < y.id and len(x.e) = len(y.e) where list_dot_product(x.e, y.e) / (x.n * y.n) >= {COSINE}::double), {_CLASSES},
-counts as (select a id, count(*)::bigint n from both group by a)
+counts as (select a id, count(*)::bigint n from ends group by a)
 select c.id vec_id, coalesce(n, 0)::bigint n_links, root component_id, c.id = root kept from classes c left join counts using (id)
 """
 
@@ -102,7 +102,7 @@ def _found(name: str, kind: int, pattern: str, ok: str = "true") -> str:
     p = pattern.replace("'", "''")
     return f"""
 {name}_m as (select doc_id, regexp_extract_all(t, '{p}') f, string_split_regex(t, '{p}') g from docs where regexp_matches(t, '{p}')),
-{name} as (select doc_id, {kind} kind, at, at + length(f[i]) till, f[i] v from (select doc_id, f, i, (list_sum(list_transform(g[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[:i - 1], lambda x: length(x))), 0))::bigint at
+{name} as (select doc_id, {kind} kind, pos, pos + length(f[i]) till, f[i] v from (select doc_id, f, i, (list_sum(list_transform(g[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[:i - 1], lambda x: length(x))), 0))::bigint pos
   from (select *, unnest(range(1, len(f) + 1)) i from {name}_m)) where {ok.replace("V", "f[i]")})"""
 
 
@@ -115,7 +115,7 @@ OP4 = f"""
 with docs as (select doc_id, coalesce(text, '') t from documents),
 {_found("assign", 0, _ASSIGN, f"length(regexp_extract(V, '{_ASSIGN.replace(chr(39), chr(39) * 2)}', 2)) >= 8")}, {_found("acc", 1, ACCESS)}, {_found("hexa", 2, HEX)}, {_found("tok", 3, TOKEN)},
 base as (select * from assign union all select * from acc union all select * from hexa),
-free as (select *, regexp_replace(v, '=+$', '') bare, row_number() over () k from tok where not exists (select 1 from base b where b.doc_id = tok.doc_id and b.at < tok.till and tok.at < b.till)),
+free as (select *, regexp_replace(v, '=+$', '') bare, row_number() over () k from tok where not exists (select 1 from base b where b.doc_id = tok.doc_id and b.pos < tok.till and tok.pos < b.till)),
 coded as (select *, {"case " + " ".join(f"when regexp_matches(bare, '{p}') then {i}" for i, (_, p, _) in enumerate(ENCODINGS)) + " end"} code,
   regexp_matches(bare, '[0-9].*[A-Za-z]|[A-Za-z].*[0-9]|[a-z].*[A-Z]|[A-Z].*[a-z]') mixed from free),
 alpha as (select *, [{", ".join(f"'{x}'" for _, _, x in ENCODINGS)}][code + 1] alphabet, case when code in (0, 2) then lower(bare) else bare end folded from coded),
@@ -126,15 +126,15 @@ scored as (select *, sq * k_ / n_ - n_ chi, 1.0::double + len(list_filter(pairs,
   list_sum(list_transform(pairs, lambda q: (q[1] - (k_ - 1) / 2) * (q[2] - (k_ - 1) / 2))) / (sqrt(n_ - 1) * (k_ * k_ - 1) / 12) serial, 2 / (9 * (k_ - 1)) spread from counted),
 z as (select *, [(pow(greatest(chi, 0) / (k_ - 1), 1.0::double / 3) - (1 - spread)) / sqrt(spread), abs(runs - mu) / sqrt(greatest((mu - 1) * (mu - 2) / (n_ - 1), 1e-9::double)), abs(serial)] zs from scored),
 tails as (select k, min(case when i = 1 then 1 else 2 end * case when z0 >= 0 then q else 1 - q end) least_ from (select k, i, z0, {_TAIL} q from (select *, abs(z0) z, 1 / (1 + 0.2316419::double * abs(z0)) t from (select k, unnest(zs) z0, generate_subscripts(zs, 1) i from z))) group by k),
-tested as (select doc_id, kind, at, till, (till - at) n, case when mixed then least(1.0::double, 3 * least_) else 0 end p from z join tails using (k)),
+tested as (select doc_id, kind, pos, till, (till - pos) n, case when mixed then least(1.0::double, 3 * least_) else 0 end p from z join tails using (k)),
 stepped as (select *, {_BAND} band, {_STEP} step from tested),
 hist as (select band, step, count(*) c from stepped group by all),
 cum as (select band, step, sum(c) over (partition by band order by step desc) seen, sum(c) over (partition by band) total from hist),
 cut as (select band, coalesce(min(step) filter (pow(10, -step / {STEPS_PER_DECADE}.0::double) <= {LEVEL}::double * seen / total), {DECADES * STEPS_PER_DECADE + 1}) cut from cum group by band),
-spans as (select doc_id, kind, at, till from base union all select doc_id, kind, at, till from stepped join cut using (band) where step < cut),
-named as (select *, [{", ".join(f"'{k}'" for k in KINDS)}][kind + 1] || ':' || at || ':' || till s from spans)
+spans as (select doc_id, kind, pos, till from base union all select doc_id, kind, pos, till from stepped join cut using (band) where step < cut),
+named as (select *, [{", ".join(f"'{k}'" for k in KINDS)}][kind + 1] || ':' || pos || ':' || till s from spans)
 select doc_id, count(*) filter (kind = 0)::bigint n_assign, count(*) filter (kind = 1)::bigint n_access, count(*) filter (kind = 2)::bigint n_hex,
-  sha256(coalesce(string_agg(s, ',' order by at, kind) filter (kind < 3), '')) base_sha256, coalesce(string_agg(s, ',' order by at, kind), '') spans, count(*) filter (kind = 3)::bigint n_random
+  sha256(coalesce(string_agg(s, ',' order by pos, kind) filter (kind < 3), '')) base_sha256, coalesce(string_agg(s, ',' order by pos, kind), '') spans, count(*) filter (kind = 3)::bigint n_random
 from docs left join named using (doc_id) group by doc_id
 """
 

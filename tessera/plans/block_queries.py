@@ -288,3 +288,43 @@ def adjacent_activity(spark, d) -> DataFrame:
 @query(None)
 def four_means_blocks(spark, d) -> DataFrame:
     return tracking.four_means(blocks(spark, d))
+
+
+@query(f"""{SEARCH}, m as (select video, b.ssd::bigint ssd, b.ssd < 960 ok from found) select video, count(*)::bigint n_searched, sum(ok::int)::bigint n_accepted, (count(*) - sum(ok::int))::bigint n_rejected, round(coalesce(sum(ssd) filter (ok), 0) / 16.0::double, 4) sum_mse, sum(case when ok then {BLOCK * BLOCK} - 4 else 0 end)::bigint bytes_saved from m group by video""")
+def motion_telemetry(spark, d) -> DataFrame:
+    found = motion.search(pixels(spark, d), BLOCK, 2, SIDE).withColumn("ok", F.col("ssd") < 60 * BLOCK * BLOCK)
+    n = F.sum(F.col("ok").cast("long"))
+    return found.groupBy("video").agg(
+        F.count("*").alias("n_searched"), n.alias("n_accepted"), (F.count("*") - n).alias("n_rejected"),
+        F.round(F.coalesce(F.sum(F.when(F.col("ok"), F.col("ssd"))), F.lit(0)) / 16.0, 4).alias("sum_mse"),
+        F.sum(F.when(F.col("ok"), BLOCK * BLOCK - 4).otherwise(0)).cast("long").alias("bytes_saved"),
+    )
+
+
+@query(f"{FRAMES} select video, frame, list_sum(list_transform(range(21), lambda i: (299 * px[3 * i + 1] + 587 * px[3 * i + 2] + 114 * px[3 * i + 3] + 500) // 1000))::bigint luma from frames")
+def gray_levels(spark, d) -> DataFrame:
+    """Sum of the luma of a frame whose pixels are read as triples of red, green and blue."""
+    at = lambda i, k: F.get("px", 3 * i + k)
+    luma = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: fn.gray(at(i, 0), at(i, 1), at(i, 2)))
+    return frames(spark, d).select("video", "frame", fn.array_sum(luma).cast("long").alias("luma"))
+
+
+@query(f"{BLOCKS}, e as (select {K}, list_count(list_filter({_zip('px', 'prev', 'A - B')}, lambda x: x > 0))::int n_up, case when list_distinct(px) = [] then 0 else len(list_distinct(px)) end::int n_colours, round(list_aggregate(px, 'var_pop'), 4) spread from blocks where prev is not null) select *, spread > 12 and n_colours > 4 textured from e")
+def block_texture(spark, d) -> DataFrame:
+    n = F.size("px")
+    mean = fn.array_sum(F.col("px")) / n
+    spread = F.aggregate(F.transform("px", lambda v: (v - mean) * (v - mean)), F.lit(0.0), lambda a, v: a + v) / n
+    df = blocks(spark, d).filter("prev is not null")
+    up = F.size(F.filter(F.zip_with("px", "prev", lambda a, b: a - b), lambda x: x > 0))
+    df = df.select(*KEY, up.alias("n_up"), F.size(F.array_distinct("px")).alias("n_colours"), F.round(spread, 4).alias("spread"))
+    return df.withColumn("textured", (F.col("spread") > 12) & (F.col("n_colours") > 4))
+
+
+@query(None)
+def object_lifetimes(spark, d) -> DataFrame:
+    """Per object: frames from its first event to its last, moves, and the share of a payload of 15 bytes a frame that its events save."""
+    log = object_events(spark, d)
+    size = F.when(F.col("type") == "SPAWN", 15).when(F.col("type") == "DESPAWN", 1).otherwise(3)
+    df = log.groupBy("video", "obj_id").agg(F.min("frame").alias("first"), F.max("frame").alias("last"), F.sum((F.col("type") == "MOVE").cast("long")).alias("moves"), F.sum(size).cast("long").alias("payload"))
+    alive = F.col("last") - F.col("first") + 1
+    return df.withColumn("frames_alive", alive).withColumn("saved_percent", F.round(100 - 100.0 * F.col("payload") / (15 * alive), 4))

@@ -246,3 +246,48 @@ def projection_segments(spark, d) -> DataFrame:
   y as (select frame, cell, v, dil, max(ero) over w opened, min(dil) over w closed from o window w as (partition by frame order by cell rows between 1 preceding and 1 following)) select * from y""")
 def morph_open_close(spark, d) -> DataFrame:
     return signal.open_close(plane(spark, d), ["frame"], "cell", "v")
+
+
+@query(f"""{RESIDUAL}, e as (select case when abs(v - p) < 4 then 'skip' when q <> 0 then 'residual' else 'solid' end mode, (v - greatest(0, least(255, p + q * {STEP}))) * (v - greatest(0, least(255, p + q * {STEP}))) e from q)
+  select coalesce(mode, 'all') mode, count(*)::bigint n, round(sum(e)::double / count(*), 6) avg_mse, max(e) worst from e group by rollup (mode)""")
+def mode_error_rollup(spark, d) -> DataFrame:
+    """Count, mean and worst squared error per mode and over all."""
+    df = _modes(spark, d).filter("p is not null").withColumn("q", fn.quantize(F.col("v") - F.col("p"), STEP))
+    e = F.col("v") - fn.dequantize(F.col("p"), F.col("q"), STEP)
+    df = df.select("mode", (e * e).alias("e")).rollup("mode").agg(F.count("*").alias("n"), F.round(F.sum("e").cast("double") / F.count("*"), 6).alias("avg_mse"), F.max("e").alias("worst"))
+    return df.withColumn("mode", F.coalesce("mode", F.lit("all")))
+
+
+@query(", h as (select frame, v, list(v) over (partition by cell order by frame rows between 8 preceding and 1 preceding) past from plane) select frame, count(*)::bigint n, sum(coalesce(list_contains(past, v), false)::int)::bigint hits, sum(coalesce(len(list_filter(past, lambda x: abs(x - v) < 5)) > 0, false)::int)::bigint near from h group by frame")
+def recent_value_hits(spark, d) -> DataFrame:
+    """How often a cell's value, or one within 5 of it, is among its last eight: a first-in first-out cache per cell."""
+    w = windows.ordered(C, "frame").rowsBetween(-8, -1)
+    df = plane(spark, d).withColumn("past", F.collect_list("v").over(w))
+    near = F.exists("past", lambda x: F.abs(x - F.col("v")) < 5)
+    return df.groupBy("frame").agg(F.count("*").alias("n"), F.sum(F.array_contains("past", F.col("v")).cast("long")).alias("hits"), F.sum(near.cast("long")).alias("near"))
+
+
+@query("select 'early' part, cell, frame, v from plane where frame < 5 union all select 'late', cell, frame, v from plane where frame >= 25")
+def union_of_scans(spark, d) -> DataFrame:
+    p = plane(spark, d)
+    early, late = p.filter("frame < 5").withColumn("part", F.lit("early")), p.filter("frame >= 25").withColumn("part", F.lit("late"))
+    return early.unionByName(late).select("part", "cell", "frame", "v")
+
+
+@query(f"{RESIDUAL}, m as (select cell, frame from q where v <> greatest(0, least(255, p + q * {STEP}))), ll as (select cell, list(frame order by frame) f, count(*)::bigint n from m group by cell) select cell, array_to_string(f[:5], ', ') || case when n > 5 then ' ...' else '' end first_frames, n from ll")
+def first_mismatches(spark, d) -> DataFrame:
+    df = quantize_residual(spark, d).join(plane(spark, d), ["cell", "frame"]).filter("v <> recon").groupBy("cell")
+    df = df.agg(F.sort_array(F.collect_list("frame")).alias("f"), F.count("*").alias("n"))
+    return df.select("cell", F.concat(F.array_join(F.slice("f", 1, 5), ", "), F.when(F.col("n") > 5, " ...").otherwise("")).alias("first_frames"), "n")
+
+
+@query(""", d as (select a.cell, a.frame, a.v - b.v dv from plane a join plane b on a.cell = b.cell and a.frame = b.frame + 1), t as (select cell, v, count(*) n from plane group by all), s as (select cell, count(*)::bigint n_states, max(n)::bigint longest from t group by cell)
+  select s.cell, n_states, longest, (select count(*) from d where d.cell = s.cell and dv <> 0)::bigint transitions from s""")
+def state_lifetimes(spark, d) -> DataFrame:
+    """Distinct states of a cell, how often the commonest was held, and changes between days that follow each other."""
+    p = plane(spark, d)
+    states = p.groupBy("cell", "v").agg(F.count("*").alias("n")).groupBy("cell").agg(F.count("*").alias("n_states"), F.max("n").alias("longest"))
+    w = windows.ordered(C, "frame")
+    moved = (F.col("v") != F.lag("v").over(w)) & (F.col("frame") == F.lag("frame").over(w) + 1)
+    changes = p.withColumn("moved", moved).groupBy("cell").agg(F.sum(F.coalesce(F.col("moved").cast("long"), F.lit(0))).alias("transitions"))
+    return states.join(changes, "cell").select("cell", "n_states", "longest", "transitions")

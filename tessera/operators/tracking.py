@@ -93,7 +93,7 @@ def step_mse(frames: DataFrame) -> DataFrame:
 def nearest_entry(blocks: DataFrame, book: DataFrame) -> DataFrame:
     """(video, frame, by, bx, distance, entry): the nearest block of a codebook, the first of equals.
 
-    The codebook is one array, in order of its video. It holds at most one block per video, and is meant to be small.
+    The codebook is one array, in order of its video. It is broadcast, so it is meant to be of a fixed size, such as the blocks of ten videos.
     """
     entries = book.agg(F.array_sort(F.collect_list(F.struct("video", "by", "bx", "px"))).alias("book"))
     best = F.array_min(F.transform("book", lambda e, i: F.struct(fn.ssd(F.col("px"), e["px"]).cast("long").alias("d"), i.alias("i"))))

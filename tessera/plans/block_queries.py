@@ -214,10 +214,10 @@ def pairwise_mse(spark, d) -> DataFrame:
     return tracking.step_mse(frames(spark, d))
 
 
-@query(f"{BLOCKS}, code as (select px book, row_number() over (order by video, \"by\", bx) - 1 i from blocks where frame = 0 and bx = 0 and \"by\" = 0), s as (select video, frame, \"by\", bx, min({{'d': list_sum({_zip('px', 'book', '(A - B) * (A - B)')})::bigint, 'i': i}}) m from blocks, code group by all) select {K}, m.d distance, m.i::int entry from s")
+@query(f"{BLOCKS}, code as (select px book, row_number() over (order by video, \"by\", bx) - 1 i from blocks where frame = 0 and bx = 0 and \"by\" = 0 and video < 10), s as (select video, frame, \"by\", bx, min({{'d': list_sum({_zip('px', 'book', '(A - B) * (A - B)')})::bigint, 'i': i}}) m from blocks, code group by all) select {K}, m.d distance, m.i::int entry from s")
 def codebook_argmin(spark, d) -> DataFrame:
     b = blocks(spark, d)
-    return tracking.nearest_entry(b, b.filter("frame = 0 and by = 0 and bx = 0"))
+    return tracking.nearest_entry(b, b.filter("frame = 0 and by = 0 and bx = 0 and video < 10"))
 
 
 @query(f"""{PIXELS}, b as (select video, frame, min(x) bx, min(y) "by", max(x) - min(x) + 1 w, max(y) - min(y) + 1 h from pixels where v > 140 group by video, frame)

@@ -13,6 +13,8 @@ from ..env import on_workers
 
 #: Side of a frame and of a block in pixels.
 SIDE, BLOCK = 8, 4
+#: Ids that one group of videos spans.
+SPAN = 512
 TOGGLES = ("spatial", "skip", "search", "background", "solid", "dct4", "dct8", "cached", "palette", "faded", "dither")
 
 
@@ -33,15 +35,18 @@ PLANE = """plane as (select user_id cell, cast(extract(day from ts) as int) - 1
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(video, frame, px): frames of SIDE x SIDE pixels in 0..255, row by row. Videos differ in contrast."""
-    w = Window.partitionBy("label").orderBy("vec_id")
-    e = read(spark, sf_dir, "embeddings").withColumn("frame", F.row_number().over(w) - 1)
+    """(video, frame, px): frames of SIDE x SIDE pixels in 0..255, row by row. Videos differ in contrast.
+
+    A video is one label's vectors out of SPAN ids, so that videos grow in number with the table, not in length.
+    """
+    e = read(spark, sf_dir, "embeddings").withColumn("video", F.expr(f"cast(vec_id div {SPAN} as int)") * 10 + F.col("label"))
+    e = e.withColumn("frame", F.row_number().over(Window.partitionBy("video").orderBy("vec_id")) - 1)
     gain = F.lit(8.0) * F.pow(F.lit(4.0), F.col("label") % 3)
     px = F.transform("embedding", lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.lit(128) + F.floor(x.cast("double") * gain).cast("int"))))
-    return e.select(F.col("label").alias("video"), "frame", px.alias("px"))
+    return e.select("video", "frame", px.alias("px"))
 
 
-FRAMES = """frames as (select label video, cast(row_number() over (partition by label order by vec_id) - 1 as int) frame,
+FRAMES = f"""frames as (select cast(vec_id // {SPAN} as int) * 10 + label video, cast(row_number() over (partition by vec_id // {SPAN}, label order by vec_id) - 1 as int) frame,
   list_transform(embedding, lambda x: greatest(0, least(255, 128 + cast(floor(x::double * 8.0 * pow(4.0, label % 3)) as int)))) px from embeddings)"""
 
 

@@ -36,6 +36,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out evenly where it comes in fewer partitions than there are cores: a small table in one file."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def release(spark: SparkSession) -> None:
     """Spark drops the files of finished shuffles when the driver collects the objects that stand for them: ask for that."""
     gc.collect()
@@ -75,4 +81,5 @@ def per_row(df: DataFrame, keep: list[str], text: str, schema: str, make: Callab
             made = make(texts(batch.column(len(keep))))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *(made[n] for n in names)], names=[*keep, *names])
 
-    return df.select(*[df[f"`{c}`"] for c in keep], df[f"`{text}`"].cast("string").alias(fresh(df, "text_in")[0])).mapInArrow(run, ", ".join(x for x in (head, schema) if x))
+    rows = spread(df.select(*[df[f"`{c}`"] for c in keep], df[f"`{text}`"].cast("string").alias(fresh(df, "text_in")[0])))
+    return rows.mapInArrow(run, ", ".join(x for x in (head, schema) if x))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import LINKS, by_unit, column, links_batch, pairs, units
-from .common import stored
+from .common import spread, stored
 from .components import components
 from .hashing import BASE, mix, ngram_hashes, word_hashes
 
@@ -126,7 +126,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
                 rows.append((key, *(digest(hashes) if len(hashes) else (None, None)), sketch(hashes).tobytes() if len(hashes) else None))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["key", "d1", "d2", "sketch"])
 
-    return docs.mapInArrow(run, _SKETCH)
+    return spread(docs).mapInArrow(run, _SKETCH)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import spread, stored
 from .hashing import BASE, mix
 from .tokens import PACK_END, crc, encoder
 
@@ -84,7 +84,7 @@ def tokenized(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
             width = np.dtype(enc.kind).itemsize
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array([width] * len(ids), pa.int32()), pa.array(ids, pa.binary())], names=["doc_id", "curve_key", "width", "ids"])
 
-    return rows.mapInArrow(run, "doc_id long, curve_key long, width int, ids binary")
+    return spread(rows).mapInArrow(run, "doc_id long, curve_key long, width int, ids binary")
 
 
 def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:

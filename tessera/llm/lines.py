@@ -51,11 +51,11 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", remove
     Windows are counted by hash with partial aggregation, and the join that finds later occurrences is one that
     Spark splits where a window is very common. A document's cuts are bounded by its own lines.
     """
-    doc, fp, whole, cut, gone, n = fresh(docs, "own_doc", "own_fp", "own_text", "cut", "gone", "n_gone")
+    doc, fp, whole, cut, gone, n, r_doc, r_fp = fresh(docs, "own_doc", "own_fp", "own_text", "cut", "gone", "n_gone", "r_doc", "r_fp")
     held = docs.withColumn(doc, F.col(f"`{key}`")).withColumn(whole, F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
     held = held.withColumn(fp, F.xxhash64(F.col(whole)))
-    covers = _covers(held.select(doc, fp, whole), doc, fp, whole).select(F.col(doc).alias("r_doc"), F.col(fp).alias("r_fp"), F.col("cut").alias(cut))
-    joined = held.join(covers, held[doc].eqNullSafe(covers["r_doc"]) & (held[fp] == covers["r_fp"]), "left").drop("r_doc", "r_fp")
+    covers = _covers(held.select(doc, fp, whole), doc, fp, whole).select(F.col(doc).alias(r_doc), F.col(fp).alias(r_fp), F.col("cut").alias(cut))
+    joined = held.join(covers, held[doc].eqNullSafe(covers[r_doc]) & (held[fp] == covers[r_fp]), "left").drop(r_doc, r_fp)
     spans = F.array_sort(F.col(cut))
     drop = F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["from"], s["to"]))))
     joined = joined.withColumn(gone, F.when(F.col(cut).isNotNull(), drop))

@@ -105,7 +105,7 @@ def test_line_dedup_equals_brute_force(spark):
     rng = random.Random(7)
     pool = ["a", "b", " c ", "", "dd", "é"]
     rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(12)))) for i in range(60)] + [(99, None), (98, ""), (None, "a\nb\ndd"), (97, "x\n" * 3000)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("cut", F.lit(1)).withColumn("own_text", F.lit("c"))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("cut", F.lit(1)).withColumn("own_text", F.lit("c")).withColumn("r_doc", F.lit(0))
     out = lines.dedup_lines(df, removed="n")
     assert out.columns == [*df.columns, "n"]
     assert sorted(map(str, ((r["doc_id"], r["text"], r["n"]) for r in out.collect()))) == sorted(map(str, deduped(rows)))

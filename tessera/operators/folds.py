@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 CODED = "video int, frame int, mode string, n long, bytes long, sse long, background double"
 
@@ -130,3 +131,20 @@ def boxes_of_equal_modes(modes: np.ndarray, longest: int = 8) -> list[tuple[int,
         taken[y : y + h, x : x + w] = True
         out.append((y, x, h, w))
     return out
+
+
+def dynamic_boxes(modes: DataFrame, rows: int, cols: int) -> DataFrame:
+    """(video, frame, by, bx, h, w, mode): the boxes that cover each frame's grid of modes (video, frame, by, bx, mode)."""
+    grid = modes.groupBy("video", "frame").agg(F.array_sort(F.collect_list(F.struct("by", "bx", "mode"))).alias("cells"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for video, frame, cells in batch.itertuples(index=False):
+                names = np.full((rows, cols), "", object)
+                for c in cells:
+                    names[c["by"], c["bx"]] = c["mode"]
+                out += [(video, frame, y, x, h, w, names[y, x]) for y, x, h, w in boxes_of_equal_modes(names)]
+            yield pd.DataFrame(out, columns=["video", "frame", "by", "bx", "h", "w", "mode"])
+
+    return grid.mapInPandas(run, "video int, frame int, by int, bx int, h int, w int, mode string")

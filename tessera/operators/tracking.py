@@ -289,3 +289,26 @@ def four_means(blocks: DataFrame, rounds: int = 8) -> DataFrame:
             yield pd.DataFrame(out, columns=["video", "frame", "by", "bx", "centres", "sse"])
 
     return blocks.select("video", "frame", "by", "bx", "px").mapInPandas(run, "video int, frame int, by int, bx int, centres string, sse long")
+
+
+def ssim(frames: DataFrame, side: int, window: int = 7, peak: int = 255) -> DataFrame:
+    """(video, frame, ssim): structural similarity with the frame before, the mean over all square windows.
+
+    Sample variances and the usual constants (0.01 and 0.03 of the peak, squared).
+    """
+    c1, c2, n = (0.01 * peak) ** 2, (0.03 * peak) ** 2, window * window
+    per_row = side - window + 1
+    place = lambda k, i: ((k / per_row).cast("int") + (i / window).cast("int")) * side + k % per_row + i % window
+    sums = lambda k: F.aggregate(
+        F.sequence(F.lit(0), F.lit(n - 1)),
+        F.struct(*[F.lit(0).alias(c) for c in ("a", "b", "aa", "bb", "ab")]),
+        lambda s, i: F.struct(
+            (s["a"] + F.get("px", place(k, i))).alias("a"), (s["b"] + F.get("prev", place(k, i))).alias("b"), (s["aa"] + F.get("px", place(k, i)) * F.get("px", place(k, i))).alias("aa"),
+            (s["bb"] + F.get("prev", place(k, i)) * F.get("prev", place(k, i))).alias("bb"), (s["ab"] + F.get("px", place(k, i)) * F.get("prev", place(k, i))).alias("ab"),
+        ),
+    )
+    df = with_previous(frames).withColumn("s", F.explode(F.transform(F.sequence(F.lit(0), F.lit(per_row * per_row - 1)), sums)))
+    ma, mb = F.col("s.a") / n, F.col("s.b") / n
+    va, vb, vab = ((F.col(f"s.{x}") - n * y * z) / (n - 1) for x, y, z in (("aa", ma, ma), ("bb", mb, mb), ("ab", ma, mb)))
+    one = (2 * ma * mb + c1) * (2 * vab + c2) / ((ma * ma + mb * mb + c1) * (va + vb + c2))
+    return df.groupBy("video", "frame").agg(F.round(F.avg(one), 5).alias("ssim"))

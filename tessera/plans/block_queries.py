@@ -328,3 +328,21 @@ def object_lifetimes(spark, d) -> DataFrame:
     df = log.groupBy("video", "obj_id").agg(F.min("frame").alias("first"), F.max("frame").alias("last"), F.sum((F.col("type") == "MOVE").cast("long")).alias("moves"), F.sum(size).cast("long").alias("payload"))
     alive = F.col("last") - F.col("first") + 1
     return df.withColumn("frames_alive", alive).withColumn("saved_percent", F.round(100 - 100.0 * F.col("payload") / (15 * alive), 4))
+
+
+@query(f"""{FRAMES}, p as (select video, frame, px, lag(px) over (partition by video order by frame) prev from frames), w as (select video, frame, k, unnest(px) a, unnest(prev) b, generate_subscripts(px, 1) - 1 i from p, range(4) t(k) where prev is not null),
+  s as (select video, frame, k, avg(a) ma, avg(b) mb, (sum(a * a) - 49 * avg(a) * avg(a)) / 48 va, (sum(b * b) - 49 * avg(b) * avg(b)) / 48 vb, (sum(a * b) - 49 * avg(a) * avg(b)) / 48 vab from w where i // 8 between k // 2 and k // 2 + 6 and i % 8 between k % 2 and k % 2 + 6 group by all)
+  select video, frame, round(avg((2 * ma * mb + 6.5025::double) * (2 * vab + 58.5225::double) / ((ma * ma + mb * mb + 6.5025::double) * (va + vb + 58.5225::double))), 5) ssim from s group by video, frame""")
+def ssim_mean(spark, d) -> DataFrame:
+    return tracking.ssim(frames(spark, d), SIDE)
+
+
+SAME = f"""{CASCADE}, g as (select video, frame, max(case when "by" = 0 and bx = 0 then mode end) a, max(case when "by" = 0 and bx = 1 then mode end) b, max(case when "by" = 1 and bx = 0 then mode end) c, max(case when "by" = 1 and bx = 1 then mode end) d from best group by video, frame)"""
+
+
+@query(f"{SAME} select video, frame, case when a = b and a = c and a = d then 1 when a = b then case when c = d then 2 else 3 end when a = c then case when b = d then 2 else 3 end when b = d then 3 else 3 + case when c = d then 0 else 1 end end::bigint n_boxes from g")
+def dynamic_boxes(spark, d) -> DataFrame:
+    """Boxes per frame of the two by two grid of modes."""
+    modes = bl.cascade(bl.candidates(blocks(spark, d))).select(*KEY, F.col("best.mode").alias("mode"))
+    n = SIDE // BLOCK
+    return folds.dynamic_boxes(modes, n, n).groupBy("video", "frame").agg(F.count("*").alias("n_boxes"))

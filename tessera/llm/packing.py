@@ -17,6 +17,8 @@ from .tokens import PACK_END, crc, encoder
 LENGTH = 4096
 #: Dimensions of the projection and bits of each on the curve.
 DIMS, BITS = 3, 10
+#: By how much places are stretched before they are cut into cells.
+SPREAD = 6.0
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, curve_key long"
 _DIRECTIONS: dict[int, np.ndarray] = {}
 
@@ -32,35 +34,33 @@ def directions(vocabulary: int) -> np.ndarray:
 
 
 def project(ids: np.ndarray, vocabulary: int) -> np.ndarray:
-    """A document's place in the unit cube: its hashed token vector, of length 1, along DIMS directions."""
-    counts = np.bincount(ids, minlength=1)
-    at = np.flatnonzero(counts)
-    weight = np.sqrt(counts[at])
-    norm = np.sqrt((weight**2).sum())
-    v = (weight / norm) @ directions(vocabulary)[at] if norm else np.zeros(DIMS)
-    return 0.5 + np.arctan(v) / np.pi
-
-
-def hilbert_key(cells: np.ndarray, bits: int = BITS) -> int:
-    """Place on the Hilbert curve of a cell of a cube with 2**bits cells a side: fold the axes bit by bit, then interleave."""
-    x = [int(c) for c in cells]
+    """A document's hashed token vector along DIMS directions: the mean direction of its tokens, zero without any."""
+    return directions(vocabulary)[ids].mean(0) if len(ids) else np.zeros(DIMS, np.float32)
+
+
+def cells(places: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Cells of a cube with 2**bits cells a side; places near zero, where most are, are spread out."""
+    unit = 0.5 + np.arctan(SPREAD * places.astype(np.float64)) / np.pi
+    return np.minimum((unit * (1 << bits)).astype(np.int64), (1 << bits) - 1)
+
+
+def hilbert_key(cell: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Places on the Hilbert curve of cells (rows): fold the axes bit by bit, then interleave."""
+    x = np.array(cell, np.int64).T.copy()
     n = len(x)
     for b in range(bits - 1, 0, -1):
         bit, low = 1 << b, (1 << b) - 1
         for i in range(n):
-            if x[i] & bit:
-                x[0] ^= low
-            else:
-                swap = (x[0] ^ x[i]) & low
-                x[0] ^= swap
-                x[i] ^= swap
+            on = (x[i] & bit) > 0
+            swap = np.where(on, 0, (x[0] ^ x[i]) & low)
+            x[i] ^= swap
+            x[0] ^= np.where(on, low, swap if i else 0)
     for i in range(1, n):
         x[i] ^= x[i - 1]
-    flip = 0
+    flip = np.zeros(x.shape[1], np.int64)
     for b in range(bits - 1, 0, -1):
-        if x[-1] >> b & 1:
-            flip ^= (1 << b) - 1
-    key = 0
+        flip ^= np.where(x[-1] >> b & 1, (1 << b) - 1, 0)
+    key = np.zeros(x.shape[1], np.int64)
     for b in range(bits - 1, -1, -1):
         for v in x:
             key = key << 1 | ((v ^ flip) >> b & 1)
@@ -76,13 +76,13 @@ def tokenized(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
         end = np.array([PACK_END], enc.kind).tobytes()
         vocabulary = enc.known.library.get_vocab_size()
         for batch in batches:
-            ids, keys = [], []
-            for x in batch.column(1):
+            ids, places = [], np.zeros((batch.num_rows, DIMS), np.float32)
+            for k, x in enumerate(batch.column(1)):
                 b = enc.encode(x.as_py())
-                keys.append(hilbert_key(np.minimum(project(np.frombuffer(b, enc.kind), vocabulary) * (1 << BITS), (1 << BITS) - 1)))
+                places[k] = project(np.frombuffer(b, enc.kind), vocabulary)
                 ids.append(b + end)
             width = np.dtype(enc.kind).itemsize
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array([width] * len(ids), pa.int32()), pa.array(ids, pa.binary())], names=["doc_id", "curve_key", "width", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hilbert_key(cells(places))), pa.array([width] * len(ids), pa.int32()), pa.array(ids, pa.binary())], names=["doc_id", "curve_key", "width", "ids"])
 
     return spread(rows).mapInArrow(run, "doc_id long, curve_key long, width int, ids binary")
 

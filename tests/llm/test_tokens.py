@@ -85,7 +85,8 @@ def test_damage_is_found():
 
 
 def test_curve_visits_neighbours():
-    cells = sorted(((packing.hilbert_key((x, y, z), 3), (x, y, z)) for x in range(8) for y in range(8) for z in range(8)))
+    places = [(x, y, z) for x in range(8) for y in range(8) for z in range(8)]
+    cells = sorted(zip(packing.hilbert_key(np.array(places), 3).tolist(), places, strict=True))
     assert [k for k, _ in cells] == list(range(512))
     assert all(sum(abs(a - b) for a, b in zip(p, q, strict=True)) == 1 for (_, p), (_, q) in zip(cells, cells[1:], strict=False))
 

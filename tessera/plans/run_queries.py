@@ -133,6 +133,12 @@ def trial_mean_std(spark, d) -> DataFrame:
     return df.select("perm", "n", F.round(F.col("s") / 100.0 / F.col("n"), 3).alias("mean_fps"), F.round(deviation, 3).alias("sd_fps"))
 
 
+@query(None)
+def trial_mean_std_all(spark, d) -> DataFrame:
+    """Mean and population deviation over all runs of each perm, however many, which trial_mean_std and its SQL cut to three a video."""
+    return reports.trial_spread(runs(spark, d), ["perm"], fn.fps(F.col("frames"), F.col("time_s")))
+
+
 @query("select count(*)::bigint n, count(comp_bytes)::bigint n_ok, round(avg(comp_bytes), 4) mean_ok, round(avg(coalesce(comp_bytes, 0)), 4) mean_if_zero from runs group by ()")
 def failed_run_policy(spark, d) -> DataFrame:
     return runs(spark, d).agg(F.count("*").alias("n"), F.count("comp_bytes").alias("n_ok"), r4(F.avg("comp_bytes")).alias("mean_ok"), r4(F.avg(F.coalesce("comp_bytes", F.lit(0)))).alias("mean_if_zero"))

@@ -6,12 +6,15 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tessera import catalog
 from tessera.functions import scalars as fn
 from tessera.operators import blocks as bl
 from tessera.operators import motion, reports, tracking, windows
-from tessera.sources import clips, container
+from tessera.sources import clips, container, relations
 from tessera.streaming import state
 
+SF = "/root/testdata/sf0.001"
+
 
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
@@ -77,6 +80,22 @@ def test_reports(spark):
     assert [x["k"] for x in reports.pending(tasks, tasks.filter("k = 1"), ["k"]).collect()] == [2]
 
 
+def test_spread_covers_every_trial(spark):
+    rates = {1: [1.0, 2.0, 4.0, 8.0, 16.0, 32.0], 2: [5.5]}
+    df = spark.createDataFrame([(k, v) for k, vs in rates.items() for v in vs], "perm long, rate double")
+    got = {r["perm"]: (r["n"], r["mean_fps"], r["sd_fps"]) for r in reports.trial_spread(df, ["perm"], F.col("rate")).collect()}
+    assert got == {k: (len(v), round(float(np.mean(v)), 3), round(float(np.std(v)), 3)) for k, v in rates.items()}
+
+
+def test_all_trials_of_the_log_are_averaged(spark):
+    log = relations.runs(spark, SF).selectExpr("perm", "frames", "time_s").toPandas()
+    log["c"] = np.floor(log.frames / np.maximum(log.time_s, 0.001) * 100) / 100
+    want = {k: (len(c), c.mean(), c.std(ddof=0)) for k, c in log.groupby("perm").c}
+    got = {r["perm"]: (r["n"], r["mean_fps"], r["sd_fps"]) for r in catalog.QUERIES["trial_mean_std_all"](spark, SF).collect()}
+    assert sum(n for n, _, _ in got.values()) == len(log) and got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], abs=1e-3) for k in want)
+
+
 def test_objects_spawn_move_despawn():
     t = tracking.Tracker(within=5.0, patience=1)
     assert t.step(0, [(1.0, 1.0, 0, 0)]) == [(0, "SPAWN", 0, 0)]

@@ -30,6 +30,9 @@ ENCODINGS = (
     ("base64", "^[0-9A-Za-z+/]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("base64url", "^[0-9A-Za-z_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 )
+#: TOKEN admits the signs of both base64 alphabets at once, as in dated paths; such a token is held against all 66 signs.
+#: Apart from ENCODINGS, from which the SQL is built: the SQL leaves such tokens untested.
+UNION = ("base64union", "^[0-9A-Za-z+/_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_")
 #: Length bands of the false-discovery control; its level; steps of -log10(p).
 BANDS, LEVEL, STEPS_PER_DECADE, DECADES = (24, 32, 48, 64, 96), 0.05, 10, 30
 
@@ -63,15 +66,17 @@ def battery(token: Column) -> Column:
     """Struct (encoding, p) of a token: p is the chance that uniform noise of its encoding looks as structured.
 
     Three tests, joined by Bonferroni: chi-squared uniformity over the alphabet (Wilson-Hilferty), runs above and
-    below the alphabet's middle, and lag-1 serial correlation of alphabet places. Padding isn't tested. A token
+    below the alphabet's middle, and lag-1 serial correlation of alphabet places. Padding isn't tested. Every token
+    of TOKEN has an encoding, so none goes untested. A token
     of fewer than two of the classes digit, small and capital letter is a word or number: its p is 0.
     """
+    known = (*ENCODINGS, UNION)
     bare = F.regexp_replace(token, "=+$", "")
-    code = F.coalesce(*[F.when(bare.rlike(pattern), F.lit(i)) for i, (_, pattern, _) in enumerate(ENCODINGS)])
+    code = F.coalesce(*[F.when(bare.rlike(pattern), F.lit(i)) for i, (_, pattern, _) in enumerate(known)])
     mixed = bare.rlike("[0-9].*[A-Za-z]|[A-Za-z].*[0-9]|[a-z].*[A-Z]|[A-Z].*[a-z]")
 
     def places(e: Column) -> Column:
-        alphabet = F.element_at(F.array(*[F.lit(x) for _, _, x in ENCODINGS]), e["code"] + 1)
+        alphabet = F.element_at(F.array(*[F.lit(x) for _, _, x in known]), e["code"] + 1)
         folded = F.when(e["code"].isin(0, 2), F.lower(e["bare"])).otherwise(e["bare"])
         x = F.transform(F.filter(F.split(folded, ""), lambda c: c != ""), lambda c: F.instr(alphabet, c) - 1)
         return F.struct(e["code"].alias("code"), F.length(alphabet).alias("k"), x.alias("x"), F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b"))).alias("pairs"))

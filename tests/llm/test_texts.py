@@ -81,6 +81,16 @@ def test_battery_tells_noise_from_words(spark):
     assert sum(got[i] for i in range(60)) >= 54 and not any(got[60 + i] for i in range(len(plain)))
 
 
+def test_battery_tests_tokens_of_both_base64_alphabets(spark):
+    rng = random.Random(8)
+    paths = ["docs/2021-05-12_Release/notes", "src/main/2023-11-08_final-report/Summary_of_changes", "data/raw/2019-07-30_experiment-results/run_01"]
+    noise = ["+/-_" + "".join(rng.choice(secrets.UNION[2]) for _ in range(rng.randrange(40, 90))) for _ in range(60)]
+    got = {r["doc_id"]: r["n_random"] for r in secrets.secret_report(docs(spark, noise + paths)).collect()}
+    assert sum(got[i] for i in range(60)) >= 54 and not any(got[60 + i] for i in range(len(paths)))
+    tested = spark.createDataFrame([(t,) for t in noise + paths], "t string").select(secrets.battery(F.col("t")).alias("r")).collect()
+    assert all(x["r"]["encoding"] is not None and x["r"]["p"] is not None for x in tested)
+
+
 def test_masking(spark):
     df = secrets.find_secrets(docs(spark, ["é secret=abcdefgh12 z", "none", None]), out="hits")
     assert {r["doc_id"]: r["m"] for r in df.select("doc_id", secrets.masked(F.coalesce("text", F.lit("")), F.col("hits")).alias("m")).collect()} == {0: "é <assign> z", 1: "none", 2: ""}

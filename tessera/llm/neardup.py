@@ -9,9 +9,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .blocks import LINKS, by_unit, column, links_batch, pairs, units
-from .common import spread, stored
+from .common import fresh, spread, stored, texts
 from .components import components
 from .hashing import BASE, mix, ngram_hashes, word_hashes
 
@@ -139,6 +140,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     whose key is null link with nothing. Repeated rows are rows each; where rows of one doc_id differ, its links are those
     of all its texts. Other columns are ignored.
     """
+    return _classes(docs, key, text, threshold).drop("d1", "d2")
+
+
+def _classes(docs: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
+    """near_duplicates() with the digest (d1, d2) of each row's shingle set, null where it links with nothing."""
     row = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
     sketches = stored(_sketches(row))
     known = sketches.filter("d1 is not null and key is not null")
@@ -169,8 +175,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
 
     wanted = survivors.select("item", "d1").distinct()
     # the wanted sets grow with the corpus, so this join is never a broadcast
-    texts = wanted.hint("merge").join(row.select(F.col("key").alias("item"), "text"), "item").select("item", "d1", "text")
-    hashes = texts.mapInArrow(exact_sets, "item long, d1 long, hashes binary").dropDuplicates(["item", "d1"])
+    whole = wanted.hint("merge").join(row.select(F.col("key").alias("item"), "text"), "item").select("item", "d1", "text")
+    hashes = whole.mapInArrow(exact_sets, "item long, d1 long, hashes binary").dropDuplicates(["item", "d1"])
 
     def verify(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         x = _matrix(rows)
@@ -192,6 +198,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     out = sketches.select("key", F.when(F.col("key").isNotNull(), F.col("d1")).alias("d1"), "d2").join(per_set, ["d1", "d2"], "left")
     return out.select(
         F.col("key").alias("doc_id"),
+        "d1",
+        "d2",
         F.coalesce(F.col("weight") - 1 + F.col("links"), F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("class_id", "key").alias("class_id"),
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
@@ -202,6 +210,34 @@ def _matrix(rows: pa.Table) -> np.ndarray:
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs but for near duplicates: of each class the row with the smallest key stays."""
-    gone = near_duplicates(docs, key, text, threshold).filter("not kept").select(F.col("doc_id").alias("gone_key")).distinct()
-    return docs.join(gone, docs[f"`{key}`"] == gone["gone_key"], "left_anti")
+    """The rows of docs but for near duplicates: of each class the row with the smallest key stays.
+
+    It is decided per row. Of rows with one key and one shingle set, such as repeated rows, one stays; which one of those
+    is open. A row goes only if its own text isn't kept, whatever becomes of other texts under its key. As in
+    near_duplicates, texts of one key that no smaller key holds have their links in common. Rows without words and rows
+    whose key is null all stay.
+    """
+    found = stored(_classes(docs, key, text, threshold).select("doc_id", "d1", "d2", "kept"))
+    gone_key, own, own_text, d1, d2, row = fresh(docs, "gone_key", "own_key", "own_text", "set_d1", "set_d2", "own_row")
+    gone = found.filter("not kept").select(F.col("doc_id").alias(gone_key)).distinct()
+    shared = stored(found.filter("doc_id is not null").groupBy(F.col("doc_id").alias(gone_key)).count().filter("count > 1").select(gone_key))
+    once = lambda keys: docs.join(keys, docs[f"`{key}`"] == keys[gone_key], "left_anti")
+    if shared.isEmpty():
+        return once(gone)
+    # only rows whose key comes again need their digests once more
+    rows = docs.join(shared, docs[f"`{key}`"] == shared[gone_key], "left_semi").withColumn(own_text, F.col(f"`{text}`").cast("string"))
+
+    names = [*docs.columns, d1, d2]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(x) for x in texts(batch.column(batch.num_columns - 1))]
+            pairs = [digest(h) if len(h) else (None, None) for h in sets]
+            made = [pa.array([x[i] for x in pairs], pa.int64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=names)
+
+    told = rows.mapInArrow(run, StructType([*docs.schema.fields, StructField(d1, LongType()), StructField(d2, LongType())]))
+    told = told.withColumn(own, F.col(f"`{key}`").cast("long")).withColumn(row, F.when(F.col(d1).isNull(), F.monotonically_increasing_id()))
+    lost = found.filter("not kept").select(F.col("doc_id").alias(own), F.col("d1").alias(d1), F.col("d2").alias(d2)).distinct()
+    stays = told.dropDuplicates([own, d1, d2, row]).join(lost, [own, d1, d2], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return once(gone.union(shared).distinct()).unionByName(stays)

@@ -95,6 +95,17 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     assert neardup.near_duplicates(df.filter("false")).count() == 0
 
 
+def test_keep_one_decides_per_row(spark):
+    a, y, z = ("".join(f" {c}{i}" for i in range(40)) for c in "ayz")
+    rows = [(1, a), (1, a), (2, a + " more"), (5, a), (5, y), (5, y), (6, z), (7, ""), (7, ""), (8, y), (None, a), (None, a)]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, set_d1 int")
+    out = neardup.keep_one(df)
+    assert out.columns == df.columns
+    got = sorted(str((r["doc_id"], r["text"])) for r in out.collect())
+    assert got == sorted(map(str, [(1, a), (5, y), (6, z), (7, ""), (7, ""), (None, a), (None, a)]))
+    assert sorted(r["doc_id"] for r in neardup.keep_one(df.filter("doc_id in (2, 6, 8)")).collect()) == [2, 6, 8]
+
+
 def test_vectors_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(blocks.units, "__defaults__", (64,))
     rng = np.random.default_rng(3)

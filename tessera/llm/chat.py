@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Events of a log. message opens a turn with a text; delta adds to a turn; edit replaces its text; regenerate empties it
@@ -18,6 +18,8 @@ OPEN, CLOSE = "### ", " </turn>\n"
 _CONTROL = re.compile(r"\\|###|</turn>|:")
 _ESCAPED = re.compile(r"\\(\\|###|</turn>|:)")
 LOSS_ROLE = "assistant"
+#: Code points of a delta; in log_of() the steps of one turn's events, and the step of the first delta that lasts.
+CHUNK, _TURN, _FINAL = 512, 1 << 24, 16
 RENDERED = "conv_id long, n_turns long, formatted string, loss_spans array<struct<start:long,end:long>>"
 
 
@@ -29,14 +31,45 @@ def unescape(x: str) -> str:
     return _ESCAPED.sub(r"\1", x)
 
 
-def events_of(conversations: DataFrame) -> DataFrame:
-    """A table of finished turns (conv_id, turn, role, text) as a log: each row is a message event that opens its own turn."""
-    return conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long").alias("seq"), F.lit(None).cast("long").alias("target"), F.lit("message").alias("event"), F.col("role").cast("string"), F.col("text").cast("string"))
+def log_of(conversations: DataFrame) -> DataFrame:
+    """A table of finished turns (conv_id, turn, role, text) as the log of a chat service that would have led to it.
+
+    Turns are numbered per conversation by turn, role and text, so repeated rows are turns of their own; each is opened by a
+    message without text and streamed as deltas of CHUNK code points. By a hash of its place every eighth turn streams a
+    draft first and is regenerated, every eighth streams a draft that an edit mends after the next turns have
+    begun, every eighth follows a turn that is deleted again. The rows come last event first: only seq has the order.
+    A row without conv_id is a conversation of its own, without any of these.
+    """
+    lone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), lone.alias("lone"))
+    n = F.row_number().over(Window.partitionBy("conv_id", "lone").orderBy("turn", "role", "text")).cast("long")
+    rows = rows.withColumn("n", F.coalesce(F.col("lone"), n)).withColumn("kind", F.when(F.col("lone").isNull(), F.pmod(F.xxhash64("conv_id", "turn"), F.lit(8))).otherwise(7))
+
+    def event(name: str, step, text, target=F.col("n")):
+        return F.struct((F.col("n") * _TURN + step).alias("seq"), target.alias("target"), F.lit(name).alias("event"), (F.col("role") if name == "message" else F.lit(None).cast("string")).alias("role"), text.alias("text"))
+
+    def stream(text, first: int):
+        """Deltas of a text from that step on."""
+        starts = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(CHUNK))
+        return F.transform(F.filter(starts, lambda at: at < F.length(text)), lambda at: event("delta", F.lit(first) + (at / CHUNK).cast("long"), F.substring(text, at + 1, F.lit(CHUNK))))
+
+    none, text, draft = F.lit(None).cast("string"), F.col("text"), F.col("draft")
+    rows = rows.withColumn("draft", F.when(F.col("kind") < 3, F.concat(F.lit("draft: "), F.substring(text, 1, 2 * CHUNK))))
+    opened, late = event("message", F.lit(1), none), F.lit(2 * _TURN + 3)
+    plain = F.concat(F.array(opened), stream(text, _FINAL))
+    log = (
+        F.when(F.col("kind") == 0, F.concat(F.array(opened, event("regenerate", F.lit(_FINAL - 1), none)), stream(draft, 2), stream(text, _FINAL)))
+        .when(F.col("kind") == 1, F.concat(F.array(opened, event("edit", late, text)), stream(draft, 2)))
+        .when(F.col("kind") == 2, F.concat(F.array(event("message", F.lit(0), draft, -F.col("n") - 1), event("delete", F.lit(_FINAL - 1), none, -F.col("n") - 1)), plain))
+        .otherwise(plain)
+    )
+    out = rows.select("conv_id", F.explode(F.reverse(log)).alias("e"))
+    return out.select("conv_id", "e.seq", "e.target", "e.event", "e.role", "e.text")
 
 
 def _sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
-        yield from zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True)
+        yield from zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True)
 
 
 class _Fold:
@@ -100,13 +133,14 @@ def format_chats(events: DataFrame) -> DataFrame:
     Events are dealt by conversation and sorted by seq, then target, event, role, text (nulls first), which settles
     ties; repeated message rows are turns of their own. They are folded as they stream by, so that memory holds the
     turns of one conversation, never a partition. A null text or role is empty; an unknown event changes nothing; a
-    delta, edit or regeneration of a turn that was never opened opens it for the assistant. Null conv_ids are
-    one conversation. A conversation left without turns renders to an empty text. Other columns are ignored.
+    delta, edit or regeneration of a turn that was never opened opens it for the assistant. Events without conv_id
+    can't be told to belong together: those of one target (or seq, where it is null) are a conversation each, so that they never gather in one task.
+    A conversation left without turns renders to an empty text. Other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("formatted", pa.string()), ("loss_spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
-        done, size, fold, now = [], 0, None, None
+        done, size, fold, now, held = [], 0, None, None, None
 
         def close() -> None:
             nonlocal size
@@ -114,21 +148,22 @@ def format_chats(events: DataFrame) -> DataFrame:
             done.append({"conv_id": now, "n_turns": len(messages), "formatted": text, "loss_spans": spans})
             size += len(text)
 
-        for conv, *event in _sorted_runs(batches):
-            if fold is None or conv != now:
+        for lone, conv, *event in _sorted_runs(batches):
+            if fold is None or (conv, lone) != held:
                 if fold is not None:
                     close()
                     if len(done) >= 2000 or size > 1 << 24:
                         yield pa.RecordBatch.from_pylist(done, schema)
                         done, size = [], 0
-                fold, now = _Fold(), conv
+                fold, now, held = _Fold(), conv, (conv, lone)
             fold.take(*event)
         if fold is not None:
             close()
             yield pa.RecordBatch.from_pylist(done, schema)
 
     order = ["conv_id", "seq", "target", "event", "role", "text"]
-    return events.select(*order).repartition("conv_id").sortWithinPartitions(*order).mapInArrow(run, RENDERED)
+    lone = F.when(F.col("conv_id").isNull(), F.coalesce("target", "seq")).alias("lone")
+    return events.select(lone, *order).repartition("conv_id", "lone").sortWithinPartitions("conv_id", "lone", *order[1:]).mapInArrow(run, RENDERED)
 
 
 def chat_digests(rendered: DataFrame) -> DataFrame:

@@ -55,7 +55,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(chat.planted(spark))
-    return chat.chat_digests(chat.format_chats(chat.events_of(rows)))
+    return chat.chat_digests(chat.format_chats(chat.log_of(rows)))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sentencepiece, op3_quality_rules, op4_secret_scan, op5_packing, op6_token_records, op7_suffix_array_dedup, op8_embedding_near_dedup, op9_line_dedup, op10_chat_format)}

@@ -9,6 +9,7 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import chat, packing, pieces, records, tokens
@@ -126,9 +127,32 @@ def test_log_folds_to_final_messages(spark):
     df = spark.createDataFrame(log, "conv_id long, seq long, target long, event string, role string, text string")
     got = {r["conv_id"]: chat.parse(r["formatted"]) for r in chat.format_chats(df).collect()}
     assert got == {1: [("user", "hello"), ("assistant", "right")], 2: [("assistant", "late")], None: [("", "")], 3: [], 4: [("user", "a")] * 2}
+    lone = [(None, i, i % 3, "delta", None, str(i)) for i in range(6)]
+    assert sorted(r["formatted"] for r in chat.format_chats(spark.createDataFrame(lone, df.schema)).collect()) == [f"### assistant: {i}{i + 3} </turn>\n" for i in range(3)]
     assert chat.format_chats(df.filter("false")).count() == 0
 
 
+def test_derived_log_needs_folding(spark):
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"text {c} {t} é " * (t * 97 % 130)) for c in range(40) for t in range(7)]
+    rows += [(50, 0, "user", "same")] * 2 + [(51, None, None, None), (52, 1, "assistant", "b"), (52, 1, "assistant", "a"), (None, 0, "user", "x"), (None, 1, "assistant", "y")]
+    log = chat.log_of(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    kinds = {r["event"]: r["n"] for r in log.groupBy("event").agg(F.count("*").alias("n")).collect()}
+    assert set(kinds) == set(chat.EVENTS) and kinds["message"] > len(rows)
+    assert log.filter("event = 'message' and text is not null and text not like 'draft%'").count() == 0
+    want = {}
+    for c, t, role, text in sorted(rows, key=lambda r: tuple((x is not None, x or 0) if not isinstance(x, str) else (True, x) for x in r)):
+        want.setdefault(c if c is not None else text, []).append((role or "", text or ""))
+    got = chat.format_chats(log.orderBy(F.xxhash64("seq", "target"))).collect()
+    assert len(got) == len(want)
+    for r in got:
+        turns = chat.parse(r["formatted"])
+        assert turns == want[r["conv_id"] if r["conv_id"] is not None else turns[0][1]]
+    # without the fold, by taking all texts in order, the messages come out otherwise
+    plain = log.orderBy("seq").filter("conv_id < 40").groupBy("conv_id").agg(F.concat_ws("", F.collect_list("text")).alias("t"))
+    assert any(r["t"] != "".join(t for _, t in want[r["conv_id"]]) for r in plain.collect())
+    assert chat.format_chats(chat.log_of(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
+
+
 def test_planted_conversation(spark):
-    r = chat.chat_digests(chat.format_chats(chat.events_of(chat.planted(spark)))).first()
+    r = chat.chat_digests(chat.format_chats(chat.log_of(chat.planted(spark)))).first()
     assert (r["n_turns"], r["loss_chars"]) == (2, len("\\### Assistant: </turn> ok"))

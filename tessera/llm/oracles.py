@@ -6,7 +6,7 @@ from .chat import CLOSE, OPEN
 from .lines import WINDOW
 from .neardup import SHINGLE, THRESHOLD
 from .quality import LINE_CHARS_LIMIT, LINES_LIMIT, MIN_WORDS, NGRAM_LIMITS, REPEAT_WORDS_PERCENT
-from .secrets import ACCESS, ASSIGN, BANDS, DECADES, ENCODINGS, HEX, KINDS, LEVEL, STEPS_PER_DECADE, TOKEN
+from .secrets import ACCESS, ASSIGN, BANDS, DECADES, ENCODINGS, FOLDED, HEX, KINDS, LEVEL, NOISE_SWITCH, ODD, STEPS_PER_DECADE, TEXT_PAIR, TEXT_SWITCH, TEXT_TRIPLE, TOKEN
 from .vectors import THRESHOLD as COSINE
 
 _WORDS = r"'[^\x20\x09-\x0D]+'"
@@ -98,10 +98,10 @@ select c.id vec_id, coalesce(n, 0)::bigint n_links, root component_id, c.id = ro
 _EITHER = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
 
 
-def _found(name: str, kind: int, pattern: str, ok: str = "true") -> str:
+def _found(name: str, kind: int, pattern: str, ok: str = "true", source: str = "docs") -> str:
     p = pattern.replace("'", "''")
     return f"""
-{name}_m as (select doc_id, regexp_extract_all(t, '{p}') f, string_split_regex(t, '{p}') g from docs where regexp_matches(t, '{p}')),
+{name}_m as (select doc_id, regexp_extract_all(t, '{p}') f, string_split_regex(t, '{p}') g from {source} where regexp_matches(t, '{p}')),
 {name} as (select doc_id, {kind} kind, pos, pos + length(f[i]) till, f[i] v from (select doc_id, f, i, (list_sum(list_transform(g[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[:i - 1], lambda x: length(x))), 0))::bigint pos
   from (select *, unnest(range(1, len(f) + 1)) i from {name}_m)) where {ok.replace("V", "f[i]")})"""
 
@@ -109,29 +109,41 @@ def _found(name: str, kind: int, pattern: str, ok: str = "true") -> str:
 _ASSIGN = ASSIGN.replace("(?i:password|passwd|secret|token|api_?key)", _EITHER)
 _BAND = "case " + " ".join(f"when n >= {n} then {i}" for i, n in reversed(list(enumerate(BANDS))) if i) + " else 0 end"
 _STEP = f"least({DECADES * STEPS_PER_DECADE}, floor(-log10(greatest(p, 1e-300::double)) * {STEPS_PER_DECADE})::int)"
-_TAIL = "(exp(-z * z / 2) / sqrt(2 * pi()) * t * (0.319381530::double + t * (-0.356563782::double + t * (1.781477937::double + t * (-1.821255978::double + t * 1.330274429::double)))))"
+def _tail(z: str) -> str:
+    t = f"(1 / (1 + 0.2316419::double * abs({z})))"
+    upper = f"(exp(-{z} * {z} / 2) / sqrt(2 * pi()) * {t} * (0.319381530::double + {t} * (-0.356563782::double + {t} * (1.781477937::double + {t} * (-1.821255978::double + {t} * 1.330274429::double)))))"
+    return f"(case when {z} >= 0 then {upper} else 1 - {upper} end)"
+
+
+def _of(values: tuple) -> str:
+    return f"[{', '.join(f'{v!r}::double' for v in values)}][code + 1]"
+
 
 OP4 = f"""
 with docs as (select doc_id, coalesce(text, '') t from documents),
-{_found("assign", 0, _ASSIGN, f"length(regexp_extract(V, '{_ASSIGN.replace(chr(39), chr(39) * 2)}', 2)) >= 8")}, {_found("acc", 1, ACCESS)}, {_found("hexa", 2, HEX)}, {_found("tok", 3, TOKEN)},
+{_found("assign", 0, _ASSIGN, f"length(regexp_extract(V, '{_ASSIGN.replace(chr(39), chr(39) * 2)}', 2)) >= 8")}, {_found("acc", 1, ACCESS)}, {_found("hexa", 2, HEX)},
 base as (select * from assign union all select * from acc union all select * from hexa),
-free as (select *, regexp_replace(v, '=+$', '') bare, row_number() over () k from tok where not exists (select 1 from base b where b.doc_id = tok.doc_id and b.pos < tok.till and tok.pos < b.till)),
+ahead as (select *, coalesce(max(till) over (partition by doc_id order by pos, kind rows between unbounded preceding and 1 preceding), 0) b from base),
+blanks as (select doc_id, string_agg(case when pos >= b then substr(t, b + 1, pos - b) else '' end || repeat(' ', greatest(till - greatest(b, pos), 0)), '' order by pos, kind) head, max(till) last
+  from ahead join docs using (doc_id) group by doc_id),
+free as (select docs.doc_id, case when last is null then t else head || substr(t, last + 1) end t from docs left join blanks using (doc_id)),
+{_found("tok", 3, TOKEN, source="free")},
+bared as (select *, regexp_replace(v, '=+$', '') bare, (till - pos) len from tok),
 coded as (select *, {"case " + " ".join(f"when regexp_matches(bare, '{p}') then {i}" for i, (_, p, _) in enumerate(ENCODINGS)) + " end"} code,
-  regexp_matches(bare, '[0-9].*[A-Za-z]|[A-Za-z].*[0-9]|[a-z].*[A-Z]|[A-Z].*[a-z]') mixed from free),
-alpha as (select *, [{", ".join(f"'{x}'" for _, _, x in ENCODINGS)}][code + 1] alphabet, case when code in (0, 2) then lower(bare) else bare end folded from coded),
-placed as (select *, length(alphabet)::double k_, len(x)::double n_ from (select *, list_transform(string_split(folded, ''), lambda c: strpos(alphabet, c) - 1) x from alpha)),
-counted as (select *, list_sum(list_transform(range(k_::int), lambda s: pow(len(list_filter(x, lambda c: c = s)), 2))) sq, len(list_filter(x, lambda c: c >= k_ / 2))::double up,
-  list_zip(x[:-2], x[2:]) pairs from placed),
-scored as (select *, sq * k_ / n_ - n_ chi, 1.0::double + len(list_filter(pairs, lambda q: (q[1] >= k_ / 2) <> (q[2] >= k_ / 2))) runs, 2 * up * (n_ - up) / n_ + 1 mu,
-  list_sum(list_transform(pairs, lambda q: (q[1] - (k_ - 1) / 2) * (q[2] - (k_ - 1) / 2))) / (sqrt(n_ - 1) * (k_ * k_ - 1) / 12) serial, 2 / (9 * (k_ - 1)) spread from counted),
-z as (select *, [(pow(greatest(chi, 0) / (k_ - 1), 1.0::double / 3) - (1 - spread)) / sqrt(spread), abs(runs - mu) / sqrt(greatest((mu - 1) * (mu - 2) / (n_ - 1), 1e-9::double)), abs(serial)] zs from scored),
-tails as (select k, min(case when i = 1 then 1 else 2 end * case when z0 >= 0 then q else 1 - q end) least_ from (select k, i, z0, {_TAIL} q from (select *, abs(z0) z, 1 / (1 + 0.2316419::double * abs(z0)) t from (select k, unnest(zs) z0, generate_subscripts(zs, 1) i from z))) group by k),
-tested as (select doc_id, kind, pos, till, (till - pos) n, case when mixed then least(1.0::double, 3 * least_) else 0 end p from z join tails using (k)),
+  regexp_matches(bare, '[0-9]')::int + regexp_matches(bare, '[a-z]')::int + regexp_matches(bare, '[A-Z]')::int >= 2 mixed from bared),
+placed as (select *, length(alphabet)::double k, length(folded)::double n, regexp_replace(folded, '[+/_-]', '', 'g') alnum, list_transform(string_split(folded, ''), lambda c: strpos(alphabet, c) - 1) x
+  from (select *, [{", ".join(f"'{x}'" for _, _, x in ENCODINGS)}][code + 1] alphabet, case when code in ({", ".join(str(i) for i, (name, _, _) in enumerate(ENCODINGS) if name in FOLDED)}) then lower(bare) else bare end folded from coded)),
+counted as (select *, list_sum(list_transform(range(k::int), lambda s: pow(len(list_filter(x, lambda c: c = s)), 2))) squares, length(alnum) - 1.0::double m,
+  length(regexp_replace(alnum, '[0-9]+|[a-z]+|[A-Z]+', 'x', 'g')) - 1.0::double switches, list_sum(list_transform(list_zip(x[:-2], x[2:]), lambda q: (q[1] - (k - 1) / 2) * (q[2] - (k - 1) / 2))) lag,
+  2 / (9 * (k - 1)) spread, {_of(NOISE_SWITCH)} w, {_of(TEXT_SWITCH)} q, {_of(TEXT_PAIR)} pair, {_of(TEXT_TRIPLE)} triple from placed),
+z as (select *, (pow(greatest(squares * k / n - n, 0) / (k - 1), 1.0::double / 3) - (1 - spread)) / sqrt(spread) z_chi, abs(switches - m * w) / sqrt(m * w * (1 - w)) z_runs,
+  abs(lag) / (sqrt(n - 1) * (k * k - 1) / 12) z_serial, ((n * (n - 1) * pair - (squares - n)) / sqrt(4 * n * (n - 1) * (n - 2) * triple + 2 * n * (n - 1) * (pair - pair * pair)) + (switches - m * q) / sqrt(m * q * (1 - q))) / sqrt(2) z_text from counted),
+tested as (select doc_id, kind, pos, till, len n, case when mixed and 3 * least({_tail("z_chi")}, 2 * {_tail("z_runs")}, 2 * {_tail("z_serial")}) >= {ODD}::double then {_tail("z_text")} else 1 end p from z),
 stepped as (select *, {_BAND} band, {_STEP} step from tested),
 hist as (select band, step, count(*) c from stepped group by all),
 cum as (select band, step, sum(c) over (partition by band order by step desc) seen, sum(c) over (partition by band) total from hist),
 cut as (select band, coalesce(min(step) filter (pow(10, -step / {STEPS_PER_DECADE}.0::double) <= {LEVEL}::double * seen / total), {DECADES * STEPS_PER_DECADE + 1}) cut from cum group by band),
-spans as (select doc_id, kind, pos, till from base union all select doc_id, kind, pos, till from stepped join cut using (band) where step < cut),
+spans as (select doc_id, kind, pos, till from base union all select doc_id, kind, pos, till from stepped join cut using (band) where step >= cut),
 named as (select *, [{", ".join(f"'{k}'" for k in KINDS)}][kind + 1] || ':' || pos || ':' || till s from spans)
 select doc_id, count(*) filter (kind = 0)::bigint n_assign, count(*) filter (kind = 1)::bigint n_access, count(*) filter (kind = 2)::bigint n_hex,
   sha256(coalesce(string_agg(s, ',' order by pos, kind) filter (kind < 3), '')) base_sha256, coalesce(string_agg(s, ',' order by pos, kind), '') spans, count(*) filter (kind = 3)::bigint n_random

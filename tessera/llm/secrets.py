@@ -1,12 +1,20 @@
 """Secret scans in column expressions: fixed patterns with positions, and a randomness test battery.
 
-No Python runs on the executors. Positions come from split(): the pieces between the matches of a pattern and
-the matches themselves alternate, so running sums of their lengths are the code-point offsets.
+No Python runs on the executors. Positions come from split(): the pieces between the matches of a pattern and the matches
+themselves alternate, so running sums of their lengths are the code-point offsets. Running sums go block by block and
+texts are cut by way of chunks, so that the work on a text grows with its length, however many matches it holds.
+
+The battery asks two things of a token of the alphabet of its encoding. Is it like noise: chi-squared uniformity over the alphabet, runs of
+digits, small and capital letters, and serial correlation must all allow it. Is it unlike text: the same counts of repeated
+signs and of runs are held against those of words, names and paths, and the chance that text looks so random is the
+token's p. Benjamini-Hochberg over these p, per length band, picks what is reported, so that it is the share of text among the
+reported tokens that is bounded.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,29 +37,91 @@ ENCODINGS = (
     ("base62", "^[0-9A-Za-z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     ("base64", "^[0-9A-Za-z+/]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("base64url", "^[0-9A-Za-z_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
+    # TOKEN admits the signs of both base64 alphabets at once, as in dated paths; such a token is held against all 66 signs
+    ("base64union", "^[0-9A-Za-z+/_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"),
 )
-#: TOKEN admits the signs of both base64 alphabets at once, as in dated paths; such a token is held against all 66 signs.
-#: Apart from ENCODINGS, from which the SQL is built: the SQL leaves such tokens untested.
-UNION = ("base64union", "^[0-9A-Za-z+/_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_")
+#: Encodings in which case doesn't count, or one case is all there is.
+FOLDED = ("hex", "base36")
+
+
+def _noise_switch(alphabet: str) -> float:
+    """The chance that two letters or digits drawn evenly are of unlike class."""
+    n = [sum(map(f, alphabet)) for f in (str.isdigit, str.islower, str.isupper)]
+    return 1 - sum(x * x for x in n) / sum(n) ** 2
+
+
+#: Of each encoding: how often the class switches from one letter or digit to the next in noise and, at most, in text.
+NOISE_SWITCH = tuple(_noise_switch(x) for _, _, x in ENCODINGS)
+TEXT_SWITCH = tuple(0.25 if len(x) > 36 else 0.15 for _, _, x in ENCODINGS)
+#: The chance that two signs of a text are equal, at least (decimal numbers for hex; for words in any language it is 0.055 to
+#: 0.08, less with capitals, digits and separators between), and the part of three equal signs beyond its square.
+TEXT_PAIR = tuple(0.1 if len(x) == 16 else 0.042 for _, _, x in ENCODINGS)
+TEXT_TRIPLE = tuple(0.0 if len(x) == 16 else 0.0008 for _, _, x in ENCODINGS)
+#: A token is unlike noise where the tests, joined by Bonferroni, give less than this.
+ODD = 0.001
 #: Length bands of the false-discovery control; its level; steps of -log10(p).
 BANDS, LEVEL, STEPS_PER_DECADE, DECADES = (24, 32, 48, 64, 96), 0.05, 10, 30
 
 
+#: Elements of a block of a running sum; code points of a chunk of text.
+_BLOCK, _CHUNK = 256, 4096
+
+
+def running(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """For each of an array of non-negative longs what merge, sum or greatest, makes of those before it; 0 for the first.
+
+    Within a block, and over the blocks, results are appended one by one; a block is short, and blocks are few.
+    """
+    zero = F.lit(0).cast("long")
+
+    def steps(x: Column, first: Column) -> Column:
+        start = F.struct(first.alias("at"), F.array().cast("array<long>").alias("out"))
+        return F.aggregate(x, start, lambda a, v: F.struct(merge(a["at"], v).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))["out"]
+
+    def by_block(x: Column) -> Column:
+        block = lambda b: F.slice(x, b * _BLOCK + 1, _BLOCK)
+        blocks = F.sequence(F.lit(0), F.floor((F.size(x) - 1) / _BLOCK).cast("int"))
+        firsts = steps(F.transform(blocks, lambda b: F.aggregate(block(b), zero, merge)), zero)
+        return F.when(F.size(x) == 0, F.array().cast("array<long>")).when(F.size(x) <= _BLOCK, steps(x, zero)).otherwise(F.flatten(F.zip_with(blocks, firsts, lambda b, at: steps(block(b), at))))
+
+    return let(values, by_block)
+
+
 def _positions(text: Column, pattern: str) -> Column:
     """Array of (start, end, value) of the matches of a pattern."""
-    p = F.lit(pattern)
-    found, gaps = F.regexp_extract_all(text, p, F.lit(0)), F.split(text, pattern, -1)
-    walk = F.aggregate(
-        F.arrays_zip(gaps.alias("gap"), found.alias("found")),
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,end:long,value:string>>").alias("out")),
-        lambda a, x: F.when(x["found"].isNull(), a).otherwise(
-            F.struct(
-                (a["at"] + F.length(x["gap"]) + F.length(x["found"])).alias("at"),
-                F.concat(a["out"], F.array(F.struct((a["at"] + F.length(x["gap"])).alias("start"), (a["at"] + F.length(x["gap"]) + F.length(x["found"])).alias("end"), x["found"].alias("value")))).alias("out"),
-            )
-        ),
-    )["out"]
-    return walk
+    length = lambda x: F.length(x).cast("long")
+
+    def places(m: Column) -> Column:
+        gaps = F.transform(F.slice(m["gaps"], 1, F.size(m["found"])), length)
+        before = running(F.zip_with(gaps, m["found"], lambda g, f: g + F.length(f)), lambda a, v: a + v)
+        return F.transform(
+            F.arrays_zip(before.alias("before"), gaps.alias("gap"), m["found"].alias("found")),
+            lambda x: F.struct((x["before"] + x["gap"]).alias("start"), (x["before"] + x["gap"] + F.length(x["found"])).alias("end"), x["found"].alias("value")),
+        )
+
+    return let(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps")), places)
+
+
+def replaced(text: Column, spans: Column, fill: Callable[[Column, Column], Column]) -> Column:
+    """The text with fill(span, end of the spans before) in place of each span; spans are sorted by start and may overlap."""
+
+    def whole(e: Column) -> Column:
+        def cut(a: Column, z: Column) -> Column:
+            i, j = F.floor(a / _CHUNK).cast("int"), F.floor(z / _CHUNK).cast("int")
+            chunk = lambda at: F.coalesce(F.get(e["chunks"], at), F.lit(""))
+            inner = (a - F.lit(_CHUNK) * i + 1).cast("int")
+            far = F.concat(F.substring(chunk(i), inner, F.lit(_CHUNK)), F.array_join(F.slice(e["chunks"], i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.substring(chunk(j), F.lit(1), (z - F.lit(_CHUNK) * j).cast("int")))
+            return F.when(a >= z, F.lit("")).when(i == j, F.substring(chunk(i), inner, (z - a).cast("int"))).otherwise(far)
+
+        def pieces(before: Column) -> Column:
+            return F.zip_with(e["spans"], before, lambda s, b: F.concat(cut(b, F.greatest(b, s["start"])), fill(s, b)))
+
+        last = F.array_max(F.transform(e["spans"], lambda s: s["end"]))
+        ends = running(F.transform(e["spans"], lambda s: s["end"]), lambda a, v: F.greatest(a, v))
+        return F.concat(F.array_join(let(ends, pieces), ""), cut(last, F.length(e["text"]).cast("long")))
+
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0))
+    return F.when(F.size(spans) == 0, text).otherwise(let(F.struct(text.alias("text"), chunks.alias("chunks"), spans.alias("spans")), whole))
 
 
 def _tail(z: Column) -> Column:
@@ -63,42 +133,46 @@ def _tail(z: Column) -> Column:
 
 
 def battery(token: Column) -> Column:
-    """Struct (encoding, p) of a token: p is the chance that uniform noise of its encoding looks as structured.
+    """Struct (encoding, p) of a token: p is the chance that text of its encoding looks as random; 1 where it is no noise either.
 
-    Three tests, joined by Bonferroni: chi-squared uniformity over the alphabet (Wilson-Hilferty), runs above and
-    below the alphabet's middle, and lag-1 serial correlation of alphabet places. Padding isn't tested. Every token
-    of TOKEN has an encoding, so none goes untested. A token
-    of fewer than two of the classes digit, small and capital letter is a word or number: its p is 0.
+    Padding isn't tested. Every token of TOKEN has an encoding, so none goes untested. A token of fewer than two of the
+    classes digit, small and capital letter is a word or number: its p is 1.
     """
-    known = (*ENCODINGS, UNION)
     bare = F.regexp_replace(token, "=+$", "")
-    code = F.coalesce(*[F.when(bare.rlike(pattern), F.lit(i)) for i, (_, pattern, _) in enumerate(known)])
-    mixed = bare.rlike("[0-9].*[A-Za-z]|[A-Za-z].*[0-9]|[a-z].*[A-Z]|[A-Z].*[a-z]")
+    code = F.coalesce(*[F.when(bare.rlike(pattern), F.lit(i)) for i, (_, pattern, _) in enumerate(ENCODINGS)])
+    of = lambda e, values: F.element_at(F.array(*[F.lit(x) for x in values]), e["code"] + 1)
+    mixed = sum(bare.rlike(c).cast("int") for c in ("[0-9]", "[a-z]", "[A-Z]")) >= 2
 
     def places(e: Column) -> Column:
-        alphabet = F.element_at(F.array(*[F.lit(x) for _, _, x in known]), e["code"] + 1)
-        folded = F.when(e["code"].isin(0, 2), F.lower(e["bare"])).otherwise(e["bare"])
-        x = F.transform(F.filter(F.split(folded, ""), lambda c: c != ""), lambda c: F.instr(alphabet, c) - 1)
-        return F.struct(e["code"].alias("code"), F.length(alphabet).alias("k"), x.alias("x"), F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b"))).alias("pairs"))
-
-    def tests(e: Column) -> Column:
-        x, k, n = e["x"], e["k"].cast("double"), F.size(e["x"]).cast("double")
-        high = lambda c: c >= k / 2
-        squares = F.aggregate(F.sequence(F.lit(0), e["k"] - 1), F.lit(0.0), lambda a, v: a + F.pow(F.size(F.filter(x, lambda c: c == v)).cast("double"), F.lit(2.0)))
-        up = F.size(F.filter(x, high)).cast("double")
-        runs = 1.0 + F.size(F.filter(e["pairs"], lambda q: high(q["a"]) != high(q["b"])))
-        cov = F.aggregate(e["pairs"], F.lit(0.0), lambda a, q: a + (q["a"] - (k - 1) / 2) * (q["b"] - (k - 1) / 2))
-        return F.struct(e["code"].alias("code"), k.alias("k"), n.alias("n"), (squares * k / n - n).alias("chi"), runs.alias("runs"), (2 * up * (n - up) / n + 1).alias("mean"), (cov / (F.sqrt(n - 1) * (k * k - 1) / 12)).alias("serial"))
+        alphabet = of(e, [x for _, _, x in ENCODINGS])
+        folded = F.when(e["code"].isin(*[i for i, (name, _, _) in enumerate(ENCODINGS) if name in FOLDED]), F.lower(e["bare"])).otherwise(e["bare"])
+        return F.struct(e["code"].alias("code"), alphabet.alias("alphabet"), F.length(alphabet).alias("k"), folded.alias("folded"))
+
+    def counts(e: Column) -> Column:
+        n = F.length(e["folded"])
+        squares = F.aggregate(F.sequence(F.lit(1), e["k"]), F.lit(0.0), lambda a, v: a + F.pow((n - F.length(F.replace(e["folded"], F.substring(e["alphabet"], v, F.lit(1)), F.lit("")))).cast("double"), F.lit(2.0)))
+        alnum = F.regexp_replace(e["folded"], "[+/_-]", "")
+        x = F.transform(F.filter(F.split(e["folded"], ""), lambda c: c != ""), lambda c: F.instr(e["alphabet"], c) - 1 - (e["k"] - 1) / 2)
+        lag = let(x, lambda y: F.aggregate(F.zip_with(F.slice(y, 1, F.size(y) - 1), F.slice(y, 2, F.size(y) - 1), lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v))
+        runs = F.length(F.regexp_replace(alnum, "[0-9]++|[a-z]++|[A-Z]++", "x"))
+        return F.struct(e["code"].alias("code"), e["k"].cast("double").alias("k"), n.cast("double").alias("n"), squares.alias("squares"), (runs - 1.0).alias("switches"), (F.length(alnum) - 1.0).alias("m"), lag.alias("lag"))
 
     def scores(e: Column) -> Column:
-        spread = 2 / (9 * (e["k"] - 1))
-        z_chi = (F.pow(F.greatest(e["chi"], F.lit(0.0)) / (e["k"] - 1), F.lit(1 / 3)) - (1 - spread)) / F.sqrt(spread)
-        z_runs = F.abs(e["runs"] - e["mean"]) / F.sqrt(F.greatest((e["mean"] - 1) * (e["mean"] - 2) / (e["n"] - 1), F.lit(1e-9)))
-        least = F.array_min(F.transform(F.array(F.struct(F.lit(1.0), z_chi), F.struct(F.lit(2.0), z_runs), F.struct(F.lit(2.0), F.abs(e["serial"]))), lambda z: z["col1"] * _tail(z["col2"])))
-        return F.struct(e["code"].alias("encoding"), F.least(F.lit(1.0), 3 * least).alias("p"))
-
-    done = let(let(let(F.struct(code.alias("code"), bare.alias("bare")), places), tests), scores)
-    return F.when(mixed, done).otherwise(F.struct(code.alias("encoding"), F.lit(0.0).alias("p")))
+        k, n, m = e["k"], e["n"], e["m"]
+        spread = 2 / (9 * (k - 1))
+        w, q, pair, triple = (of(e, v) for v in (NOISE_SWITCH, TEXT_SWITCH, TEXT_PAIR, TEXT_TRIPLE))
+        chi = F.greatest(e["squares"] * k / n - n, F.lit(0.0))
+        z_chi = (F.pow(chi / (k - 1), F.lit(1 / 3)) - (1 - spread)) / F.sqrt(spread)
+        z_runs = F.abs(e["switches"] - m * w) / F.sqrt(m * w * (1 - w))
+        z_serial = F.abs(e["lag"]) / (F.sqrt(n - 1) * (k * k - 1) / 12)
+        noise = 3 * F.least(_tail(z_chi), 2 * _tail(z_runs), 2 * _tail(z_serial))
+        pairs = n * (n - 1)
+        z_pairs = (pairs * pair - (e["squares"] - n)) / F.sqrt(4 * pairs * (n - 2) * triple + 2 * pairs * (pair - pair * pair))
+        z_text = (e["switches"] - m * q) / F.sqrt(m * q * (1 - q))
+        return F.struct(e["code"].alias("encoding"), F.when(noise >= ODD, _tail((z_pairs + z_text) / math.sqrt(2))).otherwise(F.lit(1.0)).alias("p"))
+
+    done = let(let(let(F.struct(code.alias("code"), bare.alias("bare")), places), counts), scores)
+    return F.when(mixed, done).otherwise(F.struct(code.alias("encoding"), F.lit(1.0).alias("p")))
 
 
 def _band(n: Column) -> Column:
@@ -113,49 +187,49 @@ def _step(p: Column) -> Column:
     return F.least(F.lit(DECADES * STEPS_PER_DECADE), F.floor(-F.log10(F.greatest(p, F.lit(1e-300))) * STEPS_PER_DECADE).cast("int"))
 
 
+_SPAN = "struct<start:long,kind:int,end:long,value:string,encoding:int,p:double>"
+
+
 def scan(docs: DataFrame, text: str = "text", out: str = "found") -> DataFrame:
-    """docs with a column out: array of (start, end, kind, value, encoding, p), kind as a place in KINDS, p null but for random.
+    """docs with a column out: array of (start, kind, end, value, encoding, p) by start and kind, kind as a place in KINDS, p null but for random.
 
-    random spans aren't judged yet; they don't overlap the fixed patterns' spans.
+    random spans aren't judged yet; they are looked for in what the fixed patterns' spans leave.
     """
-    whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    t, base, more = fresh(docs, "text_in", "base_spans", "more_spans")
-    span = "array<struct<start:long,end:long,kind:int,value:string,encoding:int,p:double>>"
+    t, base = fresh(docs, "text_in", "base_spans")
+    span = lambda s, kind, code, p: F.struct(s["start"], F.lit(kind).alias("kind"), s["end"], s["value"], code.cast("int").alias("encoding"), p.cast("double").alias("p"))
+    none = F.array().cast(f"array<{_SPAN}>")
 
     def held(kind: int, hint: Column, pattern: str, ok=lambda v: F.lit(True)) -> Column:
-        spans = F.transform(F.filter(_positions(F.col(t), pattern), lambda s: ok(s["value"])), lambda s: F.struct(s["start"], s["end"], F.lit(kind).alias("kind"), s["value"], F.lit(None).cast("int").alias("encoding"), F.lit(None).cast("double").alias("p")))
-        return F.when(hint, spans).otherwise(F.array().cast(span))
+        spans = F.transform(F.filter(_positions(F.col(t), pattern), lambda s: ok(s["value"])), lambda s: span(s, kind, F.lit(None), F.lit(None)))
+        return F.when(hint, spans).otherwise(none)
 
     low = F.lower(F.col(t))
     hint = F.lit(False)
     for word in ("password", "passwd", "secret", "token", "apikey", "api_key"):
         hint = hint | F.contains(low, F.lit(word))
-    df = docs.withColumn(t, whole)
+    df = docs.withColumn(t, F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
     df = df.withColumn(
         base,
-        F.concat(
-            held(0, hint, ASSIGN, lambda v: F.length(F.regexp_extract(v, ASSIGN, 2)) >= 8),
-            held(1, F.contains(F.col(t), F.lit("AKIA")), ACCESS),
-            held(2, F.col(t).rlike(HEX), HEX),
+        F.array_sort(
+            F.concat(
+                held(0, hint, ASSIGN, lambda v: F.length(F.regexp_extract(v, ASSIGN, 2)) >= 8),
+                held(1, F.contains(F.col(t), F.lit("AKIA")), ACCESS),
+                held(2, F.col(t).rlike(HEX), HEX),
+            )
         ),
     )
-    free = lambda s: ~F.exists(F.col(base), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    tested = F.transform(
-        F.filter(_positions(F.col(t), TOKEN), free),
-        lambda s: let(battery(s["value"]), lambda r: F.struct(s["start"], s["end"], F.lit(3).alias("kind"), s["value"], r["encoding"].alias("encoding"), r["p"].alias("p"))),
-    )
-    df = df.withColumn(more, F.when(F.col(t).rlike(TOKEN), tested).otherwise(F.array().cast(span)))
-    df = df.withColumn(out, F.array_sort(F.concat(F.col(base), F.col(more)), lambda a, b: F.when(a["start"] != b["start"], F.signum((a["start"] - b["start"]).cast("double")).cast("int")).otherwise(a["kind"] - b["kind"])))
-    return df.drop(t, base, more)
+    blank = replaced(F.col(t), F.col(base), lambda s, b: F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(b, s["start"]), F.lit(0)).cast("int")))
+    tested = F.transform(_positions(blank, TOKEN), lambda s: let(battery(s["value"]), lambda r: span(s, 3, r["encoding"], r["p"])))
+    return df.withColumn(out, F.when(F.col(t).rlike(TOKEN), F.array_sort(F.concat(F.col(base), tested))).otherwise(F.col(base))).drop(t, base)
 
 
 def thresholds(scanned: DataFrame, found: str = "found", level: float = LEVEL) -> dict[int, int]:
-    """Per length band the step of -log10(p) from which a token counts as structured, by Benjamini-Hochberg at that level.
+    """Per length band the step of -log10(p) from which a token is reported, by Benjamini-Hochberg at that level.
 
     Only a histogram of (band, step) leaves the executors: at most len(BANDS) * (DECADES * STEPS_PER_DECADE + 1) rows,
     however large the corpus.
     """
-    c = F.explode(F.filter(F.col(found), lambda s: s["kind"] == 3))
+    c = F.explode(F.filter(F.col(f"`{found}`"), lambda s: s["kind"] == 3))
     rows = scanned.select(c.alias("s")).groupBy(_band(F.col("s.end") - F.col("s.start")).alias("band"), _step(F.col("s.p")).alias("step")).count().collect()
     out = {}
     for band in range(len(BANDS)):
@@ -170,19 +244,20 @@ def thresholds(scanned: DataFrame, found: str = "found", level: float = LEVEL) -
 
 
 def find_secrets(docs: DataFrame, text: str = "text", out: str = "found", level: float = LEVEL) -> DataFrame:
-    """docs with the array out of secrets (start, end, kind, value, encoding, p) in code points, end exclusive.
+    """docs with the array out of secrets (start, kind, end, value, encoding, p) in code points, end exclusive.
 
-    Kinds 0..2 are the fixed patterns. Kind 3 are tokens of TOKEN that no test of the battery tells from noise: among
-    all tokens of a length band in the corpus, those rejected as structured at a false-discovery rate of LEVEL go, so
-    that at most that share of them are random. A null or empty text has none, very long texts are scanned whole;
-    each of repeated rows keeps its row, other columns stay as they are whatever their names. An empty table gives none.
+    Kinds 0..2 are the fixed patterns. Kind 3 are tokens of TOKEN that the battery can't tell from noise and that text of their
+    encoding would hardly look like: among all tokens of a length band in the corpus those whose p Benjamini-Hochberg
+    passes at LEVEL, so that at most that share of the reported ones are text. A null or empty text has none; very long
+    texts are scanned whole, in time that grows with their length. Each of repeated rows keeps its row, other columns
+    stay as they are whatever their names; a column named out is replaced. An empty table gives none.
     """
     ids = fresh(docs, "scan_out")[0]
     scanned = stored(scan(docs, text, ids))
     cut = thresholds(scanned, ids, level)
     limit = lambda s: F.coalesce(*[F.when(_band(s["end"] - s["start"]) == b, F.lit(v)) for b, v in cut.items()])
-    judged = F.filter(F.col(ids), lambda s: (s["kind"] < 3) | (_step(s["p"]) < limit(s)))
-    return scanned.withColumn(ids, judged).withColumnRenamed(ids, out)
+    judged = F.filter(F.col(ids), lambda s: (s["kind"] < 3) | (_step(s["p"]) >= limit(s)))
+    return scanned.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != out.lower()], judged.alias(out))
 
 
 def spans_string(found: Column) -> Column:
@@ -202,10 +277,4 @@ def secret_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 def masked(text: Column, found: Column) -> Column:
     """The text with each span replaced by <kind>; of overlapping spans the first, extended, counts."""
     names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    step = lambda a, s: F.when(
-        s["start"] >= a["at"],
-        F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.element_at(names, s["kind"] + 1)).alias("out")),
-    ).otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out")))
-    done = F.aggregate(found, start, step)
-    return let(done, lambda d: F.concat(d["out"], F.substring(text, (d["at"] + 1).cast("int"), F.length(text))))
+    return replaced(text, found, lambda s, b: F.when(s["start"] >= b, F.element_at(names, s["kind"] + 1)).otherwise(F.lit("")))

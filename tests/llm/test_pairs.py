@@ -132,3 +132,19 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
     assert 0.99 * true <= found <= true
     assert sum(r["n_links"] != links[r["vec_id"]] or r["component_id"] != lab.get(r["vec_id"], r["vec_id"]) for r in got) <= 0.02 * len(got)
     assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_windows_hold_each_pair_once():
+    rng = np.random.default_rng(5)
+    starts, place = np.array([0, 4, 4, 40, 41, 90]), rng.standard_normal(90)
+    got = [tuple(sorted(p)) for i, j in vectors.windows(starts, place, 0.5) for p in zip(i.tolist(), j.tolist(), strict=True)]
+    want = [(a, b) for s, e in zip(starts, starts[1:], strict=False) for a in range(s, e) for b in range(a + 1, e) if abs(place[a] - place[b]) <= 0.5]
+    assert sorted(got) == sorted(want)
+
+
+def test_vectors_in_double_precision(spark):
+    """Pairs on both sides of the threshold that single precision can't tell, and components beyond its range."""
+    near, far = 0.95 + 1e-12, 0.95 - 1e-12
+    rows = [(1, [1.0, 0.0]), (2, [near, (1 - near * near) ** 0.5]), (3, [0.0, -1.0, 0.0]), (4, [0.0, -far, (1 - far * far) ** 0.5]), (5, [1e300, 1e300, 0.0, 1e10]), (6, [1e299, 1e299, 0.0, 0.0]), (7, [1e300])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4), 5: (1, 5), 6: (1, 5), 7: (0, 7)}

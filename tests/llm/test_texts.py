@@ -193,6 +193,27 @@ def without_repeats(rows, n):
     return sorted(out)
 
 
+def test_suffix_array_steps():
+    """Over ranges of a sorted array, the first entry that shares d bytes, with what a range inherits, against all entries."""
+    rng = random.Random(12)
+    rows = sorted("".join(rng.choice("ab") for _ in range(rng.randrange(0, 9))).encode() for _ in range(120))
+    cuts = [0, 1, 30, 31, 32, 90, 120]
+    before, tail, steps = ([], []), b"", ([], [])
+    for part, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        shared = int(suffixes.common_bytes([tail, rows[a]])[1])
+        before = ([*steps[0]], [*steps[1]])
+        suffixes.step(*before, shared, -1, 0)
+        ids, depths, last = [], [], rows[a]
+        for k in range(a, z):
+            suffixes.step(ids, depths, int(suffixes.common_bytes([last, rows[k]])[1]) if k > a else 0, (part << 32) + k - a, len(rows[k]))
+            last = rows[k]
+            steps = suffixes.inherit(before, list(ids), list(depths), part << 32)
+            for d in range(1, len(rows[k]) + 1):
+                got = next(i for i, depth in zip(*steps, strict=True) if depth >= d)
+                assert cuts[got >> 32] + (got & 0xFFFFFFFF) == next(i for i, x in enumerate(rows) if x[:d] == rows[k][:d])
+        tail = last
+
+
 @pytest.mark.parametrize("length", [400, 60])
 def test_repeated_strings_equal_brute_force(spark, length):
     rng = random.Random(8)

@@ -20,13 +20,17 @@ _BYTES = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(x for x
 
 
 class _Known(dict):
-    """The ids of pieces met so far, as bytes; learns a piece when it is asked for."""
+    """The ids of pieces met so far, as bytes; learns a piece when it is asked for.
 
-    LIMIT = 1_000_000
+    Pieces are dropped when they come to SIZE bytes, and met again. Longer ones than LONGEST, such as text without
+    spaces, are encoded each time.
+    """
+
+    LONGEST, SIZE = 64, 96 << 20
 
     def __init__(self, library, kind: str) -> None:
         self.library, self.tokenize, self.kind = library, library.model.tokenize, np.dtype(kind).char
-        self[""] = b""
+        self[""], self.size = b"", 0
 
     def __missing__(self, w: str) -> bytes:
         if w[-1] in ".," and _SIMPLE.fullmatch(w, 0, len(w) - 1):
@@ -36,9 +40,12 @@ class _Known(dict):
             out = self[low] if low != w else array(self.kind, [x.id for x in self.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(_BYTES))]).tobytes()
         else:
             out = array(self.kind, self.library.encode(w, add_special_tokens=False).ids).tobytes()
-        if len(self) > self.LIMIT:
+        if len(w) > self.LONGEST:
+            return out
+        self.size += 200 + len(w) + len(out)  # with what Python adds
+        if self.size > self.SIZE:
             self.clear()
-            self[""] = b""
+            self[""], self.size = b"", 0
         self[w] = out
         return out
 
@@ -49,7 +56,7 @@ class Encoder:
     The tokenizer drops white space before it looks for words and works on each piece between alone, so that the ids of
     a text are those of its pieces in order. Each distinct piece goes through the library once; a word with a
     full stop or comma has the ids of the word and of the mark, and a word of letters alone goes straight to the
-    library's model. Pieces are kept up to a bound, then dropped and met again.
+    library's model.
     """
 
     def __init__(self, path: str) -> None:

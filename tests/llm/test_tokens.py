@@ -56,6 +56,58 @@ def test_unigram_paths_have_least_weight():
     assert [t.text[i] for i in array("I", t.encode("ab"))] == ["▁", "ab"]
 
 
+def field(n, b):
+    return bytes([n << 3 | 2]) + (bytes([len(b)]) if len(b) < 128 else bytes([len(b) & 127 | 128, len(b) >> 7 & 127 | 128, len(b) >> 14 & 127 | 128, len(b) >> 21])) + b
+
+
+def unigram(normalizer: bytes) -> bytes:
+    """A model of a few hundred scored pieces and bytes, none trained."""
+    import random
+    import struct
+
+    rng = random.Random(13)
+    table = [("<unk>", 0.0, 2), *((f"<0x{b:02X}>", 0.0, 6) for b in range(256)), ("▁", -4.0, 1)]
+    names = {"▁▁", "fi", "x2", "▁a", "é"} | {rng.choice(["▁", ""]) + "".join(rng.choice("abcdeino123") for _ in range(rng.randrange(1, 5))) for _ in range(300)}
+    table += [(p, -round(rng.uniform(1, 12), 3), 1) for p in sorted(names)]
+    pieces_ = b"".join(field(1, field(1, p.encode()) + bytes([2 << 3 | 5]) + struct.pack("<f", s) + bytes([3 << 3, k])) for p, s, k in table)
+    return pieces_ + field(2, bytes([3 << 3, 1, 35 << 3 & 127 | 128, 35 >> 4, 1])) + field(3, normalizer)
+
+
+def _normalizers():
+    """Character maps of the library's rules, and all ways to treat spaces without one."""
+    out = [bytes([3 << 3, p, 4 << 3, c, 5 << 3, 1]) for p in (0, 1) for c in (0, 1)]
+    for rule in ("nmt_nfkc", "nfkc_cf"):
+        proto = sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto()
+        charsmap = next(v for f, v in pieces._fields(next(v for f, v in pieces._fields(proto) if f == 3)) if f == 2)
+        out.append(field(2, charsmap) + bytes([3 << 3, 1, 4 << 3, 1, 5 << 3, 1]))
+    return out
+
+
+MODELS = [(pieces.Transducer(m), sentencepiece.SentencePieceProcessor(model_proto=m)) for m in map(unigram, _normalizers())]
+MAPPED = st.text(st.one_of(st.sampled_from("abcdeino123  ﬁ²①Aé\u0301\u3000\u00a0\u200b\t\n½㌔ｱﾞ"), st.characters(exclude_categories=["Cs"])), max_size=40)
+
+
+@settings(max_examples=300, deadline=None)
+@given(MAPPED, st.sampled_from(range(6)))
+def test_unigram_models_equal_the_library(text, which):
+    ours, library = MODELS[which]
+    got, want = array("I", ours.encode(text)).tolist(), library.encode(text)
+    if got != want:  # of paths of equal weight either may win
+        weigh = lambda ids: sum(ours.weight[i] if not ours.is_byte[i] else 0 for i in ids)
+        assert abs(weigh(got) - weigh(want)) < 1e-3 and ours.decode(array("I", got)) == ours.decode(array("I", want))
+
+
+def test_caches_are_bounded():
+    kept = pieces.Kept(str.encode, 2000)
+    for k in range(100):
+        assert kept[f"{k}"] == b"%d" % k and kept["x" * 5000] == b"x" * 5000
+    assert len(kept) <= 10 and len(kept.old) <= 10 and not any(len(k) > kept.LONGEST for k in kept)
+    enc = tokens.encoder(WORDS)
+    before = len(enc.known)
+    enc.encode("漢" * 5000)
+    assert len(enc.known) == before
+
+
 def test_records_round_trip(spark, tmp_path):
     rows = [(9 - i, t) for i, t in enumerate(ODD)] + [(None, "null key"), (5, "twice"), (5, "twice")]
     df = spark.createDataFrame(rows, "doc_id long, text string")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new path under the shared folder in spark.checkpoint.dir; a temporary folder only where that is unset, as in tests."""
+    """A new path under the shared folder in spark.checkpoint.dir; a temporary folder where that is unset and all runs in this process."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/tessera/{uuid.uuid4().hex}"
@@ -37,7 +40,10 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df, dealt out evenly where it comes in fewer partitions than there are cores: a small table in one file."""
+    """df, dealt out evenly where it comes in fewer partitions than there are cores: a small table in one file.
+
+    Meant for scans, whose partitions are known without running anything.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 

@@ -17,9 +17,8 @@ from .components import components
 from .hashing import BASE, mix, ngram_hashes, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
-#: Bands of the candidate search and MinHash values in each: a pair at the threshold misses all with a chance of 3e-6.
-BANDS, ROWS = 32, 5
-VALUES = BANDS * ROWS
+#: MinHash values of a set, and the chance that a pair at the threshold shares no band of them.
+VALUES, MISS = 160, 4e-6
 #: MinHash values compared between two looks at the posterior, and the chance of a link below which a pair goes.
 STEP, TOLERANCE = 32, 1e-6
 _SKETCH = "key long, d1 long, d2 long, sketch binary"
@@ -80,7 +79,16 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) ->
     return out
 
 
-def candidates(sketches: np.ndarray, band: np.ndarray, i: np.ndarray, j: np.ndarray, need: list[int]) -> tuple[np.ndarray, np.ndarray]:
+def banding(threshold: float = THRESHOLD) -> tuple[int, int]:
+    """(bands, values in each) of the candidate search: the widest bands that a pair at the threshold misses with a chance of MISS at most."""
+    for rows in range(VALUES, 0, -1):
+        bands = VALUES // rows
+        if (1 - threshold**rows) ** bands <= MISS:
+            return bands, rows
+    raise ValueError(f"{VALUES} MinHash values find no pairs at a similarity of {threshold}")
+
+
+def candidates(sketches: np.ndarray, band: np.ndarray, i: np.ndarray, j: np.ndarray, need: list[int], bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Of pairs that share a band, those that share no earlier one and that the posterior keeps."""
     matches = np.zeros(len(i), np.int16)
     for k, least in enumerate(need):
@@ -89,7 +97,8 @@ def candidates(sketches: np.ndarray, band: np.ndarray, i: np.ndarray, j: np.ndar
         ok = matches >= least
         i, j, matches = i[ok], j[ok], matches[ok]
     if len(i):
-        first = (sketches[i].reshape(-1, BANDS, ROWS) == sketches[j].reshape(-1, BANDS, ROWS)).all(2).argmax(1)
+        used = bands * rows
+        first = (sketches[i, :used].reshape(-1, bands, rows) == sketches[j, :used].reshape(-1, bands, rows)).all(2).argmax(1)
         ok = first == band[i]
         i, j = i[ok], j[ok]
     return i, j
@@ -136,7 +145,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     class_id is the smallest doc_id that links lead to, kept is true for it. Texts of one shingle set, such as copies, are
     one set with a weight, so that copies are never expanded into pairs. Sets that share a band of MinHash values are
     compared: bands of any size are worked off block by block, pairs exist only inside a task, and
-    every pair that the posterior keeps is verified on the whole sets. A text without words, null or empty, and a row
+    every pair that the posterior keeps is verified on the whole sets. The bands follow from the threshold; one too low for
+    any is refused. A text without words, null or empty, and a row
     whose key is null link with nothing. Repeated rows are rows each; where rows of one doc_id differ, its links are those
     of all its texts. Other columns are ignored.
     """
@@ -149,17 +159,17 @@ def _classes(docs: DataFrame, key: str, text: str, threshold: float) -> DataFram
     sketches = stored(_sketches(row))
     known = sketches.filter("d1 is not null and key is not null")
     sets = stored(known.groupBy("d1", "d2").agg(F.min("key").alias("item"), F.count("*").alias("weight"), F.first("sketch").alias("sketch")))
-    need = least_matches(threshold)
+    need, (bands, rows_each) = least_matches(threshold), banding(threshold)
 
-    bands = F.array(*[F.xxhash64(F.lit(b), F.substring(F.col("sketch"), 2 * ROWS * b + 1, 2 * ROWS)) for b in range(BANDS)])
-    members = sets.select("item", "d1", F.posexplode(bands).alias("band", "bucket")).select("bucket", "band", "item", "d1")
+    buckets = F.array(*[F.xxhash64(F.lit(b), F.substring(F.col("sketch"), 2 * rows_each * b + 1, 2 * rows_each)) for b in range(bands)])
+    members = sets.select("item", "d1", F.posexplode(buckets).alias("band", "bucket")).select("bucket", "band", "item", "d1")
     held = units(members, "d1").join(sets.select("item", "d1", "weight", "sketch"), ["item", "d1"])
 
     def alive(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         x = _matrix(rows)
         band, keep = column(rows, "band"), np.zeros(rows.num_rows, bool)
         for i, j in pairs(starts, column(rows, "side")):
-            i, j = candidates(x, band, i, j, need)
+            i, j = candidates(x, band, i, j, need, bands, rows_each)
             keep[i] = keep[j] = True
         if keep.any():
             yield from rows.filter(pa.array(keep)).select([n.split(" ")[0] for n in unit_schema.split(", ")]).combine_chunks().to_batches()
@@ -184,7 +194,7 @@ def _classes(docs: DataFrame, key: str, text: str, threshold: float) -> DataFram
         own = [np.frombuffer(h, np.uint64) for h in rows.column("hashes").to_pylist()]
         size = np.array([len(h) for h in own])
         for i, j in pairs(starts, column(rows, "side")):
-            i, j = candidates(x, band, i, j, need)
+            i, j = candidates(x, band, i, j, need, bands, rows_each)
             if len(i):
                 common = overlaps(own, i, j)
                 ok = (common >= threshold * (size[i] + size[j] - common) - 1e-9) & (item[i] != item[j])

@@ -24,7 +24,7 @@ _DIRECTIONS: dict[int, np.ndarray] = {}
 
 
 def directions(vocabulary: int) -> np.ndarray:
-    """A pseudo-random number of standard normal spread per token id and dimension, from hashes of both."""
+    """A pseudo-random number of mean 0 and variance 1, evenly spread, per token id and dimension, from hashes of both."""
     if vocabulary not in _DIRECTIONS:
         with np.errstate(over="ignore"):
             x = mix(np.arange(1, vocabulary * DIMS + 1, dtype=np.uint64) * BASE)

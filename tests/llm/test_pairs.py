@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import blocks, components, neardup, vectors
@@ -41,6 +42,29 @@ def test_posterior_limits_grow_and_keep_the_threshold():
     assert need == sorted(need) and need[-1] < neardup.THRESHOLD * neardup.VALUES
 
 
+def test_bands_follow_from_the_threshold():
+    assert neardup.banding(0.8) == (32, 5) and neardup.banding(0.5)[1] == 2
+    for t in (0.1, 0.3, 0.5, 0.6, 0.9, 0.97, 1.0):
+        bands, rows = neardup.banding(t)
+        assert bands * rows <= neardup.VALUES and (1 - t**rows) ** bands <= neardup.MISS
+    with pytest.raises(ValueError):
+        neardup.banding(0.01)
+
+
+def test_near_duplicates_at_a_lower_threshold(spark):
+    rng = random.Random(4)
+    rows, sets = [], []
+    for k in range(60):
+        body = [f"w{k}_{i}" for i in range(100)]
+        rows += [(2 * k, " ".join(body)), (2 * k + 1, " ".join(body[: rng.randrange(45, 75)] + [f"v{k}_{i}" for i in range(8)]))]
+    for _, t in rows:
+        w = t.split(" ")
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+    want = {k: int(any(j != k and len(a & b) >= 0.5 * len(a | b) for j, b in enumerate(sets))) for k, a in enumerate(sets)}
+    got = {r["doc_id"]: r["n_links"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), threshold=0.5).collect()}
+    assert got == want and 40 < sum(want.values()) < 120
+
+
 def near_texts():
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefg") for _ in range(5))

@@ -155,10 +155,14 @@ def test_packing_holds_each_id_once(spark):
         assert r["offset"] == seqs.get(r["sequence_id"], 0)
         seqs[r["sequence_id"]] = r["offset"] + r["length"]
     assert all(n <= 4096 and n & (n - 1) == 0 for n in seqs.values())
-    ids = np.array(lib.encode(rows[40][1], add_special_tokens=False).ids + [2], "<u4")
-    for r in got:
-        if r["doc_id"] == rows[40][0]:
-            assert r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes())
+    ids = {}
+    for k, t in rows:
+        ids.setdefault(k, []).append(np.array(lib.encode(t or "", add_special_tokens=False).ids + [2], "<u4"))
+    for k, held in ids.items():
+        own = [r for r in got if r["doc_id"] == k]
+        assert sorted((r["doc_tokens"], i) for r in own for i in range(r["start"], r["start"] + r["length"])) == sorted((len(x), i) for x in held for i in range(len(x)))
+        for r in own:
+            assert r["ids_crc32"] in {zlib.crc32(x[r["start"] : r["start"] + r["length"]].tobytes()) for x in held if len(x) == r["doc_tokens"]}
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), WORDS).count() == 0
 
 

@@ -245,10 +245,16 @@ def _spread(first: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 
 def _roles(table: DataFrame, length: int) -> DataFrame:
-    """(rid, weight) of texts that have copies: 2 for the first of them, which stands for all, 0 for the others."""
+    """(rid, weight) of texts that have copies: 2 for the first of them, which stands for all, 0 for the others.
+
+    Texts with more copies than a HOT_SHARE of all rows, HOT_SHARE texts at most, are broadcast; the others are joined by digest.
+    """
     own = stored(table.filter(F.length("body") >= length).select("rid", F.md5("body").alias("digest")))
-    copies = own.groupBy("digest").agg(F.min("rid").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    return stored(own.join(copies.hint("merge"), "digest").select("rid", F.when(F.col("rid") == F.col("first"), 2).otherwise(0).alias("weight")))
+    copies = stored(own.groupBy("digest").agg(F.min("rid").alias("first"), F.count("*").alias("n")).filter("n > 1"))
+    hot = F.col("n") * HOT_SHARE > own.count()
+    often = F.broadcast(copies.filter(hot))
+    held = own.join(often.select("digest"), "digest", "left_anti").join(copies.filter(~hot).hint("merge"), "digest").unionByName(own.join(often, "digest"))
+    return stored(held.select("rid", F.when(F.col("rid") == F.col("first"), 2).otherwise(0).alias("weight")))
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
@@ -109,6 +109,23 @@ def cascade(df: DataFrame, gates: Gates = Gates()) -> DataFrame:
     return df.withColumn("best", F.when(F.col("largest") < gates.skip_max, skip).otherwise(F.col("best")))
 
 
+def skip_predicates(df: DataFrame, step: int = 27) -> DataFrame:
+    """Adds may_skip, skip_by_sad and skip_by_mse to blocks in order: whether a block can be shown by the decoded block before.
+
+    Decoded is the source before plus its quantised residual. may_skip: the largest difference to the decoded block is below 4, or the
+    source hardly moved (largest below 3, all below half a level a pixel) and the decoded block is within 8. The older rules ask for a mean absolute
+    or squared difference to the source before below 2. A block without one before can't be skipped.
+    """
+    w = Window.partitionBy("video", "by", "bx").orderBy("frame")
+    df = residual(stats(df), step).withColumn("_decoded", F.lag(F.coalesce("recon", "px")).over(w))
+    far = fn.largest_diff(F.col("px"), F.col("_decoded"))
+    n = F.size("px")
+    still = (F.col("largest") < 3) & (2 * F.col("sad") < n)
+    has = lambda c: F.coalesce(c, F.lit(False))
+    df = df.withColumn("may_skip", has((far < 4) | still & (far < 8))).withColumn("skip_by_sad", has(F.col("sad") < 2 * n))
+    return df.withColumn("skip_by_mse", has(fn.ssd(F.col("px"), F.col("prev")) < 2 * n)).drop("_decoded")
+
+
 def rd_optimal(df: DataFrame) -> DataFrame:
     """Adds best: the cheapest of all candidates, whatever the gates; the earlier of equals."""
     order = ["raw", "solid", "exact", "two", "dithered", "coded"]

@@ -1,119 +1,79 @@
-"""Closed-loop coding: each frame is predicted from what the decoder has, so a video is a fold over its frames."""
+"""Closed-loop coding, where each block is predicted from what the decoder has, and covers of equal modes."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CODED = "video int, frame int, mode string, n long, bytes long, sse long, background double"
-
-
-@dataclass
-class Loop:
-    """The decoder's state: the frame before, the slow background and how to price modes. side and block in pixels."""
-
-    side: int
-    block: int
-    step: int = 27
-    rate: float = 0.012
-    reach: int = 2
-    cut: float = 35.0
-    prev: np.ndarray | None = None
-    background: np.ndarray | None = None
-    vector: tuple[int, int] | None = field(default=None)
-
-    def _at(self, frame: np.ndarray, y: int, x: int) -> np.ndarray | None:
-        inside = 0 <= y <= self.side - self.block and 0 <= x <= self.side - self.block
-        return frame[y : y + self.block, x : x + self.block] if inside else None
-
-    def _moved(self, y: int, x: int, vector: tuple[int, int]) -> np.ndarray | None:
-        return self._at(self.prev, y - vector[0], x - vector[1])
-
-    def _choices(self, now: np.ndarray, y: int, x: int) -> Iterator[tuple[float, int, str, np.ndarray, tuple[int, int] | None]]:
-        """(cost, bytes, mode, decoded, vector) of each way to code a block, in the order that settles ties."""
-        price = lambda size, got: size + self.rate * np.abs(now - got).sum()
-        close = lambda got: (d := np.abs(now - got)).max() < 14 and (d * d).mean() < 40
-        then = self._at(self.prev, y, x)
-        yield price(now.size + 1, then), now.size + 1, "raw", now, None
-        back = np.trunc(self._at(self.background, y, x))
-        if close(back):
-            yield price(1, back), 1, "background", back, None
-        if np.ptp(now) < 10:
-            got = np.full_like(now, int(now.mean()))
-            yield price(2, got), 2, "solid", got, None
-        if self.vector and (got := self._moved(y, x, self.vector)) is not None and close(got):
-            yield price(1, got), 1, "cached motion", got, self.vector
-        else:
-            span = range(-self.reach, self.reach + 1)
-            tried = [(((now - got) ** 2).sum(), dy, dx) for dy in span for dx in span if (got := self._moved(y, x, (dy, dx))) is not None]
-            _, dy, dx = min(tried)
-            got = self._moved(y, x, (dy, dx))
-            if close(got):
-                yield price(3, got), 5, "motion", got, (dy, dx)
-            shift = int(now.mean() - got.mean())
-            faded = np.clip(got + shift, 0, 255)
-            if abs(shift) <= 24 and ((now - faded) ** 2).mean() < 180:
-                yield price(4, faded), 6, "faded motion", faded, (dy, dx)
-        q = np.rint((now - then) / self.step)
-        got = np.clip(then + q * self.step, 0, 255)
-        n = int(np.count_nonzero(q))
-        size = 1 + 2 * n if n < now.size / 2 else 1 + now.size
-        yield price(size, got), size, "residual", got, None
-
-    def step_frame(self, frame: np.ndarray) -> tuple[np.ndarray, list[tuple[str, int]]]:
-        """The decoded frame and (mode, bytes) of its blocks; moves the state on."""
-        frame = frame.reshape(self.side, self.side).astype(float)
-        if self.prev is None or np.abs(frame - self.prev).mean() > self.cut:
-            self.prev, self.background, self.vector = frame.copy(), frame.copy(), None
-            return frame, [("key", frame.size)]
-        out, log, self.vector = np.empty_like(frame), [], None
-        for y in range(0, self.side, self.block):
-            for x in range(0, self.side, self.block):
-                now, then = self._at(frame, y, x), self._at(self.prev, y, x)
-                if np.abs(now - then).max() < 4:
-                    mode, size, got = "skip", 0, then
-                else:
-                    best = None
-                    for choice in self._choices(now, y, x):
-                        if best is None or choice[0] < best[0]:
-                            best = choice
-                    _, size, mode, got, vector = best
-                    self.vector = vector or self.vector
-                out[y : y + self.block, x : x + self.block] = got
-                log.append((mode, size))
-        still = (np.abs(out - self.prev) < 2) & (np.abs(out - self.background) < 4)
-        self.background = np.where(still, 0.95 * self.background + 0.05 * out, self.background)
-        self.prev = out
-        return out, log
+from ..functions import scalars as fn
+
+#: Price of a unit of error, step of the quantiser, mean change from which a block starts afresh.
+RATE, STEP, CUT = 0.012, 27, 35
+
+
+def _bound(value: Column, then) -> Column:
+    """then(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def closed_loop(frames: DataFrame, side: int, block: int) -> DataFrame:
-    """CODED per video, frame and mode of frames (video, frame, px): blocks, bytes and, on each row, the frame's squared error.
+    """(video, by, bx, frame, mode, bytes, sse) of the blocks of frames (video, frame, px).
 
-    One shuffle puts a video's frames in order; they stream through, and a task holds the state of one video.
+    A fold over each block's series in order: its state is the decoded block and a slow background. A block that changed by more than CUT a
+    pixel is a key. One within 4 of the decoded block is skipped. Else the cheapest of raw, background, solid and residual wins, the
+    earlier of equals; a cost is bytes + RATE * the sum of absolute errors, and the background may stand in only where
+    it is near in mean, square and largest error. A series is as long as its video.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        video = loop = None
-        for batch in batches:
-            rows = []
-            for v, f, px in batch.itertuples(index=False):
-                if v != video:
-                    video, loop = v, Loop(side, block)
-                source = np.asarray(px)
-                out, log = loop.step_frame(source)
-                sse = int(((out.reshape(-1) - source) ** 2).sum())
-                for mode in sorted({m for m, _ in log}):
-                    sizes = [s for m, s in log if m == mode]
-                    rows.append((v, f, mode, len(sizes), sum(sizes), sse, round(float(loop.background.mean()), 6)))
-            yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in CODED.split(", ")])
-
-    return frames.select("video", "frame", "px").repartition("video").sortWithinPartitions("video", "frame").mapInPandas(run, CODED)
+    n, area = side // block, block * block
+    cut = F.transform(F.sequence(F.lit(0), F.lit(area - 1)), lambda i: F.get("px", (F.col("by") * block + F.floor(i / block).cast("int")) * side + F.col("bx") * block + i % block))
+    grid = F.explode(F.array(*[F.struct(F.lit(y).alias("by"), F.lit(x).alias("bx")) for y in range(n) for x in range(n)]))
+    rows = frames.select("video", "frame", "px", grid.alias("g")).select("video", "frame", "px", "g.by", "g.bx").withColumn("px", cut)
+    series = rows.groupBy("video", "by", "bx").agg(F.array_sort(F.collect_list(F.struct("frame", "px"))).alias("series"))
+    result = "array<struct<frame:int,mode:string,bytes:int,sse:long>>"
+
+    def choice(cost: Column, rank: int, mode: str, size: Column, got: Column) -> Column:
+        return F.struct(cost.cast("double").alias("cost"), F.lit(rank).alias("rank"), F.lit(mode).alias("mode"), size.cast("int").alias("bytes"), got.alias("got"))
+
+    def options(e: Column) -> Column:
+        now, then, back, coded = e["now"], e["then"], e["back"], e["coded"]
+        price = lambda size, got: size + RATE * fn.sad(now, got)
+        level = F.array_repeat(F.floor(fn.array_sum(now) / area).cast("int"), area)
+        near = (fn.sad(now, back) < 6 * area) & (fn.ssd(now, back) < 40 * area) & (fn.largest_diff(now, back) < 14)
+        nnz = F.size(F.filter(e["q"], lambda v: v != 0))
+        size = F.when(2 * nnz < area, 1 + 2 * nnz).otherwise(1 + area)
+        found = F.array(
+            choice(price(F.lit(area + 1), then), 0, "raw", F.lit(area + 1), now),
+            F.when(near, choice(price(F.lit(1), back), 1, "background", F.lit(1), back)),
+            F.when(F.array_max(now) - F.array_min(now) < 10, choice(price(F.lit(2), level), 2, "solid", F.lit(2), level)),
+            choice(price(size, coded), 3, "residual", size, coded),
+        )
+        best = F.array_min(F.array_compact(found))
+        return F.when(fn.largest_diff(now, then) < 4, choice(F.lit(0), 0, "skip", F.lit(0), then)).otherwise(best)
+
+    def step(a: Column, x: Column) -> Column:
+        def coded(e: Column) -> Column:
+            return _bound(F.struct(e["now"].alias("now"), e["then"].alias("then"), e["back"].alias("back"), e["q"].alias("q"), F.zip_with(e["then"], e["q"], lambda p, q: fn.dequantize(p, q, STEP)).alias("coded")), options)
+
+        now, then = x["px"], a["decoded"]
+        fresh = (F.size(then) == 0) | (fn.sad(now, then) > CUT * area)
+        parts = F.struct(now.alias("now"), then.alias("then"), F.transform(a["background"], lambda v: v.cast("int")).alias("back"), F.zip_with(now, then, lambda v, p: fn.quantize(v - p, STEP)).alias("q"))
+        best = F.when(fresh, choice(F.lit(0), 0, "key", F.lit(area), now)).otherwise(_bound(parts, coded))
+
+        def moved(b: Column) -> Column:
+            blend = F.zip_with(F.arrays_zip(then.alias("then"), a["background"].alias("bg")), b["got"], lambda o, v: F.when((F.abs(v - o["then"]) < 2) & (F.abs(v - o["bg"]) < 4), 0.95 * o["bg"] + 0.05 * v).otherwise(o["bg"]))
+            log = F.struct(x["frame"].alias("frame"), b["mode"].alias("mode"), b["bytes"].alias("bytes"), fn.ssd(now, b["got"]).cast("long").alias("sse"))
+            background = F.when(fresh, F.transform(now, lambda v: v.cast("double"))).otherwise(blend)
+            return F.struct(b["got"].alias("decoded"), background.alias("background"), F.concat(a["out"], F.array(log)).alias("out"))
+
+        return _bound(best, moved)
+
+    start = F.struct(F.array().cast("array<int>").alias("decoded"), F.array().cast("array<double>").alias("background"), F.array().cast(result).alias("out"))
+    df = series.select("video", "by", "bx", F.explode(F.aggregate("series", start, step)["out"]).alias("o"))
+    return df.select("video", "by", "bx", "o.frame", "o.mode", "o.bytes", "o.sse")
 
 
 def boxes_of_equal_modes(modes: np.ndarray, longest: int = 8) -> list[tuple[int, int, int, int]]:

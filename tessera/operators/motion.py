@@ -1,32 +1,69 @@
-"""Motion search as a range join that is an equi-join: offsets are enumerated, shifted pixels meet by place."""
+"""Motion search within rows: each frame carries the one before, and a block's offsets are scored by array expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scalars as fn
+from .tracking import with_previous
+
+
+def _patch(px: str, y: Column, x: Column, block: int, side: int) -> Column:
+    """The block of a frame whose corner is (y, x)."""
+    return F.transform(F.sequence(F.lit(0), F.lit(block * block - 1)), lambda i: F.get(px, (y + F.floor(i / block).cast("int")) * side + x + i % block))
+
+
+def _scored(frames: DataFrame, block: int, reach: int, side: int, at_least: int, score: Callable[[Column, Column], dict[str, Column]], least: Callable[[Column], Column]) -> DataFrame:
+    """(video, frame, by, bx, found): of each block that changed by at_least, the least of least() over what score() makes of its offsets.
+
+    A block is compared with what the frame before shows dy, dx before it, for offsets up to reach that stay in the frame.
+    The only shuffle is the one that puts frames beside the ones before them.
+    """
+    n, wide = side // block, 2 * reach + 1
+    grid = F.explode(F.array(*[F.struct(F.lit(y).alias("by"), F.lit(x).alias("bx")) for y in range(n) for x in range(n)]))
+    df = with_previous(frames).select("video", "frame", "px", "prev", grid.alias("g")).select("video", "frame", "px", "prev", "g.by", "g.bx")
+    top, left = F.col("by") * block, F.col("bx") * block
+    df = df.withColumn("now", _patch("px", top, left, block, side)).filter(fn.sad(F.col("now"), _patch("prev", top, left, block, side)) >= at_least)
+    offsets = F.transform(F.sequence(F.lit(0), F.lit(wide * wide - 1)), lambda o: F.struct((F.floor(o / wide).cast("int") - reach).alias("dy"), (o % wide - reach).alias("dx")))
+    inside = F.filter(offsets, lambda o: (top - o["dy"]).between(0, side - block) & (left - o["dx"]).between(0, side - block))
+
+    def tried(o: Column) -> Column:
+        then = F.array(_patch("prev", top - o["dy"], left - o["dx"], block, side))
+        return F.get(F.transform(then, lambda t: F.struct(*[c.alias(name) for name, c in {**score(F.col("now"), t), "dy": o["dy"], "dx": o["dx"]}.items()])), F.lit(0))
 
-def search(pixels: DataFrame, block: int, reach: int, side: int, at_least: int = 1) -> DataFrame:
+    return df.select("video", "frame", "by", "bx", F.array_min(F.transform(F.transform(inside, tried), least)).alias("found"))
+
+
+def search(frames: DataFrame, block: int, reach: int, side: int, at_least: int = 1) -> DataFrame:
     """(video, frame, by, bx, dy, dx, ssd, sum_now, sum_then): for each block that changed, the offset of the least squared error.
 
-    A block is compared with what frame - 1 shows dy, dx before it, for offsets up to reach that stay in the frame; of equal
-    errors the least dy, then dx, wins. Blocks that differ from their place by less than at_least in all are left out before
-    the join. Pixels of the frame before are read by (video, frame, y, x): no theta join.
+    Of equal errors the least dy, then dx, wins. Blocks that differ from their place by less than at_least in all are left out.
+    """
+    score = lambda now, then: {"ssd": fn.ssd(now, then), "sum_now": fn.array_sum(now), "sum_then": fn.array_sum(then)}
+    order = lambda s: F.struct(*[s[c].alias(c) for c in ("ssd", "dy", "dx", "sum_now", "sum_then")])
+    found = _scored(frames, block, reach, side, at_least, score, order)
+    return found.select("video", "frame", "by", "bx", "found.dy", "found.dx", "found.ssd", "found.sum_now", "found.sum_then")
+
+
+def correlated(frames: DataFrame, block: int, reach: int, side: int) -> DataFrame:
+    """(video, frame, by, bx, dy, dx, correlation, ssd): for each block that changed, the offset of the largest normalised correlation.
+
+    Patches of one level have none and are passed over; of equal correlations the least dy, then dx, wins.
     """
-    then = pixels.select("video", (F.col("frame") + 1).alias("frame"), F.col("y").alias("sy"), F.col("x").alias("sx"), F.col("v").alias("p"))
-    now = pixels.withColumn("by", F.floor(F.col("y") / block).cast("int")).withColumn("bx", F.floor(F.col("x") / block).cast("int"))
-    w = Window.partitionBy("video", "y", "x").orderBy("frame")
-    moved = now.withColumn("d", F.abs(F.col("v") - F.lag("v").over(w))).groupBy("video", "frame", "by", "bx").agg(F.sum("d").alias("sad"))
-    live = now.join(moved.filter(F.col("sad") >= at_least).select("video", "frame", "by", "bx"), ["video", "frame", "by", "bx"])
-    span = F.sequence(F.lit(-reach), F.lit(reach))
-    tried = live.withColumn("dy", F.explode(span)).withColumn("dx", F.explode(span))
-    tried = tried.filter((F.col("by") * block - F.col("dy")).between(0, side - block) & (F.col("bx") * block - F.col("dx")).between(0, side - block))
-    tried = tried.withColumn("sy", F.col("y") - F.col("dy")).withColumn("sx", F.col("x") - F.col("dx"))
-    e = F.col("v") - F.col("p")
-    scored = tried.join(then, ["video", "frame", "sy", "sx"]).groupBy("video", "frame", "by", "bx", "dy", "dx")
-    scored = scored.agg(F.sum(e * e).alias("ssd"), F.sum("v").alias("sum_now"), F.sum("p").alias("sum_then"))
-    best = F.min(F.struct("ssd", "dy", "dx", "sum_now", "sum_then"))
-    return scored.groupBy("video", "frame", "by", "bx").agg(best.alias("b")).select("video", "frame", "by", "bx", "b.dy", "b.dx", "b.ssd", "b.sum_now", "b.sum_then")
+    n = block * block
+
+    def score(now: Column, then: Column) -> dict[str, Column]:
+        a, b = fn.array_sum(now), fn.array_sum(then)
+        cross = fn.array_sum(F.zip_with(now, then, lambda x, y: x * y))
+        spread = (n * fn.array_sum(F.transform(now, lambda x: x * x)) - a * a).cast("double") * (n * fn.array_sum(F.transform(then, lambda x: x * x)) - b * b)
+        return {"r": F.when(spread > 0, F.round((n * cross - a * b) / F.sqrt(spread), 6)), "ssd": fn.ssd(now, then)}
+
+    order = lambda s: F.when(s["r"].isNotNull(), F.struct((-s["r"]).alias("less"), s["dy"].alias("dy"), s["dx"].alias("dx"), s["ssd"].alias("ssd")))
+    found = _scored(frames, block, reach, side, 1, score, order).filter("found is not null")
+    return found.select("video", "frame", "by", "bx", "found.dy", "found.dx", (F.lit(0.0) - F.col("found.less")).alias("correlation"), "found.ssd")
 
 
 def shifts(found: DataFrame, area: int, most: int = 24) -> DataFrame:

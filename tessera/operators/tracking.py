@@ -30,15 +30,35 @@ def box_overlap(df: DataFrame) -> DataFrame:
     return df.select("video", "frame", (edge("bx", "w") * edge("by", "h")).alias("inter"), F.round(fn.iou(*box, *then_box), 6).alias("iou"))
 
 
-def block_tags(pixels: DataFrame, block: int) -> DataFrame:
-    """(video, frame, by, bx, edge, spread, tag): EDGE, CHAOS, MOTION or FLAT by central differences and variance in a block."""
-    row, col = Window.partitionBy("video", "frame", "y").orderBy("x"), Window.partitionBy("video", "frame", "x").orderBy("y")
-    slope = lambda w: F.abs(F.coalesce(F.lead("v").over(w) - F.lag("v").over(w), F.lit(0)))
-    df = pixels.withColumn("g", F.greatest(slope(row), slope(col)))
-    df = df.groupBy("video", "frame", F.floor(F.col("y") / block).cast("int").alias("by"), F.floor(F.col("x") / block).cast("int").alias("bx"))
-    df = df.agg(F.max("g").alias("edge"), F.round(F.var_pop("v"), 6).alias("spread"))
-    tag = F.when(F.col("edge") > 40, "EDGE").when(F.col("spread") > 1.5, "CHAOS").when(F.col("edge") > 0, "MOTION").otherwise("FLAT")
-    return df.withColumn("tag", tag)
+def sobel_terms(block: int) -> list[tuple[dict[int, int], dict[int, int]]]:
+    """For each pixel of a block the weights of its pixels in the 3 x 3 Sobel slopes along x and y; borders mirror without the edge."""
+    mirror = lambda k: -k if k < 0 else 2 * (block - 1) - k if k >= block else k
+    out = []
+    for y in range(block):
+        for x in range(block):
+            gx, gy = {}, {}
+            for dy in (-1, 0, 1):
+                for dx in (-1, 0, 1):
+                    at = mirror(y + dy) * block + mirror(x + dx)
+                    gx[at] = gx.get(at, 0) + dx * (2 - abs(dy))
+                    gy[at] = gy.get(at, 0) + dy * (2 - abs(dx))
+            out.append(tuple({k: w for k, w in g.items() if w} for g in (gx, gy)))
+    return out
+
+
+def block_tags(blocks: DataFrame, block: int) -> DataFrame:
+    """(video, frame, by, bx, edge, motion, spread, tag): EDGE by the mean of both Sobel slopes within a block, else CHAOS or MOTION by
+    variance and mean of how far its pixels are from the frame before, else FLAT. All within a row; a block of the first frame is still.
+    """
+    dot = lambda g: F.abs(sum((w * F.get("px", at) for at, w in g.items()), F.lit(0)))
+    n = block * block
+    edge = sum((dot(gx) + dot(gy) for gx, gy in sobel_terms(block)), F.lit(0)).cast("double") / n
+    moved = F.coalesce(F.zip_with("px", "prev", lambda a, b: F.abs(a - b)), F.array_repeat(F.lit(0), n))
+    df = blocks.select("video", "frame", "by", "bx", edge.alias("edge"), moved.alias("moved"))
+    total, squares = fn.array_sum(F.col("moved")), fn.array_sum(F.transform("moved", lambda v: v * v))
+    df = df.withColumn("motion", total.cast("double") / n).withColumn("spread", F.round((n * squares - total * total).cast("double") / (n * n), 6))
+    tag = F.when(F.col("edge") > 40, "EDGE").when(F.col("spread") > 1.5, "CHAOS").when(F.col("motion") > 0.5, "MOTION").otherwise("FLAT")
+    return df.select("video", "frame", "by", "bx", "edge", "motion", "spread", tag.alias("tag"))
 
 
 def cosine_basis(side: int, keep: int) -> list[list[float]]:
@@ -59,17 +79,20 @@ def dct(frames: DataFrame, side: int, keep: int) -> DataFrame:
     return df.select("video", "frame", "d.ky", "d.kx", (F.round("d.c", 3) + F.lit(0.0)).alias("coefficient"))
 
 
-def hash_matches(frames: DataFrame, side: int, keep: int, bits: int = 12) -> DataFrame:
+def hash_matches(frames: DataFrame, side: int, keep: int) -> DataFrame:
     """(video, frame, then_frame, k): up to keep latest earlier frames with the same difference hash.
 
-    A bit of the hash says whether a pixel is brighter than the one to its left. A frame looks back through the list of its
-    own hash, which a window holds in order, so that a common hash makes keep rows per frame, not one per pair.
+    The frame is halved by sums of 2 x 2 pixels; a bit of the hash says whether a sum is above the one to its left, so every
+    pixel counts. A frame looks back through the list of its own hash, which a window holds in order, so that a common
+    hash makes keep rows per frame, not one per pair.
     """
-    n = side * (side - 1)
-    at = lambda i, o: F.get("px", (i / (side - 1)).cast("int") * side + i % (side - 1) + o)
+    half = side // 2
+    corner = lambda i: F.floor(i / half).cast("int") * 2 * side + i % half * 2
+    pooled = F.transform(F.sequence(F.lit(0), F.lit(half * half - 1)), lambda i: sum((F.get("px", corner(i) + at) for at in (1, side, side + 1)), F.get("px", corner(i))))
+    at = lambda i, o: F.get("pooled", F.floor(i / (half - 1)).cast("int") * half + i % (half - 1) + o)
     bit = lambda i: F.when(at(i, 1) > at(i, 0), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
-    whole = F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), F.lit(0).cast("long"), lambda a, i: a + bit(i))
-    df = frames.select("video", "frame", (whole % (1 << bits)).alias("hash"))
+    whole = F.aggregate(F.sequence(F.lit(0), F.lit(half * (half - 1) - 1)), F.lit(0).cast("long"), lambda a, i: a + bit(i))
+    df = frames.withColumn("pooled", pooled).select("video", "frame", whole.alias("hash"))
     w = Window.partitionBy("video", "hash").orderBy("frame").rowsBetween(-keep, -1)
     df = df.withColumn("past", F.reverse(F.array_sort(F.collect_list("frame").over(w))))
     return df.select("video", "frame", F.posexplode("past").alias("k", "then_frame")).select("video", "frame", "then_frame", (F.col("k") + 1).alias("k"))
@@ -236,6 +259,31 @@ def events(found: DataFrame, within: float, patience: int) -> DataFrame:
     return rows.repartition("video").sortWithinPartitions("video", "frame").mapInPandas(run, EVENTS)
 
 
+def interned_states(frames: DataFrame, level: int) -> DataFrame:
+    """(video, frame, state, is_new): a number for each distinct mask above a level of a video, in the order in which they are first seen.
+
+    Masks meet by their bits; only the distinct ones of a video are ranked.
+    """
+    mask = F.array_join(F.transform("px", lambda v: (v > level).cast("int").cast("string")), "")
+    held = frames.select("video", "frame", mask.alias("mask"))
+    seen = held.groupBy("video", "mask").agg(F.min("frame").alias("first"))
+    seen = seen.withColumn("state", F.row_number().over(Window.partitionBy("video").orderBy("first")) - 1)
+    return held.join(seen, ["video", "mask"]).select("video", "frame", "state", (F.col("frame") == F.col("first")).alias("is_new"))
+
+
+def coherence(boxes_: DataFrame) -> DataFrame:
+    """(video, frame, score, dx, dy, locked): of a frame's box the mean overlap with the four frames before, and how far its centre
+    strayed over the five; locked where the overlap is above 0.85 or the centre within 2 either way. Frames with fewer before them are left out."""
+    w = Window.partitionBy("video").orderBy("frame").rowsBetween(-4, 0)
+    box = F.struct("x0", "y0", (F.col("x1") - F.col("x0") + 1).alias("w"), (F.col("y1") - F.col("y0") + 1).alias("h"))
+    stray = lambda c: F.round(F.max(c).over(w) - F.min(c).over(w), 6)
+    df = boxes_.withColumn("past", F.collect_list(box).over(w)).withColumn("dx", stray("cx")).withColumn("dy", stray("cy")).filter(F.size("past") == 5)
+    now = F.get("past", F.lit(4))
+    one = lambda b: fn.iou(b["x0"], b["y0"], b["w"], b["h"], now["x0"], now["y0"], now["w"], now["h"])
+    score = F.round(F.aggregate(F.transform(F.slice("past", 1, 4), one), F.lit(0.0), lambda a, v: a + v) / 4, 6)
+    return df.select("video", "frame", score.alias("score"), "dx", "dy", ((score > 0.85) | (F.col("dx") <= 2) & (F.col("dy") <= 2)).alias("locked"))
+
+
 def first_match(blocks: DataFrame, most: int) -> DataFrame:
     """(video, frame, by, bx, entry): the first block of its video's frame 0 within a mean squared error of most."""
     first = blocks.filter("frame = 0").groupBy("video").agg(F.array_sort(F.collect_list(F.struct("by", "bx", "px"))).alias("book"))

@@ -45,6 +45,12 @@ def spikes(df: DataFrame, keys: list[str], value: str, sigmas: float = 2.0, leas
     return df.withColumn("_limit", limit).filter((F.col(value) > F.col("_limit")) & (F.col(value) > least)).drop("_limit")
 
 
+def spikes_of_few(df: DataFrame, keys: list[str], value: str, sigmas: float = 2.0, least: float = 3.0) -> DataFrame:
+    """spikes() for a few large groups: limits come from a partial aggregation, so that no task sorts or holds a group."""
+    limits = df.groupBy(*keys).agg((F.avg(value) + sigmas * F.stddev_pop(value)).alias("_limit"))
+    return df.join(limits, keys).filter((F.col(value) > F.col("_limit")) & (F.col(value) > least)).drop("_limit")
+
+
 def active_in_ring(df: DataFrame, keys: list[str], order: str, active: Column, size: int = 10, more_than: int = 3) -> DataFrame:
     """Adds n_active of the last size rows, and whether that is more than more_than."""
     w = ordered(keys, order).rowsBetween(1 - size, 0)

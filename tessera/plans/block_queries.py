@@ -104,6 +104,8 @@ def residual_sparse(spark, d) -> DataFrame:
 
 @query(f"{CASCADE} select video, frame, mode, count(*)::bigint n, sum(bytes)::bigint bytes from best group by video, frame, mode")
 def block_mode_decision(spark, d) -> DataFrame:
+    """Modes by the cascade over blocks of 16 pixels, predicted from the source: without background and motion candidates, and with
+    gates for dithering and dense residuals that fit so small a block."""
     df = bl.cascade(bl.candidates(blocks(spark, d))).select("video", "frame", "best.mode", "best.bytes")
     return df.groupBy("video", "frame", "mode").agg(F.count("*").alias("n"), F.sum("bytes").cast("long").alias("bytes"))
 
@@ -133,12 +135,12 @@ SEARCH = SEARCH.replace('  live as (select * from now where (video, frame, "by",
 
 @query(f'{SEARCH} select {K.replace("frame", "frame")}, b.dy::int dy, b.dx::int dx, b.ssd ssd from found')
 def motion_search_argmin(spark, d) -> DataFrame:
-    return motion.search(pixels(spark, d), BLOCK, 2, SIDE).select(*KEY, "dy", "dx", "ssd")
+    return motion.search(frames(spark, d), BLOCK, 2, SIDE).select(*KEY, "dy", "dx", "ssd")
 
 
 @query(f'{SEARCH}, f as (select {K}, b.dy::int dy, b.dx::int dx, trunc(b.sn / 16.0::double - b.st / 16.0::double)::int shift from found) select * from f where abs(shift) <= 24')
 def faded_motion(spark, d) -> DataFrame:
-    return motion.shifts(motion.search(pixels(spark, d), BLOCK, 2, SIDE), BLOCK * BLOCK).select(*KEY, "dy", "dx", "shift")
+    return motion.shifts(motion.search(frames(spark, d), BLOCK, 2, SIDE), BLOCK * BLOCK).select(*KEY, "dy", "dx", "shift")
 
 
 @query(f"{PIXELS} select video, frame, min(x) x0, max(x) x1, min(y) y0, max(y) y1, count(*)::bigint area, round(sum(x)::double / count(*), 6) cx, round(sum(y)::double / count(*), 6) cy from pixels where v > 140 group by video, frame")
@@ -158,19 +160,24 @@ def layer_decompose(spark, d) -> DataFrame:
     )
 
 
-@query(f"""{PIXELS}, g as (select *, lead(v) over h - lag(v) over h gx, lead(v) over u - lag(v) over u gy from pixels window h as (partition by video, frame, y order by x), u as (partition by video, frame, x order by y)),
-  t as (select video, frame, y // {BLOCK} "by", x // {BLOCK} bx, max(greatest(abs(coalesce(gx, 0)), abs(coalesce(gy, 0)))) edge, round(var_pop(v), 6) spread from g group by all)
-  select {K}, edge, spread, case when edge > 40 then 'EDGE' when spread > 1.5 then 'CHAOS' when edge > 0 then 'MOTION' else 'FLAT' end tag from t""")
-def sobel_tag(spark, d) -> DataFrame:
-    return tracking.block_tags(pixels(spark, d), BLOCK)
+def _slope(g: dict[int, int]) -> str:
+    return "abs(" + (" + ".join(f"{w} * px[{at + 1}]" for at, w in g.items()) or "0") + ")"
+
+
+TAGS = f"""{BLOCKS}, e as (select {K}, ({" + ".join(f"{_slope(gx)} + {_slope(gy)}" for gx, gy in tracking.sobel_terms(BLOCK))})::double / {BLOCK * BLOCK} edge,
+    case when prev is null then [0] else {_zip("px", "prev", "abs(A - B)")} end moved from blocks),
+  f as (select {K}, edge, list_avg(moved) motion, round(list_aggregate(moved, 'var_pop'), 6) spread from e),
+  tags as (select *, case when edge > 40 then 'EDGE' when spread > 1.5 then 'CHAOS' when motion > 0.5 then 'MOTION' else 'FLAT' end tag from f)"""
 
 
-TAGS = ORACLES["sobel_tag"].removeprefix("with ").replace(f"select {K}, edge", f", tags as (select {K}, edge").rstrip() + ")"
+@query(f"{TAGS} select * from tags")
+def sobel_tag(spark, d) -> DataFrame:
+    return tracking.block_tags(blocks(spark, d), BLOCK)
 
 
 @query(f"{TAGS} select case when grouping(video) = 1 then 'corpus' else video::varchar end video, tag, count(*)::bigint n, sum({BLOCK * BLOCK})::bigint area from tags group by grouping sets ((video, tag), (tag))")
 def tag_area_rollup(spark, d) -> DataFrame:
-    tags = tracking.block_tags(pixels(spark, d), BLOCK)
+    tags = tracking.block_tags(blocks(spark, d), BLOCK)
     df = tags.groupingSets([["video", "tag"], ["tag"]], "video", "tag").agg(F.count("*").alias("n"), F.sum(F.lit(BLOCK * BLOCK)).cast("long").alias("area"), F.grouping("video").alias("g"))
     return df.select(F.when(F.col("g") == 1, "corpus").otherwise(F.col("video").cast("string")).alias("video"), "tag", "n", "area")
 
@@ -190,7 +197,8 @@ def connected_components(spark, d) -> DataFrame:
     return tracking.components(pixels(spark, d).filter("v > 150"), SIDE, least=4)
 
 
-HASHES = f"{FRAMES}, h as (select video, frame, list_sum(list_transform(range(56), lambda i: case when px[(i // 7) * 8 + i % 7 + 2] > px[(i // 7) * 8 + i % 7 + 1] then (1::bigint << i) else 0 end))::bigint % 4096 hash from frames)"
+HASHES = f"""{FRAMES}, pooled as (select video, frame, list_transform(range(16), lambda i: px[(i // 4) * 16 + i % 4 * 2 + 1] + px[(i // 4) * 16 + i % 4 * 2 + 2] + px[(i // 4) * 16 + i % 4 * 2 + 9] + px[(i // 4) * 16 + i % 4 * 2 + 10]) s from frames),
+h as (select video, frame, list_sum(list_transform(range(12), lambda i: case when s[(i // 3) * 4 + i % 3 + 2] > s[(i // 3) * 4 + i % 3 + 1] then (1::bigint << i) else 0 end))::bigint hash from pooled)"""
 
 
 @query(f"{HASHES}, r as (select a.video, a.frame, b.frame then_frame, row_number() over (partition by a.video, a.frame order by b.frame desc) k from h a join h b on a.video = b.video and a.hash = b.hash and b.frame < a.frame) select video, frame, then_frame, k::int k from r where k <= 8")
@@ -248,7 +256,9 @@ def event_counts(spark, d) -> DataFrame:
 
 @query(None)
 def closed_loop_coding(spark, d) -> DataFrame:
-    return folds.closed_loop(frames(spark, d), SIDE, BLOCK)
+    """Blocks, bytes and squared error per video and mode where each block is predicted from what the decoder has."""
+    coded = folds.closed_loop(frames(spark, d), SIDE, BLOCK)
+    return coded.groupBy("video", "mode").agg(F.count("*").alias("n"), F.sum("bytes").cast("long").alias("bytes"), F.sum("sse").cast("long").alias("sse"))
 
 
 @query(f"{BLOCKS}, book as (select video, px book, row_number() over (partition by video order by \"by\", bx) - 1 i from blocks where frame = 0), s as (select b.video, frame, \"by\", bx, min(i) entry from blocks b join book k on b.video = k.video and frame > 0 and list_sum({_zip('px', 'book', '(A - B) * (A - B)')}) < 400 * len(px) group by all) select {K}, entry::int entry from s")
@@ -292,7 +302,7 @@ def four_means_blocks(spark, d) -> DataFrame:
 
 @query(f"""{SEARCH}, m as (select video, b.ssd::bigint ssd, b.ssd < 960 ok from found) select video, count(*)::bigint n_searched, sum(ok::int)::bigint n_accepted, (count(*) - sum(ok::int))::bigint n_rejected, round(coalesce(sum(ssd) filter (ok), 0) / 16.0::double, 4) sum_mse, sum(case when ok then {BLOCK * BLOCK} - 4 else 0 end)::bigint bytes_saved from m group by video""")
 def motion_telemetry(spark, d) -> DataFrame:
-    found = motion.search(pixels(spark, d), BLOCK, 2, SIDE).withColumn("ok", F.col("ssd") < 60 * BLOCK * BLOCK)
+    found = motion.search(frames(spark, d), BLOCK, 2, SIDE).withColumn("ok", F.col("ssd") < 60 * BLOCK * BLOCK)
     n = F.sum(F.col("ok").cast("long"))
     return found.groupBy("video").agg(
         F.count("*").alias("n_searched"), n.alias("n_accepted"), (F.count("*") - n).alias("n_rejected"),
@@ -301,12 +311,45 @@ def motion_telemetry(spark, d) -> DataFrame:
     )
 
 
-@query(f"{FRAMES} select video, frame, list_sum(list_transform(range(21), lambda i: (299 * px[3 * i + 1] + 587 * px[3 * i + 2] + 114 * px[3 * i + 3] + 500) // 1000))::bigint luma from frames")
+#: Frames as triples of red, green and blue, row by row; what the last one lacks is 0.
+TRIPLES = (SIDE * SIDE + 2) // 3
+RGB = f"{FRAMES}, rgb as (select video, frame, list_transform(range({TRIPLES}), lambda i: {{'r': coalesce(px[3 * i + 1], 0), 'g': coalesce(px[3 * i + 2], 0), 'b': coalesce(px[3 * i + 3], 0)}}) c from frames), luma as (select video, frame, c, list_transform(c, lambda x: (299 * x.r + 587 * x.g + 114 * x.b + 500) // 1000) y from rgb)"
+
+
+def _luma(spark, d) -> DataFrame:
+    at = lambda i, k: F.coalesce(F.get("px", 3 * i + k), F.lit(0))
+    c = F.transform(F.sequence(F.lit(0), F.lit(TRIPLES - 1)), lambda i: F.struct(at(i, 0).alias("r"), at(i, 1).alias("g"), at(i, 2).alias("b")))
+    df = frames(spark, d).select("video", "frame", c.alias("c"))
+    return df.withColumn("y", F.transform("c", lambda x: fn.gray(x["r"], x["g"], x["b"])))
+
+
+@query(f"{RGB} select video, frame, list_sum(y)::bigint luma from luma")
 def gray_levels(spark, d) -> DataFrame:
     """Sum of the luma of a frame whose pixels are read as triples of red, green and blue."""
-    at = lambda i, k: F.get("px", 3 * i + k)
-    luma = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: fn.gray(at(i, 0), at(i, 1), at(i, 2)))
-    return frames(spark, d).select("video", "frame", fn.array_sum(luma).cast("long").alias("luma"))
+    return _luma(spark, d).select("video", "frame", fn.array_sum(F.col("y")).cast("long").alias("luma"))
+
+
+def _part(e: str, k: int) -> str:
+    return f"floor(({e}) * {k} / 1000.0::double)::int"
+
+
+@query(f"""{RGB}, p as (select *, lag(y) over (partition by video order by frame) w from luma), z as (select video, frame, list_zip(c, y, w) t from p where w is not null),
+  k as (select video, frame, list_transform(t, lambda x: {{'y': x[3], 'cr': {_part("x[1].r - x[2]", 713)}, 'cb': {_part("x[1].b - x[2]", 564)}}}) t from z)
+  select video, frame, list_sum(list_transform(t, lambda x: greatest(0, least(255, x.y + {_part("x.cr", 1403)}))))::bigint red,
+  list_sum(list_transform(t, lambda x: greatest(0, least(255, x.y - floor((x.cr * 714 + x.cb * 344) / 1000.0::double)::int))))::bigint green,
+  list_sum(list_transform(t, lambda x: greatest(0, least(255, x.y + {_part("x.cb", 1773)}))))::bigint blue from k""")
+def luma_swap(spark, d) -> DataFrame:
+    """A frame's red and blue differences under the luma of the frame before, back in colours; their sums."""
+    part = lambda e, k: F.floor(e * k / 1000).cast("int")
+    df = _luma(spark, d).withColumn("w", F.lag("y").over(windows.ordered(["video"], "frame"))).filter("w is not null")
+    triples = F.arrays_zip(F.col("c").alias("c"), F.col("y").alias("y"), F.col("w").alias("w"))
+    t = F.transform(triples, lambda x: F.struct(x["w"].alias("y"), part(x["c"]["r"] - x["y"], 713).alias("cr"), part(x["c"]["b"] - x["y"], 564).alias("cb")))
+    df = df.withColumn("t", t)
+    total = lambda f: fn.array_sum(F.transform("t", lambda x: fn.clamp(f(x), 0, 255))).cast("long")
+    return df.select(
+        "video", "frame", total(lambda x: x["y"] + part(x["cr"], 1403)).alias("red"),
+        total(lambda x: x["y"] - F.floor((x["cr"] * 714 + x["cb"] * 344) / 1000).cast("int")).alias("green"), total(lambda x: x["y"] + part(x["cb"], 1773)).alias("blue"),
+    )
 
 
 @query(f"{BLOCKS}, e as (select {K}, list_count(list_filter({_zip('px', 'prev', 'A - B')}, lambda x: x > 0))::int n_up, case when list_distinct(px) = [] then 0 else len(list_distinct(px)) end::int n_colours, round(list_aggregate(px, 'var_pop'), 4) spread from blocks where prev is not null) select *, spread > 12 and n_colours > 4 textured from e")
@@ -346,3 +389,72 @@ def dynamic_boxes(spark, d) -> DataFrame:
     modes = bl.cascade(bl.candidates(blocks(spark, d))).select(*KEY, F.col("best.mode").alias("mode"))
     n = SIDE // BLOCK
     return folds.dynamic_boxes(modes, n, n).groupBy("video", "frame").agg(F.count("*").alias("n_boxes"))
+
+
+@query(f"""{PIXELS}, tried as (select p.video, p.frame, p.y // {BLOCK} "by", p.x // {BLOCK} bx, dy, dx, p.v a, q.v b from pixels p, (select unnest(range(-2, 3)) dy) s, (select unnest(range(-2, 3)) dx) t, pixels q
+    where q.video = p.video and q.frame = p.frame - 1 and q.y = p.y - dy and q.x = p.x - dx and (p.y // {BLOCK}) * {BLOCK} - dy between 0 and {SIDE - BLOCK} and (p.x // {BLOCK}) * {BLOCK} - dx between 0 and {SIDE - BLOCK}),
+  s as (select video, frame, "by", bx, dy, dx, sum(a) sa, sum(b) sb, sum(a * a) saa, sum(b * b) sbb, sum(a * b) sab, sum((a - b) * (a - b))::bigint ssd from tried group by all),
+  live as (select video, frame, "by", bx from s where dy = 0 and dx = 0 and ssd > 0),
+  r as (select *, case when {BLOCK * BLOCK} * saa > sa * sa and {BLOCK * BLOCK} * sbb > sb * sb then round(({BLOCK * BLOCK} * sab - sa * sb)::double / sqrt(({BLOCK * BLOCK} * saa - sa * sa)::double * ({BLOCK * BLOCK} * sbb - sb * sb)::double), 6) end r from s),
+  best as (select video, frame, "by", bx, min({{'less': -r, 'dy': dy, 'dx': dx, 'ssd': ssd}}) m from r join live using (video, frame, "by", bx) where r is not null group by all)
+  select {K}, m.dy::int dy, m.dx::int dx, 0.0 - m.less correlation, m.ssd ssd, 0.0 - m.less > 0.98 and m.ssd < 50 * {BLOCK * BLOCK} accepted from best""")
+def motion_correlation(spark, d) -> DataFrame:
+    """The offset of the largest normalised correlation, taken where that is above 0.98 and the mean squared error below 50."""
+    found = motion.correlated(frames(spark, d), BLOCK, 2, SIDE)
+    return found.withColumn("ssd", F.col("ssd").cast("long")).withColumn("accepted", (F.col("correlation") > 0.98) & (F.col("ssd") < 50 * BLOCK * BLOCK))
+
+
+@query(f"""{SEARCH}, m as (select video, frame, sum(sqrt((b.dy * b.dy + b.dx * b.dx)::double)) / 4 mean_motion, sum(b.dy * b.dy + b.dx * b.dx) / 4.0::double squares from found group by video, frame)
+  select video, frame, round(mean_motion, 6) mean_motion, round(squares - mean_motion * mean_motion, 6) motion_var, squares - mean_motion * mean_motion > 1 and mean_motion > 0.5 chaos from m""")
+def chaos_frames(spark, d) -> DataFrame:
+    """Frames whose motion vectors are long and unlike: mean and variance of their lengths over all blocks, still ones too."""
+    n = (SIDE // BLOCK) ** 2
+    square = F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx")
+    df = motion.search(frames(spark, d), BLOCK, 2, SIDE).groupBy("video", "frame").agg((F.sum(F.sqrt(square.cast("double"))) / n).alias("m"), (F.sum(square) / n).alias("s"))
+    var = F.col("s") - F.col("m") * F.col("m")
+    return df.select("video", "frame", F.round("m", 6).alias("mean_motion"), F.round(var, 6).alias("motion_var"), ((var > 1) & (F.col("m") > 0.5)).alias("chaos"))
+
+
+@query(f"""{RES}, d as (select *, lag(coalesce(recon, px)) over (partition by video, "by", bx order by frame) decoded from res),
+  e as (select video, n, sad, largest, case when decoded is not null then list_max({_zip('px', 'decoded', 'abs(A - B)')})::int end far, case when prev is not null then list_sum({_zip('px', 'prev', '(A - B) * (A - B)')}) end se from d)
+  select video, count(*)::bigint n, sum(coalesce(far < 4 or largest < 3 and 2 * sad < n and far < 8, false)::int)::bigint n_skip, sum(coalesce(sad < 2 * n, false)::int)::bigint n_by_sad, sum(coalesce(se < 2 * n, false)::int)::bigint n_by_mse from e group by video""")
+def skip_predicates(spark, d) -> DataFrame:
+    """Blocks that each of the skip rules lets pass, per video."""
+    df = bl.skip_predicates(blocks(spark, d))
+    n = lambda c: F.sum(F.col(c).cast("long"))
+    return df.groupBy("video").agg(F.count("*").alias("n"), n("may_skip").alias("n_skip"), n("skip_by_sad").alias("n_by_sad"), n("skip_by_mse").alias("n_by_mse"))
+
+
+@query(f"{FRAMES}, m as (select video, frame, array_to_string(list_transform(px, lambda v: (v > 128)::int), '') mask from frames), s as (select *, min(frame) over (partition by video, mask) first from m) select video, frame, (dense_rank() over (partition by video order by first) - 1)::int state, frame = first is_new from s")
+def state_interning(spark, d) -> DataFrame:
+    return tracking.interned_states(frames(spark, d), 128)
+
+
+@query(f"""{PIXELS}, b as (select video, frame, min(x) x0, min(y) y0, max(x) - min(x) + 1 w, max(y) - min(y) + 1 h, round(sum(x)::double / count(*), 6) cx, round(sum(y)::double / count(*), 6) cy from pixels where v > 140 group by video, frame),
+  p as (select *, list({{'x': x0, 'y': y0, 'w': w, 'h': h}}) over o past, round(max(cx) over o - min(cx) over o, 6) dx, round(max(cy) over o - min(cy) over o, 6) dy from b window o as (partition by video order by frame rows between 4 preceding and current row)),
+  s as (select video, frame, dx, dy, round(list_sum(list_transform(past[:4], lambda q: (greatest(0, least(q.x + q.w, x0 + w) - greatest(q.x, x0)) * greatest(0, least(q.y + q.h, y0 + h) - greatest(q.y, y0)))::double
+    / (q.w * q.h + w * h - greatest(0, least(q.x + q.w, x0 + w) - greatest(q.x, x0)) * greatest(0, least(q.y + q.h, y0 + h) - greatest(q.y, y0))))) / 4, 6) score from p where len(past) = 5)
+  select video, frame, score, dx, dy, score > 0.85 or dx <= 2 and dy <= 2 locked from s""")
+def box_coherence(spark, d) -> DataFrame:
+    return tracking.coherence(tracking.boxes(pixels(spark, d).filter("v > 140"), ["video", "frame"]))
+
+
+@query(f"""{PIXELS}, l as (select video, frame, y // 2 "by", x // 2 bx, abs(v - lag(v) over (partition by video, y, x order by frame)) d from pixels), m as (select video, frame, "by", bx, "by" * 4 + bx id from l group by video, frame, "by", bx having sum(d) >= 60),
+  c as (select * from (with recursive r(video, frame, id, root) as (select video, frame, id, id from m union select b.video, b.frame, b.id, r.root from r join m a on a.video = r.video and a.frame = r.frame and a.id = r.id
+    join m b on b.video = a.video and b.frame = a.frame and abs(a."by" - b."by") <= 1 and abs(a.bx - b.bx) <= 1 where b.id > r.root) select video, frame, id, min(root) root from r group by all)),
+  n as (select video, frame, root, count(*) area from c group by all having count(*) >= 4)
+  select video, frame, count(*)::bigint n_regions, max(area)::bigint largest from n group by video, frame""")
+def block_regions(spark, d) -> DataFrame:
+    """Regions of at least four blocks of 2 x 2 pixels that changed, per frame, and the largest."""
+    n = SIDE // 2
+    change = F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), lambda b: sum((F.abs(F.get("px", F.floor(b / n).cast("int") * 2 * SIDE + b % n * 2 + at) - F.get("prev", F.floor(b / n).cast("int") * 2 * SIDE + b % n * 2 + at)) for at in (0, 1, SIDE, SIDE + 1)), F.lit(0)))
+    df = tracking.with_previous(frames(spark, d)).select("video", "frame", F.posexplode(change).alias("b", "sad")).filter("sad >= 60")
+    found = tracking.components(df.select("video", "frame", F.floor(F.col("b") / n).cast("int").alias("y"), (F.col("b") % n).alias("x")), n, least=4)
+    return found.groupBy("video", "frame").agg(F.count("*").alias("n_regions"), F.max("area").alias("largest"))
+
+
+@query(f'{FRAMES} select video, count(*)::bigint n_frames, max(side) height, max(side) width, 30 fps, round(count(*) / 30.0::double, 4) "seconds" from (select video, sqrt(len(px))::int side from frames) group by video')
+def video_metadata(spark, d) -> DataFrame:
+    """Frames, size, rate and length of each video."""
+    side = F.max(F.sqrt(F.size("px")).cast("int"))
+    return frames(spark, d).groupBy("video").agg(F.count("*").alias("n_frames"), side.alias("height"), side.alias("width")).select("*", F.lit(30).alias("fps"), F.round(F.col("n_frames") / 30, 4).alias("seconds"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import tracking
 from ..sources import container
-from ..sources.relations import BLOCK, FRAMES, PLANE, SIDE, frames, pixels, plane, runs
+from ..sources.relations import FRAMES, PLANE, SIDE, frames, pixels, plane, runs
 from ..streaming import state
 
 QUERIES, ORACLES = {}, {}
@@ -27,8 +27,12 @@ def query(sql: str | None = None):
 
 
 def scratch(spark) -> str:
-    """A new path in the shared checkpoint folder, or a temporary one where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
+    """A new path in the shared checkpoint folder; a temporary one where none is set and all runs in this process."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="tessera-")
     return f"{root.rstrip('/')}/flow/{uuid.uuid4().hex}"
 
 
@@ -72,12 +76,13 @@ def stream_object_events(spark, d) -> DataFrame:
     return spark.read.parquet(f"{path}/out").drop("batch")
 
 
-@query(f"with {FRAMES}, x as (select video, frame, list_sum(px)::bigint total, list_max(px) brightest from frames) select * from x")
+@query(f"with {FRAMES} select video, frame, list_sum(px)::bigint total, list_max(px) brightest, md5(array_to_string(px, ',')) pixels_md5 from frames")
 def container_round_trip(spark, d) -> DataFrame:
+    """Frames written as key frames and changes, read back and restored: every pixel counts in the digest."""
     path = scratch(spark)
-    container.write_containers(frames(spark, d), SIDE, BLOCK).write.parquet(path)
-    back = container.read_containers(spark.read.parquet(path), BLOCK)
-    return back.select("video", "frame", F.aggregate("px", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"), F.array_max("px").alias("brightest"))
+    container.deltas(frames(spark, d)).write.parquet(path)
+    back = container.restored(spark.read.parquet(path))
+    return back.select("video", "frame", F.aggregate("px", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"), F.array_max("px").alias("brightest"), F.md5(F.array_join("px", ",").cast("binary")).alias("pixels_md5"))
 
 
 @query("select l_returnflag || l_linestatus video, count(*)::bigint n, sum(floor(l_extendedprice)::bigint)::bigint orig from lineitem group by all")

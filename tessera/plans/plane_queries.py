@@ -53,11 +53,13 @@ HIST = """, h as (select frame, v, count(*) n from plane group by all), g as (se
   from (select distinct frame from plane) f cross join (select unnest(range(256)) v) b left join h on h.frame = f.frame and h.v = b.v)"""
 
 
-@query(f"""{HIST}, p as (select a.frame, count(*) k, sum(a.n) sa, sum(b.n) sb, sum(a.n * b.n) sab, sum(a.n * a.n) saa, sum(b.n * b.n) sbb from g a join g b on b.frame = a.frame - 1 and a.v = b.v group by a.frame)
-  select frame, round((k * sab - sa * sb)::double / sqrt((k * saa - sa * sa)::double * (k * sbb - sb * sb)::double), 6) correlation,
-  (k * sab - sa * sb)::double / sqrt((k * saa - sa * sa)::double * (k * sbb - sb * sb)::double) < 0.4 is_cut from p""")
+@query(f"""{HIST}, p as (select a.frame, count(*) k, sum(a.n) sa, sum(b.n) sb, sum(a.n * b.n) sab, sum(a.n * a.n) saa, sum(b.n * b.n) sbb from g a join g b on b.frame = a.frame - 1 and a.v = b.v group by a.frame),
+  l as (select frame, case when frame - lag(frame) over w = 1 then abs(v - lag(v) over w) end d from plane window w as (partition by cell order by frame)), m as (select frame, avg(d) m from l group by frame)
+  select p.frame, round((k * sab - sa * sb)::double / sqrt((k * saa - sa * sa)::double * (k * sbb - sb * sb)::double), 6) correlation, round(m, 6) mean_change,
+  (k * sab - sa * sb)::double / sqrt((k * saa - sa * sa)::double * (k * sbb - sb * sb)::double) < 0.4 or coalesce(m > 90, false) is_cut from p join m on m.frame = p.frame""")
 def scene_cut_hist_corr(spark, d) -> DataFrame:
-    return signal.histogram_cuts(plane(spark, d), "frame", "v")
+    """Cells jump from day to day, by 85 on average, so that a mean change counts as a cut above 90."""
+    return signal.histogram_cuts(plane(spark, d), "cell", "frame", "v", most=90.0)
 
 
 @query(f""", l as (select cell, frame, row_number() over (partition by cell order by frame) n, coalesce({LAG} < 40, false) skip from plane),
@@ -234,14 +236,24 @@ def history_of_eight(spark, d) -> DataFrame:
     return df.agg(F.transform(F.sort_array(F.collect_list(F.struct("frame", "v"))), lambda s: s["v"]).alias("last_values"), F.count("*").alias("n"))
 
 
-@query(""", c as (select cell, v > 128 busy, frame from plane), n as (select frame, cell, row_number() over (partition by frame order by cell) k from c where busy),
+SEGMENTS = """, c as (select cell, v > 128 busy, frame from plane), n as (select frame, cell, row_number() over (partition by frame order by cell) k from c where busy),
   i as (select frame, cell, coalesce(cell - lag(cell) over (partition by frame order by cell) > 2, true) fresh from n), s as (select *, sum(fresh::int) over (partition by frame order by cell) seg from i),
-  g as (select frame, min(cell) "start", max(cell) + 1 - min(cell) width from s group by frame, seg having max(cell) + 1 - min(cell) >= 2)
-  select frame, "start", width, width > 1.6::double * median(width) over (partition by frame) wide from g""")
+  g as (select frame, min(cell) "start", max(cell) + 1 - min(cell) width from s group by frame, seg having max(cell) + 1 - min(cell) >= 2),
+  found as (select frame, "start", width, width > 1.6::double * median(width) over (partition by frame) wide, median(width) over (partition by frame) middle from g)"""
+
+
+@query(f"{SEGMENTS} select frame, \"start\", width, wide from found")
 def projection_segments(spark, d) -> DataFrame:
     return signal.segments(plane(spark, d).filter("v > 128"), ["frame"], "cell", gap=1, least=2, wide=1.6)
 
 
+@query(f"""{SEGMENTS}, k as (select *, case when wide then greatest(2, least(width, round(width / middle)::bigint)) else 1 end n from found), p as (select *, unnest(range(n::bigint)) part from k)
+  select frame, "start" + part * (width // n) + least(part, width % n) "start", width // n + (part < width % n)::int width, part from p""")
+def split_segments(spark, d) -> DataFrame:
+    """The segments, wide ones cut into even parts about as wide as the median."""
+    return signal.split_wide(projection_segments(spark, d), ["frame"], 1.6)
+
+
 @query(""", x as (select frame, cell, v from plane), o as (select frame, max(v) over w dil, min(v) over w ero, cell, v from x window w as (partition by frame order by cell rows between 1 preceding and 1 following)),
   y as (select frame, cell, v, dil, max(ero) over w opened, min(dil) over w closed from o window w as (partition by frame order by cell rows between 1 preceding and 1 following)) select * from y""")
 def morph_open_close(spark, d) -> DataFrame:
@@ -258,10 +270,10 @@ def mode_error_rollup(spark, d) -> DataFrame:
     return df.withColumn("mode", F.coalesce("mode", F.lit("all")))
 
 
-@query(", h as (select frame, v, list(v) over (partition by cell order by frame rows between 8 preceding and 1 preceding) past from plane) select frame, count(*)::bigint n, sum(coalesce(list_contains(past, v), false)::int)::bigint hits, sum(coalesce(len(list_filter(past, lambda x: abs(x - v) < 5)) > 0, false)::int)::bigint near from h group by frame")
+@query(", h as (select frame, v, list(v) over (partition by cell order by frame rows between 255 preceding and 1 preceding) past from plane) select frame, count(*)::bigint n, sum(coalesce(list_contains(past, v), false)::int)::bigint hits, sum(coalesce(len(list_filter(past, lambda x: abs(x - v) < 5)) > 0, false)::int)::bigint near from h group by frame")
 def recent_value_hits(spark, d) -> DataFrame:
-    """How often a cell's value, or one within 5 of it, is among its last eight: a first-in first-out cache per cell."""
-    w = windows.ordered(C, "frame").rowsBetween(-8, -1)
+    """How often a cell's value, or one within 5 of it, is among its last 255: a first-in first-out cache per cell."""
+    w = windows.ordered(C, "frame").rowsBetween(-255, -1)
     df = plane(spark, d).withColumn("past", F.collect_list("v").over(w))
     near = F.exists("past", lambda x: F.abs(x - F.col("v")) < 5)
     return df.groupBy("frame").agg(F.count("*").alias("n"), F.sum(F.array_contains("past", F.col("v")).cast("long")).alias("hits"), F.sum(near.cast("long")).alias("near"))

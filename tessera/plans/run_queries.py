@@ -161,10 +161,11 @@ def markdown_top10(spark, d) -> DataFrame:
 @query(f", s as (select video, perm, comp_bytes, avg(comp_bytes) over w m, stddev_pop(comp_bytes) over w sd from runs where comp_bytes is not null window w as (partition by video)), h as (select video, perm, comp_bytes from s where comp_bytes > m + 2 * sd), l as (select video, list(comp_bytes order by comp_bytes desc, perm) all_, count(*)::int n from h group by video) select video, array_to_string(all_[:12], ', ') || case when n > 12 then ' (+' || (n - 12) || ' more)' else '' end shown, n from l")
 def spike_report(spark, d) -> DataFrame:
     """The twelve largest spikes per video and how many more there are."""
+    hit = windows.spikes_of_few(runs(spark, d).filter("comp_bytes is not null").select("video", "perm", "comp_bytes"), ["video"], "comp_bytes")
     w = Window.partitionBy("video").orderBy(F.col("comp_bytes").desc(), "perm")
-    hit = windows.spikes(runs(spark, d).filter("comp_bytes is not null"), ["video"], "comp_bytes").withColumn("k", F.row_number().over(w))
-    first = F.transform(F.array_sort(F.collect_list(F.when(F.col("k") <= 12, F.struct("k", "comp_bytes")))), lambda s: s["comp_bytes"].cast("string"))
-    df = hit.groupBy("video").agg(F.count("*").cast("int").alias("n"), first.alias("first"))
+    best = hit.withColumn("k", F.row_number().over(w)).filter("k <= 12")  # each task keeps its own twelve before they meet
+    first = best.groupBy("video").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "comp_bytes"))), lambda s: s["comp_bytes"].cast("string")).alias("first"))
+    df = hit.groupBy("video").agg(F.count("*").cast("int").alias("n")).join(first, "video")
     more = F.when(F.col("n") > 12, F.concat(F.lit(" (+"), F.col("n") - 12, F.lit(" more)"))).otherwise("")
     return df.select("video", F.concat(F.array_join("first", ", "), more).alias("shown"), "n")
 
@@ -174,3 +175,15 @@ def csv_columns(spark, d) -> DataFrame:
     df = reports.per_config(runs(spark, d), ["perm"])
     df = df.withColumn("perm", F.col("perm").cast("string")).withColumn("shown", F.format_string("%.2f", F.round("unweighted", 2) + F.lit(0.0)))
     return reports.pick(df, {"perm": "Permutation", "shown": "Unweighted_Reduction_Percent", "missing": "FPS"})
+
+
+@query(", p as (select unnest(range(2048))::int perm), c as (select perm, count(*) n, count(comp_bytes) ok from runs group by perm) select p.perm, bit_count(p.perm)::int n_on, coalesce(n, 0)::bigint n_runs, coalesce(ok, 0)::bigint n_ok from p left join c on c.perm = p.perm")
+def toggle_product(spark, d) -> DataFrame:
+    """All combinations of the toggles, and how many runs the log has of each."""
+    df = spark.range(1).select()
+    for t in TOGGLES:
+        df = df.withColumn(t, F.explode(F.array(F.lit(False), F.lit(True))))
+    perm = sum((F.col(t).cast("int") * (1 << k) for k, t in enumerate(TOGGLES)), F.lit(0))
+    counts = runs(spark, d).groupBy("perm").agg(F.count("*").alias("n"), F.count("comp_bytes").alias("ok"))
+    df = df.select(perm.alias("perm"), sum((F.col(t).cast("int") for t in TOGGLES), F.lit(0)).alias("n_on")).join(counts, "perm", "left")
+    return df.select("perm", "n_on", F.coalesce("n", F.lit(0)).alias("n_runs"), F.coalesce("ok", F.lit(0)).alias("n_ok"))

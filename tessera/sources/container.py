@@ -1,127 +1,35 @@
-"""Frame containers: a binary file per video with a header and a zstd stream of coded frames, and their reader.
-
-Header, little-endian: magic (6 bytes), height, width and number of frames (unsigned 32 bits each), step of the quantiser
-(16), mode (8), three zero bytes: 24 in all. Then, compressed as one stream, per frame a type byte: 0 and the length
-(32) of raw pixels, or 1 and the lengths of two parts (32 each): mode bytes, and payloads. The writer knows the modes
-SKIP_RUN (a 16-bit number of blocks like the frame before), SOLID (a level) and RAW (a block's pixels).
-"""
+"""Frames as differences in Parquet, their reader, and folder scans."""
 
 from __future__ import annotations
 
-import struct
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAGIC = b"TESS01"
-HEADER = "<6sIIIHB3x"
-SKIP_RUN, SOLID, RAW = 255, 7, 2
-LONGEST_RUN = 65_535
-
-
-def _blocks(frame: np.ndarray, side: int, block: int) -> np.ndarray:
-    n = side // block
-    return frame.reshape(n, block, n, block).swapaxes(1, 2).reshape(n * n, block * block)
-
-
-def encode_video(frames: list[np.ndarray], side: int, block: int, step: int = 27, cut: float = 35, level: int = 9) -> bytes:
-    """Frames of side x side bytes to a container. The first, and those whose mean change is above cut, are raw; other blocks
-    are skipped where they are those of the decoded frame before, else solid where they have one level, else raw."""
-    body, prev = bytearray(), None
-    for frame in frames:
-        if prev is None or np.abs(frame.astype(int) - prev).mean() > cut:
-            body += struct.pack("<BI", 0, len(frame)) + frame.tobytes()
-        else:
-            modes, payload, run = bytearray(), bytearray(), 0
-            now, then = _blocks(frame, side, block), _blocks(prev, side, block)
-            for b, same in zip(now, (now == then).all(1), strict=True):
-                if same and run < LONGEST_RUN:
-                    run += 1
-                    continue
-                if run:
-                    modes.append(SKIP_RUN)
-                    payload += struct.pack("<H", run)
-                run = int(same)
-                if not same:
-                    solid = (b == b[0]).all()
-                    modes.append(SOLID if solid else RAW)
-                    payload += b[:1].tobytes() if solid else b.tobytes()
-            if run:
-                modes.append(SKIP_RUN)
-                payload += struct.pack("<H", run)
-            body += struct.pack("<BII", 1, len(modes), len(payload)) + modes + payload
-        prev = frame
-    return struct.pack(HEADER, MAGIC, side, side, len(frames), step, 0) + zstandard.compress(bytes(body), level)
-
-
-def decode_video(data: bytes, block: int) -> list[np.ndarray]:
-    """The frames back. Raises ValueError for another magic or a stream that ends early."""
-    magic, side, _, count, _, _ = struct.unpack_from(HEADER, data)
-    if magic != MAGIC:
-        raise ValueError("not a frame container")
-    body = zstandard.ZstdDecompressor().decompressobj().decompress(data[struct.calcsize(HEADER) :])
-    out, at, n = [], 0, side // block
-
-    def take(k: int) -> bytes:
-        nonlocal at
-        if at + k > len(body):
-            raise ValueError("the stream ends early")
-        at += k
-        return body[at - k : at]
-
-    for _ in range(count):
-        if take(1) == b"\0":
-            out.append(np.frombuffer(take(*struct.unpack("<I", take(4))), np.uint8))
-            continue
-        n_modes, n_payload = struct.unpack("<II", take(8))
-        modes, payload = take(n_modes), take(n_payload)
-        grid, i, p = _blocks(out[-1], side, block).copy(), 0, 0
-        for mode in modes:
-            if mode == SKIP_RUN:
-                i += struct.unpack_from("<H", payload, p)[0]
-                p += 2
-                continue
-            k = 1 if mode == SOLID else block * block
-            grid[i] = np.frombuffer(payload, np.uint8, k, p)
-            i, p = i + 1, p + k
-        out.append(grid.reshape(n, n, block, block).swapaxes(1, 2).reshape(-1))
-    return out
-
-
-def write_containers(frames: DataFrame, side: int, block: int) -> DataFrame:
-    """(video, part, n_frames, container): one container per video and group of pictures of frames (video, frame, px).
-
-    Groups of GROUP frames are coded alone, so a video of any length is spread over tasks, and a task holds a group.
-    """
-    rows = frames.withColumn("part", F.floor(F.col("frame") / GROUP).cast("int")).groupBy("video", "part")
-    series = rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "px"))), lambda s: s["px"]).alias("frames"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = [(v, p, len(f), encode_video([np.array(x, np.uint8) for x in f], side, block)) for v, p, f in batch.itertuples(index=False)]
-            yield pd.DataFrame(out, columns=["video", "part", "n_frames", "container"])
-
-    return series.mapInPandas(run, "video int, part int, n_frames int, container binary")
+#: Frames from one key frame to the next: the series that a reader folds.
+GROUP = 64
 
 
-#: Frames of a container that write_containers() makes.
-GROUP = 64
+def deltas(frames: DataFrame) -> DataFrame:
+    """(video, part, frame, is_key, values) of frames (video, frame, px): a key frame's pixels each GROUP frames, else the change since the frame before."""
+    w = Window.partitionBy("video").orderBy("frame")
+    key = F.col("frame") % GROUP == 0
+    change = F.zip_with("px", F.lag("px").over(w), lambda a, b: a - b)
+    return frames.select("video", F.floor(F.col("frame") / GROUP).cast("int").alias("part"), "frame", key.alias("is_key"), F.when(key, F.col("px")).otherwise(change).alias("values"))
 
 
-def read_containers(files: DataFrame, block: int) -> DataFrame:
-    """(video, frame, px) of containers (video, part, container)."""
+def restored(coded: DataFrame) -> DataFrame:
+    """(video, frame, px) of deltas(): each part is folded on its own, from its key frame on."""
+    series = coded.groupBy("video", "part").agg(F.array_sort(F.collect_list(F.struct("frame", "values"))).alias("series"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for video, part, data in batch[["video", "part", "container"]].itertuples(index=False):
-                frames = decode_video(bytes(data), block)
-                yield pd.DataFrame({"video": video, "frame": [part * GROUP + i for i in range(len(frames))], "px": [f.astype(int).tolist() for f in frames]})
+    def step(a: Column, x: Column) -> Column:
+        px = F.when(F.size(a["px"]) == 0, x["values"]).otherwise(F.zip_with(a["px"], x["values"], lambda p, v: p + v))
+        now = F.array(F.struct(x["frame"].alias("frame"), px.alias("px")))
+        return F.struct(px.alias("px"), F.concat(a["out"], now).alias("out"))
 
-    return files.mapInPandas(run, "video int, frame int, px array<int>")
+    kind = series.schema["series"].dataType.elementType
+    frame, px = kind["frame"].dataType.simpleString(), kind["values"].dataType.simpleString()
+    start = F.struct(F.array().cast(px).alias("px"), F.array().cast(f"array<struct<frame:{frame},px:{px}>>").alias("out"))
+    return series.select("video", F.explode(F.aggregate("series", start, step)["out"]).alias("f")).select("video", "f.frame", "f.px")
 
 
 def scan_folder(spark, path: str, suffix: str, without: str | None = None) -> DataFrame:

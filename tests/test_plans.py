@@ -44,3 +44,25 @@ def test_plane_is_aggregated_before_its_shuffle(spark):
 
 def test_rank_limits_before_it_windows(spark):
     assert "TakeOrderedAndProject" in plan(catalog.QUERIES["topn_configs"](spark, SF))
+
+
+@pytest.mark.parametrize("name", ["motion_search_argmin", "motion_correlation", "sobel_tag"])
+def test_blocks_are_scored_within_rows(spark, name):
+    assert shuffles(plan(catalog.QUERIES[name](spark, SF))) == 1  # frames in order
+
+
+def test_spikes_of_large_groups_are_limited_before_they_meet(spark):
+    text = plan(catalog.QUERIES["spike_report"](spark, SF))
+    assert "WindowGroupLimit" in text and "partial_stddev_pop" in text
+    assert len(re.findall(r"\bWindow \[", text)) == 1
+
+
+@pytest.mark.parametrize("name", ["projection_segments", "morph_open_close"])
+def test_a_frame_is_spread_over_ranges(spark, name):
+    text = plan(catalog.QUERIES[name](spark, SF))
+    assert re.search(r"hashpartitioning\(frame#\d+, _range#\d+L", text)
+
+
+def test_closed_loop_needs_no_python(spark):
+    text = plan(catalog.QUERIES["closed_loop_coding"](spark, SF))
+    assert "Pandas" not in text and "Arrow" not in text and "Python" not in text

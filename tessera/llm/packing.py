@@ -17,6 +17,8 @@ from .tokens import PACK_END, crc, encoder
 LENGTH = 4096
 #: Dimensions of the projection and bits of each on the curve.
 DIMS, BITS = 3, 10
+#: Bytes of ids in a range, on average, at most.
+RANGE = 128 << 20
 #: By how much places are stretched before they are cut into cells.
 SPREAD = 6.0
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, curve_key long"
@@ -90,8 +92,8 @@ def tokenized(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
 def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """PIECES of all documents, packed into sequences of at most LENGTH ids in the order of the curve.
 
-    The ids are written once to the shared folder, then dealt by ranges of (curve_key, doc_id), so that a hot key is
-    split. Each range is one stream of ids cut every LENGTH ids; what is left at its end becomes sequences whose lengths
+    The ids are written once to the shared folder, then dealt by ranges of (curve_key, doc_id), as many as their size asks for,
+    so that a hot key is split. Each range is one stream of ids cut every LENGTH ids; what is left at its end becomes sequences whose lengths
     are powers of two, largest first, which need no padding. So padding is none, whatever the number of ranges, and
     no count of all documents passes through the driver. A sequence_id is the range's number and the sequence's in it.
 
@@ -141,5 +143,7 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
     def _batch(done: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*done, strict=True)], names=names)
 
-    dealt = ids.select("doc_id", "curve_key", "width", "ids").repartitionByRange(*order).sortWithinPartitions(*order, F.xxhash64("ids"))
+    size = ids.agg(F.sum(F.length("ids"))).first()[0] or 0
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE))
+    dealt = ids.select("doc_id", "curve_key", "width", "ids").repartitionByRange(ranges, *order).sortWithinPartitions(*order, F.xxhash64("ids"))
     return dealt.mapInArrow(run, PIECES)

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scalars as fn
 from ..operators import tracking
 from ..sources import container
 from ..sources.relations import FRAMES, PLANE, SIDE, frames, pixels, plane, runs
@@ -76,6 +77,21 @@ def stream_object_events(spark, d) -> DataFrame:
     return spark.read.parquet(f"{path}/out").drop("batch")
 
 
+@query(None)
+def stream_scene_objects(spark, d) -> DataFrame:
+    """The same, where a frame whose mean change is above 18 is a scene cut: it ends all objects and starts none."""
+    path = scratch(spark)
+    row = F.array_sort(F.collect_list(F.struct("blob", "cx", "cy", "x", "y")))
+    found = tracking.blobs(pixels(spark, d).filter("v > 150"), SIDE).groupBy("video", "frame").agg(row.alias("regions"))
+    held = tracking.with_previous(frames(spark, d))
+    cuts = held.filter(fn.sad(F.col("px"), F.col("prev")) > 18 * SIDE * SIDE).select("video", "frame", F.lit(True).alias("cut"))
+    found = found.join(cuts, ["video", "frame"], "full").select("video", "frame", F.when(F.col("cut").isNull(), F.col("regions")).alias("regions"))
+    found.write.parquet(f"{path}/in")
+    src = spark.readStream.schema(spark.read.parquet(f"{path}/in").schema).parquet(f"{path}/in")
+    state.run_in_batches(state.stream_objects(src, within=5.0, patience=2), f"{path}/out", f"{path}/state")
+    return spark.read.parquet(f"{path}/out").drop("batch")
+
+
 @query(f"with {FRAMES} select video, frame, list_sum(px)::bigint total, list_max(px) brightest, md5(array_to_string(px, ',')) pixels_md5 from frames")
 def container_round_trip(spark, d) -> DataFrame:
     """Frames written as key frames and changes, read back and restored: every pixel counts in the digest."""

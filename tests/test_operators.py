@@ -266,11 +266,15 @@ def test_greedy_match_equals_plain_python(spark):
     assert sorted(got) == sorted(want) and got
 
 
-def expected_events(spark):
+def expected_events(spark, cuts=()):
     regions, out = regions_of(spark), []
-    for v in sorted({v for v, _ in regions}):
+    for v in sorted({v for v, _ in regions} | {v for v, _ in cuts}):
         objects, n = {}, 0
-        for f in sorted(f for w, f in regions if w == v):
+        for f in sorted({f for w, f in regions if w == v} | {f for w, f in cuts if w == v}):
+            if (v, f) in cuts:
+                out += [(v, f, i, "DESPAWN", o[2], o[3]) for i, o in objects.items()]
+                objects = {}
+                continue
             now = regions[v, f]
             ids = sorted(objects)
             pairs = nearest_pairs([r[5:] for r in now], [objects[i][:2] for i in ids])
@@ -312,6 +316,31 @@ def test_object_queries_equal_plain_python(spark):
     assert streamed == want
 
 
+def test_scene_cuts_end_all_objects(spark):
+    before, cuts = {}, set()
+    for r in sorted(relations.frames(spark, SF).collect(), key=lambda r: (r["video"], r["frame"])):
+        then = before.get(r["video"])
+        if then is not None and sum(abs(a - b) for a, b in zip(r["px"], then, strict=True)) > 18 * 64:
+            cuts.add((r["video"], r["frame"]))
+        before[r["video"]] = r["px"]
+    got = sorted((r["video"], r["frame"], r["obj_id"], r["type"], r["x"], r["y"]) for r in catalog.QUERIES["stream_scene_objects"](spark, SF).collect())
+    assert cuts and got == expected_events(spark, cuts)
+
+
+def test_sixteen_levels_equal_plain_python(spark):
+    count = {}
+    for r in relations.frames(spark, SF).collect():
+        for v in r["px"]:
+            count[v] = count.get(v, 0) + 1
+    centres = [255.0 * i / 15 for i in range(16)]
+    own = lambda v: min(range(16), key=lambda k: (abs(v - centres[k]), k))
+    for _ in range(10):
+        groups = [[(v, n) for v, n in count.items() if own(v) == k] for k in range(16)]
+        centres = [sum(v * n for v, n in g) / sum(n for _, n in g) if g else c for g, c in zip(groups, centres, strict=True)]
+    got = {r["k"]: (r["centre"], r["n"]) for r in catalog.QUERIES["sixteen_levels"](spark, SF).collect()}
+    assert got == {k: (round(centres[k], 6), sum(n for v, n in count.items() if own(v) == k)) for k in range(16)}
+
+
 def test_four_means_equal_plain_python(spark):
     blocks = {(r["video"], r["frame"], r["by"], r["bx"]): r["px"] for r in relations.blocks(spark, SF).collect()}
     got = {(r["video"], r["frame"], r["by"], r["bx"]): (r["centres"], r["sse"]) for r in catalog.QUERIES["four_means_blocks"](spark, SF).collect()}

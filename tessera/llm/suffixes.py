@@ -116,8 +116,9 @@ def _batch(columns: list, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], f.type) for c, f in zip(zip(*columns, strict=True) if columns else [()] * len(schema), schema, strict=True)], schema=schema)
 
 
-#: Bytes of text in a bucket of the text table, and rows of a phrase, as a share of all, from which it isn't joined by hash.
-BUCKET, HOT_SHARE = 256 << 20, 1000
+#: Bytes of text in a bucket of the text table, bytes of a range of a suffix array, and rows of a phrase, as a share of all, from which it
+#: isn't joined by hash.
+BUCKET, RANGE, HOT_SHARE = 256 << 20, 16 << 20, 1000
 
 
 def _text_table(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
@@ -195,7 +196,7 @@ def suffix_array(rows: DataFrame, column: str, kept: list[tuple]) -> tuple[DataF
 
     The order is cut into ranges of (column, rid, first), so that a common content is split too. Each range starts afresh;
     what its first row inherits from the ranges before comes apart, by range, for inherit(). It is worked out from one row
-    of each range: the driver holds as many as there are ranges.
+    of each range. The driver holds these and Spark's sample for the ranges, some 300 rows of each and three millions at most.
     """
     out_schema = pa.schema([*kept, *_ARRAY, ("edge", pa.int32()), ("head", pa.binary()), ("tail", pa.binary())])
     at = [f.split(" ")[0] for f in rows.columns].index(column)
@@ -226,7 +227,8 @@ def suffix_array(rows: DataFrame, column: str, kept: list[tuple]) -> tuple[DataF
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, out_schema, strict=True)], schema=out_schema)
 
     order = [column, "rid", "first"]
-    done = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(scan, _ddl(out_schema)))
+    ranges = -(-(rows.agg(F.sum(F.length(column) + 64)).first()[0] or 1) // RANGE)
+    done = stored(rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(scan, _ddl(out_schema)))
     release(rows.sparkSession)
     before, tail, steps = {}, b"", ([], [])
     for r in sorted(done.filter("edge is not null").select("edge", "head", "tail", "ids", "depths").collect(), key=lambda r: r["edge"]):

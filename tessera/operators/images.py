@@ -24,6 +24,22 @@ def dct_error(frames: DataFrame, side: int, keep: int) -> DataFrame:
     return df.select("video", "frame", F.round(total(F.zip_with("px", "_back", lambda p, g: (p - g) * (p - g))) / (side * side), 3).alias("mse"))
 
 
+def opened_closed(frames: DataFrame, side: int) -> DataFrame:
+    """(video, frame, opened, closed): the frames after grey opening and closing over 3 x 3 pixels, which shrink at the borders."""
+    cells = F.sequence(F.lit(0), F.lit(side * side - 1))
+
+    def near(px: str, best) -> Column:
+        def one(i: Column) -> Column:
+            y, x = F.floor(i / side).cast("int"), i % side
+            held = lambda dy, dx: F.when((y + dy).between(0, side - 1) & (x + dx).between(0, side - 1), F.get(px, i + dy * side + dx))
+            return best(F.array(*[held(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]))
+
+        return F.transform(cells, one)
+
+    df = frames.withColumn("_low", near("px", F.array_min)).withColumn("_high", near("px", F.array_max))
+    return df.select("video", "frame", near("_low", F.array_max).alias("opened"), near("_high", F.array_min).alias("closed"))
+
+
 def quadtree(frames: DataFrame, side: int, limit: float) -> DataFrame:
     """(video, frame, side, tag, area): a frame's smallest squares, of a quarter of its side, each counted with the leaf that holds it.
 

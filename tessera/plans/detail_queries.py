@@ -135,3 +135,15 @@ def cached_motion(spark, d) -> DataFrame:
     df = found.withColumn("held", F.last("vec", ignorenulls=True).over(w))
     hit = F.coalesce(F.col("held") == F.col("vec"), F.lit(False))
     return df.groupBy("video").agg(F.count("*").alias("n_searched"), F.count("held").alias("n_cached"), F.sum(hit.cast("long")).alias("n_hits"))
+
+
+_ROW = "(partition by video, frame, y order by x rows between 1 preceding and 1 following)"
+_COL = "(partition by video, frame, x order by y rows between 1 preceding and 1 following)"
+
+
+@query(f"""{PIXELS}, a as (select *, min(v) over {_ROW} lo, max(v) over {_ROW} hi from pixels), b as (select video, frame, y, x, min(lo) over {_COL} lo, max(hi) over {_COL} hi from a),
+  c as (select *, max(lo) over {_ROW} o, min(hi) over {_ROW} c from b), e as (select video, frame, y, x, max(o) over {_COL} o, min(c) over {_COL} c from c)
+  select video, frame, array_to_string(list(o order by y, x), ',') opened, array_to_string(list(c order by y, x), ',') closed from e group by video, frame""")
+def frame_morphology(spark, d) -> DataFrame:
+    """Grey opening and closing of each frame over 3 x 3 pixels."""
+    return images.opened_closed(frames(spark, d), SIDE).select("video", "frame", F.array_join("opened", ",").alias("opened"), F.array_join("closed", ",").alias("closed"))

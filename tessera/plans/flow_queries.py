@@ -48,6 +48,16 @@ def stream_windowed_counts(spark, d) -> DataFrame:
     return got.groupBy("window_start", "event_type").agg(last.alias("l")).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "l.n", "l.cents")
 
 
+@query("select user_id, epoch_us(max(ts)) // 1000 last_ms from events group by user_id having epoch_us(max(ts)) // 1000 + 10800000 < (select epoch_us(max(ts)) // 1000 from events)")
+def stream_inactive_users(spark, d) -> DataFrame:
+    """Users without an event for three hours when the stream ends, by event-time timers."""
+    src = f"{d}/events.parquet"
+    events = spark.readStream.schema(spark.read.parquet(src).schema).parquet(_folder(spark, src))
+    path = scratch(spark)
+    state.run_in_batches(state.stream_inactive(events, "user_id", "ts", 3 * 3600 * 1000), f"{path}/out", f"{path}/state")
+    return spark.read.parquet(f"{path}/out").select(F.col("key").alias("user_id"), "last_ms")
+
+
 def _folder(spark, path: str) -> str:
     """File streams read folders: a table that is one file is copied to one by Spark."""
     folder = f"{scratch(spark)}/in"

@@ -18,7 +18,7 @@ def stream_ema(df: DataFrame, alpha: float = 0.05, still: float = 2, near: float
     """BACKGROUND after each row of a stream (cell, frame, v): state is (background, last value) per cell.
 
     Within a micro-batch rows are taken in order of frame; across them they are expected in that order. A row that is
-    older than what its cell has seen is dropped.
+    older than what its cell has seen is dropped. A cell's rows of one micro-batch are held, which maxFilesPerTrigger bounds.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -65,6 +65,30 @@ def stream_objects(df: DataFrame, within: float, patience: int) -> DataFrame:
     return df.groupBy("video").applyInPandasWithState(run, "video int, frame int, obj_id int, type string, x int, y int", "next int, ids array<int>, vals array<double>", "update", GroupStateTimeout.NoTimeout)
 
 
+def stream_inactive(events: DataFrame, key: str, at: str, gap_ms: int, late: str = "0 seconds") -> DataFrame:
+    """(key, last_ms) of keys that have been silent for gap_ms when the watermark of at passes: a timer per key, set anew by each event."""
+
+    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        gone = []
+        if state.hasTimedOut:
+            gone.append((k[0], state.get[0]))
+            state.remove()
+        else:
+            last = max(int(rows["ms"].max()) for rows in batches)
+            last = max(last, state.get[0]) if state.exists else last
+            if last + gap_ms <= state.getCurrentWatermarkMs():  # silent already when it came
+                gone.append((k[0], last))
+                if state.exists:
+                    state.remove()
+            else:
+                state.update((last,))
+                state.setTimeoutTimestamp(last + gap_ms)
+        yield pd.DataFrame(gone, columns=["key", "last_ms"])
+
+    held = events.select(F.col(key).cast("long").alias("key"), F.col(at).cast("timestamp").alias("at")).withWatermark("at", late).withColumn("ms", F.unix_millis("at"))
+    return held.groupBy("key").applyInPandasWithState(run, "key long, last_ms long", "last long", "update", GroupStateTimeout.EventTimeTimeout)
+
+
 def windowed_counts(events: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:
     """(window_start, event_type, n, cents) of an event stream: tumbling windows that close once the watermark passes them."""
     held = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)

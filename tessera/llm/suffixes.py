@@ -16,6 +16,9 @@ at LENGTH; two places hold the same string just where these agree. Most strings
    first phrase with the same last a bytes and the first text with the same next LENGTH - a; in the order of both, which is
    the order of the corpus, equal strings are neighbours.
 4. Strings without a trigger near, inside a long phrase, are compared as they are, once per content of a text.
+
+Passages that are long in words but shorter than LENGTH bytes are not removed. They are reported: the parse also tells which
+windows of words hold no phrase that occurs once, and of these one in PASSAGE words in a row, the one of the least hash, is looked up.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import release, scratch_dir, stored
-from .hashing import BASE, BYTE, mix, powers, prefix, spans_hash
+from .hashing import BASE, BYTE, mix, powers, prefix, spans_hash, word_spans
 
 LENGTH = 400
 #: Bytes of a trigger, and the mean distance of triggers.
@@ -40,9 +43,11 @@ TRIGGER, SPACING = 16, 48
 REACH = 80
 #: Mean distance of dense triggers, which lead strings that hold no whole phrase.
 DENSE = 6
+#: Words of a passage that is reported wherever it stands in two texts, and of the windows by which it is found.
+PASSAGE, WORDS = 51, 38
 _U = np.uint64
 _OTHER = mix(BYTE ^ BASE)
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, shares_passage boolean, kept binary"
 
 
 def triggers(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,6 +108,27 @@ def candidates(n: int, t: np.ndarray, dense: np.ndarray, once: np.ndarray, lengt
     return s[cut], s[np.append(cut[1:], len(s)) - 1], begin[cut], end[cut]
 
 
+def passage_windows(data: np.ndarray, p: np.ndarray, t: np.ndarray, once: np.ndarray) -> np.ndarray:
+    """Hashes of windows of WORDS words, at least one out of each PASSAGE words in a row that hold no phrase marked in once."""
+    start, end = word_spans(data)
+    reach = PASSAGE - WORDS + 1
+    n = len(start) - WORDS + 1
+    if n < reach:
+        return np.zeros(0, np.int64)
+    first, last = start[:n], end[WORDS - 1 :]
+    held = np.searchsorted(t[1:][once] + TRIGGER, last, "right") > np.searchsorted(t[:-1][once], first)
+    free = np.concatenate(([0], np.cumsum(held)))
+    runs = np.flatnonzero(free[reach:] == free[:-reach])  # PASSAGE words from here on hold none
+    if not len(runs):
+        return np.zeros(0, np.int64)
+    words = spans_hash(p, start, end)
+    sums = np.zeros(len(words) + 1, _U)
+    np.cumsum(words * powers(BASE, len(words)), out=sums[1:])
+    at = np.arange(n)
+    h = spans_hash(sums, at, at + WORDS)
+    return np.unique(np.lib.stride_tricks.sliding_window_view(h, reach)[runs].min(1)).view(np.int64)
+
+
 def _view(x: bytes) -> np.ndarray:
     return np.frombuffer(x, np.uint8)
 
@@ -138,8 +164,8 @@ _FOUND = pa.schema([("kind", pa.int32()), ("rid", pa.int64()), ("lead", pa.int64
 #: Kinds of runs as they go through the suffix arrays, and the columns that an array adds.
 _KIND = [("rid", pa.int64()), ("first", pa.int64()), ("n", pa.int32()), ("low", pa.int32()), ("high", pa.int32())]
 _ARRAY = [("ids", pa.list_(pa.int64())), ("depths", pa.list_(pa.int32()))]
-#: Kinds of what a text is found to hold: runs of strings with a lead, runs that repeat within the text, single strings.
-RUN, OWN, SINGLE = 0, 1, 2
+#: Kinds of what a text is found to hold: runs of strings with a lead, runs that repeat within the text, single strings, windows of words.
+RUN, OWN, SINGLE, WINDOW = 0, 1, 2, 3
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -264,7 +290,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
     Texts are UTF-8 bytes, null is empty; strings never cross texts, overlaps count, and all is judged on the input. Texts
     shorter than length stay whole. Repeated rows are texts of their own, so each repeats the other. kept are the bytes left,
-    which need not be whole characters. Other columns are ignored; an empty table gives none.
+    which need not be whole characters. shares_passage is true for every text that has PASSAGE words in a row in common with another,
+    however many bytes these have, and for none that has fewer than WORDS (up to collisions of 64 bits). Other columns are ignored; an empty
+    table gives none.
 
     Copies of a text repeat as a whole; one of them, of weight 2, stands for all in what follows. Phrases are counted with
     partial aggregation, once per text that holds them; those of more than a HOT_SHARE of all such rows, HOT_SHARE at most, go
@@ -277,6 +305,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     spark = docs.sparkSession
     table, name = _text_table(docs, key, text)
     roles = _roles(table, length)
+    least = min(length, 2 * PASSAGE - 1)  # bytes of a text that may hold anything of note
     texts = table.join(roles, "rid", "left").withColumn("weight", F.coalesce("weight", F.lit(1))).filter("weight > 0")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,7 +313,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         for batch in batches:
             out, many = [], []
             for data in _bytes(batch.column(2)):
-                p = prefix(data) if len(data) >= length else np.zeros(1, _U)
+                p = prefix(data) if len(data) >= least else np.zeros(1, _U)
                 h, n = np.unique(phrases(p, triggers(p)[0]).view(np.int64), return_counts=True)
                 out.append(h)
                 many.append(np.minimum(n, 2).astype(np.int8).tobytes())
@@ -306,7 +335,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
             out = []
             for rid, weight, data, repeated in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _bytes(batch.column(2)), batch.column(3), strict=True):
                 n = len(data)
-                if n < length:
+                if n < least:
                     continue
                 p = prefix(data)
                 t, dense = triggers(p)
@@ -315,10 +344,14 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                 if repeated.is_valid:
                     once[repeated.values.to_numpy()] = False
                 first, last, begin, end = candidates(n, t, dense, once[inverse], length)
+                seen = passage_windows(data, p, t, once[inverse])
+                row = lambda kind, lead, one, two, a, z, reach, w: (np.full(len(a), kind, np.int32), np.full(len(a), rid), lead, one, two, a, z, reach.astype(np.int32), w)  # noqa: B023, E731
+                if len(seen):
+                    zero = np.zeros(len(seen), np.int64)
+                    out.append(row(WINDOW, seen, zero, zero, zero, zero, zero, np.full(len(seen), weight, np.int32)))
                 if not len(first):
                     continue
                 q = second_prefix(data)
-                row = lambda kind, lead, one, two, a, z, reach, w: (np.full(len(a), kind, np.int32), np.full(len(a), rid), lead, one, two, a, z, reach.astype(np.int32), w)  # noqa: B023, E731
                 led = end > 0
                 a, z, b = first[led], last[led], begin[led]
                 one, two = (spans_hash(x, a, z + length).view(np.int64) for x in (p, q))
@@ -396,16 +429,20 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     hit = open_runs.filter("n > 1 and weight = 1").select("rid", span("first", "last"))
     hit = hit.unionByName(found.filter(F.col("kind") == OWN).select("rid", span("first", "last")))
     hit = hit.unionByName(single.filter("weight = 1").join(twice.hint("merge"), ["led", "w1", "w2"]).select("rid", span("at", "at")))
+    windows = found.filter(F.col("kind") == WINDOW).select("rid", "lead", "weight")
+    shared = windows.groupBy("lead").agg(F.min("rid").alias("one"), F.max("rid").alias("other"), F.max("weight").alias("most")).filter("one < other or most > 1").select("lead")
+    sharing = stored(windows.join(shared.hint("merge"), "lead").select("rid").distinct())
     spans = stored(hit.groupBy("rid").agg(F.collect_list("span").alias("spans")))
     release(spark)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, data, own, copied in zip(batch.column(0).to_pylist(), _bytes(batch.column(1)), batch.column(2), batch.column(3).to_pylist(), strict=True):
+            for doc, data, own, copied, shares in zip(batch.column(0).to_pylist(), _bytes(batch.column(1)), batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 n, removed, pieces, kept = len(data), 0, 0, data
                 if copied:
                     removed, pieces, kept = n, 1, data[:0]
+                    shares = len(word_spans(data)[0]) >= PASSAGE
                 elif own.is_valid:
                     a, z = (x.to_numpy() for x in own.values.flatten())
                     step = np.zeros(n + 1, np.int64)
@@ -414,12 +451,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                     gone = np.cumsum(step[:n]) > 0
                     removed, pieces, kept = int(gone.sum()), int((np.diff(np.concatenate(([0], gone.view(np.int8)))) == 1).sum()), data[~gone]
                 kept = kept.tobytes()
-                rows.append((doc, n, removed, pieces, hashlib.sha256(kept).hexdigest(), kept))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                rows.append((doc, n, removed, pieces, hashlib.sha256(kept).hexdigest(), bool(shares), kept))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.binary())
+            columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split(" ")[0] for x in RESULT.split(", ")])
 
-    done = table.join(spans, "rid", "left").join(roles.select("rid", F.lit(True).alias("copied")), "rid", "left")
-    out = done.select("doc_id", "body", "spans", "copied").mapInArrow(finish, RESULT)
+    done = table.join(spans, "rid", "left").join(roles.select("rid", F.lit(True).alias("copied")), "rid", "left").join(sharing.withColumn("shares", F.lit(True)), "rid", "left")
+    out = done.select("doc_id", "body", "spans", "copied", "shares").mapInArrow(finish, RESULT)
     spark.sql(f"drop table {name}")  # the files stay for the result
     return out

@@ -193,6 +193,32 @@ def without_repeats(rows, n):
     return sorted(out)
 
 
+def test_passages_of_many_words_are_reported(spark):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 8)))
+    text = lambda n: [word() for _ in range(n)]
+    passages = [text(51) for _ in range(8)]
+    rows, want = [], {}
+
+    def add(t, shares):
+        want[len(rows)] = shares
+        rows.append((len(rows), t))
+
+    for k in range(40):
+        add(" ".join(text(rng.randrange(90)) + passages[k % 8] + text(rng.randrange(90))), True)
+    for k in range(20):  # too short a part of a passage, which isn't one
+        add(" ".join(text(80) + passages[k % 8][:37] + text(80)), False)
+    for _ in range(20):
+        add(" ".join(text(rng.randrange(1, 300))), False)
+    twice = " ".join(text(60))
+    add(f"{twice} x {twice}", False)  # within one text alone
+    long = " ".join(text(200))
+    for t, shares in ((long, True), (long, True), (" ".join(passages[0]), True), (" ".join(text(50)), False), ("a b c " * 10, False), ("a b c " * 10, False), (None, False), ("", False), ("w" * 3000, False), ("w" * 3000, False)):
+        add(t, shares)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["shares_passage"] for r in suffixes.remove_repeats(df).collect()} == want
+
+
 def test_suffix_array_steps():
     """Over ranges of a sorted array, the first entry that shares d bytes, with what a range inherits, against all entries."""
     rng = random.Random(12)
@@ -227,5 +253,5 @@ def test_repeated_strings_equal_brute_force(spark, length, monkeypatch):
         t[rng.randrange(len(t))] = "#"
         rows.append((200 + k, "".join(t)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted(tuple(r) for r in suffixes.remove_repeats(df, length=length).drop("kept").collect())
+    got = sorted(tuple(r) for r in suffixes.remove_repeats(df, length=length).drop("kept", "shares_passage").collect())
     assert got == without_repeats([(k, (t or "").encode()) for k, t in rows], length)

@@ -21,6 +21,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 VALUES, MISS = 160, 4e-6
 #: MinHash values compared between two looks at the posterior, and the chance of a link below which a pair goes.
 STEP, TOLERANCE = 32, 1e-6
+#: Pairs whose whole sketches are compared in one go, so that these stay small.
+SLICE = 1 << 14
 _SKETCH = "key long, d1 long, d2 long, sketch binary"
 
 
@@ -96,12 +98,12 @@ def candidates(sketches: np.ndarray, band: np.ndarray, i: np.ndarray, j: np.ndar
         matches += same.sum(1, dtype=np.int16)
         ok = matches >= least
         i, j, matches = i[ok], j[ok], matches[ok]
-    if len(i):
-        used = bands * rows
-        first = (sketches[i, :used].reshape(-1, bands, rows) == sketches[j, :used].reshape(-1, bands, rows)).all(2).argmax(1)
-        ok = first == band[i]
-        i, j = i[ok], j[ok]
-    return i, j
+    used, ok = bands * rows, np.zeros(len(i), bool)
+    for s in range(0, len(i), SLICE):
+        a, b = i[s : s + SLICE], j[s : s + SLICE]
+        first = (sketches[a, :used].reshape(-1, bands, rows) == sketches[b, :used].reshape(-1, bands, rows)).all(2).argmax(1)
+        ok[s : s + SLICE] = first == band[a]
+    return i[ok], j[ok]
 
 
 def overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:

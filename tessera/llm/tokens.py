@@ -22,18 +22,21 @@ _BYTES = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(x for x
 class _Known(dict):
     """The ids of pieces met so far, as bytes; learns a piece when it is asked for.
 
-    Pieces are dropped when they come to SIZE bytes, and met again. Longer ones than LONGEST, such as text without
-    spaces, are encoded each time.
+    When they come to SIZE bytes, those not asked for since the time before go. Longer ones than LONGEST, such as text
+    without spaces, are encoded each time.
     """
 
-    LONGEST, SIZE = 64, 96 << 20
+    LONGEST, SIZE = 64, 40 << 20
 
     def __init__(self, library, kind: str) -> None:
         self.library, self.tokenize, self.kind = library, library.model.tokenize, np.dtype(kind).char
-        self[""], self.size = b"", 0
+        self[""], self.size, self.old = b"", 0, {}
 
     def __missing__(self, w: str) -> bytes:
-        if w[-1] in ".," and _SIMPLE.fullmatch(w, 0, len(w) - 1):
+        out = self.old.get(w)
+        if out is not None:
+            pass
+        elif w[-1] in ".," and _SIMPLE.fullmatch(w, 0, len(w) - 1):
             out = self[w[:-1]] + self[w[-1]]
         elif _SIMPLE.fullmatch(w):
             low = w.lower()
@@ -44,8 +47,9 @@ class _Known(dict):
             return out
         self.size += 200 + len(w) + len(out)  # with what Python adds
         if self.size > self.SIZE:
+            self.old, self.size = dict(self), 0
             self.clear()
-            self[""], self.size = b"", 0
+            self[""] = b""
         self[w] = out
         return out
 

@@ -6,6 +6,8 @@ from .chat import CLOSE, OPEN
 from .lines import WINDOW
 from .neardup import SHINGLE, THRESHOLD
 from .quality import LINE_CHARS_LIMIT, LINES_LIMIT, MIN_WORDS, NGRAM_LIMITS, REPEAT_WORDS_PERCENT
+from .resampling import BUCKETS, PERCENT, SEED
+from .resampling import MIN_WORDS as MIN_DRAWN
 from .secrets import ACCESS, ASSIGN, BANDS, DECADES, ENCODINGS, FOLDED, HEX, KINDS, LEVEL, NOISE_SWITCH, ODD, STEPS_PER_DECADE, TEXT_PAIR, TEXT_SWITCH, TEXT_TRIPLE, TOKEN
 from .vectors import THRESHOLD as COSINE
 
@@ -150,4 +152,22 @@ select doc_id, count(*) filter (kind = 0)::bigint n_assign, count(*) filter (kin
 from docs left join named using (doc_id) group by doc_id
 """
 
-ORACLES = {"op1_ngram_jaccard_join": OP1, "op3_quality_rules": OP3, "op4_secret_scan": OP4, "op8_embedding_near_dedup": OP8, "op9_line_dedup": OP9, "op10_chat_format": OP10}
+OP13 = f"""
+with crc_table as materialized (select list(c order by i)::bigint[] k from (select i, list_reduce(list_prepend(i::bigint, range(8)::bigint[]), lambda c, _: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) c from range(256) r(i))),
+folded as (select doc_id id, false goal, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t from documents
+  union all select item_id, true, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') from benchmark),
+words as materialized (select id, goal, w, count(*) n from (select id, goal, unnest(regexp_extract_all(t, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) w from folded) group by all),
+hexes as (select w, hex(encode(w)) h from (select distinct w from words)),
+bytes as (select w, list_transform(range(1, length(h)::bigint, 2), lambda i: 16 * (strpos('0123456789ABCDEF', h[i]) - 1) + strpos('0123456789ABCDEF', h[i + 1]) - 1)::bigint[] b from hexes),
+placed as materialized (select w, xor(list_reduce(list_prepend(4294967295::bigint, b), lambda c, x: xor(c >> 8, k[(xor(c, x) & 255) + 1])), 4294967295::bigint) % {BUCKETS} bucket from bytes, crc_table),
+counted as (select bucket, sum(n) filter (not goal) s, sum(n) filter (goal) t from words join placed using (w) group by bucket),
+totals as (select coalesce(sum(s), 0)::double s_all, coalesce(sum(t), 0)::double t_all from counted),
+gain as (select bucket, floor(1000 * ln(((coalesce(t, 0) + 1)::double * (s_all + {BUCKETS})) / ((coalesce(s, 0) + 1)::double * (t_all + {BUCKETS}))))::bigint g from counted, totals),
+weights as (select id, sum(n)::bigint n, sum(n * g)::bigint weight from words join placed using (w) join gain using (bucket) where not goal group by id),
+scored as (select doc_id, coalesce(n, 0) n_words, coalesce(weight, 0) weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{SEED}:' || doc_id), 1, 8))::bigint + 0.5::double) / 4294967296::double)))::bigint score
+  from documents left join weights on id = doc_id),
+ranks as (select doc_id, row_number() over (order by score desc, doc_id) r, {PERCENT} * count(*) over () // 100 most from scored where n_words >= {MIN_DRAWN})
+select doc_id, n_words, n_words n_features, weight, score, case when r <= most then r end::bigint rank from scored left join ranks using (doc_id)
+"""
+
+ORACLES = {"op1_ngram_jaccard_join": OP1, "op3_quality_rules": OP3, "op4_secret_scan": OP4, "op8_embedding_near_dedup": OP8, "op9_line_dedup": OP9, "op10_chat_format": OP10, "op13_importance_resampling": OP13}

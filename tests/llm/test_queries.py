@@ -17,7 +17,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(oracles.ORACLES))
 def test_query_equals_oracle(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "conversations", "embeddings"):
+    for t in ("documents", "conversations", "embeddings", "benchmark"):
         c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df, want = queries.QUERIES[name](spark, SF), c.sql(oracles.ORACLES[name])
     assert sorted(df.columns) == sorted(want.columns)

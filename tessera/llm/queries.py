@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import chat, lines, neardup, packing, pieces, quality, records, resampling, secrets, suffixes, vectors
+from . import chat, lines, neardup, packing, pieces, quality, records, resampling, secrets, sharding, suffixes, vectors, whitening
 from .common import scratch_dir, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -58,8 +58,16 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.format_chats(chat.log_of(rows)))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitening_report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_report(table(spark, sf_dir, "documents"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sentencepiece, op3_quality_rules, op4_secret_scan, op5_packing, op6_token_records, op7_suffix_array_dedup, op8_embedding_near_dedup, op9_line_dedup, op10_chat_format, op13_importance_resampling)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sentencepiece, op3_quality_rules, op4_secret_scan, op5_packing, op6_token_records, op7_suffix_array_dedup, op8_embedding_near_dedup, op9_line_dedup, op10_chat_format, op11_embedding_whitening, op12_sharding, op13_importance_resampling)}

@@ -111,7 +111,9 @@ def whitened_rows(rows: DataFrame, key: str = "vec_id", vector: str = "embedding
     if lead is None:
         return spark.createDataFrame([], "vec_id long, n long, deviation long, y array<double>, explained array<double>, identity_error double")
     d, n = lead["d"], lead["n"]
-    x = indexed(x.filter(F.size("x") == d))
+    if x.count() > n:  # of vectors of several lengths those that stay are numbered again
+        x = stored(x.filter(F.size("x") == d).withColumn("uid", F.monotonically_increasing_id()))
+    x = indexed(x)
     total = [int(s) for s in _sums(x, "x", d, "decimal(38,0)")]
     whole = [s // n for s in total]
     left = [s - w * n for s, w in zip(total, whole, strict=True)]  # 0 <= left < n

@@ -67,12 +67,13 @@ def regression(now: DataFrame, before: DataFrame, keys: list[str], value: str, d
 
 
 def trial_spread(runs: DataFrame, keys: list[str], rate: Column) -> DataFrame:
-    """Runs, mean and population deviation of a rate per key, from whole hundredths in decimals, so that sums are exact."""
+    """Runs, mean and population deviation of a rate per key, from whole hundredths in decimals, so that sums are exact; halves round up."""
     c = F.floor(rate * 100).cast("decimal(18,0)")
     df = runs.groupBy(*keys).agg(F.count(c).alias("n"), F.sum(c).cast("decimal(38,0)").alias("s"), F.sum((c * c).cast("decimal(28,0)")).cast("decimal(38,0)").alias("ss"))
     n = F.col("n").cast("decimal(38,0)")
-    deviation = F.sqrt(((n * F.col("ss")).cast("decimal(38,0)") - (F.col("s") * F.col("s")).cast("decimal(38,0)")).cast("double")) / F.col("n") / 100
-    return df.select(*keys, "n", F.round(F.col("s").cast("double") / 100 / F.col("n"), 3).alias("mean_fps"), F.round(deviation, 3).alias("sd_fps"))
+    spread = ((n * F.col("ss")).cast("decimal(38,0)") - (F.col("s") * F.col("s")).cast("decimal(38,0)")).cast("double")
+    deviation = F.floor(10 * F.sqrt(spread) / F.col("n") + 0.5) / 1000
+    return df.select(*keys, "n", (F.expr("(20 * s + n) div (2 * n)") / 1000).alias("mean_fps"), deviation.alias("sd_fps"))
 
 
 def markdown(df: DataFrame, columns: list[str], order: str) -> DataFrame:

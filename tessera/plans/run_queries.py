@@ -122,21 +122,19 @@ def effective_configs(spark, d) -> DataFrame:
     return runs(spark, d).select("perm", effect.alias("effect")).distinct().groupBy("effect").agg(F.count("*").alias("n"), F.min("perm").alias("first"))
 
 
-@query(", t as (select perm, floor(frames / greatest(time_s, 0.001::double) * 100)::bigint c, row_number() over (partition by perm, video order by run_id, frames, time_s) k from runs), m as (select perm, count(*)::bigint n, sum(c)::bigint s, sum(c * c)::bigint ss from t where k <= 3 group by perm) select perm, n, round(s / 100.0::double / n, 3) mean_fps, round(sqrt((n * ss - s * s)::double) / n / 100, 3) sd_fps from m")
+TRIALS = ", t as (select perm, floor(frames / greatest(time_s, 0.001::double) * 100)::bigint c from runs), m as (select perm, count(c)::bigint n, sum(c) s, sum(c * c) ss from t group by perm) select perm, n, ((20 * s + n) // (2 * n))::double / 1000 mean_fps, floor(10 * sqrt((n * ss - s * s)::double) / n + 0.5::double) / 1000 sd_fps from m"
+
+
+@query(TRIALS)
 def trial_mean_std(spark, d) -> DataFrame:
-    """Mean and population deviation over three trials, from whole hundredths, so that sums are exact."""
-    w = Window.partitionBy("perm", "video").orderBy("run_id", "frames", "time_s")
-    df = runs(spark, d).withColumn("k", F.row_number().over(w)).filter("k <= 3")
-    df = df.withColumn("c", F.floor(fn.fps(F.col("frames"), F.col("time_s")) * 100))
-    df = df.groupBy("perm").agg(F.count("*").alias("n"), F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("ss"))
-    deviation = F.sqrt((F.col("n") * F.col("ss") - F.col("s") * F.col("s")).cast("double")) / F.col("n") / 100
-    return df.select("perm", "n", F.round(F.col("s") / 100.0 / F.col("n"), 3).alias("mean_fps"), F.round(deviation, 3).alias("sd_fps"))
+    """Mean and population deviation of the rate over all runs of each perm, from whole hundredths, so that sums are exact."""
+    return reports.trial_spread(runs(spark, d), ["perm"], fn.fps(F.col("frames"), F.col("time_s")))
 
 
-@query(None)
+@query(TRIALS)
 def trial_mean_std_all(spark, d) -> DataFrame:
-    """Mean and population deviation over all runs of each perm, however many, which trial_mean_std and its SQL cut to three a video."""
-    return reports.trial_spread(runs(spark, d), ["perm"], fn.fps(F.col("frames"), F.col("time_s")))
+    """The name that trial_mean_std over all runs had while that one took three runs of each perm and video."""
+    return trial_mean_std(spark, d)
 
 
 @query("select count(*)::bigint n, count(comp_bytes)::bigint n_ok, round(avg(comp_bytes), 4) mean_ok, round(avg(coalesce(comp_bytes, 0)), 4) mean_if_zero from runs group by ()")

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..env import scratch
 from ..functions import scalars as fn
 from ..operators import tracking
 from ..sources import container
@@ -27,16 +25,6 @@ def query(sql: str | None = None):
     return add
 
 
-def scratch(spark) -> str:
-    """A new path in the shared checkpoint folder; a temporary one where none is set and all runs in this process."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="tessera-")
-    return f"{root.rstrip('/')}/flow/{uuid.uuid4().hex}"
-
-
 @query("select cast(ts as date)::timestamp window_start, event_type, count(*)::bigint n, sum(floor(value * 100)::bigint)::bigint cents from events group by all")
 def stream_windowed_counts(spark, d) -> DataFrame:
     src = f"{d}/events.parquet"

@@ -6,7 +6,7 @@ one video per label. runs: an experiment log from lineitem. Each has a twin in D
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..env import on_workers
@@ -78,6 +78,40 @@ BLOCKS = f"""{FRAMES}, cut as (select video, frame, cast(g.y as int) "by", cast(
 blocks as (select *, lag(px) over (partition by video, "by", bx order by frame) prev from cut)"""
 
 
+#: Side of a scene's frames, by how many rows they scroll each frame, and columns at their left that stand still.
+SCENE, SCROLL, STILL = 64, 4, 16
+
+
+def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(video, frame, px): frames of SCENE x SCENE pixels that scroll over a video's vectors, one vector a row of pixels.
+
+    The first STILL columns show the first frame's for good, rows beyond the last vector are 0. A video has SPAN vectors, so that
+    videos grow in number with the table.
+    """
+    e = read(spark, sf_dir, "embeddings").filter(F.size("embedding") == SCENE)
+    gain = F.lit(8.0) * F.pow(F.lit(4.0), F.col("label") % 3)
+    row = F.transform("embedding", lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.lit(128) + F.floor(x.cast("double") * gain).cast("int"))))
+    held = e.groupBy(F.expr(f"cast(vec_id div {SPAN} as int)").alias("video")).agg(F.array_sort(F.collect_list(F.struct("vec_id", row.alias("row")))).alias("rows"))
+    last = F.greatest(F.lit(0), F.ceil((F.size("rows") - SCENE) / SCROLL).cast("int"))
+    line = lambda y: F.coalesce(F.get("rows", y)["row"], F.array_repeat(F.lit(0), SCENE))
+    lines = lambda f: F.transform(F.sequence(F.lit(0), F.lit(SCENE - 1)), lambda y: F.concat(F.slice(line(y), 1, STILL), F.slice(line(y + SCROLL * f), STILL + 1, SCENE - STILL)))
+    shown = F.transform(F.sequence(F.lit(0), last), lambda f: F.struct(f.alias("frame"), F.flatten(lines(f)).alias("px")))
+    return held.select("video", F.explode(shown).alias("s")).select("video", "s.frame", "s.px")
+
+
+_LINE = f"coalesce(r[{{}}], list_transform(range({SCENE}), lambda z: 0::int))"
+SCENES = f"""lines as (select cast(vec_id // {SPAN} as int) video, list(list_transform(embedding, lambda x: greatest(0, least(255, 128 + cast(floor(x::double * 8.0 * pow(4.0, label % 3)) as int)))) order by vec_id) r, count(*) n
+    from embeddings where len(embedding) = {SCENE} group by 1),
+  shown as (select video, r, unnest(range(greatest(0, ceil((n - {SCENE}) / {SCROLL}.0)::int) + 1))::int frame from lines),
+  scenes as (select video, frame, flatten(list_transform(range({SCENE}), lambda y: list_concat({_LINE.format("y + 1")}[:{STILL}], {_LINE.format(f"y + 1 + {SCROLL} * frame")}[{STILL + 1}:]))) px from shown),
+  points as (select video, frame, cast(i // {SCENE} as int) y, cast(i % {SCENE} as int) x, v from (select video, frame, unnest(px) v, generate_subscripts(px, 1) - 1 i from scenes))"""
+
+
+def cut(px: Column, side: int, top: Column, left: Column, height: int, width: int) -> Column:
+    """The pixels of a box of a frame, row by row, as slices."""
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(height - 1)), lambda r: F.slice(px, (top + r) * side + left + 1, width)))
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(run_id, perm, config, video, orig_bytes, comp_bytes, time_s, frames): one row per run of a configuration on a video.
 

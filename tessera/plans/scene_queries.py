@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import regions
+from ..operators import blocks as bl
+from ..operators import decision, regions
 from ..sources.relations import SCENE, SCENES, SCROLL, scenes
 
 QUERIES, ORACLES = {}, {}
@@ -64,3 +65,70 @@ def block_moves(spark, d) -> DataFrame:
 def history_regions(spark, d) -> DataFrame:
     """Regions of blocks that behaved alike over ten frames."""
     return regions.history_regions(regions.block_moves(scenes(spark, d), SCENE, SMALL, SCROLL), _SIDE, BLOCK_TILE)
+
+
+#: Side of a block of the mode decision; its gates are those of 16 pixels, by area.
+LARGE = 8
+GATES = bl.Gates(dither=18.75, dense=20)
+PLATES = "plates as materialized (select video, y, x, floor(median(v))::int p from points group by all)"
+
+
+def decided(spark, d) -> DataFrame:
+    shown = scenes(spark, d)
+    return decision.decide(shown, decision.clean_plates(shown), SCENE, LARGE, GATES)
+
+
+@query(f"{SCENES}, {PLATES} select video, y, sum(p)::bigint total, max(p) most, count(distinct p)::bigint n_levels from plates group by all")
+def clean_plate_rows(spark, d) -> DataFrame:
+    """Clean plates of all videos, row by row."""
+    p = decision.clean_plates(scenes(spark, d)).select("video", F.posexplode("plate").alias("i", "p"))
+    return p.groupBy("video", F.expr(f"i div {SCENE}").alias("y")).agg(F.sum("p").alias("total"), F.max("p").alias("most"), F.count_distinct("p").alias("n_levels"))
+
+
+@query(None)
+def motion_mode_decision(spark, d) -> DataFrame:
+    """Modes of all blocks, with background, predicted, searched and faded blocks among the candidates."""
+    df = decided(spark, d).groupBy("video", "frame", "mode")
+    return df.agg(F.count("*").alias("n"), F.sum("bytes").cast("long").alias("bytes"), F.sum(F.abs("dy") + F.abs("dx")).cast("long").alias("moved"), F.sum("shift").cast("long").alias("shift"))
+
+
+@query(None)
+def carried_vectors(spark, d) -> DataFrame:
+    """Vectors that blocks took, by how they came to them."""
+    return decided(spark, d).filter("mode in ('predicted', 'searched', 'faded')").groupBy("video", "mode", "dy", "dx").agg(F.count("*").alias("n"), F.count_distinct("frame").alias("n_frames"))
+
+
+_CELL = f"({{y}} - 1) * {_SIDE} + {{x}}"
+# a block of row y and column x, counted from 1, may join a box of kind k; sums of squares of h x w blocks from (r0, c0), counted from 0
+_FREE = f"taken[{_CELL}] = 0 and (case when k = 'background' then still[{_CELL}] < 12 else largest[{_CELL}] < 14 end)"
+_AT = f"tab[({{r}}) * {_SIDE + 1} + {{c}} + 1]"
+_SUM = f"({_AT.format(r='r0 + {h}', c='c0 + {w}')} - {_AT.format(r='r0', c='c0 + {w}')} - {_AT.format(r='r0 + {h}', c='c0')} + {_AT.format(r='r0', c='c0')})"
+_EVEN = f"(k = 'background' or {_SUM} < {40 * SMALL * SMALL} * {{h}} * {{w}})"
+# the longest run from 1 up for which a condition on n holds, and the end of the grid
+_GROWN = f"case when k = 'coded' or busy then 1 else coalesce(list_min(list_filter(range(2, least(8, {_SIDE} - {{at}}) + 1), lambda n: not ({{ok}}))) - 1, least(8, {_SIDE} - {{at}})) end"
+_WIDER = _GROWN.format(at="c0", ok=f"{_FREE.format(y='r0 + 1', x='c0 + n')} and {_EVEN.format(h='1', w='n')}")
+_TALLER = _GROWN.format(at="r0", ok=f"list_bool_and(list_transform(range(1, w + 1), lambda q: {_FREE.format(y='r0 + n', x='c0 + q')})) and {_EVEN.format(h='n', w='w')}")
+
+
+@query(f"""{SCENES}, {PLATES}, was as materialized (select video, frame + 1 frame, y fy, x, v old from points),
+  diffs as (select video, frame, y // {SMALL} r, x // {SMALL} c, abs(v - p) s, abs(v - old) m from (select *, least({SCENE - 1}, y + {SCROLL}) fy from points) join plates using (video, y, x) join was using (video, frame, fy, x)),
+  errs as materialized (select video, frame, r, c, max(s)::int still, sum(m * m)::bigint square, max(m)::int largest from diffs group by all),
+  corners as (select e.video, e.frame, a.r, b.c, coalesce(sum(square) filter (e.r < a.r and e.c < b.c), 0)::bigint t from errs e, range({_SIDE + 1}) a(r), range({_SIDE + 1}) b(c) group by all),
+  tabs as (select video, frame, list(t order by r, c) tab from corners group by all),
+  grids as materialized (select video, frame, list(still order by r, c) still, list(square order by r, c) square, list(largest order by r, c) largest, any_value(tab) tab from errs join tabs using (video, frame) group by all),
+  fold(video, frame, i, taken, boxes) as (
+    select video, frame, 0, list_transform(range({_SIDE * _SIDE}), lambda z: 0), []::struct(y int, x int, h int, w int, k varchar)[] from grids
+    union all
+    select video, frame, i + 1, case when busy then taken else list_transform(taken, lambda t, j: case when (j - 1) // {_SIDE} between r0 and r0 + h - 1 and (j - 1) % {_SIDE} between c0 and c0 + w - 1 then 1 else t end) end,
+      case when busy then boxes else list_append(boxes, struct_pack(y := r0::int, x := c0::int, h := h::int, w := w::int, k := k)) end
+    from (select *, {_TALLER} h from (select *, {_WIDER} w
+        from (select f.*, g.still, g.largest, g.tab, i // {_SIDE} r0, i % {_SIDE} c0, taken[i + 1] = 1 busy,
+            case when g.still[i + 1] < 12 then 'background' when g.square[i + 1] < {40 * SMALL * SMALL} and g.largest[i + 1] < 14 then 'motion' else 'coded' end k
+          from fold f join grids g using (video, frame) where i < {_SIDE * _SIDE})))),
+  done as (select video, frame, unnest(boxes) b from fold where i = {_SIDE * _SIDE})
+  select video, frame, b.y "by", b.x bx, b.h h, b.w w, b.k kind from done""")
+def gated_boxes(spark, d) -> DataFrame:
+    """Boxes of background and of motion over 16 x 16 blocks, none above its gate."""
+    shown = scenes(spark, d)
+    errors = decision.block_errors(shown, decision.clean_plates(shown), SCENE, SMALL, -SCROLL)
+    return decision.gated_boxes(errors, _SIDE, SMALL * SMALL)

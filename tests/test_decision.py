@@ -97,7 +97,7 @@ def video(seed=1, n=14):
         px[16:24, :8] = big[:8, :8] + r.integers(0, 3, (8, 8))
         if f % 4 == 3:
             px[24:] += 15
-        px[:8, 24:] = big[:8, 40:48] + r.integers(0, 2, (8, 8)) if f % 5 != 2 else r.integers(0, 256, (8, 8))  # what was hidden shows again
+        px[:8, 24:] = np.arange(64).reshape(8, 8) * 3 + 20 + r.integers(0, 2, (8, 8)) if f % 5 != 2 else r.integers(0, 256, (8, 8))  # what was hidden shows again
         if f == 9:
             px = r.integers(0, 256, (SIDE, SIDE))
         if f == 11:

@@ -18,7 +18,7 @@ from .tracking import with_previous
 Alike = Callable[[np.ndarray, np.ndarray], np.ndarray]
 #: Neighbours to look at from each place: those to the right and below, and for eight neighbours the lower diagonals.
 FOUR, EIGHT = ((0, 1), (1, 0)), ((0, 1), (1, 0), (1, 1), (1, -1))
-LABELS = "video int, frame int, label long, area long, ring array<struct<place: long, what: array<int>>>"
+LABELS = "video int, frame int, label long, area long, top int, left int, bottom int, right int, ring array<struct<place: long, what: array<int>>>"
 
 
 def _ends(dy: int, dx: int) -> tuple[tuple, tuple]:
@@ -71,24 +71,29 @@ def label_tiles(tiles: DataFrame, tile: int, wide: int, steps: tuple, alike: Ali
             what = batch.column(5).flatten().to_numpy().reshape(len(video), tile, tile, -1)
             lab = label_stack(mask, what, steps, alike)
             b, y, x = np.nonzero(mask)
+            if not len(b):
+                continue
             key = b * tile * tile + lab[b, y, x]
             found, at, area = np.unique(key, return_inverse=True, return_counts=True)
             home, place = np.divmod(found, tile * tile)
             whole = lambda h, yy, xx: (ty[h].astype(np.int64) * tile + yy) * wide + tx[h] * tile + xx
+            order, starts = np.argsort(at, kind="stable"), np.concatenate(([0], np.cumsum(area)[:-1]))
+            line, row = ty[b].astype(np.int32) * tile + y, tx[b].astype(np.int32) * tile + x
+            box = [f.reduceat(v[order], starts).astype(np.int32) for f, v in ((np.minimum, line), (np.minimum, row), (np.maximum, line), (np.maximum, row))]
             edge = np.flatnonzero(ring[y, x])
             edge = edge[np.argsort(at[edge], kind="stable")]
             offsets = np.concatenate(([0], np.cumsum(np.bincount(at[edge], minlength=len(found)))))
             flat = what[b[edge], y[edge], x[edge]]
             values = pa.ListArray.from_arrays(pa.array(np.arange(len(edge) + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.ravel().astype(np.int32)))
             inner = pa.StructArray.from_arrays([pa.array(whole(b[edge], y[edge], x[edge])), values], ["place", "what"])
-            columns = [pa.array(video[home].astype(np.int32)), pa.array(frame[home].astype(np.int32)), pa.array(whole(home, place // tile, place % tile)), pa.array(area.astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), inner)]
-            yield pa.RecordBatch.from_arrays(columns, names=["video", "frame", "label", "area", "ring"])
+            columns = [pa.array(video[home].astype(np.int32)), pa.array(frame[home].astype(np.int32)), pa.array(whole(home, place // tile, place % tile)), pa.array(area.astype(np.int64)), *map(pa.array, box), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), inner)]
+            yield pa.RecordBatch.from_arrays(columns, names=["video", "frame", "label", "area", "top", "left", "bottom", "right", "ring"])
 
     return tiles.select("video", "frame", "ty", "tx", "mask", "what").mapInArrow(run, LABELS)
 
 
 def joined_regions(labels: DataFrame, tile: int, wide: int, steps: tuple, same: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """(video, frame, region, area): the regions of whole frames from the LABELS of their tiles; region is the least place.
+    """(video, frame, region, area, top, left, bottom, right): the regions of whole frames from the LABELS of their tiles; region is the least place.
 
     Places on rings meet their neighbours in other tiles by an equi-join on the place; where same() holds of what both carry,
     their labels are one region. The labels are read twice.
@@ -104,12 +109,12 @@ def joined_regions(labels: DataFrame, tile: int, wide: int, steps: tuple, same:
     if same is not None:
         met = met.filter(same(F.col("left"), F.col("right")))
     root = graph.roots(met.select(*keys, "a", "b"), keys).withColumnRenamed("item", "label")
-    whole = labels.select(*keys, "label", "area").join(root, [*keys, "label"], "left")
-    return whole.groupBy(*keys, F.coalesce("root", "label").alias("region")).agg(F.sum("area").alias("area"))
+    whole = labels.drop("ring").join(root, [*keys, "label"], "left")
+    return whole.groupBy(*keys, F.coalesce("root", "label").alias("region")).agg(F.sum("area").alias("area"), F.min("top").alias("top"), F.min("left").alias("left"), F.max("bottom").alias("bottom"), F.max("right").alias("right"))
 
 
 def mask_regions(frames: DataFrame, side: int, tile: int, level: int) -> DataFrame:
-    """(video, frame, region, area): the 8-connected regions of the pixels above a level, of frames (video, frame, px) cut into tiles.
+    """(video, frame, region, area, top, left, bottom, right): the 8-connected regions of the pixels above a level, of frames (video, frame, px) cut into tiles.
 
     Frames are cut before they are exploded; nothing after that holds a whole frame. Frames without such pixels have no rows.
     """

@@ -9,8 +9,8 @@ from ..env import scratch
 from ..functions import scalars as fn
 from ..operators import tracking
 from ..sources import container
-from ..sources.relations import FRAMES, PLANE, SIDE, frames, pixels, plane, runs
-from ..streaming import state
+from ..sources.relations import FRAMES, PLANE, SIDE, frames, pixels, plane, read, runs
+from ..streaming import processors, state
 
 QUERIES, ORACLES = {}, {}
 
@@ -25,12 +25,20 @@ def query(sql: str | None = None):
     return add
 
 
+#: Micro-batches that a stream's input is written for, so that state is carried from one to the next.
+BATCHES = 4
+
+
+def _events(spark, d):
+    """The events as a stream in the order of time."""
+    held = read(spark, d, "events").withColumn("second", F.unix_seconds(F.col("ts").cast("timestamp")))
+    return processors.stream_of(spark, processors.slices(spark, held, "second", BATCHES), held.schema)
+
+
 @query("select cast(ts as date)::timestamp window_start, event_type, count(*)::bigint n, sum(floor(value * 100)::bigint)::bigint cents from events group by all")
 def stream_windowed_counts(spark, d) -> DataFrame:
-    src = f"{d}/events.parquet"
-    events = spark.readStream.schema(spark.read.parquet(src).schema).parquet(_folder(spark, src))
     path = scratch(spark)
-    state.run_in_batches(state.windowed_counts(events), f"{path}/out", f"{path}/state")
+    state.run_in_batches(state.windowed_counts(_events(spark, d)), f"{path}/out", f"{path}/state")
     got = spark.read.parquet(f"{path}/out")
     last = F.max_by(F.struct("n", "cents"), "batch")
     return got.groupBy("window_start", "event_type").agg(last.alias("l")).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "l.n", "l.cents")
@@ -38,56 +46,47 @@ def stream_windowed_counts(spark, d) -> DataFrame:
 
 @query("select user_id, epoch_us(max(ts)) // 1000 last_ms from events group by user_id having epoch_us(max(ts)) // 1000 + 10800000 < (select epoch_us(max(ts)) // 1000 from events)")
 def stream_inactive_users(spark, d) -> DataFrame:
-    """Users without an event for three hours when the stream ends, by event-time timers."""
-    src = f"{d}/events.parquet"
-    events = spark.readStream.schema(spark.read.parquet(src).schema).parquet(_folder(spark, src))
+    """Users without an event for three hours when the stream ends, by event-time timers: of each the last that was said."""
     path = scratch(spark)
-    state.run_in_batches(state.stream_inactive(events, "user_id", "ts", 3 * 3600 * 1000), f"{path}/out", f"{path}/state")
-    return spark.read.parquet(f"{path}/out").select(F.col("key").alias("user_id"), "last_ms")
-
-
-def _folder(spark, path: str) -> str:
-    """File streams read folders: a table that is one file is copied to one by Spark."""
-    folder = f"{scratch(spark)}/in"
-    spark.read.parquet(path).write.parquet(folder)
-    return folder
+    state.run_in_batches(processors.silent(_events(spark, d), "user_id", "ts", 3 * 3600 * 1000), f"{path}/out", f"{path}/state", "append")
+    last = spark.read.parquet(f"{path}/out").groupBy("key").agg(F.max(F.struct("last_ms", "silent")).alias("l"))
+    return last.filter("l.silent").select(F.col("key").alias("user_id"), "l.last_ms")
 
 
 @query(f"""with {PLANE}, s as (select cell, list({{'bg': v::double, 'l': v::double}} order by frame) s from plane group by cell)
   select cell, round(list_reduce(s, lambda a, x: {{'bg': case when abs(x.l - a.l) < 60 and abs(x.l - a.bg) < 90 then 0.95::double * a.bg + 0.05::double * x.l else a.bg end, 'l': x.l}}).bg, 6) background from s""")
 def stream_ema_background(spark, d) -> DataFrame:
-    path = scratch(spark)
-    plane(spark, d).repartitionByRange(4, "frame").sortWithinPartitions("frame").write.parquet(f"{path}/in")
-    src = spark.readStream.schema(spark.read.parquet(f"{path}/in").schema).parquet(f"{path}/in")
-    state.run_in_batches(state.stream_ema(src, still=60, near=90), f"{path}/out", f"{path}/state")
+    path, held = scratch(spark), plane(spark, d)
+    src = processors.stream_of(spark, processors.slices(spark, held, "frame", BATCHES), held.schema)
+    state.run_in_batches(processors.background(src, still=60, near=90), f"{path}/out", f"{path}/state")
     got = spark.read.parquet(f"{path}/out")
     return got.groupBy("cell").agg(F.round(F.max_by("background", "frame"), 6).alias("background"))
 
 
-@query(None)
-def stream_object_events(spark, d) -> DataFrame:
+def _objects(spark, found: DataFrame) -> DataFrame:
     path = scratch(spark)
-    row = F.array_sort(F.collect_list(F.struct("blob", "cx", "cy", "x", "y")))
-    found = tracking.blobs(pixels(spark, d).filter("v > 150"), SIDE).groupBy("video", "frame").agg(row.alias("regions"))
-    found.write.parquet(f"{path}/in")
-    src = spark.readStream.schema(spark.read.parquet(f"{path}/in").schema).parquet(f"{path}/in")
+    src = processors.stream_of(spark, processors.slices(spark, found, "frame", BATCHES), found.schema)
     state.run_in_batches(state.stream_objects(src, within=5.0, patience=2), f"{path}/out", f"{path}/state")
     return spark.read.parquet(f"{path}/out").drop("batch")
 
 
+def _regions(spark, d) -> DataFrame:
+    row = F.array_sort(F.collect_list(F.struct("blob", "cx", "cy", "x", "y")))
+    return tracking.blobs(pixels(spark, d).filter("v > 150"), SIDE).groupBy("video", "frame").agg(row.alias("regions"))
+
+
+@query(None)
+def stream_object_events(spark, d) -> DataFrame:
+    return _objects(spark, _regions(spark, d))
+
+
 @query(None)
 def stream_scene_objects(spark, d) -> DataFrame:
     """The same, where a frame whose mean change is above 18 is a scene cut: it ends all objects and starts none."""
-    path = scratch(spark)
-    row = F.array_sort(F.collect_list(F.struct("blob", "cx", "cy", "x", "y")))
-    found = tracking.blobs(pixels(spark, d).filter("v > 150"), SIDE).groupBy("video", "frame").agg(row.alias("regions"))
     held = tracking.with_previous(frames(spark, d))
     cuts = held.filter(fn.sad(F.col("px"), F.col("prev")) > 18 * SIDE * SIDE).select("video", "frame", F.lit(True).alias("cut"))
-    found = found.join(cuts, ["video", "frame"], "full").select("video", "frame", F.when(F.col("cut").isNull(), F.col("regions")).alias("regions"))
-    found.write.parquet(f"{path}/in")
-    src = spark.readStream.schema(spark.read.parquet(f"{path}/in").schema).parquet(f"{path}/in")
-    state.run_in_batches(state.stream_objects(src, within=5.0, patience=2), f"{path}/out", f"{path}/state")
-    return spark.read.parquet(f"{path}/out").drop("batch")
+    found = _regions(spark, d).join(cuts, ["video", "frame"], "full")
+    return _objects(spark, found.select("video", "frame", F.when(F.col("cut").isNull(), F.col("regions")).alias("regions")))
 
 
 @query(f"with {FRAMES} select video, frame, list_sum(px)::bigint total, list_max(px) brightest, md5(array_to_string(px, ',')) pixels_md5 from frames")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..env import scratch, stored
 from ..operators import blocks as bl
-from ..operators import decision, regions
+from ..operators import decision, objects, regions
 from ..sources.relations import SCENE, SCENES, SCROLL, scenes
+from ..streaming import processors, state
 
 QUERIES, ORACLES = {}, {}
 #: Sides of a tile of pixels and of one of blocks, and of a block.
@@ -33,7 +35,7 @@ def _classes(nodes: str, edges: str) -> str:
 @query(f"""{SCENES}, m as materialized (select video * 1000000000000 + frame * {SCENE * SCENE}::bigint + y * {SCENE} + x id, video, frame, y, x from points where v > 150),
   e as materialized (select a.id a, b.id b from m a, (select unnest([-1, 0, 1]) dy) p, (select unnest([-1, 0, 1]) dx) q, m b
     where b.video = a.video and b.frame = a.frame and b.y = a.y + dy and b.x = a.x + dx and a.id <> b.id), {_classes("m", "e")}
-  select m.video, m.frame, root % {SCENE * SCENE} region, count(*)::bigint area from cc join m using (id) group by all having count(*) >= 3""")
+  select m.video, m.frame, root % {SCENE * SCENE} region, count(*)::bigint area, min(y) top, min(x) "left", max(y) bottom, max(x) "right" from cc join m using (id) group by all having count(*) >= 3""")
 def tiled_regions(spark, d) -> DataFrame:
     """Regions of at least three bright pixels, labelled tile by tile and joined along the borders."""
     return regions.mask_regions(scenes(spark, d), SCENE, TILE, 150).filter("area >= 3")
@@ -132,3 +134,38 @@ def gated_boxes(spark, d) -> DataFrame:
     shown = scenes(spark, d)
     errors = decision.block_errors(shown, decision.clean_plates(shown), SCENE, SMALL, -SCROLL)
     return decision.gated_boxes(errors, _SIDE, SMALL * SMALL)
+
+
+#: Level above which pixels make objects, least pixels of one, and how far its centre may move in a frame.
+OBJECT_LEVEL, OBJECT_AREA, OBJECT_STEP = 132, 3, 6.0
+
+
+def tracked(spark, d) -> DataFrame:
+    """Objects of all scenes with their boxes, centres and parts."""
+    shown = scenes(spark, d)
+    found = regions.mask_regions(shown, SCENE, TILE, OBJECT_LEVEL).filter(F.col("area") >= OBJECT_AREA)
+    found = found.select("video", "frame", F.col("region").alias("id"), "top", "left", "bottom", "right", ((F.col("left") + F.col("right")) / 2).alias("cx"), ((F.col("top") + F.col("bottom")) / 2).alias("cy"))
+    return objects.patch_parts(objects.tracks(stored(found), OBJECT_STEP), shown, SCENE)
+
+
+@query(None)
+def object_tracks(spark, d) -> DataFrame:
+    """How long objects lived and how far they went, matched from frame to frame by cells."""
+    df = tracked(spark, d).groupBy("video", "obj")
+    return df.agg(F.count("*").alias("n_frames"), F.min("frame").alias("first"), F.max("frame").alias("last"), (F.max_by("cy", "frame") - F.min_by("cy", "frame")).alias("dy"), (F.max_by("cx", "frame") - F.min_by("cx", "frame")).alias("dx"))
+
+
+@query(None)
+def micro_state_events(spark, d) -> DataFrame:
+    """LOCK, INIT_MICRO_STATE and MICRO_STATE_CHANGE events of all objects."""
+    return objects.micro_events(stored(tracked(spark, d)))
+
+
+@query(None)
+def stream_micro_states(spark, d) -> DataFrame:
+    """The same events by a stream of four micro-batches with lists and maps as state."""
+    df = tracked(spark, d)
+    src = processors.stream_of(spark, processors.slices(spark, df, "frame", 4), df.schema)
+    path = scratch(spark)
+    state.run_in_batches(processors.micro_states(src), f"{path}/out", f"{path}/state", "append")
+    return spark.read.parquet(f"{path}/out").drop("batch")

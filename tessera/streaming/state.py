@@ -101,10 +101,10 @@ def run_to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "append"
     df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
 
 
-def run_in_batches(df: DataFrame, path: str, checkpoint: str) -> None:
-    """The same for streams in update mode: each micro-batch is a folder of its own, which writing it again replaces."""
+def run_in_batches(df: DataFrame, path: str, checkpoint: str, mode: str = "update") -> None:
+    """The same for streams that Parquet can't append, such as those in update mode: each micro-batch is a folder of its own, which writing it again replaces."""
 
     def put(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
 
-    df.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    df.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()

@@ -23,7 +23,7 @@ from .common import fresh, spread, stored, texts
 MAX_N, BUCKETS, MIN_WORDS = 1, 10_000, 20
 #: Share of the eligible documents that is drawn, in hundredths, and the seed of the draw.
 PERCENT, SEED = 10, 2024
-#: Words in the head and pairs in the head. A head is LONGEST bytes a word at most, so that one that is broadcast has some 13 MB at most.
+#: Words in the head and pairs in the head at most. None has words of more than LONGEST bytes on average, so that what is broadcast has some 13 MB at most.
 HEAD, LONGEST = 1 << 15, 64
 #: Distinct words that a task counts at once while it looks for frequent ones.
 COUNTED = 1 << 18
@@ -80,31 +80,37 @@ def _frequent(counts: Counter, most: int) -> Counter:
 
 
 def find_head(docs: DataFrame, text: str = "text", max_n: int = MAX_N, size: int = HEAD) -> Vocabulary:
-    """The size most frequent words, and pairs if n-grams have two words or more, of all texts.
+    """The words, and pairs if n-grams have two words or more, that are at least one in size of all: so size of them at most.
 
-    A task counts up to COUNTED distinct items and then lets the rarer half go, and reports its size most frequent ones; these
-    are summed over the tasks. So what is frequent everywhere is found; a rare miss costs time, not correctness.
+    A task counts up to COUNTED distinct items, lets the rarer half go beyond twice that, and reports those that are one in size of its own; these are
+    summed over the tasks. So what is frequent everywhere is found; a rare miss costs time, not correctness.
     """
     width = min(max_n, 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = [Counter() for _ in range(width)]
+        counts, seen = [Counter() for _ in range(width)], [0] * width
         for batch in batches:
             for b in texts(batch.column(0)):
                 words = words_of(b)
                 for n, c in enumerate(counts):
+                    seen[n] += max(0, len(words) - n)
                     for at in range(0, len(words), COUNTED):
                         part = words[at : at + COUNTED + n]
                         c.update(zip(part, part[1:], strict=False) if n else part)
                         if len(c) > 2 * COUNTED:
                             counts[n] = c = _frequent(c, COUNTED)
         for n, c in enumerate(counts):
-            best = [(b" ".join(w) if n else w, k) for w, k in _frequent(c, size).items() if (sum(map(len, w)) if n else len(w)) <= LONGEST * (n + 1)]
-            yield pa.RecordBatch.from_arrays([pa.array([n] * len(best), pa.int32()), pa.array([w for w, _ in best], pa.binary()), pa.array([k for _, k in best], pa.int64())], names=["n", "item", "k"])
-
-    seen = spread(docs.select(F.col(f"`{text}`").cast("string").alias("t"))).mapInArrow(run, "n int, item binary, k long")
-    total = seen.groupBy("n", "item").agg(F.sum("k").alias("k"))
-    best = [[bytes(r["item"]) for r in total.filter(F.col("n") == n).orderBy(F.desc("k"), "item").limit(size).collect()] for n in range(width)]
+            best = [(b" ".join(w) if n else w, k) for w, k in c.items() if k * size >= seen[n] and (sum(map(len, w)) if n else len(w)) <= LONGEST * (n + 1)]
+            items, numbers = [None, *(w for w, _ in best)], [seen[n], *(k for _, k in best)]  # without an item: of all
+            yield pa.RecordBatch.from_arrays([pa.array([n] * len(items), pa.int32()), pa.array(items, pa.binary()), pa.array(numbers, pa.int64())], names=["n", "item", "k"])
+
+    if not size:
+        return Vocabulary()
+    each = spread(docs.select(F.col(f"`{text}`").cast("string").alias("t"))).mapInArrow(run, "n int, item binary, k long")
+    total = stored(each.groupBy("n", "item").agg(F.sum("k").alias("k")))
+    all_ = total.filter("item is null").select("n", F.col("k").alias("seen"))
+    rows = total.filter("item is not null").join(F.broadcast(all_), "n").filter(F.col("k") * size >= F.col("seen")).collect()  # size of each n at most
+    best = [[bytes(r["item"]) for r in rows if r["n"] == n] for n in range(width)]
     return Vocabulary(best[0], [tuple(x.split(b" ")) for x in best[1]] if width > 1 else [])
 
 

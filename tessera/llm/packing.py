@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread, stored
+from .common import spread, stored, strings
 from .hashing import BASE, mix
 from .tokens import PACK_END, crc, encoder
 
@@ -22,6 +23,10 @@ RANGE = 128 << 20
 #: By how much places are stretched before they are cut into cells.
 SPREAD = 6.0
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, curve_key long"
+#: A piece as ranges write it: with its ids where it has no sequence yet.
+LEFT = PIECES + ", ids binary, range long"
+#: Ranges whose ends are packed together, some 16 MB.
+TOGETHER = 1024
 _DIRECTIONS: dict[int, np.ndarray] = {}
 
 
@@ -79,8 +84,8 @@ def tokenized(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
         vocabulary = enc.known.library.get_vocab_size()
         for batch in batches:
             ids, places = [], np.zeros((batch.num_rows, DIMS), np.float32)
-            for k, x in enumerate(batch.column(1)):
-                b = enc.encode(x.as_py())
+            for k, x in enumerate(strings(batch.column(1))):
+                b = enc.encode(x)
                 places[k] = project(np.frombuffer(b, enc.kind), vocabulary)
                 ids.append(b + end)
             width = np.dtype(enc.kind).itemsize
@@ -89,61 +94,87 @@ def tokenized(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
     return spread(rows).mapInArrow(run, "doc_id long, curve_key long, width int, ids binary")
 
 
-def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def cut(pieces: Iterator[tuple], first: int, short: bool) -> Iterator[tuple]:
+    """Lays (doc, doc_tokens, curve_key, start, ids) end to end and cuts them into sequences of LENGTH, numbered from first.
+
+    Gives rows of PIECES and ids. What is left at the end becomes sequences whose lengths are powers of two, largest first, if short; else it
+    comes with its ids and no sequence. Pieces are held back only while they lie in the sequence that isn't full yet.
+    """
+    full, used, open_pieces = first, 0, []
+
+    def row(d, n, ck, start, part, sequence, offset, ids=None):
+        return (d, start, len(part), crc(part), n, sequence, offset, ck, ids)
+
+    for d, n, ck, start, x in pieces:
+        while len(x):
+            take = min(LENGTH - used, len(x))
+            open_pieces.append((d, n, ck, start, x[:take]))
+            used, start, x = used + take, start + take, x[take:]
+            if used == LENGTH:
+                at = 0
+                for d2, n2, k2, s2, part in open_pieces:
+                    yield row(d2, n2, k2, s2, part, full, at)
+                    at += len(part)
+                full, used, open_pieces = full + 1, 0, []
+    if not short:
+        yield from (row(*p, None, None, p[4].tobytes()) for p in open_pieces)
+        return
+    room = at = 0
+    for d, n, ck, start, part in open_pieces:
+        while len(part):
+            if at == room:  # the next sequence: the largest power of two within what is left
+                full, at, room = full + (room > 0), 0, 1 << (used.bit_length() - 1)
+                used -= room
+            take = min(room - at, len(part))
+            yield row(d, n, ck, start, part[:take], full, at)
+            part, start, at = part[take:], start + take, at + take
+
+
+def _batches(rows: Iterator[tuple], schema: str) -> Iterator[pa.RecordBatch]:
+    names = [x.split(" ")[0] for x in schema.split(", ")]
+    while held := list(islice(rows, 10_000)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "ids" else pa.int64()) for n, c in zip(names, zip(*held, strict=True), strict=False)], names=names)
+
+
+def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", ranges: int | None = None) -> DataFrame:
     """PIECES of all documents, packed into sequences of at most LENGTH ids in the order of the curve.
 
-    The ids are written once to the shared folder, then dealt by ranges of (curve_key, doc_id), as many as their size asks for,
-    so that a hot key is split. Each range is one stream of ids cut every LENGTH ids; what is left at its end becomes sequences whose lengths
-    are powers of two, largest first, which need no padding. So padding is none, whatever the number of ranges, and
-    no count of all documents passes through the driver. A sequence_id is the range's number and the sequence's in it.
+    The ids are written once to the shared folder, then dealt by ranges of (curve_key, doc_id, ids), at least as many as there are shuffle
+    partitions and as their size asks for, so that a hot key is split. Each range is one stream of ids cut every LENGTH ids. Less than LENGTH ids are left at
+    its end; those of TOGETHER ranges in a row are one more stream, whose end is cut into sequences of powers of two. So no
+    sequence has padding, and all but a dozen for each TOGETHER ranges are full, however many ranges there are. A sequence_id is the range's
+    number, or beyond all of these that of TOGETHER ranges, and the sequence's in it.
 
-    A null or empty text is its end id alone. Repeated rows are packed each. Other columns are ignored. An empty table
-    gives no pieces.
+    A null or empty text is its end id alone; bytes that aren't UTF-8 are encoded as U+FFFD. Repeated rows are packed each. Other columns
+    are ignored. An empty table gives no pieces.
     """
+    spark = docs.sparkSession
     ids = stored(tokenized(docs, tokenizer, key, text))
-    order = ["curve_key", "doc_id"]
-    names = [x.split(" ")[0] for x in PIECES.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pieces are held back only while they lie in the sequence that isn't full yet."""
-        first = TaskContext.get().partitionId() << 40
-        full, used, open_pieces, done = 0, 0, [], []
-
-        def row(doc, n, ck, start, part, sequence, offset):
-            return (doc, start, len(part), crc(part), n, sequence, offset, ck)
+    size = ids.agg(F.sum(F.length("ids"))).first()[0] or 0
+    ranges = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE))
+    order = [F.col("curve_key"), F.col("doc_id"), F.xxhash64("ids")]
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for doc, ck, width, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                x, start = np.frombuffer(raw, f"<u{width}"), 0
-                while start < len(x):
-                    take = min(LENGTH - used, len(x) - start)
-                    open_pieces.append((doc, len(x), ck, start, x[start : start + take]))
-                    used, start = used + take, start + take
-                    if used == LENGTH:
-                        at = 0
-                        for d, n, k, s, part in open_pieces:
-                            done.append(row(d, n, k, s, part, first + full, at))
-                            at += len(part)
-                        full, used, open_pieces = full + 1, 0, []
-                        if len(done) > 10_000:
-                            yield _batch(done)
-                            done = []
-        room = at = 0
-        for d, n, k, s, part in open_pieces:
-            while len(part):
-                if at == room:  # the next sequence: the largest power of two within what is left
-                    full, at, room = full + (room > 0), 0, 1 << (used.bit_length() - 1)
-                    used -= room
-                take = min(room - at, len(part))
-                done.append(row(d, n, k, s, part[:take], first + full, at))
-                part, s, at = part[take:], s + take, at + take
-        if done:
-            yield _batch(done)
-
-    def _batch(done: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*done, strict=True)], names=names)
+                x = np.frombuffer(raw, f"<u{width}").astype(np.uint32)
+                yield doc, len(x), ck, 0, x
 
-    size = ids.agg(F.sum(F.length("ids"))).first()[0] or 0
-    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE))
-    dealt = ids.select("doc_id", "curve_key", "width", "ids").repartitionByRange(ranges, *order).sortWithinPartitions(*order, F.xxhash64("ids"))
-    return dealt.mapInArrow(run, PIECES)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        rows = ((*r, part) for r in cut(read(batches), part << 40, False))
+        yield from _batches(rows, LEFT)
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The ends of ranges, in order, those of TOGETHER ranges in a row alike."""
+        pieces = (r for batch in batches for r in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True))
+        for group, rows in groupby(pieces, lambda r: r[5] // TOGETHER):
+            ends = ((d, n, ck, start, np.frombuffer(raw, "<u4")) for d, n, ck, start, raw, _ in rows)
+            yield from _batches((r[:8] for r in cut(ends, (1 << 62) + (group << 40), True)), PIECES)
+
+    dealt = ids.select("doc_id", "curve_key", "width", "ids").repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    laid = stored(dealt.select("doc_id", "curve_key", "width", "ids").mapInArrow(run, LEFT))
+    done = laid.filter("sequence_id is not null").select([x.split(" ")[0] for x in PIECES.split(", ")])
+    ends = laid.filter("sequence_id is null").withColumn("together", F.floor(F.col("range") / TOGETHER))
+    ends = ends.repartition("together").sortWithinPartitions("together", "range", "curve_key", "doc_id", F.xxhash64("ids"), "start")
+    return done.unionByName(ends.select("doc_id", "doc_tokens", "curve_key", "start", "ids", "range").mapInArrow(again, PIECES))

@@ -77,6 +77,11 @@ def texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def strings(column: pa.Array) -> list[str]:
+    """A text column as str; null is empty, and what isn't UTF-8 becomes U+FFFD."""
+    return [x.decode("utf-8", "replace") for x in texts(column)]
+
+
 def per_row(df: DataFrame, keep: list[str], text: str, schema: str, make: Callable[[list[bytes]], dict[str, pa.Array]]) -> DataFrame:
     """The kept columns and those that make() gives for each batch of texts. Row by row: no shuffle, memory of one Arrow batch."""
     names = [x.split(" ")[0] for x in schema.split(", ")]

@@ -348,7 +348,7 @@ def encode_decode(docs: DataFrame, model: str, key: str = "doc_id", text: str =
     """Per row of docs: doc_id and ENCODED, the ids of its whole text as little-endian 32-bit numbers and what they decode to.
 
     A null or empty text has no ids. round_trip is false where decoding can't give the text back: one that holds U+2581
-    itself. Repeated rows are rows each; other columns are ignored. Row by row, without a shuffle.
+    itself. Bytes that aren't UTF-8 are U+FFFD in what is encoded. Repeated rows are rows each; other columns are ignored. Row by row, without a shuffle.
     """
     import zlib
 
@@ -356,7 +356,7 @@ def encode_decode(docs: DataFrame, model: str, key: str = "doc_id", text: str =
         t = transducer(model)
         out = []
         for b in rows:
-            source = b.decode()
+            source = b.decode("utf-8", "replace")
             raw = t.encode(source)
             ids = array("I", raw)
             back = t.decode(ids)

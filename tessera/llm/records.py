@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import strings
 from .tokens import END_OF_TEXT, crc, encoder
 
 _HEAD, _TAIL, _META, _ENTRY = struct.Struct("<QI"), struct.Struct("<I"), struct.Struct("<BqB"), struct.Struct("<QI")
@@ -68,14 +69,15 @@ def index_entry(offset: int, n: int) -> bytes:
 def write_records(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: str = "text") -> list[dict]:
     """Encodes every whole text, ends it with id 1 and writes records in ascending key order under path. Returns the manifest.
 
-    Rows are dealt by ranges of the key and sorted by it (nulls first; equal keys by text hash). Each task streams
+    Rows are dealt by ranges of the key and a hash of the text and sorted by them (nulls first). Bytes that aren't UTF-8 are encoded as U+FFFD. Each task streams
     its range into a data and an index file of a new name, so that a task which runs again leaves no broken file: only
     names in the manifest count. The manifest has one entry per file; it is also written to path/manifest.json. A null or
     empty text is a record of the end id alone. Repeated rows are records of their own; other columns are ignored.
     """
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    # the hash for ties is worked out after the shuffle
-    dealt = rows.repartitionByRange("key").sortWithinPartitions(F.col("key"), F.xxhash64("text"))
+    # rows of one key, or without one, and even equal rows are dealt to several ranges
+    order = [F.col("key"), F.xxhash64("text"), F.col("uid")]
+    dealt = rows.withColumn("uid", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order).drop("uid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(tokenizer), TaskContext.get().partitionId()
@@ -86,8 +88,8 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id
         n = tokens = offset = 0
         with fs.open_output_stream(f"{at}.records") as data, fs.open_output_stream(f"{at}.index") as index:
             for batch in batches:
-                for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    ids = enc.encode(x.as_py()) + end
+                for i, x in zip(batch.column(0).to_pylist(), strings(batch.column(1)), strict=True):
+                    ids = enc.encode(x) + end
                     record = frame(payload_of(i, width, ids))
                     data.write(record)
                     index.write(index_entry(offset, len(ids) // width))

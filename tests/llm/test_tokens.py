@@ -144,9 +144,12 @@ def test_curve_visits_neighbours():
     assert all(sum(abs(a - b) for a, b in zip(p, q, strict=True)) == 1 for (_, p), (_, q) in zip(cells, cells[1:], strict=False))
 
 
-def test_packing_holds_each_id_once(spark):
+@pytest.mark.parametrize(("ranges", "together"), [(None, 1024), (50, 1024), (50, 8), (1, 1)])
+def test_packing_holds_each_id_once(spark, monkeypatch, ranges, together):
+    monkeypatch.setattr(packing, "TOGETHER", together)
     rows = [(i, t) for i, t in enumerate(ODD)] + [(50 + i, "some text here " * (i * 37 % 400)) for i in range(40)] + [(None, "x"), (3, "again")]
-    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), WORDS).collect()
+    df = spark.createDataFrame([(*r, "a", "b", "c") for r in rows], "doc_id long, text string, curve_key string, ids string, range string")
+    got = packing.pack(df, WORDS, ranges=ranges).collect()
     lib = Tokenizer.from_file(WORDS)
     total = sum(len(lib.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in rows)
     assert sum(r["length"] for r in got) == total
@@ -155,6 +158,8 @@ def test_packing_holds_each_id_once(spark):
         assert r["offset"] == seqs.get(r["sequence_id"], 0)
         seqs[r["sequence_id"]] = r["offset"] + r["length"]
     assert all(n <= 4096 and n & (n - 1) == 0 for n in seqs.values())
+    groups = 1 if together == 1024 else -(-50 // together) if ranges == 50 else 1
+    assert sum(n < 4096 for n in seqs.values()) <= 12 * groups
     ids = {}
     for k, t in rows:
         ids.setdefault(k, []).append(np.array(lib.encode(t or "", add_special_tokens=False).ids + [2], "<u4"))
@@ -212,3 +217,31 @@ def test_derived_log_needs_folding(spark):
 def test_planted_conversation(spark):
     r = chat.chat_digests(chat.format_chats(chat.log_of(chat.planted(spark)))).first()
     assert (r["n_turns"], r["loss_chars"]) == (2, len("\\### Assistant: </turn> ok"))
+
+
+def test_bytes_that_are_no_text(spark, tmp_path):
+    """Bytes that aren't UTF-8 are U+FFFD to the tokenizers."""
+    bad = spark.sql("select 1L doc_id, cast(X'61ff4162fe20c3' as string) text, 'a' ids, 'b' n_ids, 'c' round_trip union all select 2L, 'plain', 'a', 'b', 'c' union all select 2L, 'plain', 'a', 'b', 'c'")
+    shown = b"a\xffAb\xfe \xc3".decode("utf-8", "replace")
+    lib = Tokenizer.from_file(WORDS)
+    want = lambda t, end: zlib.crc32(np.array(lib.encode(t, add_special_tokens=False).ids + [end], "<u4").tobytes())
+    records.write_records(bad, f"file://{tmp_path}/r", WORDS)
+    got = records.read_digests(spark, f"file://{tmp_path}/r").collect()
+    assert sorted((r["doc_id"], r["ids_crc32"]) for r in got) == [(1, want(shown, 1)), (2, want("plain", 1)), (2, want("plain", 1))]
+    packed = packing.pack(bad, WORDS).filter("doc_id = 1 and length = doc_tokens").collect()
+    assert not packed or packed[0]["ids_crc32"] == want(shown, 2)
+    encoded = {r["doc_id"]: r for r in pieces.encode_decode(bad, PIECES).collect()}
+    assert encoded[1]["round_trip"] and pieces.encode_decode(bad, PIECES).count() == 3
+    assert pieces.encode_decode(bad.filter("false"), PIECES).collect() == []
+
+
+def test_rows_of_one_key_are_in_several_files(spark, tmp_path):
+    rows = [(None, "same text")] * 400 + [(7, f"text {i}") for i in range(400)] + [(i, "other") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else small ranges share a file
+    files = records.write_records(df, f"file://{tmp_path}/r", WORDS)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(files) > 2 and max(f["n_records"] for f in files) < 500
+    got = sorted(records.read_digests(spark, f"file://{tmp_path}/r").collect(), key=lambda r: r["start"])
+    keys = [r["doc_id"] for r in got]
+    assert len(keys) == 900 and keys == sorted(keys, key=lambda k: (k is not None, k or 0))

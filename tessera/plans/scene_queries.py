@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..env import scratch, stored
+from ..functions import colour
 from ..operators import blocks as bl
-from ..operators import decision, objects, regions
-from ..sources.relations import SCENE, SCENES, SCROLL, scenes
+from ..operators import decision, objects, regions, shapes
+from ..sources.relations import FRAMES, SCENE, SCENES, SCROLL, frames, scenes
 from ..streaming import processors, state
 
 QUERIES, ORACLES = {}, {}
@@ -169,3 +170,78 @@ def stream_micro_states(spark, d) -> DataFrame:
     path = scratch(spark)
     state.run_in_batches(processors.micro_states(src), f"{path}/out", f"{path}/state", "append")
     return spark.read.parquet(f"{path}/out").drop("batch")
+
+
+@query(f"""{SCENES}, slopes as (select a.video, a.frame, a.y, a.x, sum(gx * b.v) gx, sum(gy * b.v) gy from (select *, least({SCENE - 1}, greatest(0, y + dy)) ny, least({SCENE - 1}, greatest(0, x + dx)) nx
+      from points, (values (-1, -1, -1, -1), (-1, 0, 0, -2), (-1, 1, 1, -1), (0, -1, -2, 0), (0, 1, 2, 0), (1, -1, -1, 1), (1, 0, 0, 2), (1, 1, 1, 1)) o(dy, dx, gx, gy)) a
+    join points b on b.video = a.video and b.frame = a.frame and b.y = a.ny and b.x = a.nx group by all),
+  moved as (select n.video, n.frame, n.y, n.x, abs(n.v - p.v) m, abs(gx) + abs(gy) e from points n join points p on p.video = n.video and p.frame = n.frame - 1 and p.y = n.y and p.x = n.x join slopes s on s.video = n.video and s.frame = n.frame and s.y = n.y and s.x = n.x),
+  sized as (select m.*, size from moved m, (values {", ".join(f"({SCENE >> k})" for k in range(5))}) z(size)),
+  squares as (select video, frame, size, y // size qy, x // size qx, sum(m)::bigint m, (count(*) * sum(m * m) - sum(m) * sum(m))::bigint var, sum(e)::bigint e, count(*)::bigint n from sized group by all),
+  held as (select s.video, s.frame, s.y, s.x, max(s.size) size from sized s join squares q on q.video = s.video and q.frame = s.frame and q.size = s.size and q.qy = s.y // s.size and q.qx = s.x // s.size where s.size = {SCENE >> 4} or 2 * var <= n * n group by all),
+  leaves as (select distinct video, frame, size, y // size qy, x // size qx from held),
+  tagged as (select video, size::int size, case when e > 40 * n then 'EDGE' when 2 * var > 3 * n * n then 'CHAOS' when 2 * m > n then 'MOTION' else 'FLAT' end tag from leaves join squares using (video, frame, size, qy, qx))
+  select video, size, tag, count(*)::bigint n_leaves, sum(size * size)::bigint area from tagged group by all""")
+def deep_quadtree(spark, d) -> DataFrame:
+    """Leaves and area of quadtrees of five levels by size and tag."""
+    df = shapes.deep_quadtree(scenes(spark, d), SCENE, SCENE >> 4).groupBy("video", "size", "tag")
+    return df.agg(F.count("*").alias("n_leaves"), F.sum(F.col("size").cast("long") * F.col("size")).alias("area"))
+
+
+@query(f"""{SCENES}, spans as (select video, frame, y // {TILE} ty, x // {TILE} tx, y, min(x)::double a, max(x)::double b from points where v > 130 group by all),
+  steps as (select *, lead(y) over w y2, lead(a) over w a2, lead(b) over w b2, lag(y) over w before from spans window w as (partition by video, frame, ty, tx order by y)),
+  edges as (select video, frame, ty * {SCENE // TILE} + tx poly, unnest([struct_pack(x1 := a, y1 := y::double, x2 := a2, y2 := y2::double), struct_pack(x1 := b, y1 := y::double, x2 := b2, y2 := y2::double)]) e from steps where y2 is not null
+    union all select video, frame, ty * {SCENE // TILE} + tx, struct_pack(x1 := a, y1 := y::double, x2 := b, y2 := y::double) from steps where y2 is null or before is null),
+  frags as (select video, frame, (y // {SMALL}) * {_SIDE} + x // {SMALL} id, (min(x) + max(x)) / 2.0::double px, (min(y) + max(y)) / 2.0::double py from points where v > 150 group by all),
+  tests as (select f.video, f.frame, id, poly, (e.x2 - e.x1) * (py - e.y1) - (px - e.x1) * (e.y2 - e.y1) turn, e, px, py from frags f join edges g on g.video = f.video and g.frame = f.frame),
+  ins as (select video, frame, id, poly from tests group by all having sum(((e.y1 > py) <> (e.y2 > py) and case when e.y2 > e.y1 then turn else -turn end > 0)::int) % 2 = 1
+    or bool_or(turn = 0 and px between least(e.x1, e.x2) and greatest(e.x1, e.x2) and py between least(e.y1, e.y2) and greatest(e.y1, e.y2)))
+  select video, frame, poly::int poly, count(*)::bigint n_inside, sum(id)::bigint ids from ins group by all""")
+def polygon_containment(spark, d) -> DataFrame:
+    """How many bright fragments have their centre in the outline of each tile's lit pixels, row by row from its leftmost to its rightmost."""
+    px = scenes(spark, d).select("video", "frame", F.posexplode("px").alias("i", "v")).select("video", "frame", F.expr(f"i div {SCENE}").alias("y"), (F.col("i") % SCENE).alias("x"), "v")
+    poly = F.floor(F.col("y") / TILE).cast("int") * (SCENE // TILE) + F.floor(F.col("x") / TILE).cast("int")
+    spans = px.filter("v > 130").groupBy("video", "frame", poly.alias("poly"), "y").agg(F.min("x").cast("double").alias("a"), F.max("x").cast("double").alias("b"))
+    w = Window.partitionBy("video", "frame", "poly").orderBy("y")
+    steps = spans.select("*", F.lead("y").over(w).alias("y2"), F.lead("a").over(w).alias("a2"), F.lead("b").over(w).alias("b2"), F.lag("y").over(w).alias("before"))
+    edge = lambda x1, y1, x2, y2: F.struct(*[F.col(c).cast("double").alias(n) for c, n in ((x1, "x1"), (y1, "y1"), (x2, "x2"), (y2, "y2"))])
+    sides = F.when(F.col("y2").isNotNull(), F.array(edge("a", "y", "a2", "y2"), edge("b", "y", "b2", "y2"))).otherwise(F.array())
+    caps = F.when(F.col("y2").isNull() | F.col("before").isNull(), F.array(edge("a", "y", "b", "y"))).otherwise(F.array())
+    edges = steps.select("video", "frame", "poly", F.explode(F.concat(sides, caps)).alias("e")).select("video", "frame", "poly", "e.*")
+    block = F.floor(F.col("y") / SMALL).cast("int") * _SIDE + F.floor(F.col("x") / SMALL).cast("int")
+    frags = px.filter("v > 150").groupBy("video", "frame", block.alias("id")).agg(((F.min("x") + F.max("x")) / 2).alias("x"), ((F.min("y") + F.max("y")) / 2).alias("y"))
+    found = shapes.points_in_polygons(frags, edges, ["video", "frame"], float(TILE))
+    return found.groupBy("video", "frame", "poly").agg(F.count("*").alias("n_inside"), F.sum("id").alias("ids"))
+
+
+@query(None)
+def entity_cache(spark, d) -> DataFrame:
+    """Objects of each video that a cache of the last 255 had seen, nearly, before."""
+    shown = scenes(spark, d)
+    found = regions.mask_regions(shown, SCENE, TILE, OBJECT_LEVEL).filter(F.col("area") >= OBJECT_AREA)
+    w = F.col("right") - F.col("left") + 1
+    lines = F.transform(F.sequence("top", "bottom"), lambda y: F.slice("px", y * SCENE + F.col("left") + 1, w))
+    patches = found.join(shown, ["video", "frame"]).select("video", "frame", F.col("region").alias("id"), w.cast("int").alias("w"), F.flatten(lines).alias("patch"))
+    seen = shapes.seen_before(patches).groupBy("video", "frame")
+    return seen.agg(F.count("*").alias("n"), F.count("entry").alias("n_hits"), F.count_if("evicted").alias("n_evicted"), F.max("entry").alias("newest"))
+
+
+_LAB8 = colour.lab8_sql("px[i]", "px[(i + 20) % 64 + 1]", "(255 - px[i])")
+_DIFF = "abs(lab[j] - floor(bg[j] + 0.5::double))"
+_FAR = " or ".join(f"abs(lab[(j - 1) // 3 * 3 + {k}] - floor(bg[(j - 1) // 3 * 3 + {k}] + 0.5::double)) > 60" for k in (1, 2, 3))
+
+
+@query(f"""{FRAMES}, labs as materialized (select video, frame, flatten(list_transform(range(1, 65), lambda i: {_LAB8})) lab from frames),
+  fold(video, frame, diff, is_cut, bg) as (
+    select video, frame, 0.0::double, false, list_transform(lab, lambda v: v::double) from labs where frame = 0
+    union all
+    select video, frame, diff, diff > 24, case when diff > 24 then list_transform(lab, lambda v: v::double) else list_transform(range(1, 193), lambda j: case when {_FAR} then bg[j] else 0.9::double * bg[j] + 0.1::double * lab[j] end) end
+    from (select l.video, l.frame, lab, bg, list_sum(list_transform(range(1, 193), lambda j: {_DIFF}))::double / 192 diff from fold f join labs l on l.video = f.video and l.frame = f.frame + 1))
+  select video, frame, round(diff, 6) diff, is_cut, round(list_sum(bg), 4) background from fold""")
+def background_cuts(spark, d) -> DataFrame:
+    """Scene cuts of frames in colour against a background that each cut starts anew, and the background's sum after each frame."""
+    px = F.col("px")
+    turned = F.concat(F.slice(px, 22, 43), F.slice(px, 1, 21))
+    df = frames(spark, d).select("video", "frame", px.alias("red"), turned.alias("green"), F.transform(px, lambda v: 255 - v).alias("blue"))
+    found = shapes.background_cuts(df, cut=24.0, near=60, alpha=0.1)
+    return found.select("video", "frame", "diff", "is_cut", F.round(F.aggregate("background", F.lit(0.0), lambda a, v: a + v), 4).alias("background"))

@@ -23,8 +23,8 @@ RANGE = 128 << 20
 #: By how much places are stretched before they are cut into cells.
 SPREAD = 6.0
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, curve_key long"
-#: A piece as ranges write it: with its ids where it has no sequence yet.
-LEFT = PIECES + ", ids binary, range long"
+#: A piece as ranges write it: its place in the range, and its ids where it has no sequence yet.
+LEFT = PIECES + ", ids binary, range long, place long"
 #: Ranges whose ends are packed together, some 16 MB.
 TOGETHER = 1024
 _DIRECTIONS: dict[int, np.ndarray] = {}
@@ -42,7 +42,7 @@ def directions(vocabulary: int) -> np.ndarray:
 
 def project(ids: np.ndarray, vocabulary: int) -> np.ndarray:
     """A document's hashed token vector along DIMS directions: the mean direction of its tokens, zero without any."""
-    return directions(vocabulary)[ids].mean(0) if len(ids) else np.zeros(DIMS, np.float32)
+    return np.full(len(ids), 1 / len(ids), np.float32) @ directions(vocabulary).take(ids, 0) if len(ids) else np.zeros(DIMS, np.float32)
 
 
 def cells(places: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -117,7 +117,7 @@ def cut(pieces: Iterator[tuple], first: int, short: bool) -> Iterator[tuple]:
                     at += len(part)
                 full, used, open_pieces = full + 1, 0, []
     if not short:
-        yield from (row(*p, None, None, p[4].tobytes()) for p in open_pieces)
+        yield from (row(*p, None, None, p[4].astype("<u4").tobytes()) for p in open_pieces)
         return
     room = at = 0
     for d, n, ck, start, part in open_pieces:
@@ -139,7 +139,7 @@ def _batches(rows: Iterator[tuple], schema: str) -> Iterator[pa.RecordBatch]:
 def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", ranges: int | None = None) -> DataFrame:
     """PIECES of all documents, packed into sequences of at most LENGTH ids in the order of the curve.
 
-    The ids are written once to the shared folder, then dealt by ranges of (curve_key, doc_id, ids), at least as many as there are shuffle
+    The ids are written once to the shared folder, then dealt by ranges of (curve_key, doc_id, row), at least as many as there are shuffle
     partitions and as their size asks for, so that a hot key is split. Each range is one stream of ids cut every LENGTH ids. Less than LENGTH ids are left at
     its end; those of TOGETHER ranges in a row are one more stream, whose end is cut into sequences of powers of two. So no
     sequence has padding, and all but a dozen for each TOGETHER ranges are full, however many ranges there are. A sequence_id is the range's
@@ -152,17 +152,17 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
     ids = stored(tokenized(docs, tokenizer, key, text))
     size = ids.agg(F.sum(F.length("ids"))).first()[0] or 0
     ranges = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE))
-    order = [F.col("curve_key"), F.col("doc_id"), F.xxhash64("ids")]
+    order = ["curve_key", "doc_id", "uid"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for doc, ck, width, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                x = np.frombuffer(raw, f"<u{width}").astype(np.uint32)
+                x = np.frombuffer(raw, f"<u{width}")
                 yield doc, len(x), ck, 0, x
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        rows = ((*r, part) for r in cut(read(batches), part << 40, False))
+        rows = ((*r, part, k) for k, r in enumerate(cut(read(batches), part << 40, False)))
         yield from _batches(rows, LEFT)
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,9 +172,9 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
             ends = ((d, n, ck, start, np.frombuffer(raw, "<u4")) for d, n, ck, start, raw, _ in rows)
             yield from _batches((r[:8] for r in cut(ends, (1 << 62) + (group << 40), True)), PIECES)
 
-    dealt = ids.select("doc_id", "curve_key", "width", "ids").repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    dealt = ids.withColumn("uid", F.monotonically_increasing_id()).repartitionByRange(ranges, *order).sortWithinPartitions(*order)
     laid = stored(dealt.select("doc_id", "curve_key", "width", "ids").mapInArrow(run, LEFT))
     done = laid.filter("sequence_id is not null").select([x.split(" ")[0] for x in PIECES.split(", ")])
     ends = laid.filter("sequence_id is null").withColumn("together", F.floor(F.col("range") / TOGETHER))
-    ends = ends.repartition("together").sortWithinPartitions("together", "range", "curve_key", "doc_id", F.xxhash64("ids"), "start")
+    ends = ends.repartition("together").sortWithinPartitions("together", "range", "place")
     return done.unionByName(ends.select("doc_id", "doc_tokens", "curve_key", "start", "ids", "range").mapInArrow(again, PIECES))

@@ -77,9 +77,10 @@ def texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def strings(column: pa.Array) -> list[str]:
-    """A text column as str; null is empty, and what isn't UTF-8 becomes U+FFFD."""
-    return [x.decode("utf-8", "replace") for x in texts(column)]
+def strings(column: pa.Array) -> Iterator[str]:
+    """The texts of a column one by one; null is empty, and what isn't UTF-8 becomes U+FFFD."""
+    for x in column.cast(pa.binary()):
+        yield (x.as_py() or b"").decode("utf-8", "replace")
 
 
 def per_row(df: DataFrame, keep: list[str], text: str, schema: str, make: Callable[[list[bytes]], dict[str, pa.Array]]) -> DataFrame:

@@ -27,6 +27,9 @@ class MotionGates:
     motion_above: float = 10
     fade_above: float = 15
     reach: int = 4
+    #: With the flag ui: what a palette block of 256 pixels must cost more than for vectors to be tried, and the largest error of a fade.
+    ui_palette: float = 70
+    ui_fade: int = 35
 
 
 def clean_plates(frames: DataFrame) -> DataFrame:
@@ -71,16 +74,19 @@ def static_facts(frames: DataFrame, plates: DataFrame, side: int, block: int, ga
     return df.groupBy("video", "frame").agg(F.array_sort(F.collect_list(fact)).alias("facts"))
 
 
-def decide(frames: DataFrame, plates: DataFrame, side: int, block: int, gates: bl.Gates, motion: MotionGates = MotionGates()) -> DataFrame:
+def decide(frames: DataFrame, plates: DataFrame, side: int, block: int, gates: bl.Gates, motion: MotionGates = MotionGates(), ui: str | None = None) -> DataFrame:
     """(video, frame, by, bx, mode, bytes, dy, dx, shift) of each block of a frame that has one before it.
 
     In raster order, each candidate behind its gate and only if cheaper than the best so far: raw, background, solid, palettes; where the
     block changed and is still dear, the carried vector (predicted), or, if that is too far off, the least squared error within reach of
     it (searched); then, if still dear, the vector found, the best one's and the carried one with a shift of level (faded), of which the
     first that is cheaper ends it; then dither and residual. A block of a vector hands it on; a frame begins with none. Blocks that
-    hardly changed are skipped. All is predicted from the source, so frames are independent of each other.
+    hardly changed are skipped. All is predicted from the source, so frames are independent of each other. ui names a column of frames that
+    is true for screens: there a palette block keeps off vectors unless it is dear, and a fade has a limit on its largest error.
     """
     area = block * block
+    screen = F.coalesce(F.col(ui), F.lit(False)) if ui else F.lit(False)
+    dear = motion.ui_palette - 64 + area / 4  # 64 bytes of that price are the indices of 256 pixels
     both = with_previous(frames).join(static_facts(frames, plates, side, block, gates, motion), ["video", "frame"])
     inside = lambda at: fn.clamp(at, 0, side - block)
     prev = lambda y, x: cut(F.col("prev"), side, y, x, block, block)
@@ -122,7 +128,7 @@ def decide(frames: DataFrame, plates: DataFrame, side: int, block: int, gates: b
                     def priced(s: Column) -> Column:
                         def cost(g: Column) -> Column:
                             new = _one(4 + gates.rate * fn.sad(now, g), 4, "faded", v["y"], v["x"], s)
-                            ok = (fn.ssd(now, g) < motion.faded * area) & (F.abs(s) <= motion.shift)
+                            ok = (fn.ssd(now, g) < motion.faded * area) & (F.abs(s) <= motion.shift) & (~screen | (fn.largest_diff(now, g) < motion.ui_fade))
                             return let(new, lambda w: F.when(ok & (w["cost"] < e["best"]["cost"]), w))
 
                         return let(F.transform(c, lambda p: fn.clamp(p + s, 0, 255)), cost)
@@ -142,7 +148,8 @@ def decide(frames: DataFrame, plates: DataFrame, side: int, block: int, gates: b
             return let(kept(best, "dithered", best["cost"] > gates.dither), lambda b: kept(b, "coded", (b["cost"] > gates.residual) & ~spoiled(b)))
 
         none = F.struct(first.alias("best"), F.lit(False).alias("found"), F.lit(0).alias("fy"), F.lit(0).alias("fx"))
-        moving = (f["sad"] * 2 > area) & (f["first"]["cost"] > motion.motion_above)
+        free = ~screen | (f["first"]["mode"] != "palette") | (f["first"]["cost"] > dear)
+        moving = (f["sad"] * 2 > area) & (f["first"]["cost"] > motion.motion_above) & free
         y, x = inside(top - a["dy"]), inside(left - a["dx"])
         now = cut(F.col("px"), side, top, left, block, block)
         tried = let(now, lambda n: let(F.when(moving, let(F.struct(n.alias("now"), prev(y, x).alias("cand"), y.alias("y"), x.alias("x")), by_vector)).otherwise(none), lambda e: let(faded(n, e), rest)))

@@ -10,9 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
+from ..sources.relations import cut
 
 #: Price of a unit of error, step of the quantiser, mean change from which a block starts afresh.
 RATE, STEP, CUT = 0.012, 27, 35
+#: Frames whose log lines are kept together.
+GROUP = 32
 
 
 def _bound(value: Column, then) -> Column:
@@ -29,9 +32,8 @@ def closed_loop(frames: DataFrame, side: int, block: int) -> DataFrame:
     it is near in mean, square and largest error. A series is as long as its video.
     """
     n, area = side // block, block * block
-    cut = F.transform(F.sequence(F.lit(0), F.lit(area - 1)), lambda i: F.get("px", (F.col("by") * block + F.floor(i / block).cast("int")) * side + F.col("bx") * block + i % block))
-    grid = F.explode(F.array(*[F.struct(F.lit(y).alias("by"), F.lit(x).alias("bx")) for y in range(n) for x in range(n)]))
-    rows = frames.select("video", "frame", "px", grid.alias("g")).select("video", "frame", "px", "g.by", "g.bx").withColumn("px", cut)
+    grid = F.array(*[F.struct(F.lit(y).alias("by"), F.lit(x).alias("bx"), cut(F.col("px"), side, F.lit(y * block), F.lit(x * block), block, block).alias("px")) for y in range(n) for x in range(n)])
+    rows = frames.select("video", "frame", F.explode(grid).alias("g")).select("video", "frame", "g.*")
     series = rows.groupBy("video", "by", "bx").agg(F.array_sort(F.collect_list(F.struct("frame", "px"))).alias("series"))
     result = "array<struct<frame:int,mode:string,bytes:int,sse:long>>"
 
@@ -67,12 +69,14 @@ def closed_loop(frames: DataFrame, side: int, block: int) -> DataFrame:
             blend = F.zip_with(F.arrays_zip(then.alias("then"), a["background"].alias("bg")), b["got"], lambda o, v: F.when((F.abs(v - o["then"]) < 2) & (F.abs(v - o["bg"]) < 4), 0.95 * o["bg"] + 0.05 * v).otherwise(o["bg"]))
             log = F.struct(x["frame"].alias("frame"), b["mode"].alias("mode"), b["bytes"].alias("bytes"), fn.ssd(now, b["got"]).cast("long").alias("sse"))
             background = F.when(fresh, F.transform(now, lambda v: v.cast("double"))).otherwise(blend)
-            return F.struct(b["got"].alias("decoded"), background.alias("background"), F.concat(a["out"], F.array(log)).alias("out"))
+            group, full = F.concat(a["group"], F.array(log)), F.size(a["group"]) == GROUP - 1
+            return F.struct(b["got"].alias("decoded"), background.alias("background"), F.when(full, F.array().cast(result)).otherwise(group).alias("group"), F.when(full, F.concat(a["out"], F.array(group))).otherwise(a["out"]).alias("out"))
 
         return _bound(best, moved)
 
-    start = F.struct(F.array().cast("array<int>").alias("decoded"), F.array().cast("array<double>").alias("background"), F.array().cast(result).alias("out"))
-    df = series.select("video", "by", "bx", F.explode(F.aggregate("series", start, step)["out"]).alias("o"))
+    start = F.struct(F.array().cast("array<int>").alias("decoded"), F.array().cast("array<double>").alias("background"), F.array().cast(result).alias("group"), F.array().cast(f"array<{result}>").alias("out"))
+    whole = F.aggregate("series", start, step, lambda a: F.concat(F.flatten(a["out"]), a["group"]))
+    df = series.select("video", "by", "bx", F.explode(whole).alias("o"))
     return df.select("video", "by", "bx", "o.frame", "o.mode", "o.bytes", "o.sse")
 
 

@@ -94,29 +94,27 @@ def level_centres(df: DataFrame, value: str, k: int, rounds: int) -> DataFrame:
 def holes(frames: DataFrame, side: int, level: int) -> DataFrame:
     """(video, frame, n_filled): pixels of a mask above a level that filling its holes would add, for frames that have any.
 
-    What isn't mask and touches the border, or such a pixel beside it, is outside. A frame is one row; a task holds an Arrow batch of them.
+    What isn't mask and touches the border, or such a pixel beside it, is outside. A task grows the outside of an Arrow batch of frames at once.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for video, frame, px in batch.itertuples(index=False):
-                free = np.pad(np.asarray(px).reshape(side, side) <= level, 1, constant_values=True)
-                outside = np.zeros_like(free)
-                outside[0] = outside[-1] = outside[:, 0] = outside[:, -1] = True
-                while True:
-                    grown = outside.copy()
-                    grown[1:] |= outside[:-1]
-                    grown[:-1] |= outside[1:]
-                    grown[:, 1:] |= outside[:, :-1]
-                    grown[:, :-1] |= outside[:, 1:]
-                    grown &= free
-                    if (grown == outside).all():
-                        break
-                    outside = grown
-                n = int((free & ~outside).sum())
-                if n:
-                    out.append((video, frame, n))
-            yield pd.DataFrame(out, columns=["video", "frame", "n_filled"])
+            if not len(batch):
+                continue
+            free = np.pad(np.stack(batch["px"].to_numpy()).reshape(-1, side, side) <= level, ((0, 0), (1, 1), (1, 1)), constant_values=True)
+            outside = np.zeros_like(free)
+            outside[:, 0] = outside[:, -1] = outside[:, :, 0] = outside[:, :, -1] = True
+            while True:
+                grown = outside.copy()
+                grown[:, 1:] |= outside[:, :-1]
+                grown[:, :-1] |= outside[:, 1:]
+                grown[:, :, 1:] |= outside[:, :, :-1]
+                grown[:, :, :-1] |= outside[:, :, 1:]
+                grown &= free
+                if (grown == outside).all():
+                    break
+                outside = grown
+            out = batch[["video", "frame"]].assign(n_filled=(free & ~outside).sum((1, 2)))
+            yield out[out.n_filled > 0]
 
     return frames.select("video", "frame", "px").mapInPandas(run, "video int, frame int, n_filled long")

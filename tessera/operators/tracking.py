@@ -325,16 +325,18 @@ def four_means(blocks: DataFrame, rounds: int = 8) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for v, f, y, x, px in batch.itertuples(index=False):
-                px = np.asarray(px, float)
-                c = np.quantile(px, [0.125, 0.375, 0.625, 0.875])
-                for _ in range(rounds):
-                    own = np.abs(px[:, None] - c).argmin(1)
-                    c = np.array([px[own == k].mean() if (own == k).any() else c[k] for k in range(4)])
-                c = np.sort(np.trunc(c))
-                out.append((v, f, y, x, ",".join(str(int(k)) for k in c), int((np.abs(px[:, None] - c).min(1) ** 2).sum())))
-            yield pd.DataFrame(out, columns=["video", "frame", "by", "bx", "centres", "sse"])
+            if not len(batch):
+                continue
+            px = np.stack(batch["px"].to_numpy()).astype(float)  # all blocks of the batch at once
+            c = np.quantile(px, [0.125, 0.375, 0.625, 0.875], axis=1).T
+            for _ in range(rounds):
+                own = np.abs(px[:, :, None] - c[:, None]).argmin(2)[:, :, None] == np.arange(4)
+                n = own.sum(1)
+                c = np.where(n > 0, (px[:, :, None] * own).sum(1) / np.maximum(n, 1), c)
+            c = np.sort(np.trunc(c), 1)
+            sse = (np.abs(px[:, :, None] - c[:, None]).min(2) ** 2).sum(1).astype(np.int64)
+            centres = [",".join(map(str, r)) for r in c.astype(int).tolist()]
+            yield batch[["video", "frame", "by", "bx"]].assign(centres=centres, sse=sse)
 
     return blocks.select("video", "frame", "by", "bx", "px").mapInPandas(run, "video int, frame int, by int, bx int, centres string, sse long")
 

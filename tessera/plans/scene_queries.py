@@ -9,6 +9,7 @@ from ..env import scratch, stored
 from ..functions import colour
 from ..operators import blocks as bl
 from ..operators import decision, objects, regions, shapes
+from ..sources import container
 from ..sources.relations import FRAMES, SCENE, SCENES, SCROLL, frames, scenes
 from ..streaming import processors, state
 
@@ -95,6 +96,30 @@ def motion_mode_decision(spark, d) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.sum("bytes").cast("long").alias("bytes"), F.sum(F.abs("dy") + F.abs("dx")).cast("long").alias("moved"), F.sum("shift").cast("long").alias("shift"))
 
 
+#: Names of videos and what they say of them: a screen is one whose name holds one of these words.
+SCREENS = "ui|scaling"
+
+
+def videos(spark, d) -> DataFrame:
+    """(video, name, is_ui): the names that scenes go by, every second one that of a screen, and the flag that the name stands for."""
+    name = F.concat(F.when(F.col("video") % 2 == 0, "ui_").otherwise("clip_"), "video", F.lit(".mp4"))
+    return scenes(spark, d).select("video").distinct().select("video", name.alias("name"), F.lower(name).rlike(SCREENS).alias("is_ui"))
+
+
+@query(f"{SCENES}, v as (select distinct video from scenes) select video, case when video % 2 = 0 then 'ui_' else 'clip_' end || video || '.mp4' as name, video % 2 = 0 is_ui from v")
+def video_flags(spark, d) -> DataFrame:
+    """What names say of videos, as columns."""
+    return videos(spark, d)
+
+
+@query(None)
+def screen_mode_decision(spark, d) -> DataFrame:
+    """Modes of all blocks where videos whose names say so are screens."""
+    shown = scenes(spark, d)
+    df = decision.decide(shown.join(videos(spark, d), "video"), decision.clean_plates(shown), SCENE, LARGE, GATES, ui="is_ui")
+    return df.groupBy("video", "mode").agg(F.count("*").alias("n"), F.sum("bytes").cast("long").alias("bytes"))
+
+
 @query(None)
 def carried_vectors(spark, d) -> DataFrame:
     """Vectors that blocks took, by how they came to them."""
@@ -137,6 +162,16 @@ def gated_boxes(spark, d) -> DataFrame:
     return decision.gated_boxes(errors, _SIDE, SMALL * SMALL)
 
 
+@query(f"{FRAMES} select 'clip' || video || case when video % 3 = 2 then '_2f' else '' end as name, sum(length(array_to_string(px, ',')) + 1)::bigint bytes from frames where video % 3 <> 2 group by video")
+def folder_scan(spark, d) -> DataFrame:
+    """Sizes of the text files of a folder, by name, but for those whose name says that they are cut short."""
+    path = scratch(spark)
+    name = F.concat(F.lit("clip"), "video", F.when(F.col("video") % 3 == 2, "_2f").otherwise(""))
+    frames(spark, d).select(name.alias("name"), F.array_join("px", ",").alias("value")).repartition("name").write.partitionBy("name").text(path)
+    found = container.scan_folder(spark, path, ".txt", without="_2f|_5f|_10f", recursive=True)
+    return found.groupBy(F.regexp_extract("path", "name=([^/]+)/", 1).alias("name")).agg(F.sum("length").alias("bytes"))
+
+
 #: Level above which pixels make objects, least pixels of one, and how far its centre may move in a frame.
 OBJECT_LEVEL, OBJECT_AREA, OBJECT_STEP = 132, 3, 6.0
 

@@ -32,9 +32,13 @@ def restored(coded: DataFrame) -> DataFrame:
     return series.select("video", F.explode(F.aggregate("series", start, step)["out"]).alias("f")).select("video", "f.frame", "f.px")
 
 
-def scan_folder(spark, path: str, suffix: str, without: str | None = None) -> DataFrame:
-    """(path, length, content) of the files of a folder with a suffix, by path, but for those whose name matches a pattern."""
-    df = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(path)
+def scan_folder(spark, path: str, suffix: str, without: str | None = None, recursive: bool = False) -> DataFrame:
+    """(path, length, content) of the files of a folder with a suffix, by path, but for those whose name matches a pattern.
+
+    With recursive the folders in it count too, and the pattern is looked for in the path below the folder. Content that isn't asked for isn't read.
+    """
+    df = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", recursive).load(path)
     if without:
-        df = df.filter(~F.element_at(F.split("path", "/"), -1).rlike(without))
+        name = F.element_at(F.split("path", F.concat(F.lit("\\Q"), F.lit(path.rstrip("/").rsplit("/", 1)[-1]), F.lit("\\E/"))), -1) if recursive else F.element_at(F.split("path", "/"), -1)
+        df = df.filter(~name.rlike(without))
     return df.select("path", "length", "content").orderBy("path")

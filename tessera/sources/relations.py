@@ -62,13 +62,11 @@ pixels as (select video, frame, cast(i // {SIDE} as int) y, cast(i % {SIDE} as i
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(video, frame, by, bx, px, prev): blocks of BLOCK x BLOCK pixels and the same block one frame earlier.
 
-    Pixels stay arrays, so that the only shuffle is the one that lag() needs.
+    Blocks are cut before they are exploded, and pixels stay arrays, so that the only shuffle is the one that lag() needs.
     """
     n = SIDE // BLOCK
-    cut = F.transform(F.sequence(F.lit(0), F.lit(BLOCK * BLOCK - 1)), lambda i: F.get("px", (F.col("by") * BLOCK + (i / BLOCK).cast("int")) * SIDE + F.col("bx") * BLOCK + i % BLOCK))
-    grid = F.explode(F.array(*[F.struct(F.lit(y).alias("by"), F.lit(x).alias("bx")) for y in range(n) for x in range(n)]))
-    df = frames(spark, sf_dir).select("video", "frame", "px", grid.alias("g")).select("video", "frame", "px", "g.by", "g.bx")
-    df = df.withColumn("px", cut)
+    grid = F.array(*[F.struct(F.lit(y).alias("by"), F.lit(x).alias("bx"), cut(F.col("px"), SIDE, F.lit(y * BLOCK), F.lit(x * BLOCK), BLOCK, BLOCK).alias("px")) for y in range(n) for x in range(n)])
+    df = frames(spark, sf_dir).select("video", "frame", F.explode(grid).alias("g")).select("video", "frame", "g.*")
     return df.withColumn("prev", F.lag("px").over(Window.partitionBy("video", "by", "bx").orderBy("frame")))
 
 

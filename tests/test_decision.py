@@ -1,6 +1,7 @@
 """The mode decision with vectors and the gated boxes against plain Python."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tessera.operators import blocks as bl
 from tessera.operators import decision
@@ -14,7 +15,7 @@ def even(x):
     return np.rint(x / GATES.step).astype(int)
 
 
-def plain(px, prev, plate, m=decision.MotionGates()):
+def plain(px, prev, plate, ui=False, m=decision.MotionGates()):
     """(by, bx, mode, bytes, dy, dx, shift) of the blocks of one frame."""
     out, last = [], (0, 0)
     at = lambda f, y, x: f[y : y + B, x : x + B]
@@ -51,7 +52,7 @@ def plain(px, prev, plate, m=decision.MotionGates()):
                 offer(3 + AREA / 4 + R * e.sum(), 3 + AREA // 4, "palette", ok=e.max() < 8 and (e * e).sum() < 16 * AREA)
             found = None
             inside = lambda v: max(0, min(SIDE - B, v))
-            if 2 * sad > AREA and best[0] > m.motion_above:
+            if 2 * sad > AREA and best[0] > m.motion_above and (not ui or best[2] != "palette" or best[0] > 70 - 64 + AREA / 4):
                 py, qx = inside(y - last[0]), inside(x - last[1])
                 e = np.abs(now - at(prev, py, qx))
                 if e.sum() < m.mean * AREA and (e * e).sum() < m.square * AREA and e.max() < m.largest:
@@ -66,7 +67,7 @@ def plain(px, prev, plate, m=decision.MotionGates()):
                     c = at(prev, inside(y - v[0]), inside(x - v[1]))
                     shift = int(now.sum() / AREA - c.sum() / AREA)
                     e = np.abs(now - np.clip(c + shift, 0, 255))
-                    if offer(4 + R * e.sum(), 4, "faded", *v, shift, ok=(e * e).sum() < m.faded * AREA and abs(shift) <= m.shift):
+                    if offer(4 + R * e.sum(), 4, "faded", *v, shift, ok=(e * e).sum() < m.faded * AREA and abs(shift) <= m.shift and (not ui or e.max() < 35)):
                         break
             if best[0] > GATES.dither and rng > 20:
                 levels = np.array([now.min() + i * rng // 3 for i in range(4)])
@@ -122,6 +123,11 @@ def test_decisions_equal_plain_python(spark):
     want = {f: plain(shown[f], shown[f - 1], plate) for f in range(1, len(shown))}
     assert {f: sorted(v) for f, v in got.items()} == want
     seen = {b[2] for v in want.values() for b in v}
+    flagged = {}
+    for r in decision.decide(df.withColumn("ui", F.lit(True)), plates, SIDE, B, GATES, ui="ui").collect():
+        flagged.setdefault(r["frame"], []).append(tuple(r)[2:])
+    screens = {f: plain(shown[f], shown[f - 1], plate, True) for f in range(1, len(shown))}
+    assert {f: sorted(v) for f, v in flagged.items()} == screens != want
     assert seen >= {"background", "solid", "palette", "predicted", "searched", "faded", "dither", "residual"}
 
 

@@ -8,7 +8,7 @@ from .neardup import SHINGLE, THRESHOLD
 from .quality import LINE_CHARS_LIMIT, LINES_LIMIT, MIN_WORDS, NGRAM_LIMITS, REPEAT_WORDS_PERCENT
 from .resampling import BUCKETS, PERCENT, SEED
 from .resampling import MIN_WORDS as MIN_DRAWN
-from .secrets import ACCESS, ASSIGN, BANDS, DECADES, ENCODINGS, FOLDED, HEX, KINDS, LEVEL, NOISE_SWITCH, ODD, STEPS_PER_DECADE, TEXT_PAIR, TEXT_SWITCH, TEXT_TRIPLE, TOKEN
+from .secrets import ACCESS, ASSIGN, BANDS, DECADES, ENCODINGS, FOLDED, HEADED, HEX, KINDS, LEVEL, NOISE_SWITCH, ODD, STEPS_PER_DECADE, TEXT_PAIR, TEXT_SWITCH, TEXT_TRIPLE, TOKEN
 from .vectors import THRESHOLD as COSINE
 
 _WORDS = r"'[^\x20\x09-\x0D]+'"
@@ -130,7 +130,7 @@ blanks as (select doc_id, string_agg(case when pos >= b then substr(t, b + 1, po
   from ahead join docs using (doc_id) group by doc_id),
 free as (select docs.doc_id, case when last is null then t else head || substr(t, last + 1) end t from docs left join blanks using (doc_id)),
 {_found("tok", 3, TOKEN, source="free")},
-bared as (select *, regexp_replace(v, '=+$', '') bare, (till - pos) len from tok),
+bared as (select *, case when key <> '' then key else whole end bare from (select *, regexp_extract(whole, '{HEADED}', 1) key from (select *, regexp_replace(v, '=+$', '') whole, (till - pos) len from tok))),
 coded as (select *, {"case " + " ".join(f"when regexp_matches(bare, '{p}') then {i}" for i, (_, p, _) in enumerate(ENCODINGS)) + " end"} code,
   regexp_matches(bare, '[0-9]')::int + regexp_matches(bare, '[a-z]')::int + regexp_matches(bare, '[A-Z]')::int >= 2 mixed from bared),
 placed as (select *, length(alphabet)::double k, length(folded)::double n, regexp_replace(folded, '[+/_-]', '', 'g') alnum, list_transform(string_split(folded, ''), lambda c: strpos(alphabet, c) - 1) x

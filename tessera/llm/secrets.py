@@ -29,6 +29,8 @@ HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "random")
 #: Tokens that the battery looks at, with the least length at which it can tell text from noise.
 TOKEN = r"[A-Za-z0-9+/_-]{24,}={0,2}"
+#: Short words or numbers, each with a separator, before a key of letters and digits, as in segmented keys: the key alone is tested.
+HEADED = "^(?:(?:[A-Za-z]{1,8}|[0-9]{1,16})[_-])+([0-9A-Za-z]{20,})$"
 #: Encodings by size of alphabet, as (name, pattern, alphabet); the first that fits is inferred.
 ENCODINGS = (
     ("hex", "^[0-9a-fA-F]+$", "0123456789abcdef"),
@@ -135,10 +137,15 @@ def _tail(z: Column) -> Column:
 def battery(token: Column) -> Column:
     """Struct (encoding, p) of a token: p is the chance that text of its encoding looks as random; 1 where it is no noise either.
 
-    Padding isn't tested. Every token of TOKEN has an encoding, so none goes untested. A token of fewer than two of the
-    classes digit, small and capital letter is a word or number: its p is 1.
+    Padding isn't tested, nor are words and numbers that head a key (HEADED). Every token of TOKEN has an encoding, so none goes untested. One of
+    fewer than two of the classes digit, small and capital letter is a word or number: its p is 1.
     """
-    bare = F.regexp_replace(token, "=+$", "")
+    bare = let(F.regexp_replace(token, "=+$", ""), lambda t: let(F.regexp_extract(t, HEADED, 1), lambda key: F.when(key != "", key).otherwise(t)))
+    return let(bare, _tested)
+
+
+def _tested(bare: Column) -> Column:
+    """battery() of what is left of a token."""
     code = F.coalesce(*[F.when(bare.rlike(pattern), F.lit(i)) for i, (_, pattern, _) in enumerate(ENCODINGS)])
     of = lambda e, values: F.element_at(F.array(*[F.lit(x) for x in values]), e["code"] + 1)
     mixed = sum(bare.rlike(c).cast("int") for c in ("[0-9]", "[a-z]", "[A-Z]")) >= 2

@@ -89,7 +89,7 @@ def labelled():
     key = lambda name, n: "".join(rng.choice(alphabets[name]) for _ in range(n))
     keys = []
     for _ in range(30):
-        keys += [key("base62", 40), key("base64", 44) + "==", key("base64url", 43), key("hex", 64).upper(), key("base32", 52), key("base62", 64), key("base64", 86) + "=="]
+        keys += [key("base62", 40), key("base64", 44) + "==", key("base64url", 43), key("hex", 64).upper(), key("base32", 52), key("base62", 64), key("base64", 86) + "==", key("base62", 40).join(("sk_live_", "")), "xoxb-" + "".join(rng.choice("0123456789") for _ in range(12)) + "-" + "".join(rng.choice("0123456789") for _ in range(13)) + "-" + key("base62", 24)]
     return [(t, False) for t in plain] + [(t, True) for t in keys]
 
 
@@ -98,6 +98,8 @@ def test_battery_tells_keys_from_text(spark):
     got = {r["doc_id"]: r["n_random"] for r in secrets.secret_report(docs(spark, [f"see {t} now" for t, _ in rows])).collect()}
     hits = sum(got[i] > 0 for i, (_, secret) in enumerate(rows) if secret)
     wrong = sum(got[i] > 0 for i, (_, secret) in enumerate(rows) if not secret)
+    parted = [got[i] > 0 for i, (t, _) in enumerate(rows) if t.startswith(("xoxb-", "sk_live_"))]
+    assert len(parted) == 60 and sum(parted) >= 54
     assert hits >= 0.9 * sum(s for _, s in rows) and hits >= 0.9 * (hits + wrong), (hits, wrong)
     tested = spark.createDataFrame([(t,) for t, _ in rows if "." not in t and ":" not in t], "t string").select(secrets.battery(F.col("t")).alias("r")).collect()
     assert all(x["r"]["encoding"] is not None and x["r"]["p"] is not None for x in tested)

@@ -14,6 +14,9 @@ _CACHE = {}
 
 #: Words that the normaliser only puts in lower case and the word rule keeps whole: letters without marks that could join or split.
 _SIMPLE = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+")
+#: Such a word and marks after it, which the word rule parts from it.
+_MARKS = ".,;:!?#*|%&$<>()"
+_MARKED = re.compile(f"({_SIMPLE.pattern})([{re.escape(_MARKS)}]+)")
 #: The usual rule of byte-level vocabularies: printable bytes stand for themselves, the others for code points from 256.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
@@ -26,7 +29,7 @@ class _Known(dict):
     without spaces, are encoded each time.
     """
 
-    LONGEST, SIZE = 64, 40 << 20
+    LONGEST, SIZE = 64, 64 << 20
 
     def __init__(self, library, kind: str) -> None:
         self.library, self.tokenize, self.kind = library, library.model.tokenize, np.dtype(kind).char
@@ -36,8 +39,8 @@ class _Known(dict):
         out = self.old.get(w)
         if out is not None:
             pass
-        elif w[-1] in ".," and _SIMPLE.fullmatch(w, 0, len(w) - 1):
-            out = self[w[:-1]] + self[w[-1]]
+        elif w[-1] in _MARKS and (m := _MARKED.fullmatch(w)):
+            out = self[m[1]] + self[m[2]]
         elif _SIMPLE.fullmatch(w):
             low = w.lower()
             out = self[low] if low != w else array(self.kind, [x.id for x in self.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(_BYTES))]).tobytes()

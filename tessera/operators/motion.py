@@ -8,33 +8,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
+from ..sources.relations import cut
+from .decision import let
 from .tracking import with_previous
 
 
-def _patch(px: str, y: Column, x: Column, block: int, side: int) -> Column:
-    """The block of a frame whose corner is (y, x)."""
-    return F.transform(F.sequence(F.lit(0), F.lit(block * block - 1)), lambda i: F.get(px, (y + F.floor(i / block).cast("int")) * side + x + i % block))
-
-
 def _scored(frames: DataFrame, block: int, reach: int, side: int, at_least: int, score: Callable[[Column, Column], dict[str, Column]], least: Callable[[Column], Column]) -> DataFrame:
     """(video, frame, by, bx, found): of each block that changed by at_least, the least of least() over what score() makes of its offsets.
 
-    A block is compared with what the frame before shows dy, dx before it, for offsets up to reach that stay in the frame.
-    The only shuffle is the one that puts frames beside the ones before them.
+    A block is compared with what the frame before shows dy, dx before it, for offsets up to reach that stay in the frame. All
+    blocks are scored before the frame is exploded, so that no block carries it. The only shuffle is the one that puts frames beside the
+    ones before them.
     """
     n, wide = side // block, 2 * reach + 1
-    grid = F.explode(F.array(*[F.struct(F.lit(y).alias("by"), F.lit(x).alias("bx")) for y in range(n) for x in range(n)]))
-    df = with_previous(frames).select("video", "frame", "px", "prev", grid.alias("g")).select("video", "frame", "px", "prev", "g.by", "g.bx")
-    top, left = F.col("by") * block, F.col("bx") * block
-    df = df.withColumn("now", _patch("px", top, left, block, side)).filter(fn.sad(F.col("now"), _patch("prev", top, left, block, side)) >= at_least)
-    offsets = F.transform(F.sequence(F.lit(0), F.lit(wide * wide - 1)), lambda o: F.struct((F.floor(o / wide).cast("int") - reach).alias("dy"), (o % wide - reach).alias("dx")))
-    inside = F.filter(offsets, lambda o: (top - o["dy"]).between(0, side - block) & (left - o["dx"]).between(0, side - block))
-
-    def tried(o: Column) -> Column:
-        then = F.array(_patch("prev", top - o["dy"], left - o["dx"], block, side))
-        return F.get(F.transform(then, lambda t: F.struct(*[c.alias(name) for name, c in {**score(F.col("now"), t), "dy": o["dy"], "dx": o["dx"]}.items()])), F.lit(0))
-
-    return df.select("video", "frame", "by", "bx", F.array_min(F.transform(F.transform(inside, tried), least)).alias("found"))
+    grid = F.array(*[F.struct(F.lit(y).alias("by"), F.lit(x).alias("bx")) for y in range(n) for x in range(n)])
+    offsets = F.array(*[F.struct(F.lit(o // wide - reach).alias("dy"), F.lit(o % wide - reach).alias("dx")) for o in range(wide * wide)])
+
+    def one(g: Column) -> Column:
+        top, left = g["by"] * block, g["bx"] * block
+        patch = lambda px, dy, dx: cut(F.col(px), side, top - dy, left - dx, block, block)
+        inside = F.filter(offsets, lambda o: (top - o["dy"]).between(0, side - block) & (left - o["dx"]).between(0, side - block))
+
+        def found(now: Column) -> Column:
+            def tried(o: Column) -> Column:
+                return let(patch("prev", o["dy"], o["dx"]), lambda t: F.struct(*[c.alias(name) for name, c in {**score(now, t), "dy": o["dy"], "dx": o["dx"]}.items()]))
+
+            best = F.array_min(F.transform(F.transform(inside, tried), least))
+            moved = fn.sad(now, patch("prev", F.lit(0), F.lit(0))) >= at_least
+            return F.struct(g["by"].alias("by"), g["bx"].alias("bx"), moved.alias("moved"), F.when(moved, best).alias("found"))
+
+        return let(patch("px", F.lit(0), F.lit(0)), found)
+
+    df = with_previous(frames).select("video", "frame", F.explode(F.transform(grid, one)).alias("b")).filter("b.moved")
+    return df.select("video", "frame", "b.by", "b.bx", "b.found")
 
 
 def search(frames: DataFrame, block: int, reach: int, side: int, at_least: int = 1) -> DataFrame:

@@ -70,7 +70,7 @@ def test_empty_tables(spark):
 
 
 def test_a_head_is_what_is_frequent(spark):
-    df = spark.createDataFrame([(f"common rare{i} common also " + "y" * 100,) for i in range(50)], "text string").repartition(4)
+    df = spark.createDataFrame([(f"common rare{i} common also " + "y" * 200,) for i in range(50)], "text string").repartition(4)
     head = resampling.find_head(df, max_n=2, size=8)
     assert set(head.words) == {b"common", b"also"} and set(head.pairs) == {(b"common", b"also")}  # the long word is never in it
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
-def ordered(keys: list[str], order: str) -> WindowSpec:
+def ordered(keys: list[str], order: str | list[str]) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(order)
 
 
@@ -28,7 +28,7 @@ def group_number(df: DataFrame, keys: list[str], order: str, starts: Column, out
     return df.withColumn(out, F.sum(starts.cast("long")).over(ordered(keys, order)))
 
 
-def worst_mean(df: DataFrame, keys: list[str], order: str, value: str, size: int = 5, fallback: str = "max") -> DataFrame:
+def worst_mean(df: DataFrame, keys: list[str], order: str | list[str], value: str, size: int = 5, fallback: str = "max") -> DataFrame:
     """(keys, worst): the largest mean of size rows in a row. With fewer rows their max or their mean, as fallback says."""
     if fallback not in ("max", "mean"):
         raise ValueError("fallback is max or mean")

@@ -72,8 +72,8 @@ WORST = ", w as (select video, perm, comp_bytes, avg(comp_bytes) over o m, count
 
 @query(f"{WORST} select s.video, s.perm, s.n, coalesce(x.largest, 0) largest, coalesce(x.worst, 0) worst from s left join x on s.video = x.video and s.perm = x.perm")
 def summary_left_join_worst(spark, d) -> DataFrame:
-    r = runs(spark, d)
-    worst = windows.worst_mean(r, ["video", "perm"], "run_id", "comp_bytes")
+    r = runs(spark, d, placed=True)
+    worst = windows.worst_mean(r, ["video", "perm"], ["run_id", "place"], "comp_bytes")
     most = r.groupBy("video", "perm").agg(F.count("*").alias("n"), F.max("comp_bytes").alias("largest"))
     df = most.join(worst, ["video", "perm"], "left")
     return df.select("video", "perm", "n", F.coalesce("largest", F.lit(0)).alias("largest"), F.coalesce(F.round("worst", 4), F.lit(0.0)).alias("worst"))

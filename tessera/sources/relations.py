@@ -110,10 +110,11 @@ def cut(px: Column, side: int, top: Column, left: Column, height: int, width: in
     return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(height - 1)), lambda r: F.slice(px, (top + r) * side + left + 1, width)))
 
 
-def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def runs(spark: SparkSession, sf_dir: str, placed: bool = False) -> DataFrame:
     """(run_id, perm, config, video, orig_bytes, comp_bytes, time_s, frames): one row per run of a configuration on a video.
 
-    config spells perm's bits as "+name" and "-name" tokens in the order of TOGGLES. comp_bytes is null for a failed run.
+    config spells perm's bits as "+name" and "-name" tokens in the order of TOGGLES. comp_bytes is null for a failed run. Runs may
+    share their run_id; placed adds place, where a run lies in the stored table, which is the order of such runs.
     """
     li = read(spark, sf_dir, "lineitem")
     perm = (F.col("l_partkey") % 2048).cast("int")
@@ -128,6 +129,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_suppkey") % 17 != 0, comp).alias("comp_bytes"),
         (F.round(F.col("l_tax") * 100).cast("int") / 4).cast("double").alias("time_s"),
         F.col("l_quantity").cast("int").alias("frames"),
+        *([F.struct("_metadata.file_name", "_metadata.row_index").alias("place")] if placed else []),
     )
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,46 +35,145 @@ class MotionGates:
     ui_fade: int = 35
 
 
-def clean_plates(frames: DataFrame) -> DataFrame:
-    """(video, plate): the median of each pixel over a video's frames, rounded down."""
-    held = frames.select("video", F.posexplode("px").alias("i", "v")).groupBy("video", "i").agg(F.floor(F.median("v")).cast("int").alias("v"))
-    return held.groupBy("video").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("plate"))
+#: Pixels in a row whose levels over a video meet in one place.
+STRIP = 64
 
 
-def let(value: Column, then) -> Column:
-    """then(value), with value worked out once."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
+def clean_plates(frames: DataFrame) -> DataFrame:
+    """(video, plate): the median of each pixel over a video's frames, rounded down.
 
+    Frames are cut into strips before they are dealt out, so that a row of the shuffle is a strip and not a pixel, and a task holds one strip of a video.
+    """
+    strips = F.transform(F.sequence(F.lit(0), F.size("px") - 1, F.lit(STRIP)), lambda i: F.slice("px", i + 1, STRIP).cast("array<smallint>"))
+    held = frames.filter(F.size("px") > 0).select("video", F.posexplode(strips).alias("i", "v")).groupBy("video", "i").agg(F.collect_list("v").alias("vs"))
 
-def _best(cost: Column, size: Column, mode: Column, dy: Column, dx: Column, shift: Column) -> Column:
-    return F.struct(cost.cast("double").alias("cost"), size.cast("int").alias("bytes"), mode.alias("mode"), dy.cast("int").alias("dy"), dx.cast("int").alias("dx"), shift.cast("int").alias("shift"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            levels = [np.floor(np.median(v.values.flatten().to_numpy(zero_copy_only=False).reshape(len(v.values), -1), 0)).astype(np.int32) for v in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(levels, pa.list_(pa.int32()))], names=["video", "i", "v"])
 
+    levels = held.mapInArrow(run, "video int, i int, v array<int>")
+    return levels.groupBy("video").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"])).alias("plate"))
 
-def _one(cost: Column, size: int, mode: str, dy: Column, dx: Column, shift: Column | None = None) -> Column:
-    return _best(cost, F.lit(size), F.lit(mode), dy, dx, F.lit(0) if shift is None else shift)
 
+def let(value: Column, then) -> Column:
+    """then(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
-def static_facts(frames: DataFrame, plates: DataFrame, side: int, block: int, gates: bl.Gates, motion: MotionGates) -> DataFrame:
-    """(video, frame, facts): of each block, in raster order, what needs no vector.
 
-    first is the cheapest of raw, background, solid and palettes so far; dithered and coded come after the vectors, which alone need the
-    blocks in order. Blocks are cut before they are exploded.
-    """
-    n, area = side // block, block * block
-    grid = F.array(*[F.struct(F.lit(y).alias("by"), F.lit(x).alias("bx")) for y in range(n) for x in range(n)])
-    part = lambda c, g: cut(F.col(c), side, g["by"] * block, g["bx"] * block, block, block)
-    one = lambda g: F.struct(g["by"].alias("by"), g["bx"].alias("bx"), part("px", g).alias("px"), part("prev", g).alias("prev"), part("plate", g).alias("back"))
-    rows = with_previous(frames).join(plates, "video").select("video", "frame", F.explode(F.transform(grid, one)).alias("b")).select("video", "frame", "b.*")
-    df = bl.candidates(rows, gates)
-    px, back = F.col("px"), F.col("back")
-    df = df.withColumn("back_sad", fn.sad(px, back))
-    near = (F.col("back_sad") < motion.mean * area) & (fn.ssd(px, back) < motion.square * area) & (fn.largest_diff(px, back) < motion.largest)
-    df = df.withColumn("plain", F.when(near, F.struct((1 + gates.rate * F.col("back_sad")).alias("cost"), F.lit(1).alias("bytes"), F.lit("background").alias("mode"))))
-    cheaper = lambda new, gate: F.when((F.col("first")["cost"] > gate) & (F.col(new)["cost"] < F.col("first")["cost"]), F.col(new)).otherwise(F.col("first"))
-    df = df.withColumn("first", F.col("raw")).withColumn("first", cheaper("plain", 0)).withColumn("first", cheaper("solid", 0))
-    df = df.withColumn("first", cheaper("exact", gates.palette)).withColumn("first", cheaper("two", gates.palette))
-    fact = F.struct("by", "bx", "first", "dithered", "coded", "residual_max", "sad", (F.col("largest") < gates.skip_max).alias("skip"))
-    return df.groupBy("video", "frame").agg(F.array_sort(F.collect_list(fact)).alias("facts"))
+class Decider:
+    """The decision of a stack of frames at once: arrays of frames, blocks in raster order, pixels of a block."""
+
+    #: Modes by number, and those that carry a vector on.
+    MODES = ("skip", "raw", "background", "solid", "palette", "predicted", "searched", "faded", "dither", "residual")
+    SKIP, RAW, BACKGROUND, SOLID, PALETTE, PREDICTED, SEARCHED, FADED, DITHER, RESIDUAL = range(10)
+    #: What stands around a frame, so that no block that leaves it is nearest.
+    FAR = 2000
+
+    def __init__(self, side: int, block: int, gates: bl.Gates, motion: MotionGates) -> None:
+        self.side, self.block, self.n, self.area = side, block, side // block, block * block
+        self.gates, self.motion = gates, motion
+
+    def blocks(self, px: np.ndarray) -> np.ndarray:
+        n, b = self.n, self.block
+        return px.reshape(-1, n, b, n, b).transpose(0, 1, 3, 2, 4).reshape(-1, n * n, self.area)
+
+    def settle(self, now: np.ndarray, then: np.ndarray, back: np.ndarray) -> dict[str, np.ndarray]:
+        """Of each block what needs no vector: the cheapest of raw, background, solid and palettes, and dithered and coded, which come after
+        the vectors. A cost is infinite where the candidate's gate fails."""
+        g, m, area = self.gates, self.motion, self.area
+        own, quarter = np.abs(now - then), area / 4
+        sad, low, high = own.sum(-1), now.min(-1), now.max(-1)
+        rng = high - low
+        cost, size, mode = area + 1 + g.rate * sad, np.full(sad.shape, area + 1), np.full(sad.shape, self.RAW)
+
+        def offer(ok: np.ndarray, new: np.ndarray, n: np.ndarray | int, kind: int, above: float = 0) -> None:
+            won = ok & (cost > above) & (new < cost)
+            cost[won], size[won], mode[won] = np.broadcast_to(new, won.shape)[won], np.broadcast_to(n, won.shape)[won], kind
+
+        e = np.abs(now - back)
+        offer((e.sum(-1) < m.mean * area) & ((e * e).sum(-1) < m.square * area) & (e.max(-1) < m.largest), 1 + g.rate * e.sum(-1), 1, self.BACKGROUND)
+        flat = np.abs(now - (now.sum(-1) // area)[..., None]).sum(-1)
+        tiny = (rng <= 2) & (flat <= area / 8)
+        offer(tiny | (rng < g.solid_range), np.where(tiny, 1.5, 2 + g.rate * flat), np.where(tiny, 1, 2), self.SOLID)
+        colours = 1 + (np.diff(np.sort(now, -1)) > 0).sum(-1)
+        offer((rng > 2) & (colours <= 4), 1 + colours + quarter, (1 + colours + quarter).astype(int), self.PALETTE, g.palette)
+        upper = now > ((low + high) // 2)[..., None]
+        mean = lambda on: (now * on).sum(-1) // np.maximum(1, on.sum(-1))
+        e = np.abs(now - np.where(upper, mean(upper)[..., None], mean(~upper)[..., None]))
+        offer((colours > 4) & (rng > 15) & (e.max(-1) < 8) & ((e * e).sum(-1) < 16 * area), 3 + quarter + g.rate * e.sum(-1), int(3 + quarter), self.PALETTE, g.palette)
+        nearest = np.abs(now - low[..., None])
+        for i in (1, 2, 3):
+            nearest = np.minimum(nearest, np.abs(now - (low + i * rng // 3)[..., None]))
+        dithered = np.where(rng > 20, 5 + quarter + g.rate * nearest.sum(-1), np.inf)
+        q = np.rint((now - then) / g.step).astype(now.dtype)
+        e = np.abs(now - np.clip(then + q * g.step, 0, 255))
+        nnz = (q != 0).sum(-1)
+        bytes_ = np.where(2 * nnz >= area, g.dense, 1 + 2 * nnz)
+        return {"cost": cost, "size": size, "mode": mode, "sad": sad, "skip": own.max(-1) < g.skip_max, "dithered": dithered, "coded": bytes_ + g.rate * e.sum(-1), "coded_size": bytes_.astype(int), "spoilt": e.max(-1) >= 8}
+
+    def decide(self, px: np.ndarray, prev: np.ndarray, plate: np.ndarray, screen: np.ndarray) -> dict[str, np.ndarray]:
+        """mode (a number), bytes, dy, dx, shift of the blocks of frames px, each with the one before, its plate, and whether it is a screen."""
+        g, m, b, area, n = self.gates, self.motion, self.block, self.area, self.n
+        now_all = self.blocks(px)
+        f = self.settle(now_all, self.blocks(prev), self.blocks(plate))
+        around = np.pad(prev, ((0, 0), (m.reach, m.reach), (m.reach, m.reach)), constant_values=self.FAR)
+        windows = np.lib.stride_tricks.sliding_window_view(prev, (b, b), (1, 2))
+        regions = np.lib.stride_tricks.sliding_window_view(around, (b + 2 * m.reach,) * 2, (1, 2))
+        inside = lambda at: np.clip(at, 0, self.side - b)
+        patch = lambda i, y, x: windows[i, y, x].reshape(len(i), area)
+        dear = m.ui_palette - 64 + area / 4  # 64 bytes of that price are the indices of 256 pixels
+        out = {k: np.zeros((len(px), n * n), np.int32) for k in ("mode", "bytes", "dy", "dx", "shift")}
+        last = np.zeros((2, len(px)), int)
+        for k in range(n * n):
+            at = np.flatnonzero(~f["skip"][:, k])
+            top, left, now, lit, carried = k // n * b, k % n * b, now_all[at, k], screen[at], last[:, at]
+            cost, size, mode, shift = f["cost"][at, k], f["size"][at, k], f["mode"][at, k], np.zeros(len(at), int)
+            vector, found, has = np.zeros((2, len(at)), int), np.zeros((2, len(at)), int), np.zeros(len(at), bool)
+
+            def offer(i: np.ndarray, new: np.ndarray, ok: np.ndarray | bool, n_bytes: np.ndarray | int, kind: int, to: np.ndarray | int = 0, level: np.ndarray | int = 0) -> np.ndarray:
+                """Puts a candidate of the rows i in its place where it may be and is cheaper; gives where that was."""
+                won = ok & (new < cost[i])  # noqa: B023
+                j = i[won]
+                put = lambda v: np.broadcast_to(v, (*np.shape(v)[:-1], len(i)))[..., won] if np.ndim(v) else v
+                cost[j], size[j], mode[j], vector[:, j], shift[j] = put(new), put(n_bytes), kind, put(to), put(level)  # noqa: B023
+                return won
+
+            free = ~lit | (mode != self.PALETTE) | (cost > dear)
+            i = np.flatnonzero((2 * f["sad"][at, k] > area) & (cost > m.motion_above) & free)
+            y, x = inside(top - carried[0, i]), inside(left - carried[1, i])
+            e = np.abs(now[i] - patch(at[i], y, x))
+            hit = (e.sum(-1) < m.mean * area) & ((e * e).sum(-1) < m.square * area) & (e.max(-1) < m.largest)
+            offer(i[hit], 1 + g.rate * e[hit].sum(-1), True, 1, self.PREDICTED, carried[:, i[hit]])
+            i, y, x = i[~hit], y[~hit], x[~hit]
+            tried = np.lib.stride_tricks.sliding_window_view(regions[at[i], y, x], (b, b), (1, 2)) - now[i].reshape(-1, 1, 1, b, b)
+            best = np.einsum("fyxij,fyxij->fyx", tried, tried).reshape(len(i), (2 * m.reach + 1) ** 2)
+            place = best.argmin(-1)  # the first of equals: least row, then least column
+            y, x = y - m.reach + place // (2 * m.reach + 1), x - m.reach + place % (2 * m.reach + 1)
+            e = np.abs(now[i] - patch(at[i], y, x))
+            has[i], found[:, i] = True, (top - y, left - x)
+            offer(i, 3 + g.rate * e.sum(-1), ((e * e).sum(-1) < m.searched * area) & (e.max(-1) < m.largest), 3, self.SEARCHED, found[:, i])
+
+            i, own = np.flatnonzero(cost > m.fade_above), vector.copy()  # the first vector whose faded block is cheaper ends it
+            for to, some in ((found, has), (own, None), (carried, None)):
+                j = i if some is None else i[some[i]]
+                c = patch(at[j], inside(top - to[0, j]), inside(left - to[1, j]))
+                level = np.trunc(now[j].sum(-1) / area - c.sum(-1) / area).astype(int)
+                e = np.abs(now[j] - np.clip(c + level[:, None], 0, 255))
+                ok = ((e * e).sum(-1) < m.faded * area) & (np.abs(level) <= m.shift) & (~lit[j] | (e.max(-1) < m.ui_fade))
+                i = np.setdiff1d(i, j[offer(j, 4 + g.rate * e.sum(-1), ok, 4, self.FADED, to[:, j], level)], assume_unique=True)
+            i = np.arange(len(at))
+            offer(i, f["dithered"][at, k], cost > g.dither, int(5 + area / 4), self.DITHER)
+            offer(i, f["coded"][at, k], (cost > g.residual) & ~((mode == self.PALETTE) & f["spoilt"][at, k]), f["coded_size"][at, k], self.RESIDUAL)
+            for name, v in (("mode", mode), ("bytes", size), ("dy", vector[0]), ("dx", vector[1]), ("shift", shift)):
+                out[name][at, k] = v
+            on = np.isin(mode, (self.PREDICTED, self.SEARCHED, self.FADED))
+            last[:, at[on]] = vector[:, on]
+        return out
+
+
+#: Frames that a task decides at once.
+STACK = 128
 
 
 def decide(frames: DataFrame, plates: DataFrame, side: int, block: int, gates: bl.Gates, motion: MotionGates = MotionGates(), ui: str | None = None) -> DataFrame:
@@ -83,87 +185,26 @@ def decide(frames: DataFrame, plates: DataFrame, side: int, block: int, gates: b
     first that is cheaper ends it; then dither and residual. A block of a vector hands it on; a frame begins with none. Blocks that
     hardly changed are skipped. All is predicted from the source, so frames are independent of each other. ui names a column of frames that
     is true for screens: there a palette block keeps off vectors unless it is dear, and a fade has a limit on its largest error.
+
+    Spark puts frames beside the ones before them and their plates; a task then takes STACK frames at a time through their blocks.
     """
-    area = block * block
     screen = F.coalesce(F.col(ui), F.lit(False)) if ui else F.lit(False)
-    dear = motion.ui_palette - 64 + area / 4  # 64 bytes of that price are the indices of 256 pixels
-    both = with_previous(frames).join(static_facts(frames, plates, side, block, gates, motion), ["video", "frame"])
-    inside = lambda at: fn.clamp(at, 0, side - block)
-    prev = lambda y, x: cut(F.col("prev"), side, y, x, block, block)
-    less = lambda best, new, ok: F.when(ok & (new["cost"] < best["cost"]), new).otherwise(best)
-
-    def step(a: Column, f: Column) -> Column:
-        top, left = f["by"] * block, f["bx"] * block
-        first = _best(f["first"]["cost"], f["first"]["bytes"], f["first"]["mode"], F.lit(0), F.lit(0), F.lit(0))
-
-        def by_vector(e: Column) -> Column:
-            """Predicted, or else searched. Gives best, and found: whether a search was made, and its place."""
-            now, cand = e["now"], e["cand"]
-            sad, fits = fn.sad(now, cand), (fn.ssd(now, cand) < motion.square * area) & (fn.largest_diff(now, cand) < motion.largest)
-            hit = let(sad, lambda s: F.when((s < motion.mean * area) & fits, s))
-            places = lambda at: F.sequence(F.greatest(F.lit(0), at - motion.reach), F.least(F.lit(side - block), at + motion.reach))
-            tried = F.flatten(F.transform(places(e["y"]), lambda y: F.transform(places(e["x"]), lambda x: F.struct(fn.ssd(now, prev(y, x)).alias("ssd"), y.alias("y"), x.alias("x")))))
-
-            def searched(p: Column) -> Column:
-                got = prev(p["y"], p["x"])
-                ok = (p["ssd"] < motion.searched * area) & (fn.largest_diff(now, got) < motion.largest)
-                new = _one(3 + gates.rate * fn.sad(now, got), 3, "searched", top - p["y"], left - p["x"])
-                return F.struct(let(new, lambda v: less(first, v, ok)).alias("best"), F.lit(True).alias("found"), (top - p["y"]).alias("fy"), (left - p["x"]).alias("fx"))
-
-            def chosen(s: Column) -> Column:
-                new = _one(1 + gates.rate * s, 1, "predicted", a["dy"], a["dx"])
-                none = F.struct(less(first, new, F.lit(True)).alias("best"), F.lit(False).alias("found"), F.lit(0).alias("fy"), F.lit(0).alias("fx"))
-                return F.when(s.isNotNull(), none).otherwise(let(F.array_min(tried), searched))
-
-            return let(hit, chosen)
-
-        def faded(now: Column, e: Column) -> Column:
-            """The first of the vectors whose faded block is cheaper than the best so far."""
-            wanted = F.array(F.when(e["found"], F.struct(e["fy"].alias("y"), e["fx"].alias("x"))), F.struct(e["best"]["dy"].alias("y"), e["best"]["dx"].alias("x")), F.struct(a["dy"].alias("y"), a["dx"].alias("x")))
-
-            def shifted(v: Column) -> Column:
-                def lit_up(c: Column) -> Column:
-                    shift = (fn.array_sum(now) / area - fn.array_sum(c) / area).cast("int")
-
-                    def priced(s: Column) -> Column:
-                        def cost(g: Column) -> Column:
-                            new = _one(4 + gates.rate * fn.sad(now, g), 4, "faded", v["y"], v["x"], s)
-                            ok = (fn.ssd(now, g) < motion.faded * area) & (F.abs(s) <= motion.shift) & (~screen | (fn.largest_diff(now, g) < motion.ui_fade))
-                            return let(new, lambda w: F.when(ok & (w["cost"] < e["best"]["cost"]), w))
-
-                        return let(F.transform(c, lambda p: fn.clamp(p + s, 0, 255)), cost)
-
-                    return let(shift, priced)
-
-                return let(prev(inside(top - v["y"]), inside(left - v["x"])), lit_up)
-
-            won = F.get(F.array_compact(F.transform(F.array_compact(wanted), shifted)), F.lit(0))
-            return F.when(e["best"]["cost"] > motion.fade_above, F.coalesce(won, e["best"])).otherwise(e["best"])
-
-        def rest(best: Column) -> Column:
-            """Dither and residual."""
-            other = lambda c: _best(f[c]["cost"], f[c]["bytes"], f[c]["mode"], F.lit(0), F.lit(0), F.lit(0))
-            kept = lambda b, c, ok: F.when(ok & f[c].isNotNull() & (f[c]["cost"] < b["cost"]), other(c)).otherwise(b)
-            spoiled = lambda b: (b["mode"] == "palette") & (f["residual_max"] >= 8)
-            return let(kept(best, "dithered", best["cost"] > gates.dither), lambda b: kept(b, "coded", (b["cost"] > gates.residual) & ~spoiled(b)))
-
-        none = F.struct(first.alias("best"), F.lit(False).alias("found"), F.lit(0).alias("fy"), F.lit(0).alias("fx"))
-        free = ~screen | (f["first"]["mode"] != "palette") | (f["first"]["cost"] > dear)
-        moving = (f["sad"] * 2 > area) & (f["first"]["cost"] > motion.motion_above) & free
-        y, x = inside(top - a["dy"]), inside(left - a["dx"])
-        now = cut(F.col("px"), side, top, left, block, block)
-        tried = let(now, lambda n: let(F.when(moving, let(F.struct(n.alias("now"), prev(y, x).alias("cand"), y.alias("y"), x.alias("x")), by_vector)).otherwise(none), lambda e: let(faded(n, e), rest)))
-        best = F.when(f["skip"], _one(F.lit(0), 0, "skip", F.lit(0), F.lit(0))).otherwise(tried)
-
-        def logged(b: Column) -> Column:
-            carries = b["mode"].isin("predicted", "searched", "faded")
-            line = F.struct(f["by"].alias("by"), f["bx"].alias("bx"), b["mode"].alias("mode"), b["bytes"].alias("bytes"), b["dy"].alias("dy"), b["dx"].alias("dx"), b["shift"].alias("shift"))
-            return F.struct(F.when(carries, b["dy"]).otherwise(a["dy"]).alias("dy"), F.when(carries, b["dx"]).otherwise(a["dx"]).alias("dx"), F.concat(a["out"], F.array(line)).alias("out"))
-
-        return let(best, logged)
-
-    start = F.struct(F.lit(0).alias("dy"), F.lit(0).alias("dx"), F.array().cast("array<struct<by:int,bx:int,mode:string,bytes:int,dy:int,dx:int,shift:int>>").alias("out"))
-    return both.select("video", "frame", F.explode(F.aggregate("facts", start, step)["out"]).alias("b")).select("video", "frame", "b.*")
+    small = lambda c: F.col(c).cast("array<smallint>").alias(c)
+    held = frames.select("video", "frame", screen.alias("screen"), small("px"))
+    held = with_previous(held).join(plates.select("video", small("plate")), "video").select("video", "frame", "screen", "px", "prev", "plate")
+    n = side // block
+    by, bx = np.divmod(np.arange(n * n, dtype=np.int32), n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decider, modes = Decider(side, block, gates, motion), pa.array(Decider.MODES)
+        for batch in (whole.slice(i, STACK) for whole in batches for i in range(0, whole.num_rows, STACK)):
+            px, prev, plate = (batch.column(k).flatten().to_numpy().astype(np.int32).reshape(-1, side, side) for k in (3, 4, 5))
+            got = decider.decide(px, prev, plate, batch.column(2).to_numpy(zero_copy_only=False))
+            keys = [pa.array(np.repeat(batch.column(k).to_numpy(), n * n)) for k in (0, 1)]
+            grid = [pa.array(np.tile(v, batch.num_rows)) for v in (by, bx)]
+            yield pa.RecordBatch.from_arrays([*keys, *grid, modes.take(pa.array(got["mode"].ravel())), *(pa.array(got[k].ravel()) for k in ("bytes", "dy", "dx", "shift"))], names=["video", "frame", "by", "bx", "mode", "bytes", "dy", "dx", "shift"])
+
+    return held.mapInArrow(run, "video int, frame int, by int, bx int, mode string, bytes int, dy int, dx int, shift int")
 
 
 def block_errors(frames: DataFrame, plates: DataFrame, side: int, block: int, dy: int) -> DataFrame:

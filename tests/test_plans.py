@@ -66,3 +66,11 @@ def test_a_frame_is_spread_over_ranges(spark, name):
 def test_closed_loop_needs_no_python(spark):
     text = plan(catalog.QUERIES["closed_loop_coding"](spark, SF))
     assert "Pandas" not in text and "Arrow" not in text and "Python" not in text
+
+
+@pytest.mark.parametrize("name", ["motion_mode_decision", "screen_mode_decision", "carried_vectors"])
+def test_mode_decision_takes_stacks_of_frames(spark, name):
+    """Frames meet the ones before once, blocks aren't dealt out again, and no row is a pixel."""
+    text = plan(catalog.QUERIES[name](spark, SF)).split("== Initial Plan ==")[-1]
+    assert text.count("lag(px") == 1 and text.count("MapInArrow") == 2
+    assert "median" not in text and "facts" not in text

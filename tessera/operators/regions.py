@@ -18,6 +18,8 @@ from .tracking import with_previous
 Alike = Callable[[np.ndarray, np.ndarray], np.ndarray]
 #: Neighbours to look at from each place: those to the right and below, and for eight neighbours the lower diagonals.
 FOUR, EIGHT = ((0, 1), (1, 0)), ((0, 1), (1, 0), (1, 1), (1, -1))
+#: Places that a task labels at once.
+PLACES = 1 << 16
 LABELS = "video int, frame int, label long, area long, top int, left int, bottom int, right int, ring array<struct<place: long, what: array<int>>>"
 
 
@@ -53,19 +55,23 @@ def label_stack(mask: np.ndarray, what: np.ndarray, steps: tuple, alike: Alike)
         lab = new
 
 
+def stacks(batches: Iterator[pa.RecordBatch], tile: int) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of so many tiles that they have at most PLACES places, of one tile at least."""
+    size = max(1, PLACES // (tile * tile))
+    return (batch.slice(i, size) for batch in batches for i in range(0, batch.num_rows, size))
+
+
 def label_tiles(tiles: DataFrame, tile: int, wide: int, steps: tuple, alike: Alike) -> DataFrame:
     """LABELS of tiles (video, frame, ty, tx, mask, what): one row for each region of each tile, with its places on the tile's ring.
 
     mask has a 0 or 1 for each place of a tile, what the same number of values for each. A label, like a place, counts through the whole
-    frame, which is wide places wide. A task holds an Arrow batch of tiles.
+    frame, which is wide places wide. A task labels so many tiles of an Arrow batch at a time that they have about PLACES places.
     """
     ring = np.zeros((tile, tile), bool)
     ring[0] = ring[-1] = ring[:, 0] = ring[:, -1] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in stacks(batches, tile):
             video, frame, ty, tx = (batch.column(i).to_numpy() for i in range(4))
             mask = batch.column(4).flatten().to_numpy().reshape(-1, tile, tile) > 0
             what = batch.column(5).flatten().to_numpy().reshape(len(video), tile, tile, -1)
@@ -116,13 +122,16 @@ def joined_regions(labels: DataFrame, tile: int, wide: int, steps: tuple, same:
 def mask_regions(frames: DataFrame, side: int, tile: int, level: int) -> DataFrame:
     """(video, frame, region, area, top, left, bottom, right): the 8-connected regions of the pixels above a level, of frames (video, frame, px) cut into tiles.
 
-    Frames are cut before they are exploded; nothing after that holds a whole frame. Frames without such pixels have no rows.
+    Frames are cut before they are exploded; nothing after that holds a whole frame. Frames without such pixels have no rows. Frames of
+    one tile have no borders, so that their labels are the regions and there is no shuffle.
     """
     n = side // tile
     grid = F.array(*[F.struct(F.lit(a).alias("ty"), F.lit(b).alias("tx")) for a in range(n) for b in range(n)])
     one = lambda g: F.struct(g["ty"].alias("ty"), g["tx"].alias("tx"), F.transform(cut(F.col("px"), side, g["ty"] * tile, g["tx"] * tile, tile, tile), lambda v: (v > level).cast("int")).alias("mask"))
     tiles = frames.select("video", "frame", F.explode(F.transform(grid, one)).alias("t")).select("video", "frame", "t.ty", "t.tx", "t.mask", F.col("t.mask").alias("what"))
     labels = label_tiles(tiles.filter(F.array_max("mask") > 0), tile, side, EIGHT, lambda a, b: np.ones(a.shape[:-1], bool))
+    if n == 1:
+        return labels.select("video", "frame", F.col("label").alias("region"), "area", "top", "left", "bottom", "right")
     return joined_regions(stored(labels), tile, side, EIGHT)
 
 

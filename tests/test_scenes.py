@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.operators import graph, regions
@@ -107,3 +108,21 @@ def test_label_stack(steps):
         edges = [(n, (n // 8 + dy) * 8 + n % 8 + dx) for n in nodes for dy, dx in steps if n // 8 + dy < 8 and 0 <= n % 8 + dx < 8 and m[n // 8 + dy, n % 8 + dx]]
         want = components_of(nodes, edges)
         assert all(got.ravel()[n] == want[n] for n in nodes) and (got[~m] == 64).all()
+
+
+@pytest.mark.parametrize("tile", [8, 16, 64, 1024])
+def test_tiles_are_labelled_in_bounded_stacks(tile):
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(n))], names=["i"]) for n in (5000, 0, 3)]
+    got = list(regions.stacks(iter(batches), tile))
+    assert all(b.num_rows == 1 or b.num_rows * tile * tile <= regions.PLACES for b in got)
+    assert [v for b in got for v in b.column(0).to_pylist()] == [*range(5000), *range(3)]
+
+
+def test_a_frame_of_one_tile_needs_no_shuffle(spark):
+    rng = np.random.default_rng(6)
+    masks = [rng.random((32, 32)) < p for p in (0.0, 0.2, 0.45, 1.0)]
+    found = regions.mask_regions(frame_rows(spark, masks), 32, 32, 100)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = [tuple(r)[1:] for r in found.collect()]
+    assert sorted(rows) == sorted(tuple(r)[1:] for r in regions.mask_regions(frame_rows(spark, masks), 32, 16, 100).collect())
+    assert len(rows) == sum(len(brute_regions(m)) for m in masks)

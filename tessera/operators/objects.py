@@ -64,6 +64,11 @@ def tracks(found: DataFrame, within: float) -> DataFrame:
     return found.withColumn("node", node("frame", "id")).join(root, ["video", "node"], "left").withColumn("obj", F.coalesce("root", "node")).drop("node", "root")
 
 
+def lasting(tracked: DataFrame, history: int = 5) -> DataFrame:
+    """The rows of objects that have at least history of them: others never lock, and so have no events."""
+    return tracked.withColumn("_n", F.count("*").over(Window.partitionBy("video", "obj"))).filter(F.col("_n") >= history).drop("_n")
+
+
 def otsu(values: np.ndarray) -> int:
     """The level above which values are mask, by the largest variance between the two sides; the lowest of equals."""
     n = np.bincount(values, minlength=256)

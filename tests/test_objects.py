@@ -197,3 +197,10 @@ def test_keys_fall_silent_and_come_back(spark, tmp_path):
     for r in rows:
         last[r["key"]] = max(last.get(r["key"], (0, False)), (r["last_ms"], r["silent"]))
     assert last == {1: (1_130_000, True), 2: (1_120_000, True), 3: (1_300_000, False)}
+
+
+def test_short_lived_objects_have_no_events(spark):
+    df = spark.createDataFrame(history(), ROWS)
+    some = objects.lasting(df)
+    assert some.count() == df.count() - 4  # object 5 is seen four times
+    assert sorted(map(tuple, objects.micro_events(some).collect()), key=str) == sorted(map(tuple, objects.micro_events(df).collect()), key=str)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..env import scratch
+from ..env import scratch, stored
 from ..functions import scalars as fn
 from ..operators import tracking
 from ..sources import container
@@ -29,17 +29,14 @@ def query(sql: str | None = None):
 BATCHES = 4
 
 
-def _events(spark, d):
-    """The events as a stream in the order of time."""
-    held = read(spark, d, "events").withColumn("second", F.unix_seconds(F.col("ts").cast("timestamp")))
-    return processors.stream_of(spark, processors.slices(spark, held, "second", BATCHES), held.schema)
+def _events(spark, d, *columns: str) -> DataFrame:
+    """Columns of the events, to be fed to a stream in the order of time."""
+    return stored(read(spark, d, "events").select(*columns, F.unix_seconds(F.col("ts").cast("timestamp")).alias("second")))
 
 
 @query("select cast(ts as date)::timestamp window_start, event_type, count(*)::bigint n, sum(floor(value * 100)::bigint)::bigint cents from events group by all")
 def stream_windowed_counts(spark, d) -> DataFrame:
-    path = scratch(spark)
-    state.run_in_batches(state.windowed_counts(_events(spark, d)), f"{path}/out", f"{path}/state")
-    got = spark.read.parquet(f"{path}/out")
+    got = processors.fed(_events(spark, d, "ts", "event_type", "value"), "second", BATCHES, state.windowed_counts)
     last = F.max_by(F.struct("n", "cents"), "batch")
     return got.groupBy("window_start", "event_type").agg(last.alias("l")).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "l.n", "l.cents")
 
@@ -47,9 +44,10 @@ def stream_windowed_counts(spark, d) -> DataFrame:
 @query("select user_id, epoch_us(max(ts)) // 1000 last_ms from events group by user_id having epoch_us(max(ts)) // 1000 + 10800000 < (select epoch_us(max(ts)) // 1000 from events)")
 def stream_inactive_users(spark, d) -> DataFrame:
     """Users without an event for three hours when the stream ends, by event-time timers: of each the last that was said."""
-    path = scratch(spark)
-    state.run_in_batches(processors.silent(_events(spark, d), "user_id", "ts", 3 * 3600 * 1000), f"{path}/out", f"{path}/state", "append")
-    last = spark.read.parquet(f"{path}/out").groupBy("key").agg(F.max(F.struct("last_ms", "silent")).alias("l"))
+    held = _events(spark, d, "user_id", "ts")
+    buckets = processors.buckets_for(held.count())
+    got = processors.fed(held, "second", BATCHES, lambda src: processors.silent(src, "user_id", "ts", 3 * 3600 * 1000, buckets=buckets), "append")
+    last = got.groupBy("key").agg(F.max(F.struct("last_ms", "silent")).alias("l"))
     return last.filter("l.silent").select(F.col("key").alias("user_id"), "l.last_ms")
 
 
@@ -63,11 +61,8 @@ def stream_ema_background(spark, d) -> DataFrame:
     return got.groupBy("cell").agg(F.round(F.max_by("background", "frame"), 6).alias("background"))
 
 
-def _objects(spark, found: DataFrame) -> DataFrame:
-    path = scratch(spark)
-    src = processors.stream_of(spark, processors.slices(spark, found, "frame", BATCHES), found.schema)
-    state.run_in_batches(state.stream_objects(src, within=5.0, patience=2), f"{path}/out", f"{path}/state")
-    return spark.read.parquet(f"{path}/out").drop("batch")
+def _objects(found: DataFrame) -> DataFrame:
+    return processors.fed(stored(found), "frame", BATCHES, lambda src: state.stream_objects(src, within=5.0, patience=2)).drop("batch")
 
 
 def _regions(spark, d) -> DataFrame:
@@ -77,7 +72,7 @@ def _regions(spark, d) -> DataFrame:
 
 @query(None)
 def stream_object_events(spark, d) -> DataFrame:
-    return _objects(spark, _regions(spark, d))
+    return _objects(_regions(spark, d))
 
 
 @query(None)
@@ -86,7 +81,7 @@ def stream_scene_objects(spark, d) -> DataFrame:
     held = tracking.with_previous(frames(spark, d))
     cuts = held.filter(fn.sad(F.col("px"), F.col("prev")) > 18 * SIDE * SIDE).select("video", "frame", F.lit(True).alias("cut"))
     found = _regions(spark, d).join(cuts, ["video", "frame"], "full")
-    return _objects(spark, found.select("video", "frame", F.when(F.col("cut").isNull(), F.col("regions")).alias("regions")))
+    return _objects(found.select("video", "frame", F.when(F.col("cut").isNull(), F.col("regions")).alias("regions")))
 
 
 @query(f"with {FRAMES} select video, frame, list_sum(px)::bigint total, list_max(px) brightest, md5(array_to_string(px, ',')) pixels_md5 from frames")

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.env import stored
 from tessera.operators import objects
 from tessera.streaming import processors, state
 
@@ -199,6 +200,38 @@ def test_keys_fall_silent_and_come_back(spark, tmp_path):
     assert last == {1: (1_130_000, True), 2: (1_120_000, True), 3: (1_300_000, False)}
 
 
+def state_rows(spark, checkpoint):
+    return spark.read.format("statestore").option("path", str(checkpoint)).option("stateVarName", "bucket").load().count()
+
+
+def test_silence_is_kept_by_buckets_of_keys(spark, tmp_path):
+    r, gap = np.random.default_rng(5), 5_000
+    rows = [(None if k == 700 else int(k) * 2**40, int(t)) for k, t in zip(r.integers(0, 701, 2_000), r.integers(0, 40_000, 2_000), strict=True)]
+    df = spark.createDataFrame(rows, "k long, ms long").select("k", F.timestamp_millis("ms").alias("at"), F.expr("ms div 1000").alias("s")).repartition(5)
+    seen = []
+
+    def plan(src):
+        seen.append(src)
+        return processors.silent(src, "k", "at", gap, buckets=3)
+
+    got = processors.fed(stored(df), "s", 4, plan, "append").groupBy("key").agg(F.max(F.struct("last_ms", "silent")).alias("l")).select("key", "l.*").collect()
+    last = {}
+    for k, t in rows:
+        last[k] = max(last.get(k, 0), t)
+    assert {x["key"]: (x["last_ms"], x["silent"]) for x in got} == {k: (t, t + gap < max(last.values())) for k, t in last.items()}
+    assert len(seen) == 4 and None in last and {x["silent"] for x in got} == {True, False}
+    # one state for all keys of a bucket, not one a key
+    src = processors.stream_of(spark, processors.slices(spark, df, "s", 1), df.schema)
+    state.run_in_batches(processors.silent(src, "k", "at", 10**9, buckets=3), str(tmp_path / "out"), str(tmp_path / "state"), "append")
+    assert state_rows(spark, tmp_path / "state") == 4
+
+
+def test_a_range_of_many_files_is_one_micro_batch(spark):
+    df = stored(spark.range(0, 400).selectExpr("id % 7 cell", "cast(id as int) frame", "cast(id * 37 % 256 as int) v").repartition(6))
+    got = processors.fed(df, "frame", 4, state.stream_ema)
+    assert got.count() == 400 and [tuple(r) for r in got.groupBy("batch").count().orderBy("batch").collect()] == [(b, 100) for b in range(4)]
+
+
 def test_short_lived_objects_have_no_events(spark):
     df = spark.createDataFrame(history(), ROWS)
     some = objects.lasting(df)

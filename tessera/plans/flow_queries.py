@@ -54,11 +54,11 @@ def stream_inactive_users(spark, d) -> DataFrame:
 @query(f"""with {PLANE}, s as (select cell, list({{'bg': v::double, 'l': v::double}} order by frame) s from plane group by cell)
   select cell, round(list_reduce(s, lambda a, x: {{'bg': case when abs(x.l - a.l) < 60 and abs(x.l - a.bg) < 90 then 0.95::double * a.bg + 0.05::double * x.l else a.bg end, 'l': x.l}}).bg, 6) background from s""")
 def stream_ema_background(spark, d) -> DataFrame:
-    path, held = scratch(spark), plane(spark, d)
-    src = processors.stream_of(spark, processors.slices(spark, held, "frame", BATCHES), held.schema)
-    state.run_in_batches(processors.background(src, still=60, near=90), f"{path}/out", f"{path}/state")
-    got = spark.read.parquet(f"{path}/out")
-    return got.groupBy("cell").agg(F.round(F.max_by("background", "frame"), 6).alias("background"))
+    # as in the SQL, what has no day comes last, and halves of 1e-6 are told on the product
+    held = stored(plane(spark, d).withColumn("frame", F.coalesce("frame", F.lit(31))))
+    buckets = processors.buckets_for(held.count())
+    got = processors.fed(held, "frame", BATCHES, lambda src: processors.background(src, still=60, near=90, buckets=buckets))
+    return got.groupBy("cell").agg((F.floor(F.max_by("background", "frame") * 1e6 + 0.5) / 1e6).alias("background"))
 
 
 def _objects(found: DataFrame) -> DataFrame:

@@ -1,13 +1,16 @@
 """Matches, tracks and micro-states against plain Python, and streams of several micro-batches against their batch twins."""
 
+import datetime
 import math
 import os
 import time
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import catalog
 from tessera.env import stored
 from tessera.operators import objects
 from tessera.streaming import processors, state
@@ -232,6 +235,38 @@ def test_a_range_of_many_files_is_one_micro_batch(spark):
     assert got.count() == 400 and [tuple(r) for r in got.groupBy("batch").count().orderBy("batch").collect()] == [(b, 100) for b in range(4)]
 
 
+def test_backgrounds_are_kept_by_buckets_of_cells(spark, tmp_path):
+    r = np.random.default_rng(6)
+    data = {None if c == 300 else c * 2**40: sorted(r.choice(40, r.integers(1, 30), replace=False).tolist()) for c in range(301)}
+    rows = [(c, f, int(r.integers(60, 200))) for c in data for f in data[c]]
+    df = spark.createDataFrame(rows, "cell long, frame int, v int").repartition(5)
+    got = processors.fed(stored(df), "frame", 4, lambda src: processors.background(src, still=60, near=90, buckets=3)).collect()
+    want = {}
+    for c, f, v in rows:
+        bg, last = want.get((c, "now"), (None, None))
+        want[c, "now"] = ema([v], bg, last), v
+        want[c, f] = want[c, "now"][0]
+    assert {(x["cell"], x["frame"]): x["background"] for x in got} == {k: v for k, v in want.items() if k[1] != "now"} and len(got) == len(rows)
+    src = processors.stream_of(spark, processors.slices(spark, df, "frame", 1), df.schema)
+    state.run_in_batches(processors.background(src, buckets=3), str(tmp_path / "out"), str(tmp_path / "state"))
+    assert state_rows(spark, tmp_path / "state") == 4
+
+
+def test_streams_of_odd_events_equal_their_sql(spark, tmp_path):
+    at = lambda day, s: datetime.datetime(2024, 1, day, 0, 0, s)
+    rows = [(u, at(day, s), v) for u in (1, 2, None, 2**60) for day, s, v in ((1, 0, 1.5), (2, 1, 1.7), (2, 2, None), (9, 3, 1.2))]
+    rows += [(3, None, 2.0), (4, None, 0.1), (4, at(3, 0), 0.2), (5, at(1, 0), None), (5, at(2, 0), 1.0), (6, at(1, 0), 1.0), (6, at(2, 0), None), (6, at(3, 0), 1.1), (7, at(30, 9), 1.0)]
+    rows += [(8, at(day, 0), (140 + day * day % 7) / 100) for day in range(1, 29)]
+    for n, part in ("some", rows), ("none", []):
+        d = str(tmp_path / n)
+        spark.createDataFrame([(i, t, u, "a", v, None) for i, (u, t, v) in enumerate(part)], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{d}/events.parquet")
+        con = duckdb.connect()
+        con.execute(f"create view events as select * from '{d}/events.parquet/*.parquet'")
+        for q in ("stream_inactive_users", "stream_ema_background"):
+            got = [tuple(r) for r in catalog.QUERIES[q](spark, d).collect()]
+            assert sorted(got, key=str) == sorted(con.execute(catalog.ORACLES[q]).fetchall(), key=str), q
+
+
 def test_short_lived_objects_have_no_events(spark):
     df = spark.createDataFrame(history(), ROWS)
     some = objects.lasting(df)

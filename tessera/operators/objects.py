@@ -25,13 +25,14 @@ def near_pairs(now: DataFrame, then: DataFrame, keys: list[str], within: float)
     """(keys, a, b, dist) of all points (keys, id, cx, cy) of the two tables that are nearer than within.
 
     Points fall into cells as wide as that; a point meets the nine cells around its own by an equi-join, so no task holds all pairs.
+    Here and below joins are merges at every size: a few bytes of Parquet hold a region, so that Spark would broadcast millions through the driver.
     """
     cell = lambda c: F.floor(F.col(c) / within)
     right = then.select(*keys, F.col("id").alias("b"), F.col("cx").alias("x2"), F.col("cy").alias("y2"), cell("cx").alias("gx"), cell("cy").alias("gy"))
     around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     left = now.select(*keys, F.col("id").alias("a"), "cx", "cy", around.alias("n")).select(*keys, "a", "cx", "cy", (cell("cx") + F.col("n.i")).alias("gx"), (cell("cy") + F.col("n.j")).alias("gy"))
     dist = F.sqrt((F.col("cx") - F.col("x2")) * (F.col("cx") - F.col("x2")) + (F.col("cy") - F.col("y2")) * (F.col("cy") - F.col("y2")))
-    return left.join(right, [*keys, "gx", "gy"]).withColumn("dist", dist).filter(F.col("dist") < within).select(*keys, "a", "b", "dist")
+    return left.join(right.hint("merge"), [*keys, "gx", "gy"]).withColumn("dist", dist).filter(F.col("dist") < within).select(*keys, "a", "b", "dist")
 
 
 def greedy_pairs(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -47,7 +48,7 @@ def greedy_pairs(pairs: DataFrame, keys: list[str]) -> DataFrame:
         won = marked.filter("won").select(*keys, "a", "b")
         taken = won if taken is None else taken.unionByName(won)
         rest = marked.filter("not won").drop("won")
-        left = stored(rest.join(won.select(*keys, "a"), [*keys, "a"], "left_anti").join(won.select(*keys, "b"), [*keys, "b"], "left_anti"))
+        left = stored(rest.join(won.select(*keys, "a").hint("merge"), [*keys, "a"], "left_anti").join(won.select(*keys, "b").hint("merge"), [*keys, "b"], "left_anti"))
     return left.select(*keys, "a", "b") if taken is None else taken
 
 
@@ -61,7 +62,7 @@ def tracks(found: DataFrame, within: float) -> DataFrame:
     node = lambda f, i: F.shiftleft(F.col(f).cast("long"), 32) + F.col(i) if isinstance(f, str) else F.shiftleft(f.cast("long"), 32) + F.col(i)
     links = greedy_pairs(pairs, ["video", "frame"]).select("video", node("frame", "a").alias("a"), node(F.col("frame") - 1, "b").alias("b"))
     root = graph.roots(links, ["video"]).withColumnRenamed("item", "node")
-    return found.withColumn("node", node("frame", "id")).join(root, ["video", "node"], "left").withColumn("obj", F.coalesce("root", "node")).drop("node", "root")
+    return found.withColumn("node", node("frame", "id")).join(root.hint("merge"), ["video", "node"], "left").withColumn("obj", F.coalesce("root", "node")).drop("node", "root")
 
 
 def lasting(tracked: DataFrame, history: int = 5) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera import catalog
 from tessera.env import stored
-from tessera.operators import objects
+from tessera.operators import graph, objects
 from tessera.streaming import processors, state
 
 
@@ -272,3 +272,26 @@ def test_short_lived_objects_have_no_events(spark):
     some = objects.lasting(df)
     assert some.count() == df.count() - 4  # object 5 is seen four times
     assert sorted(map(tuple, objects.micro_events(some).collect()), key=str) == sorted(map(tuple, objects.micro_events(df).collect()), key=str)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def plans(monkeypatch):
+    """The plans of all that objects and components store on their way."""
+    out = []
+    for module in objects, graph:
+        monkeypatch.setattr(module, "stored", lambda df: (out.append(plan_of(df)), stored(df))[1])
+    return out
+
+
+def test_tracks_send_no_table_through_the_driver(spark, plans):
+    """Regions lie in so few bytes of Parquet that Spark takes millions of them for a table to broadcast."""
+    rows = [(v, f, 9 * k + f, 10.0 * k + f, 5.0) for v in range(2) for f in range(6) for k in range(8)]
+    found = stored(spark.createDataFrame(rows, "video int, frame int, id int, cx double, cy double"))
+    got = objects.tracks(found, 3.0)
+    assert {tuple(r) for r in got.groupBy("video", "obj").count().collect()} == {(v, 9 * k, 6) for v in range(2) for k in range(8)}
+    joins = [p for p in (*plans, plan_of(got)) if "Join" in p]
+    assert len(joins) >= 5 and not any("Broadcast" in p for p in joins)

@@ -143,7 +143,7 @@ def patch_parts(tracked: DataFrame, frames: DataFrame, side: int) -> DataFrame:
     keep = ["video", "frame", "obj", "top", "left", "bottom", "right", "cx", "cy"]
     w = F.col("right") - F.col("left") + 1
     lines = F.transform(F.sequence("top", "bottom"), lambda y: F.slice("px", y * side + F.col("left") + 1, w))
-    rows = tracked.join(frames, ["video", "frame"]).select(*keep, F.flatten(lines).alias("patch"), w.alias("w"))
+    rows = tracked.join(frames.hint("merge"), ["video", "frame"]).select(*keep, F.flatten(lines).alias("patch"), w.alias("w"))
     names = ["part", "x", "y", "w", "h", "key", "mask"]
     kind = pa.list_(pa.struct([*((n, pa.int32()) for n in names[:5]), ("key", pa.string()), ("mask", pa.list_(pa.int32()))]))
 
@@ -194,10 +194,10 @@ def micro_events(tracked: DataFrame, history: int = 5, overlap: float = 0.85, st
     first = seen.groupBy(*keys, "key").agg(F.min("frame").alias("first"), F.min_by("shape", "frame").alias("mask"))
     states = stored(first.withColumn("state", (F.row_number().over(Window.partitionBy(*keys).orderBy("first")) - 1).cast("int")))
     at = Window.partitionBy(*keys).orderBy("frame")
-    told = seen.select(*keys, "frame", "key").join(states.select(*keys, "key", "state", "first"), [*keys, "key"]).withColumn("old", F.lag("state").over(at))
+    told = seen.select(*keys, "frame", "key").join(states.select(*keys, "key", "state", "first").hint("merge"), [*keys, "key"]).withColumn("old", F.lag("state").over(at))
     told = told.filter("old is null or old <> state")
     masks = states.select(*keys, "state", "mask")
-    new = told.join(masks.withColumnRenamed("mask", "new_mask"), [*keys, "state"]).join(masks.select(*keys, F.col("state").alias("old"), F.col("mask").alias("old_mask")), [*keys, "old"], "left")
+    new = told.join(masks.withColumnRenamed("mask", "new_mask").hint("merge"), [*keys, "state"]).join(masks.select(*keys, F.col("state").alias("old"), F.col("mask").alias("old_mask")).hint("merge"), [*keys, "old"], "left")
     area = F.when(F.col("old").isNotNull() & (F.col("first") == F.col("frame")), exclusive_or(F.col("old_mask"), F.col("new_mask")))
     kind = F.when(F.col("old").isNull(), "INIT_MICRO_STATE").otherwise("MICRO_STATE_CHANGE")
     return locks.unionByName(new.select("video", "obj", "frame", kind.alias("type"), "part", F.col("old").alias("old_state"), F.col("state").alias("new_state"), area.alias("area")))

@@ -295,3 +295,16 @@ def test_tracks_send_no_table_through_the_driver(spark, plans):
     assert {tuple(r) for r in got.groupBy("video", "obj").count().collect()} == {(v, 9 * k, 6) for v in range(2) for k in range(8)}
     joins = [p for p in (*plans, plan_of(got)) if "Join" in p]
     assert len(joins) >= 5 and not any("Broadcast" in p for p in joins)
+
+
+def test_parts_and_states_send_no_table_through_the_driver(spark, plans):
+    """Neither frames, which are small before they are made, nor masks of states, which compress well, are broadcast."""
+    side, rows = 8, history()
+    frames = stored(spark.createDataFrame([(v, f, [(y * x + f) % 256 for y in range(side) for x in range(side)]) for v in range(2) for f in range(24)], "video int, frame int, px array<int>"))
+    boxes = stored(spark.createDataFrame([(r[0], r[1], r[2], 1, 2, 6, 7, r[7], r[8]) for r in rows], ROWS.split(", parts")[0]))
+    cut = objects.patch_parts(boxes, frames, side)
+    assert cut.count() == len(rows) and cut.filter("size(parts) > 0").count() > 0
+    got = objects.micro_events(stored(spark.createDataFrame(rows, ROWS)))
+    assert sorted(map(tuple, got.collect()), key=str) == plain_events(rows)
+    joins = [p for p in (*plans, plan_of(cut), plan_of(got)) if "Join" in p]
+    assert len(joins) >= 2 and not any("Broadcast" in p for p in joins)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tessera import catalog
 from tessera.env import stored
 from tessera.operators import graph, objects
+from tessera.plans import scene_queries
 from tessera.streaming import processors, state
 
 
@@ -280,9 +281,9 @@ def plan_of(df):
 
 @pytest.fixture
 def plans(monkeypatch):
-    """The plans of all that objects and components store on their way."""
+    """The plans of all that objects, components and queries over scenes store on their way."""
     out = []
-    for module in objects, graph:
+    for module in objects, graph, scene_queries:
         monkeypatch.setattr(module, "stored", lambda df: (out.append(plan_of(df)), stored(df))[1])
     return out
 
@@ -308,3 +309,21 @@ def test_parts_and_states_send_no_table_through_the_driver(spark, plans):
     assert sorted(map(tuple, got.collect()), key=str) == plain_events(rows)
     joins = [p for p in (*plans, plan_of(cut), plan_of(got)) if "Join" in p]
     assert len(joins) >= 2 and not any("Broadcast" in p for p in joins)
+
+
+def test_stream_of_micro_states_sends_no_table_through_the_driver(spark, tmp_path, plans):
+    """From the table on, and with the rows of its batch twin."""
+    r, rows = np.random.default_rng(7), []
+    for video in range(2):
+        lit = r.random((100, 64)) < 0.1
+        lit[:, :20] = False
+        lit[5:10, 3:9] = lit[30:40, 12:16] = lit[::5, 16] = True  # both stand still, the second meets what scrolls by
+        rows += [(512 * video + i, [1.0 if x else -1.0 for x in line], 1) for i, line in enumerate(lit.tolist())]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = catalog.QUERIES["micro_state_events"](spark, str(tmp_path)).collect()
+    plans.clear()
+    got = catalog.QUERIES["stream_micro_states"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str)
+    assert {e["type"] for e in got} == {"LOCK", "INIT_MICRO_STATE", "MICRO_STATE_CHANGE"}
+    joins = [p for p in plans if "Join" in p]
+    assert len(joins) >= 6 and not any("Broadcast" in p for p in joins)
